@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lynxmark.llm import fingerprints as sketches
+from lynxmark.llm.bpe import Codec
 from lynxmark.llm.mixing import Mix
+from lynxmark.llm.secret_scan import KINDS, SecretModel, find_secrets, listed, samples
 from lynxmark.llm.simhash import near_duplicates
+from lynxmark.llm.tokencount import TokenCounter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +28,37 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_simhash_near_dedup)}
+def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sketches.with_edits(_table(spark, sf_dir, "documents"))
+    own, edited, following = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
+    return rows.select(
+        F.col("id").alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), sketches.to_text(own).alias("fingerprint"), sketches.to_text(edited).alias("edited_fingerprint"),
+        sketches.resemblance(own, edited).alias("near_edited"), sketches.resemblance(own, following).alias("near_next"), sketches.distinct_shingles(own).alias("distinct_shingles"), sketches.containment(own, edited).alias("contained_in_edited"),
+    )
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codec = Codec(spark, public_tokenizers.path("word_bpe_49k.json"))
+    ids = _table(spark, sf_dir, "documents").select("doc_id", codec.encode(F.col("text")).alias("ids"))
+    both = ids.select("doc_id", "ids", codec.decode(F.col("ids")).alias("decoded"))
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str, limit: int = 4096) -> DataFrame:
+    counter = TokenCounter(spark, public_tokenizers.path("piece_bpe_32k.model"))
+    counted = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), counter.count(F.col("text")).alias("n_tokens"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > limit)
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = SecretModel.train(samples(spark))
+    found = find_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    n = [F.size(F.filter("secrets", lambda s, k=k: s["kind"] == k)).cast("long") for k in range(len(KINDS))]
+    base = F.filter("secrets", lambda s: s["kind"] < 3)
+    return found.select("doc_id", n[0].alias("n_assign"), n[1].alias("n_access"), n[2].alias("n_hex"), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("secrets")).alias("spans"), n[3].alias("n_random"))
+
+
+OPERATORS = (op1_mix_sources, op3_simhash_near_dedup, op5_document_fingerprints, op6_bpe, op9_token_counts, op10_secret_scan)
+QUERIES = {f.__name__: f for f in OPERATORS}
 #: None of these can be written in SQL: each is held against a brute-force version in tests/llm.
 ORACLE_SQL: dict[str, str] = {}
