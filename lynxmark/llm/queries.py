@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lynxmark.llm import fingerprints as sketches
+from lynxmark.llm import langid
 from lynxmark.llm.bpe import Codec
+from lynxmark.llm.common import crc_fold
 from lynxmark.llm.mixing import Mix
 from lynxmark.llm.secret_scan import KINDS, SecretModel, find_secrets, listed, samples
 from lynxmark.llm.simhash import near_duplicates
@@ -44,6 +46,13 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = crc_fold(F.col("doc_id"), 4)
+    found = langid.predict(docs.select("doc_id", "text"), langid.train(docs, fold != 2), out="found")
+    return found.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str, limit: int = 4096) -> DataFrame:
     counter = TokenCounter(spark, public_tokenizers.path("piece_bpe_32k.model"))
     counted = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), counter.count(F.col("text")).alias("n_tokens"))
@@ -58,7 +67,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", n[0].alias("n_assign"), n[1].alias("n_access"), n[2].alias("n_hex"), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("secrets")).alias("spans"), n[3].alias("n_random"))
 
 
-OPERATORS = (op1_mix_sources, op3_simhash_near_dedup, op5_document_fingerprints, op6_bpe, op9_token_counts, op10_secret_scan)
+OPERATORS = (op1_mix_sources, op3_simhash_near_dedup, op5_document_fingerprints, op6_bpe, op7_language_id, op9_token_counts, op10_secret_scan)
 QUERIES = {f.__name__: f for f in OPERATORS}
 #: None of these can be written in SQL: each is held against a brute-force version in tests/llm.
 ORACLE_SQL: dict[str, str] = {}
