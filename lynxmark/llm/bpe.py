@@ -12,11 +12,11 @@ import pandas as pd
 import regex
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 SHIFT = 20
 #: What a worker remembers of chunks between white space, and as many single pre-tokens: two generations of so many.
-CACHED, CACHED_CHARS = 200_000, 48
+CACHED, CACHED_CHARS = 100_000, 48
 #: Unicode's white space; str.split() also splits at the four separators 1C to 1F.
 SPACE = "\t\n\v\f\r \x85\xa0  -     　"
 
@@ -165,6 +165,19 @@ class Codec:
         # With a JVM expression between them, ids that come from encode() are not computed a second time for this.
         return decode(F.coalesce(ids, F.array().cast("array<int>")))
 
+    def round_trip(self, text: Column) -> Column:
+        """struct<ids array<int>, decoded string>: what encode() gives and what decode() makes of it, in one worker."""
+        name, data = self.name, self.data
+        kind = StructType([StructField("ids", ArrayType(IntegerType())), StructField("decoded", StringType())])
+
+        @F.pandas_udf(kind)
+        def both(texts: pd.Series) -> pd.DataFrame:
+            model = load(name, data)
+            ids = [model.encode(x) for x in texts]
+            return pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series(map(model.decode, ids), dtype=object)})
+
+        return both(text)
+
 
 def load(name: str, data) -> BPE:
     """A worker's model, kept from task to task."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lynxmark.llm import fingerprints as sketches
 from lynxmark.llm import langid
 from lynxmark.llm.bpe import Codec
-from lynxmark.llm.common import crc_fold
+from lynxmark.llm.common import crc_fold, small_batches
 from lynxmark.llm.mixing import Mix
 from lynxmark.llm.secret_scan import KINDS, SecretModel, find_secrets, listed, samples
 from lynxmark.llm.simhash import near_duplicates
@@ -26,6 +26,7 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     found = near_duplicates(_table(spark, sf_dir, "documents"), width=3, radius=2)
     return found.select("doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -40,13 +41,14 @@ def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     codec = Codec(spark, public_tokenizers.path("word_bpe_49k.json"))
-    ids = _table(spark, sf_dir, "documents").select("doc_id", codec.encode(F.col("text")).alias("ids"))
-    both = ids.select("doc_id", "ids", codec.decode(F.col("ids")).alias("decoded"))
+    both = _table(spark, sf_dir, "documents").select("doc_id", codec.round_trip(F.col("text")).alias("both")).select("doc_id", "both.ids", "both.decoded")
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     fold = crc_fold(F.col("doc_id"), 4)
     found = langid.predict(docs.select("doc_id", "text"), langid.train(docs, fold != 2), out="found")
@@ -54,6 +56,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str, limit: int = 4096) -> DataFrame:
+    small_batches(spark)
     counter = TokenCounter(spark, public_tokenizers.path("piece_bpe_32k.model"))
     counted = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), counter.count(F.col("text")).alias("n_tokens"))
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
