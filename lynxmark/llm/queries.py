@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lynxmark.llm import fingerprints as sketches
-from lynxmark.llm import langid
+from lynxmark.llm import brown, langid
 from lynxmark.llm.bpe import Codec
 from lynxmark.llm.common import crc_fold, small_batches
 from lynxmark.llm.mixing import Mix
@@ -31,6 +31,14 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    fold = crc_fold(F.col("doc_id"), 10)
+    scored = brown.fit_and_score(_table(spark, sf_dir, "documents"), fold != 0, fold == 0)
+    perplexity = F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))
+    return scored.select(F.col("id").alias("doc_id"), F.col("held").alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", perplexity.alias("perplexity"))
+
+
 def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sketches.with_edits(_table(spark, sf_dir, "documents"))
     own, edited, following = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
@@ -70,7 +78,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", n[0].alias("n_assign"), n[1].alias("n_access"), n[2].alias("n_hex"), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("secrets")).alias("spans"), n[3].alias("n_random"))
 
 
-OPERATORS = (op1_mix_sources, op3_simhash_near_dedup, op5_document_fingerprints, op6_bpe, op7_language_id, op9_token_counts, op10_secret_scan)
+OPERATORS = (op1_mix_sources, op3_simhash_near_dedup, op4_brown_lm, op5_document_fingerprints, op6_bpe, op7_language_id, op9_token_counts, op10_secret_scan)
 QUERIES = {f.__name__: f for f in OPERATORS}
 #: None of these can be written in SQL: each is held against a brute-force version in tests/llm.
 ORACLE_SQL: dict[str, str] = {}
