@@ -13,6 +13,7 @@ from lynxmark.llm.common import crc_fold, small_batches
 from lynxmark.llm.mixing import Mix
 from lynxmark.llm.secret_scan import KINDS, SecretModel, find_secrets, listed, samples
 from lynxmark.llm.simhash import near_duplicates
+from lynxmark.llm.suffixes import repeated_passages
 from lynxmark.llm.tokencount import TokenCounter
 from lynxmark.llm.topk import top_k
 
@@ -68,6 +69,14 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    found = repeated_passages(_table(spark, sf_dir, "documents"))
+    sizes = F.transform("spans", lambda s: s["high"] - s["low"])
+    told = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["low"].cast("string"), s["high"].cast("string"))), ",")
+    return found.select(F.col("id").alias("doc_id"), "n_words", F.size("spans").cast("long").alias("n_spans"), F.aggregate(sizes, F.lit(0), lambda a, x: a + x).cast("long").alias("repeated_words"), told.alias("spans"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str, limit: int = 4096) -> DataFrame:
     small_batches(spark)
     counter = TokenCounter(spark, public_tokenizers.path("piece_bpe_32k.model"))
@@ -83,7 +92,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", n[0].alias("n_assign"), n[1].alias("n_access"), n[2].alias("n_hex"), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("secrets")).alias("spans"), n[3].alias("n_random"))
 
 
-OPERATORS = (op1_mix_sources, op2_exact_topk, op3_simhash_near_dedup, op4_brown_lm, op5_document_fingerprints, op6_bpe, op7_language_id, op9_token_counts, op10_secret_scan)
+OPERATORS = (op1_mix_sources, op2_exact_topk, op3_simhash_near_dedup, op4_brown_lm, op5_document_fingerprints, op6_bpe, op7_language_id, op8_suffix_dedup, op9_token_counts, op10_secret_scan)
 QUERIES = {f.__name__: f for f in OPERATORS}
 #: The others cannot be written in SQL: each is held against a brute-force version in tests/llm.
 ORACLE_SQL: dict[str, str] = {
