@@ -155,7 +155,7 @@ class Mix:
     """The mix of ``docs`` (columns ``id_col``, ``text_col``, ``source_col``; others are ignored).
 
     ``sources``: (source, size, source_size, target) by source number. ``pieces``: the parts of
-    documents that slots take, (shard, slot, seq, src, uid, from_word, n_words); ``documents``: one row
+    documents that slots take, (shard, slot, seq, src, turn, uid, from_word, n_words); ``documents``: one row
     per input row, (uid, id, source, size, source_size, target, taken). ``texts()``: the mixed
     slots' words.
 
@@ -208,7 +208,7 @@ class Mix:
         cut = cut.select("src", "blk", "uid", "source_size", (lo - F.col("begin")).alias("from_word"), (lo - F.col("blk") * b).alias("seq"), (hi - lo).alias("n_words"))
         drawn = cut.join(self.slots(), ["src", "blk"])
         kept = F.least(b, F.col("source_size") - F.col("blk") * b) - F.col("cut")
-        return drawn.withColumn("n_words", F.least("n_words", kept - F.col("seq"))).where("n_words > 0").select("shard", "slot", "seq", "src", "uid", "from_word", "n_words")
+        return drawn.withColumn("n_words", F.least("n_words", kept - F.col("seq"))).where("n_words > 0").select("shard", "slot", "seq", "src", "turn", "uid", "from_word", "n_words")
 
     def documents(self) -> DataFrame:
         taken = self.pieces().groupBy("uid").agg(F.sum("n_words").alias("words"))
@@ -224,3 +224,19 @@ class Mix:
         parts = self.pieces().join(texts, "uid").select("shard", "slot", "src", F.struct("seq", F.slice("words", (F.col("from_word") + 1).cast("int"), F.col("n_words").cast("int")).alias("words")).alias("part"))
         joined = F.flatten(F.transform(F.sort_array(F.collect_list("part")), lambda p: p["words"]))
         return parts.groupBy("shard", "slot", "src").agg(joined.alias("words"))
+
+    def mixed_documents(self) -> DataFrame:
+        """The mix as rows of ``docs``, with all their columns: a row for each pass over a document, its text the words
+        that the pass takes (the text itself where it takes all; else joined by one space), ``turn`` the pass.
+
+        Of rows that agree in id, source and text, the other columns are those of one of them.
+        """
+        id_col, text_col, source_col = self.cols
+        taken = self.pieces().groupBy("uid", "turn").agg(F.sort_array(F.collect_list(F.struct("from_word", "n_words"))).alias("_parts"), F.sum("n_words").alias("_n"))
+        taken = self.placed.select("uid", F.col("id").alias("_id"), F.col("source").alias("_source"), F.col("text_hash").alias("_hash"), F.col("size").alias("_size")).join(taken, "uid")
+        rows = self.docs.withColumn("_h", F.xxhash64(text_col)).dropDuplicates([id_col, source_col, "_h"])
+        both = rows.join(taken, rows[id_col].eqNullSafe(taken["_id"]) & rows[source_col].eqNullSafe(taken["_source"]) & (rows["_h"] == taken["_hash"]))
+        words = F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD})"), F.lit(1))
+        cut = F.flatten(F.transform("_parts", lambda p: F.slice(words, (p["from_word"] + 1).cast("int"), p["n_words"].cast("int"))))
+        text = F.when(F.col("_n") == F.col("_size"), F.col(text_col)).otherwise(F.array_join(cut, " "))
+        return both.select(*[text.alias(c) if c == text_col else rows[c] for c in self.docs.columns], F.col("turn").alias("_turn"))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from lynxmark.llm.common import connected_components, materialize
+from lynxmark.llm.common import connected_components, materialize, with_uid
 
 BYTES, KEPT = 8, 6
 #: Of each kind of shard, the bits on which its fingerprints agree.
@@ -27,6 +27,19 @@ MASKS = [sum(0xFF << (8 * i) for i in kept) for kept in combinations(range(BYTES
 MAX_RADIUS = BYTES - KEPT
 
 
+def shingle_hashes(data: bytes | None, width: int) -> np.ndarray:
+    """XXH64 (seed 42) of every shingle of a UTF-8 text, as simhash() takes them."""
+    words = data.lower().split() if data else []
+    if not words:
+        return np.empty(0, np.uint64)
+    text, digest = b" ".join(words), xxhash.xxh64_intdigest
+    if len(words) <= width:
+        return np.array([digest(text, 42)], np.uint64)
+    gaps = np.flatnonzero(np.frombuffer(text, np.uint8) == 32)
+    starts, ends = [0, *(gaps + 1).tolist()], [*gaps.tolist(), len(text)]
+    return np.array([digest(text[i:j], 42) for i, j in zip(starts, ends[width - 1 :], strict=False)], np.uint64)
+
+
 def simhash(data: bytes | None, width: int = 3) -> int:
     """The unsigned fingerprint of a UTF-8 text.
 
@@ -35,15 +48,13 @@ def simhash(data: bytes | None, width: int = 3) -> int:
     shingle; a null text or one without words has fingerprint 0. A bit is 1 if it is set in
     over half of the hashes.
     """
-    words = data.lower().split() if data else []
-    if not words:
-        return 0
-    text, digest = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= width:
-        return digest(text, 42)
-    gaps = np.flatnonzero(np.frombuffer(text, np.uint8) == 32)
-    starts, ends = [0, *(gaps + 1).tolist()], [*gaps.tolist(), len(text)]
-    hashes = np.array([digest(text[i:j], 42) for i, j in zip(starts, ends[width - 1 :], strict=False)], np.uint64)
+    return majority(shingle_hashes(data, width))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have; 0 without hashes."""
+    if len(hashes) < 2:
+        return int(hashes.sum())
     set_in = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 15):
         part = np.unpackbits(hashes[i : i + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -181,3 +192,105 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     found = placed.join(least, "root").select("fp", "component_id")
     return own.join(found, "fp").select(F.col("id").alias(id_col), F.col("fp").alias("simhash"), "component_id")
+
+
+#: Similar texts are sought in shards of texts that share a smallest shingle hash under one of so many orders: two
+#: texts of likeness 0.8 share at least one of them in all but 0.2 ** ORDERS of the cases.
+ORDERS, SKETCH, CROWD = 6, 128, 2_000
+ORDER_KEYS = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1)) & ((1 << 64) - 1) | 1 for i in range(ORDERS)], np.uint64)
+
+
+def _features(width: int):
+    def find(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for data in texts:
+            h = shingle_hashes(data, width)
+            with np.errstate(over="ignore"):
+                mixed = (h[:, None] ^ (h[:, None] >> np.uint64(31))) * ORDER_KEYS
+                mixed ^= mixed >> np.uint64(29)
+            least = mixed.min(axis=0) if len(h) else np.zeros(ORDERS, np.uint64)
+            sketch = np.unique((h >> np.uint64(32)).astype(np.uint32))[:SKETCH]
+            out.append((np.uint64(majority(h)).view(np.int64), least.view(np.int64), sketch.tobytes()))
+        return pd.DataFrame(out, columns=["fp", "least", "sketch"])
+
+    return F.pandas_udf(find, "fp long, least array<long>, sketch binary")
+
+
+def sketch_likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """Estimated likeness of two shingle sets from their smallest hashes; exact for sets smaller than SKETCH."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    union = np.union1d(a, b)[:SKETCH]
+    common = np.intersect1d(a, b, assume_unique=True)
+    return float((common <= union[-1]).sum()) / len(union)
+
+
+def _similar(radius: int, similarity: float):
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None
+
+        def solve(shard: pd.DataFrame) -> list[tuple[int, int]]:
+            nodes = shard["node"].to_numpy(np.int64)
+            sketches = [np.frombuffer(x, np.uint32) for x in shard["sketch"]]
+            values = shard["fp"].to_numpy(np.int64).view(np.uint64)
+            tree, part, found = BKTree(values.tolist()), np.arange(len(nodes)), []
+            todo = [(0, np.arange(len(nodes)))]
+            while todo:
+                at, who = todo.pop()
+                d = np.bitwise_count(values[who] ^ values[at])
+                for j in who[(d <= radius) & (who != at) & (part[who] != part[at])]:
+                    if part[j] != part[at] and sketch_likeness(sketches[at], sketches[j]) >= similarity:
+                        found.append((int(nodes[at]), int(nodes[j])))
+                        part[part == part[j]] = part[at]
+                for edge, child in tree.children[at].items():
+                    if len(some := who[(d >= edge - radius) & (d <= edge + radius)]):
+                        todo.append((child, some))
+            return found
+
+        def links(pdf: pd.DataFrame) -> pd.DataFrame:
+            keys = pdf["key"].to_numpy(np.int64)
+            bounds = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
+            found = [x for i, j in zip(bounds[:-1], bounds[1:], strict=True) if j - i > 1 for x in solve(pdf.iloc[i:j])]
+            return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+        for pdf in batches:
+            held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            keys = held["key"].to_numpy(np.int64)
+            cut = int((keys == keys[-1]).argmax()) if len(keys) else 0
+            if cut:
+                yield links(held.iloc[:cut])
+                held = held.iloc[cut:].reset_index(drop=True)
+        if held is not None and len(held) > 1:
+            yield links(held)
+
+    return search
+
+
+def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 20) -> DataFrame:
+    """``docs`` with one row of each group of similar texts: that with the smallest id, null ids last.
+
+    Texts are similar if their fingerprints are within ``radius`` bits (two texts of likeness
+    0.8 hardly ever differ in more) and their sketches show ``similarity`` or more of common
+    ``width``-word shingles; groups are what such links join. Fingerprints this far apart
+    share no fixed bits, so the shards, each with its BK-tree, hold the texts that share a
+    smallest shingle hash. A shard of more than CROWD texts is dealt anew by pairs of such
+    hashes, which similar texts share too. Texts without words are similar to each other
+    alone. Repeated rows are copies like others; all columns stay as they are; no rows give
+    none.
+    """
+    rows = materialize(with_uid(docs, "_uid").withColumn("_f", _features(width)(F.col(text_col).cast("binary"))), "similar")
+    own = rows.select("_uid", F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), "_f.*")
+    # Copies of one text are one node, named after one of them.
+    nodes = own.groupBy("hash", "fp").agg(F.min("_uid").alias("node"), F.min_by(F.struct("least", "sketch"), "_uid").alias("f"))
+    nodes = materialize(nodes.select("hash", "fp", "node", "f.least", "f.sketch"), "nodes")
+    sharded = nodes.select("node", "fp", "sketch", "least", F.posexplode("least").alias("n", "value")).withColumn("key", F.xxhash64("n", "value"))
+    crowds = sharded.groupBy("key").count().where(F.col("count") > CROWD).select("key", F.lit(True).alias("crowd"))
+    told = sharded.join(crowds, "key", "left")
+    pairs = F.transform(F.sequence(F.lit(0), F.lit(ORDERS - 1)), lambda i: F.when(i != F.col("n"), F.xxhash64(F.col("key"), i, F.get("least", i))))
+    keys = F.when(F.col("crowd"), F.array_compact(pairs)).otherwise(F.array("key"))
+    dealt = told.select(F.explode(keys).alias("key"), "node", "fp", "sketch").repartition("key").sortWithinPartitions("key", "fp", "node")
+    roots = connected_components(dealt.mapInPandas(_similar(radius, similarity), "a long, b long"))
+    placed = nodes.select("hash", "fp", "node").join(roots, "node", "left").select("hash", "fp", F.coalesce("root", "node").alias("root"))
+    member = own.select("_uid", "id", "hash", "fp").join(placed, ["hash", "fp"])
+    best = member.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "_uid")).alias("best")).select(F.col("best._uid").alias("_uid"))
+    return rows.join(best, "_uid", "left_semi").select(*docs.columns)
