@@ -160,15 +160,26 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     full = rows.mapInArrow(_rows(True, passage, gram), "h long, uid long, start int, away int, windows array<int>")
     kept = materialize(full.join(known, "h"), "suffixes")
     few = kept.where("NOT crowd").drop("crowd").repartition("h").sortWithinPartitions("h").mapInArrow(_compare(passage), "uid long, low int, high int")
-    spread = kept.where("crowd").select("h", "uid", "start", "away", F.posexplode("windows").alias("place", "w")).select(F.xxhash64("h", F.col("away") - F.col("place"), "w").alias("key"), "uid", (F.col("start") + F.col("place")).alias("low"))
-    twice = spread.groupBy("key").agg(F.min("uid").alias("a"), F.max("uid").alias("b")).where("a != b").select("key")
-    many = spread.join(twice, "key", "left_semi").select("uid", "low", (F.col("low") + passage).alias("high"))
+    many = _crowds(kept.where("crowd"), passage)
     spans = few.union(many).distinct().groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("spans"))
     spans = spans.select("uid", _merged(F.col("spans")).alias("spans"))
     found = all_docs.withColumn("uid", F.xxhash64("text_hash", "id")).join(spans, "uid", "left")
     return found.select("id", "text_hash", "n_words", F.coalesce("spans", F.array().cast("array<struct<low:int,high:int>>")).alias("spans"))
 
 
+def _crowds(kept: DataFrame, passage: int) -> DataFrame:
+    """The same comparison for starts that very many documents share: suffixes with the same windows are one from the
+    start, by map-side sums; their windows are compared by a second aggregation, and each suffix is joined once to the
+    spans that its windows make."""
+    rows = kept.select("uid", "start", F.xxhash64("h", "away", "windows").alias("same"), F.struct("h", "away", "windows").alias("of"))
+    lists = rows.groupBy("same").agg(F.min("uid").alias("a"), F.max("uid").alias("b"), F.min_by("of", "uid").alias("of"))
+    spread = lists.select("same", "a", "b", F.col("of.h").alias("h"), F.col("of.away").alias("away"), F.posexplode("of.windows").alias("place", "w")).select("same", "a", "b", "place", F.xxhash64("h", F.col("away") - F.col("place"), "w").alias("key"))
+    twice = spread.groupBy("key").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a != b").select("key")
+    hits = spread.join(twice, "key", "left_semi").groupBy("same").agg(F.sort_array(F.collect_set(F.struct(F.col("place").alias("low"), (F.col("place") + passage).alias("high")))).alias("spans"))
+    shifted = F.transform(_merged(F.col("spans")), lambda s: F.struct((F.col("start") + s["low"]).alias("low"), (F.col("start") + s["high"]).alias("high")))
+    return rows.select("uid", "start", "same").join(hits, "same").select("uid", F.explode(shifted).alias("s")).select("uid", "s.low", "s.high")
+
+
 def _merged(spans: Column) -> Column:
     """Ascending spans with overlapping and touching ones made one."""
     nothing = F.struct(F.lit(-1).alias("low"), F.lit(-1).alias("high"))
