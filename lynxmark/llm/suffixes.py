@@ -27,6 +27,9 @@ PASSAGE, GRAM = 50, 20
 SEGMENT = 1 << 17  # words of a huge text that are in work at once
 #: Suffixes with the same start beyond which they are compared by a distributed aggregation, not in one task.
 CROWD = 5_000
+#: Groups of copies up to which their list (24 bytes each) is sent to every task; a longer one is joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+SPANS = "array<struct<low:int,high:int>>"
 
 _BASE = 6364136223846793005
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -150,9 +153,14 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     text = F.col(text_col)
     words = F.coalesce(F.size(F.filter(F.split(text, r"[\x20\x09-\x0D]+", -1), lambda w: w != "")), F.lit(0)).cast("long")
-    all_docs = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), words.alias("n_words")).distinct()
-    uid = F.xxhash64(F.xxhash64(text), F.col(id_col))
-    rows = docs.select(uid.alias("uid"), text.cast("binary").alias("text"))
+    own = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("text_hash"), F.hash(text).alias("more"))
+    all_docs = materialize(own.select("id", "text_hash", "more", words.alias("n_words")).distinct(), "texts")
+    # Texts that several documents have are repeated as a whole; one of each stands for all in what follows.
+    copies = all_docs.groupBy("text_hash", "more").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    copies = materialize(copies, "copies")
+    small = F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies
+    single = own.join(small, ["text_hash", "more"], "left").where(F.col("first").isNull() | F.col("id").eqNullSafe(F.col("first")))
+    rows = single.select(F.xxhash64("text_hash", "id").alias("uid"), F.col("text").cast("binary").alias("text"))
     bare = rows.mapInArrow(_rows(False, passage, gram), "h long, uid long")
     # All copies of a start count, by map-side sums; those in one document alone are done with.
     known = bare.groupBy("h").agg(F.min("uid").alias("a"), F.max("uid").alias("b"), F.count("*").alias("n")).where("a != b").select("h", (F.col("n") > CROWD).alias("crowd"))
@@ -163,8 +171,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     many = _crowds(kept.where("crowd"), passage)
     spans = few.union(many).distinct().groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("spans"))
     spans = spans.select("uid", _merged(F.col("spans")).alias("spans"))
-    found = all_docs.withColumn("uid", F.xxhash64("text_hash", "id")).join(spans, "uid", "left")
-    return found.select("id", "text_hash", "n_words", F.coalesce("spans", F.array().cast("array<struct<low:int,high:int>>")).alias("spans"))
+    found = all_docs.join(small.withColumn("copied", F.lit(True)).drop("first"), ["text_hash", "more"], "left").withColumn("uid", F.xxhash64("text_hash", "id")).join(spans, "uid", "left")
+    whole = F.when(F.col("n_words") >= passage, F.array(F.struct(F.lit(0).alias("low"), F.col("n_words").cast("int").alias("high")))).otherwise(F.array())
+    shown = F.when(F.col("copied"), whole.cast(SPANS)).otherwise(F.coalesce("spans", F.array().cast(SPANS)))
+    return found.select("id", "text_hash", "n_words", shown.alias("spans"))
 
 
 def _crowds(kept: DataFrame, passage: int) -> DataFrame:
