@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 SHIFT = 20
-#: What a worker remembers of chunks between white space, and as many single pre-tokens: two generations of so many.
-CACHED, CACHED_CHARS = 100_000, 48
+#: What a worker remembers of chunks between white space and their pre-tokens: two generations of so many.
+CACHED, CACHED_CHARS = 300_000, 48
 #: Unicode's white space; str.split() also splits at the four separators 1C to 1F.
 SPACE = "\t\n\v\f\r \x85\xa0  -     　"
 
@@ -55,7 +55,7 @@ class BPE:
         self.words = regex.compile(split["pattern"]["Regex"].replace(r"^\s", f"^{SPACE}"))
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.spaces = regex.compile(f"[{SPACE}]+")
-        self.chunks, self.pieces = _Known(self._chunk), _Known(self._piece)
+        self.known = _Known(self._chunk)
 
     def merge(self, symbols: list[int]) -> list[int]:
         """Merge neighbours, lowest rank first and leftmost among equals, until no rule applies."""
@@ -88,7 +88,10 @@ class BPE:
         return np.array(self.merge(symbols), np.int32).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
-        return b"".join([self.pieces[x] for x in self.words.findall(lower(unicodedata.normalize("NFC", chunk)))])
+        parts = self.words.findall(lower(unicodedata.normalize("NFC", chunk)))
+        if len(parts) == 1 and parts[0] == chunk:  # a single pre-token as it stands
+            return self._piece(chunk)
+        return b"".join([self.known[x] for x in parts])
 
     def encode(self, text: str | None) -> np.ndarray:
         """Token ids (int32). Null is taken as empty; special strings in the text become their ids."""
@@ -100,7 +103,7 @@ class BPE:
                 out.append(np.array([self.special[part]], np.int32).tobytes())
                 continue
             odd = any(c in part for c in "\x1c\x1d\x1e\x1f")
-            out += map(self.chunks.__getitem__, filter(None, self.spaces.split(part)) if odd else part.split())
+            out += map(self.known.__getitem__, filter(None, self.spaces.split(part)) if odd else part.split())
         return np.frombuffer(b"".join(out), np.int32)
 
     def decode(self, ids: np.ndarray | None) -> str:
