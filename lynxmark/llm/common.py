@@ -51,8 +51,8 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Send texts to Python workers some thousand at a time, so that a worker holds a few MB of them, unless the session already asks for less."""
+def small_batches(spark: SparkSession, rows: int = 200) -> None:
+    """Send texts to Python workers a few hundred at a time, so that a worker holds a few MB of them, unless the session already asks for less."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))

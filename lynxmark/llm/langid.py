@@ -18,7 +18,7 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 WINDOW, WIDTHS, FILTERS, DIMS = 256, (2, 3, 4), 12, 8
 WIDEST = max(WIDTHS)
 STEP = WINDOW - WIDEST + 1  # so many places in each window at which filters start: windows overlap by the rest
-BATCH = 384
+BATCH = 128
 UNKNOWN = "und"
 
 
