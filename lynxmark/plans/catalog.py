@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from lynxmark.plans import scores
+
+QUERIES = {**scores.Q}
+ORACLE_SQL = {**scores.SQL}
