@@ -25,8 +25,9 @@ from lynxmark.llm.common import materialize
 
 PASSAGE, GRAM = 50, 20
 SEGMENT = 1 << 17  # words of a huge text that are in work at once
-#: Suffixes with the same start beyond which they are compared by a distributed aggregation, not in one task.
-CROWD = 5_000
+#: Suffixes with the same start beyond which they are compared by a distributed aggregation, not in one task, where
+#: so many take some 50 MB.
+CROWD = 50_000
 #: Groups of copies up to which their list (24 bytes each) is sent to every task; a longer one is joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 SPANS = "array<struct<low:int,high:int>>"
