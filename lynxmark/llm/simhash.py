@@ -196,7 +196,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 #: Similar texts are sought in shards of texts that share a smallest shingle hash under one of so many orders: two
 #: texts of likeness 0.8 share at least one of them in all but 0.2 ** ORDERS of the cases.
-ORDERS, SKETCH, CROWD = 6, 128, 2_000
+ORDERS, SKETCH, CROWD = 6, 128, 10_000
 ORDER_KEYS = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1)) & ((1 << 64) - 1) | 1 for i in range(ORDERS)], np.uint64)
 
 
@@ -216,13 +216,44 @@ def _features(width: int):
     return F.pandas_udf(find, "fp long, least array<long>, sketch binary")
 
 
-def sketch_likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated likeness of two shingle sets from their smallest hashes; exact for sets smaller than SKETCH."""
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
-    union = np.union1d(a, b)[:SKETCH]
-    common = np.intersect1d(a, b, assume_unique=True)
-    return float((common <= union[-1]).sum()) / len(union)
+FULL = np.uint64(1 << 32)  # stands behind the end of a sketch
+
+
+def sketch_likeness(a: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Estimated likeness of a sketch to each of many (rows of SKETCH values, FULL behind their ends): the common share of
+    all hashes up to where both sketches are complete. Exact for smaller sets; two empty ones are alike."""
+    last = lambda x: np.where(x[..., -1] < FULL, x[..., -1], FULL - np.uint64(1))
+    upto = np.minimum(last(a), last(others))
+    inside = others <= upto[:, None]
+    at = np.minimum(np.searchsorted(a, others), SKETCH - 1)
+    common = ((a[at] == others) & inside).sum(axis=1)
+    union = np.searchsorted(a, upto, side="right") + inside.sum(axis=1) - common
+    return np.where(union > 0, common / np.maximum(union, 1), 1.0)
+
+
+def _similar_in_shard(nodes: np.ndarray, values: np.ndarray, sketches: np.ndarray, radius: int, similarity: float) -> list[tuple[int, int]]:
+    """Links that join what is similar. The tree starts from the middle of the shard, where the text lies that most
+    others are copies of: pairs that links have joined already are not compared."""
+    bits = np.unpackbits(values.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    middle = np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(values), bitorder="little").view(np.uint64)[0]
+    order = np.lexsort((nodes, values, np.bitwise_count(values ^ middle)))
+    nodes, values, sketches = nodes[order], values[order], sketches[order]
+    tree, part, found = BKTree(values.tolist()), np.arange(len(nodes)), []
+    todo = [(0, np.arange(len(nodes)))]
+    while todo:
+        at, who = todo.pop()
+        d = np.bitwise_count(values[who] ^ values[at])
+        near = who[(d <= radius) & (who > at) & (part[who] != part[at])]
+        for i in range(0, len(near), 4096):
+            some = near[i : i + 4096]
+            alike = some[sketch_likeness(sketches[at], sketches[some]) >= similarity]
+            parts, first = np.unique(part[alike], return_index=True)
+            found += [(int(nodes[at]), int(nodes[j])) for j in alike[first]]
+            part[np.isin(part, parts)] = part[at]
+        for edge, child in tree.children[at].items():
+            if len(some := who[(d >= edge - radius) & (d <= edge + radius)]):
+                todo.append((child, some))
+    return found
 
 
 def _similar(radius: int, similarity: float):
@@ -230,22 +261,11 @@ def _similar(radius: int, similarity: float):
         held: pd.DataFrame | None = None
 
         def solve(shard: pd.DataFrame) -> list[tuple[int, int]]:
-            nodes = shard["node"].to_numpy(np.int64)
-            sketches = [np.frombuffer(x, np.uint32) for x in shard["sketch"]]
-            values = shard["fp"].to_numpy(np.int64).view(np.uint64)
-            tree, part, found = BKTree(values.tolist()), np.arange(len(nodes)), []
-            todo = [(0, np.arange(len(nodes)))]
-            while todo:
-                at, who = todo.pop()
-                d = np.bitwise_count(values[who] ^ values[at])
-                for j in who[(d <= radius) & (who != at) & (part[who] != part[at])]:
-                    if part[j] != part[at] and sketch_likeness(sketches[at], sketches[j]) >= similarity:
-                        found.append((int(nodes[at]), int(nodes[j])))
-                        part[part == part[j]] = part[at]
-                for edge, child in tree.children[at].items():
-                    if len(some := who[(d >= edge - radius) & (d <= edge + radius)]):
-                        todo.append((child, some))
-            return found
+            sketches = np.full((len(shard), SKETCH), FULL, np.uint64)
+            for i, x in enumerate(shard["sketch"]):
+                own = np.frombuffer(x, np.uint32)
+                sketches[i, : len(own)] = own
+            return _similar_in_shard(shard["node"].to_numpy(np.int64), shard["fp"].to_numpy(np.int64).view(np.uint64), sketches, radius, similarity)
 
         def links(pdf: pd.DataFrame) -> pd.DataFrame:
             keys = pdf["key"].to_numpy(np.int64)
