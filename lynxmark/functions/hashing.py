@@ -8,6 +8,7 @@ import time
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType
 
 from lynxmark.functions.text import blank_to_null, has_text, java_trim
 
@@ -19,7 +20,7 @@ def sha256_hex(c: Column, null_as: str = "empty") -> Column:
     return F.when(c.isNull(), F.lit("")).otherwise(F.sha2(c, 256)) if null_as == "empty" else F.sha2(F.coalesce(c, F.lit("")), 256)
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(LongType())
 def fnv64(texts: pd.Series) -> pd.Series:
     """FNV-1a over UTF-8, as a signed bigint; null is 0. xxhash64 gives other values."""
 
@@ -65,7 +66,7 @@ def _base32(n: int, length: int) -> str:
     return "".join(CROCKFORD[(n >> (5 * i)) & 31] for i in reversed(range(length)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _ulids(ids: pd.Series) -> pd.Series:
     return pd.Series([_base32(time.time_ns() // 1_000_000, 10) + _base32(int.from_bytes(os.urandom(10), "big"), 16) for _ in ids])
 

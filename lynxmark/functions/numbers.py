@@ -17,7 +17,8 @@ def half_up(c: Column, places: int = 0) -> Column:
 
 
 def clamp(c: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), c))
+    """Null stays null: greatest and least would leave it out."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), c)))
 
 
 def clamp01(c: Column) -> Column:

@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Patterns and word lists that decide results.
 URL_PATTERN = r"(?i)https?://|www\.|\.co(m|\.jp)|\.jp"
@@ -119,7 +120,7 @@ def _squeeze(text: str) -> str:
     return out.strip(_CONTROLS)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalize(texts: pd.Series) -> pd.Series:
     """Compatibility decomposition, marks dropped (which also takes the voicing marks off kana), lower case, ASCII white
     space squeezed. No built-in function decomposes, so this one runs in Arrow batches."""
@@ -134,7 +135,7 @@ def _normalize_scraped(text: str) -> str | None:
     return out if out.strip() else None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalize_scraped(texts: pd.Series) -> pd.Series:
     """Compatibility composition, line ends and runs of blanks made one, zero-width characters removed; blank becomes null."""
     return texts.map(_normalize_scraped, na_action="ignore")
@@ -148,7 +149,7 @@ def validate(c: Column, most: int, required: bool = False) -> Column:
     return F.when(text.isNull(), F.raise_error(F.lit("required text missing")).cast("string")).otherwise(text) if required else text
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def compose(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 

@@ -107,12 +107,12 @@ class VersionedTable:
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def _pointer(self):
-        return self._path(f"{self.path}/_LATEST")
+        return self._path(f"{self.path}/LATEST.txt")
 
     def version(self) -> str | None:
         if not self._fs.exists(self._pointer()):
             return None
-        return self.spark.read.text(f"{self.path}/_LATEST").first()[0]
+        return self.spark.read.text(f"{self.path}/LATEST.txt").first()[0]
 
     def read(self) -> DataFrame:
         version = self.version()
@@ -123,7 +123,7 @@ class VersionedTable:
     def write(self, df: DataFrame) -> str:
         version = f"v-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.path}/{version}")
-        draft = self._path(f"{self.path}/_LATEST.{version}")
+        draft = self._path(f"{self.path}/LATEST.{version}")
         out = self._fs.create(draft, True)
         out.write(bytearray(version.encode()))
         out.close()

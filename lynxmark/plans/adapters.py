@@ -35,7 +35,7 @@ def reviews_num(spark: SparkSession, d: str) -> DataFrame:
     """Reviews without text, from line items."""
     x = table(spark, d, "lineitem")
     return x.select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("review_id"), F.col("l_partkey").cast("string").alias("product_id"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.floor(F.col("l_extendedprice") * 100 + 0.5).cast("long")).alias("review_id"), F.col("l_partkey").cast("string").alias("product_id"),
         F.least(F.lit(5), 1 + F.floor((F.col("l_quantity") - 1) / 10)).cast("int").alias("rating"), F.col("l_suppkey").cast("string").alias("reviewer"),
         F.when(F.col("l_returnflag") == "N", "AMAZON").when(F.col("l_returnflag") == "A", "SITE").otherwise("USER").alias("source"),
         F.when((F.col("l_linestatus") == "O") & (F.col("l_linenumber") <= 2), "PENDING").when(F.col("l_linestatus") == "O", "PUBLISHED").otherwise("APPROVED").alias("status"),
@@ -43,7 +43,7 @@ def reviews_num(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-REVIEWS_NUM = """reviews_num AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS review_id, CAST(l_partkey AS VARCHAR) AS product_id,
+REVIEWS_NUM = """reviews_num AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT)) AS review_id, CAST(l_partkey AS VARCHAR) AS product_id,
     CAST(least(5, 1 + floor((l_quantity - 1) / 10)) AS INTEGER) AS rating, CAST(l_suppkey AS VARCHAR) AS reviewer,
     CASE l_returnflag WHEN 'N' THEN 'AMAZON' WHEN 'A' THEN 'SITE' ELSE 'USER' END AS source,
     CASE WHEN l_linestatus = 'O' AND l_linenumber <= 2 THEN 'PENDING' WHEN l_linestatus = 'O' THEN 'PUBLISHED' ELSE 'APPROVED' END AS status, l_shipdate AS posted_at, l_tax AS tax FROM lineitem)"""

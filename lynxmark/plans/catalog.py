@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lynxmark.plans import scores
+from lynxmark.plans import functions, intake, scores, serving
 
-QUERIES = {**scores.Q}
-ORACLE_SQL = {**scores.SQL}
+QUERIES = {**scores.Q, **serving.Q, **functions.Q, **intake.Q}
+ORACLE_SQL = {**scores.SQL, **serving.SQL, **functions.SQL, **intake.SQL}

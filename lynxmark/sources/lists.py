@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import csv
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lynxmark.functions.text import java_trim
 from lynxmark.functions.urls import is_http
@@ -24,12 +28,27 @@ def pick_url_header(names: list[str]) -> str:
     raise ValueError(f"no column of addresses among {names}")
 
 
+@F.pandas_udf(StringType())
+def _decoded(files: pd.Series) -> pd.Series:
+    """UTF-8, with or without a byte order mark; what is not UTF-8 is MS932, which Spark's own readers refuse."""
+
+    def one(data: bytes) -> str:
+        try:
+            return data.decode("utf-8-sig")
+        except UnicodeDecodeError:
+            return data.decode("cp932", "replace")
+
+    return files.map(one)
+
+
 def read_url_csv(spark: SparkSession, path: str) -> DataFrame:
-    """(n, url): trimmed http addresses, each where it comes first. UTF-8 with or without a byte order mark; a file that is not UTF-8 is read as MS932."""
-    raw = spark.read.format("binaryFile").load(path).select((F.expr("is_valid_utf8(cast(content as string))")).alias("ok"))
-    encoding = "UTF-8" if raw.agg(F.min("ok")).first()[0] else "MS932"
-    df = spark.read.option("header", "true").option("encoding", encoding).csv(path)
-    rows = df.select(F.monotonically_increasing_id().alias("n"), java_trim(F.col(f"`{pick_url_header(df.columns)}`")).alias("url"))
+    """(n, url): trimmed http addresses of a CSV file with a header line, each where it comes first."""
+    files = spark.read.format("binaryFile").load(path).select(_decoded("content").alias("text"))
+    lines = files.select(F.posexplode(F.split("text", r"\r\n|\n|\r")).alias("n", "line"))
+    header = next(csv.reader([lines.where("n = 0").first()["line"]]))
+    at = header.index(pick_url_header(header))
+    fields = F.from_csv("line", ", ".join(f"c{i} string" for i in range(len(header))))
+    rows = lines.where("n > 0").select("n", java_trim(fields[f"c{at}"]).alias("url"))
     return first_of_each(rows.where(is_http(F.col("url"))), "url", "n")
 
 

@@ -154,7 +154,12 @@ def latest_files(files: DataFrame) -> DataFrame:
 
 def decode_snapshots(rows: DataFrame, schema: str) -> DataFrame:
     """Adds ``snapshot``: the stored JSON; where that cannot be read, a stub with asin and title that is marked partial."""
-    read = F.from_json("snapshot_json", schema, {"mode": "PERMISSIVE"})
+    as_json = schema.replace("map<int,", "map<string,")  # JSON knows no other keys
+
+    def read(c: Column) -> Column:
+        found = F.from_json(c, as_json, {"mode": "PERMISSIVE"})
+        return found.withField("ratingSharePct", F.transform_keys(found["ratingSharePct"], lambda k, _: k.try_cast("int")))
+
     sound = F.try_parse_json("snapshot_json").isNotNull() & F.schema_of_variant(F.try_parse_json("snapshot_json")).startswith("OBJECT")
-    stub = F.from_json(F.to_json(F.struct("asin", "title", F.lit(True).alias("partial"))), schema)
-    return rows.withColumn("snapshot", F.when(sound, read).otherwise(stub))
+    stub = F.to_json(F.struct("asin", "title", F.lit(True).alias("partial")))
+    return rows.withColumn("snapshot", read(F.when(sound, F.col("snapshot_json")).otherwise(stub)))

@@ -12,9 +12,9 @@ from lynxmark.sources import ndjson
 
 
 def read_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
-    """Streamed lines as ndjson.read_lines() gives them."""
+    """Streamed lines (path, line); their numbers are given batch by batch."""
     df = spark.readStream.format("text").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch).load(path)
-    return df.select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line"))
+    return df.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line"))
 
 
 def daily_counts(events: DataFrame, late: str = "2 days") -> DataFrame:
@@ -29,7 +29,7 @@ def start(spark: SparkSession, path: str, checkpoint: str, table: VersionedTable
     """
 
     def one(batch: DataFrame, _: int) -> None:
-        rows = ndjson.reviews(ndjson.parse(batch))
+        rows = ndjson.reviews(ndjson.parse(batch.withColumn("line_no", F.monotonically_increasing_id())))
         if rows.isEmpty():
             return
         table.write(merge_batch(table.read(), rows))
