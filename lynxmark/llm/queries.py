@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lynxmark.llm import fingerprints as sketches
@@ -84,10 +86,14 @@ def op9_token_counts(spark: SparkSession, sf_dir: str, limit: int = 4096) -> Dat
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
+def _is_kind(kind: int, secret: Column) -> Column:
+    return secret["kind"] == kind
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = SecretModel.train(samples(spark))
     found = find_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"), model)
-    n = [F.size(F.filter("secrets", lambda s, k=k: s["kind"] == k)).cast("long") for k in range(len(KINDS))]
+    n = [F.size(F.filter("secrets", partial(_is_kind, k))).cast("long") for k in range(len(KINDS))]
     base = F.filter("secrets", lambda s: s["kind"] < 3)
     return found.select("doc_id", n[0].alias("n_assign"), n[1].alias("n_access"), n[2].alias("n_hex"), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("secrets")).alias("spans"), n[3].alias("n_random"))
 
