@@ -79,7 +79,7 @@ def _rows(with_windows: bool, passage: int, gram: int):
             size = 0
             for i in range(len(batch)):
                 for part in suffixes((texts[i].as_py() or b"").lower().split(), passage, gram):
-                    held.append((uids[i], *part))
+                    held.append(_once(uids[i], *part))
                     size += len(part[-1])
                 if size > 500_000:
                     yield emit(held)
@@ -88,25 +88,53 @@ def _rows(with_windows: bool, passage: int, gram: int):
                 yield emit(held)
 
     def emit(held: list[tuple]) -> pa.RecordBatch:
-        n = [len(x[1]) for x in held]
         h = np.concatenate([x[1] for x in held]).view(np.int64)
-        uid = np.repeat(np.array([x[0] for x in held], np.int64), n)
+        uid = np.repeat(np.array([x[0] for x in held], np.int64), [len(x[1]) for x in held])
         if not with_windows:
             return pa.RecordBatch.from_arrays([pa.array(h), pa.array(uid)], ["h", "uid"])
-        before = np.cumsum([0, *(len(x[5]) for x in held)])
-        offsets = np.append(np.concatenate([x[4] + b for x, b in zip(held, before[:-1], strict=True)]), before[-1])
-        windows = np.concatenate([x[5] for x in held]).view(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(windows))
-        start, away = (np.concatenate([x[j] for x in held]).astype(np.int32) for j in (2, 3))
-        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(uid), pa.array(start), pa.array(away), lists], ["h", "uid", "start", "away", "windows"])
+        starts, windows = (_lists([x[2] for x in held], [x[3] for x in held]), _lists([x[5].view(np.int32) for x in held], [x[6] for x in held]))
+        away = np.concatenate([x[4] for x in held]).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(uid), starts, pa.array(away), windows], ["h", "uid", "starts", "away", "windows"])
 
     return find
 
 
+def _once(uid: int, h: np.ndarray, start: np.ndarray, away: np.ndarray, at: np.ndarray, windows: np.ndarray) -> tuple:
+    """A text's suffixes, those with the same windows as one (a word said a thousand times has a thousand of them): uid, hashes,
+    starts and how many each has, distances, windows and how many each has."""
+    n = np.diff(np.append(at, len(windows)))
+    first, last = windows[at].astype(np.uint64), windows[at + n - 1].astype(np.uint64)
+    with np.errstate(over="ignore"):
+        same = _mix(h ^ _mix((first << np.uint64(32) | last) + n.astype(np.uint64)) ^ away.astype(np.uint64))
+    _, keep, group = np.unique(same, return_index=True, return_inverse=True)
+    if len(keep) == len(h):
+        return uid, h, start.astype(np.int32), np.ones(len(h), np.int64), away, windows, n
+    order = np.argsort(group, kind="stable")
+    taken = np.concatenate([windows[at[i] : at[i] + n[i]] for i in keep])
+    return uid, h[keep], start[order].astype(np.int32), np.bincount(group), away[keep], taken, n[keep]
+
+
+def _lists(values: list[np.ndarray], sizes: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values)))
+
+
+def _joined_spans(uid: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Spans of each uid in order, with overlapping and touching ones made one."""
+    order = np.lexsort((low, uid))
+    uid, low, high = uid[order], low[order], high[order]
+    turn = np.cumsum(np.concatenate([[0], uid[1:] != uid[:-1]])).astype(np.int64) << 33
+    reach = np.maximum.accumulate(turn + high)
+    new = np.concatenate([[True], turn[1:] + low[1:] > reach[:-1]])
+    begins = np.flatnonzero(new)
+    return uid[begins], low[begins], (reach - turn)[np.append(begins[1:], len(uid)) - 1]
+
+
 def _compare(passage: int):
     """Over suffixes sorted by their hash: spans (uid, low, high) of words that other documents have too."""
+    names = ["uid", "low", "high"]
 
-    def solve(h: np.ndarray, uid: np.ndarray, start: np.ndarray, away: np.ndarray, n: np.ndarray, windows: np.ndarray) -> pa.RecordBatch:
+    def solve(h: np.ndarray, uid: np.ndarray, away: np.ndarray, n_starts: np.ndarray, n: np.ndarray, starts: np.ndarray, windows: np.ndarray) -> pa.RecordBatch:
         row = np.repeat(np.arange(len(h)), n)
         place = np.arange(len(windows)) - np.repeat(np.cumsum(n) - n, n)
         with np.errstate(over="ignore"):
@@ -120,24 +148,40 @@ def _compare(passage: int):
         hit = np.zeros(len(windows), bool)
         hit[order] = several[np.cumsum(new) - 1]
         edge = np.concatenate([[True], (row[1:] != row[:-1]) | ~hit[:-1]])
-        low = np.flatnonzero(hit & edge)
         last = np.concatenate([(row[1:] != row[:-1]) | ~hit[1:], [True]])
-        high = np.flatnonzero(hit & last)
-        return pa.RecordBatch.from_arrays([pa.array(uid[row[low]]), pa.array((start[row[low]] + place[low]).astype(np.int32)), pa.array((start[row[high]] + place[high] + passage).astype(np.int32))], ["uid", "low", "high"])
+        low, high = np.flatnonzero(hit & edge), np.flatnonzero(hit & last)
+        if not len(low):
+            return pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int32()), pa.array([], pa.int32())], names)
+        of, times = row[low], n_starts[row[low]]
+        begin = np.cumsum(n_starts) - n_starts
+        each = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(begin[of], times)
+        at = starts[each].astype(np.int64)
+        uids, lows, highs = _joined_spans(np.repeat(uid[of], times), at + np.repeat(place[low], times), at + np.repeat(place[high] + passage, times))
+        return pa.RecordBatch.from_arrays([pa.array(uids), pa.array(lows.astype(np.int32)), pa.array(highs.astype(np.int32))], names)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
+        waiting: list[list[np.ndarray]] = []  # of one hash, or the last one's and those before it
+
+        def flush(whole: bool) -> Iterator[pa.RecordBatch]:
+            held = [np.concatenate(x) for x in zip(*waiting, strict=True)]
+            waiting.clear()
+            cut = len(held[0]) if whole else int(np.searchsorted(held[0], held[0][-1]))
+            a, b = int(held[3][:cut].sum()), int(held[4][:cut].sum())
+            if cut:
+                yield solve(*[x[:cut] for x in held[:5]], held[5][:a], held[6][:b])
+            if not whole:
+                waiting.append([x[cut:] for x in held[:5]] + [held[5][a:], held[6][b:]])
+
         for batch in batches:
-            lists = batch.column("windows")
-            new = [batch.column(c).to_numpy() for c in ("h", "uid", "start", "away")] + [np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()]
-            held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
-            cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
-            if cut:  # the last suffix's own may go on
-                done = int(held[4][:cut].sum())
-                yield solve(*[x[:cut] for x in held[:5]], held[5][:done])
-                held = [x[cut:] for x in held[:5]] + [held[5][done:]]
-        if held is not None and len(held[0]):
-            yield solve(*held)
+            if not len(batch):
+                continue
+            lists = [batch.column(c) for c in ("starts", "windows")]
+            new = [batch.column(c).to_numpy() for c in ("h", "uid", "away")] + [np.diff(x.offsets.to_numpy()) for x in lists] + [x.flatten().to_numpy() for x in lists]
+            waiting.append(new)
+            if new[0][-1] != waiting[0][0][-1]:  # else all that waits may go on
+                yield from flush(False)
+        if waiting:
+            yield from flush(True)
 
     return compare
 
@@ -166,7 +210,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # All copies of a start count, by map-side sums; those in one document alone are done with.
     known = bare.groupBy("h").agg(F.min("uid").alias("a"), F.max("uid").alias("b"), F.count("*").alias("n")).where("a != b").select("h", (F.col("n") > CROWD).alias("crowd"))
     known = materialize(known, "starts")
-    full = rows.mapInArrow(_rows(True, passage, gram), "h long, uid long, start int, away int, windows array<int>")
+    full = rows.mapInArrow(_rows(True, passage, gram), "h long, uid long, starts array<int>, away int, windows array<int>")
     kept = materialize(full.join(known, "h"), "suffixes")
     few = kept.where("NOT crowd").drop("crowd").repartition("h").sortWithinPartitions("h").mapInArrow(_compare(passage), "uid long, low int, high int")
     many = _crowds(kept.where("crowd"), passage)
@@ -182,13 +226,13 @@ def _crowds(kept: DataFrame, passage: int) -> DataFrame:
     """The same comparison for starts that very many documents share: suffixes with the same windows are one from the
     start, by map-side sums; their windows are compared by a second aggregation, and each suffix is joined once to the
     spans that its windows make."""
-    rows = kept.select("uid", "start", F.xxhash64("h", "away", "windows").alias("same"), F.struct("h", "away", "windows").alias("of"))
+    rows = kept.select("uid", "starts", F.xxhash64("h", "away", "windows").alias("same"), F.struct("h", "away", "windows").alias("of"))
     lists = rows.groupBy("same").agg(F.min("uid").alias("a"), F.max("uid").alias("b"), F.min_by("of", "uid").alias("of"))
     spread = lists.select("same", "a", "b", F.col("of.h").alias("h"), F.col("of.away").alias("away"), F.posexplode("of.windows").alias("place", "w")).select("same", "a", "b", "place", F.xxhash64("h", F.col("away") - F.col("place"), "w").alias("key"))
     twice = spread.groupBy("key").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a != b").select("key")
     hits = spread.join(twice, "key", "left_semi").groupBy("same").agg(F.sort_array(F.collect_set(F.struct(F.col("place").alias("low"), (F.col("place") + passage).alias("high")))).alias("spans"))
-    shifted = F.transform(_merged(F.col("spans")), lambda s: F.struct((F.col("start") + s["low"]).alias("low"), (F.col("start") + s["high"]).alias("high")))
-    return rows.select("uid", "start", "same").join(hits, "same").select("uid", F.explode(shifted).alias("s")).select("uid", "s.low", "s.high")
+    shifted = F.flatten(F.transform("starts", lambda at: F.transform(_merged(F.col("spans")), lambda s: F.struct((at + s["low"]).alias("low"), (at + s["high"]).alias("high")))))
+    return rows.select("uid", "starts", "same").join(hits, "same").select("uid", F.explode(_merged(F.sort_array(shifted))).alias("s")).select("uid", "s.low", "s.high")
 
 
 def _merged(spans: Column) -> Column:
@@ -209,9 +253,9 @@ def without_repeats(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id"
 
     Every copy of a passage goes; rows without spans keep their text as it is.
     """
-    spans = passages.where(F.size("spans") > 0).select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("spans").alias("_spans"))
-    joined = docs.join(spans, docs[id_col].eqNullSafe(spans["_id"]) & (F.xxhash64(docs[text_col]) == spans["_hash"]), "left")
+    spans = passages.where(F.size("spans") > 0).select(F.col("id").alias("_rep_id"), F.col("text_hash").alias("_rep_hash"), F.col("spans").alias("_rep_spans"))
+    joined = docs.join(spans, docs[id_col].eqNullSafe(spans["_rep_id"]) & (F.xxhash64(docs[text_col]) == spans["_rep_hash"]), "left")
     words = F.filter(F.split(docs[text_col], r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
-    left = F.filter(words, lambda w, i: ~F.exists(F.col("_spans"), lambda s: (s["low"] <= i) & (i < s["high"])))
-    kept = F.when(F.col("_spans").isNull(), docs[text_col]).otherwise(F.array_join(left, " "))
+    left = F.filter(words, lambda w, i: ~F.exists(F.col("_rep_spans"), lambda s: (s["low"] <= i) & (i < s["high"])))
+    kept = F.when(F.col("_rep_spans").isNull(), docs[text_col]).otherwise(F.array_join(left, " "))
     return joined.select(*[kept.alias(c) if c == text_col else docs[c] for c in docs.columns])
