@@ -227,16 +227,17 @@ class Mix:
 
     def mixed_documents(self) -> DataFrame:
         """The mix as rows of ``docs``, with all their columns: a row for each pass over a document, its text the words
-        that the pass takes (the text itself where it takes all; else joined by one space), ``turn`` the pass.
+        that the pass takes (the text itself where it takes all; else joined by one space), and in ``_mix_turn`` the pass.
 
         Of rows that agree in id, source and text, the other columns are those of one of them.
         """
         id_col, text_col, source_col = self.cols
-        taken = self.pieces().groupBy("uid", "turn").agg(F.sort_array(F.collect_list(F.struct("from_word", "n_words"))).alias("_parts"), F.sum("n_words").alias("_n"))
-        taken = self.placed.select("uid", F.col("id").alias("_id"), F.col("source").alias("_source"), F.col("text_hash").alias("_hash"), F.col("size").alias("_size")).join(taken, "uid")
-        rows = self.docs.withColumn("_h", F.xxhash64(text_col)).dropDuplicates([id_col, source_col, "_h"])
-        both = rows.join(taken, rows[id_col].eqNullSafe(taken["_id"]) & rows[source_col].eqNullSafe(taken["_source"]) & (rows["_h"] == taken["_hash"]))
+        taken = self.pieces().groupBy("uid", "turn").agg(F.sort_array(F.collect_list(F.struct("from_word", "n_words"))).alias("_mix_parts"), F.sum("n_words").alias("_mix_n"))
+        places = self.placed.select("uid", F.col("id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("text_hash").alias("_mix_hash"), F.col("size").alias("_mix_size"))
+        taken = places.join(taken, "uid").withColumnRenamed("turn", "_mix_turn").drop("uid")
+        rows = self.docs.withColumn("_mix_h", F.xxhash64(text_col)).dropDuplicates([id_col, source_col, "_mix_h"])
+        both = rows.join(taken, rows[id_col].eqNullSafe(taken["_mix_id"]) & rows[source_col].eqNullSafe(taken["_mix_source"]) & (rows["_mix_h"] == taken["_mix_hash"]))
         words = F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD})"), F.lit(1))
-        cut = F.flatten(F.transform("_parts", lambda p: F.slice(words, (p["from_word"] + 1).cast("int"), p["n_words"].cast("int"))))
-        text = F.when(F.col("_n") == F.col("_size"), F.col(text_col)).otherwise(F.array_join(cut, " "))
-        return both.select(*[text.alias(c) if c == text_col else rows[c] for c in self.docs.columns], F.col("turn").alias("_turn"))
+        cut = F.flatten(F.transform("_mix_parts", lambda p: F.slice(words, (p["from_word"] + 1).cast("int"), p["n_words"].cast("int"))))
+        text = F.when(F.col("_mix_n") == F.col("_mix_size"), F.col(text_col)).otherwise(F.array_join(cut, " "))
+        return both.select(*[text.alias(c) if c == text_col else rows[c] for c in self.docs.columns], F.col("_mix_turn"))

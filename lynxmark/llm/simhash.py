@@ -298,10 +298,10 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     alone. Repeated rows are copies like others; all columns stay as they are; no rows give
     none.
     """
-    rows = materialize(with_uid(docs, "_uid").withColumn("_f", _features(width)(F.col(text_col).cast("binary"))), "similar")
-    own = rows.select("_uid", F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), "_f.*")
+    rows = materialize(with_uid(docs, "_sim_uid").withColumn("_sim", _features(width)(F.col(text_col).cast("binary"))), "similar")
+    own = rows.select("_sim_uid", F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), "_sim.*")
     # Copies of one text are one node, named after one of them.
-    nodes = own.groupBy("hash", "fp").agg(F.min("_uid").alias("node"), F.min_by(F.struct("least", "sketch"), "_uid").alias("f"))
+    nodes = own.groupBy("hash", "fp").agg(F.min("_sim_uid").alias("node"), F.min_by(F.struct("least", "sketch"), "_sim_uid").alias("f"))
     nodes = materialize(nodes.select("hash", "fp", "node", "f.least", "f.sketch"), "nodes")
     sharded = nodes.select("node", "fp", "sketch", "least", F.posexplode("least").alias("n", "value")).withColumn("key", F.xxhash64("n", "value"))
     crowds = sharded.groupBy("key").count().where(F.col("count") > CROWD).select("key", F.lit(True).alias("crowd"))
@@ -311,6 +311,6 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     dealt = told.select(F.explode(keys).alias("key"), "node", "fp", "sketch").repartition("key").sortWithinPartitions("key", "fp", "node")
     roots = connected_components(dealt.mapInPandas(_similar(radius, similarity), "a long, b long"))
     placed = nodes.select("hash", "fp", "node").join(roots, "node", "left").select("hash", "fp", F.coalesce("root", "node").alias("root"))
-    member = own.select("_uid", "id", "hash", "fp").join(placed, ["hash", "fp"])
-    best = member.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "_uid")).alias("best")).select(F.col("best._uid").alias("_uid"))
-    return rows.join(best, "_uid", "left_semi").select(*docs.columns)
+    member = own.select("_sim_uid", "id", "hash", "fp").join(placed, ["hash", "fp"])
+    best = member.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "_sim_uid")).alias("best")).select(F.col("best._sim_uid").alias("_sim_uid"))
+    return rows.join(best, "_sim_uid", "left_semi").select(*docs.columns)
