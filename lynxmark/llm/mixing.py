@@ -180,7 +180,7 @@ class Mix:
         self.plan = make_plan([r["source_size"] for r in sums], [weights[i % len(weights)] for i in range(len(sums))], times * sum(r["source_size"] for r in sums), block, shard_slots, seed)
         self.sources = self.spark.createDataFrame([(i, r["source"], r["source_size"], self.plan.targets[i]) for i, r in enumerate(sums)], "src int, source string, source_size long, target double")
         # A bucket, not a source, is what one task orders: as many as there are rows for.
-        buckets = max(16, sum(r["n"] for r in sums) // 20_000)
+        buckets = max(64, sum(r["n"] for r in sums) // 10_000)
         small = F.broadcast(self.sources) if len(sums) <= 10_000 else self.sources
         numbered = own.join(small, own["source"].eqNullSafe(small["source"])).select("src", F.pmod(F.xxhash64("id", "text_hash"), F.lit(buckets)).cast("int").alias("bucket"), "id", own["source"].alias("source"), "size", "text_hash", "source_size", "target")
         by_bucket = Window.partitionBy("src", "bucket").orderBy(F.col("id").asc_nulls_last(), "text_hash")
@@ -206,7 +206,8 @@ class Mix:
         cut = self.placed.where("size > 0").select("src", "uid", "begin", "size", "source_size", F.explode(F.sequence((F.col("begin") / b).cast("long"), ((end - 1) / b).cast("long"))).alias("blk"))
         lo, hi = F.greatest("begin", F.col("blk") * b), F.least(F.col("begin") + F.col("size"), (F.col("blk") + 1) * b)
         cut = cut.select("src", "blk", "uid", "source_size", (lo - F.col("begin")).alias("from_word"), (lo - F.col("blk") * b).alias("seq"), (hi - lo).alias("n_words"))
-        drawn = cut.join(self.slots(), ["src", "blk"])
+        # Slots are as many as the mix has blocks; Spark, which cannot know that, would take them for few and send them to every task.
+        drawn = cut.join(self.slots().hint("merge"), ["src", "blk"])
         kept = F.least(b, F.col("source_size") - F.col("blk") * b) - F.col("cut")
         return drawn.withColumn("n_words", F.least("n_words", kept - F.col("seq"))).where("n_words > 0").select("shard", "slot", "seq", "src", "turn", "uid", "from_word", "n_words")
 
