@@ -197,6 +197,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 #: Similar texts are sought in shards of texts that share a smallest shingle hash under one of so many orders: two
 #: texts of likeness 0.8 share at least one of them in all but 0.2 ** ORDERS of the cases.
 ORDERS, SKETCH, CROWD = 6, 128, 10_000
+#: Crowded shards up to which their list (9 bytes each) is sent to every task; a longer one is joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 ORDER_KEYS = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1)) & ((1 << 64) - 1) | 1 for i in range(ORDERS)], np.uint64)
 
 
@@ -304,8 +306,8 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     nodes = own.groupBy("hash", "fp").agg(F.min("_sim_uid").alias("node"), F.min_by(F.struct("least", "sketch"), "_sim_uid").alias("f"))
     nodes = materialize(nodes.select("hash", "fp", "node", "f.least", "f.sketch"), "nodes")
     sharded = nodes.select("node", "fp", "sketch", "least", F.posexplode("least").alias("n", "value")).withColumn("key", F.xxhash64("n", "value"))
-    crowds = sharded.groupBy("key").count().where(F.col("count") > CROWD).select("key", F.lit(True).alias("crowd"))
-    told = sharded.join(crowds, "key", "left")
+    crowds = materialize(sharded.groupBy("key").count().where(F.col("count") > CROWD).select("key", F.lit(True).alias("crowd")), "crowds")
+    told = sharded.join(F.broadcast(crowds) if crowds.count() <= BROADCAST_ROWS else crowds, "key", "left")
     pairs = F.transform(F.sequence(F.lit(0), F.lit(ORDERS - 1)), lambda i: F.when(i != F.col("n"), F.xxhash64(F.col("key"), i, F.get("least", i))))
     keys = F.when(F.col("crowd"), F.array_compact(pairs)).otherwise(F.array("key"))
     dealt = told.select(F.explode(keys).alias("key"), "node", "fp", "sketch").repartition("key").sortWithinPartitions("key", "fp", "node")
