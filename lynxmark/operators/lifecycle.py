@@ -61,6 +61,18 @@ def register_products(products: DataFrame, requests: DataFrame, stamp: str) -> D
     return both.withColumns(values).select(*products.columns)
 
 
+def intake_pages(products: DataFrame, pages: DataFrame, stamp: str) -> tuple[DataFrame, DataFrame]:
+    """Parsed product pages (a snapshot's fields, page_key, source_url) taken in: the products after registering those with a
+    product number, and the snapshot rows to append, one a page."""
+    known = pages.where(F.col("asin").isNotNull())
+    requests = known.select(F.upper("asin").alias("asin"), "title", F.col("title").alias("name"), "brand", F.col("source_url").alias("url"), F.concat(F.lit("p-"), F.upper("asin")).alias("product_id"))
+    after = register_products(products, requests, stamp)
+    fields = [F.col(c) for c in pages.columns if c not in ("page_key", "source_url")]
+    rows = known.select("page_key", F.upper("asin").alias("asin"), "source_url", F.to_json(F.struct(*fields)).alias("snapshot_json"))
+    ids = after.select("asin", "product_id", F.col("title").alias("product_name"))
+    return after, rows.join(ids, "asin").withColumn("created_at", F.lit(stamp).cast("timestamp_ntz")).drop("asin")
+
+
 def transition(products: DataFrame, ids: DataFrame, action: str, stamp: str) -> DataFrame:
     """publish, approve, draft, archive, hide or show the products of ``ids``."""
     status, visible = TRANSITIONS[action]

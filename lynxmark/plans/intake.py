@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lynxmark.functions.text import blank_to_null, has_text
-from lynxmark.operators import histograms
+from lynxmark.operators import histograms, lifecycle
 from lynxmark.plans.adapters import PRODUCTS, products, table
 from lynxmark.schemas import SNAPSHOT
 from lynxmark.sources import html, lists, ndjson, sinks
@@ -208,3 +208,10 @@ def src_text_fields(spark, d):
     p = products(spark, d)
     brand = blank_to_null(F.when(F.col("brand") == "Brand#2", "  ").otherwise(F.col("brand")))
     return p.select("product_id", (has_text(F.col("asin")) & (F.length("title") > 4)).alias("filled"), brand.alias("brand"))
+
+
+@query("SELECT p_partkey AS page_key, CASE WHEN p_partkey % 3 = 0 THEN CAST(p_partkey AS VARCHAR) ELSE 'p-B' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') END AS product_id, p_name AS product_name, TIMESTAMP '2024-02-01 00:00:00' AS created_at, p_partkey * 7 AS price FROM part")
+def dml_intake_from_html(spark, d):
+    pages = html.parse_product_pages(_pages(spark, d), "page_id").withColumn("source_url", F.concat(F.lit("https://x/"), F.col("page_key").cast("string")))
+    _, snapshots = lifecycle.intake_pages(products(spark, d).where(F.col("product_id").cast("bigint") % 3 == 0), pages, "2024-02-01 00:00:00")
+    return snapshots.select("page_key", "product_id", "product_name", "created_at", F.get_json_object("snapshot_json", "$.priceMinor").cast("bigint").alias("price"))
