@@ -31,6 +31,12 @@ def shared_dir(spark: SparkSession) -> str:
     return _scratch[app]
 
 
+def release(spark: SparkSession) -> None:
+    """Remove what the operators have written to the shared folder; results that have not been saved read from it."""
+    if path := _scratch.pop(spark.sparkContext.applicationId, None):
+        _remove(spark, path)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
