@@ -8,6 +8,8 @@ is the mean over all its windows, which cover it whole.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -115,12 +117,18 @@ def train(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text"
     these are does not depend on the order of the input.
     """
     known = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    mix = F.xxhash64(F.col(id_col), F.lit(seed))
-    ranked = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), mix.alias("mix")).withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("mix", "id")))
-    chosen = ranked.where(F.col("nth") <= per_lang).select("id", "lang").distinct()
-    langs = [r["lang"] for r in chosen.select("lang").distinct().limit(max_langs + 1).collect()]
-    if len(langs) > max_langs:
+    mix = F.xxhash64(F.col(id_col), F.lit(seed)).bitwiseAND(F.lit((1 << 63) - 1))
+    keyed = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), mix.alias("mix"))
+    counts = {r["lang"]: r["count"] for r in keyed.groupBy("lang").count().limit(max_langs + 1).collect()}
+    if len(counts) > max_langs:
         raise ValueError(f"over {max_langs} languages")
+    # Of a language with many rows only those with small hashes, four times as many as wanted, are ranked in one task.
+    bounds = {lang: min(1.0, 4 * per_lang / n) for lang, n in counts.items()}
+    low = [(F.col("lang") == lang) & (F.col("mix") < F.lit(int(share * ((1 << 63) - 1)))) if share < 1 else F.col("lang") == lang for lang, share in bounds.items()]
+    few = keyed.where(reduce(or_, low, F.lit(False)))
+    ranked = few.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("mix", "id")))
+    chosen = ranked.where(F.col("nth") <= per_lang).select("id", "lang").distinct()
+    langs = list(counts)
     # at most per_lang * max_langs ids: small enough to send to every task
     rows = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(F.broadcast(chosen), ["id", "lang"], "left_semi")
     places = [F.pmod(F.xxhash64("id", F.lit(seed + i)), F.greatest(F.length("text") - WINDOW // 2, F.lit(1))).cast("int") + 1 for i in range(slices)]
