@@ -22,7 +22,7 @@ BLOCK = 512
 SPAN = "array<struct<start:int,kind:int,stop:int,text:string>>"
 
 #: Words of ordinary identifiers, from which the built-in samples are put together.
-WORDS = """account action active address admin alpha amount array async attribute balance base batch before begin block body boolean border bottom bucket buffer build button bytes cache call cancel card catalog category center channel char check child city class clean client clock close cluster code color column comment commit common config connect console constant content context control convert cookie copy count country create current cursor custom data date debug default delete depth detail device dialog disable display document domain double draft driver email empty enable encode engine entry error event example execute expire export extra factory failure feature field file filter final first flag folder footer format frame function future gateway global graph group handle hash header height hidden history home host image import index info inner input insert instance integer internal invoice item iterator join kernel key label language last layer layout left length level library limit line link list load local lock logger login loop main manager map margin master match maximum member memory menu message method metric middle minimum model module month mutable name network next node normal notify null number object offset open operator option order origin output owner package page panel parent parse partition patch path pattern payment person phone pixel platform player point policy pool position post prefix price primary print process product profile project property provider public query queue random range rate reader record refresh region register release remote remove render replace report request reset resource response result return right role root route row rule sample scale schema scope screen script search second section select sender sequence server service session setting shape share shipping signal simple single size sort source space stack start state static status step storage store stream string style submit success summary switch system table target task template test text thread time title toggle top total trace track transaction tree trigger type unique unit update upload user utility valid value vector version view visible volume warning week width window worker writer year zone""".split()
+WORDS = """account active admin amount async balance batch begin body border bucket build bytes call card category channel check city clean clock cluster color comment common connect constant context convert copy country current custom date default depth device disable document double driver empty encode entry event execute export factory feature file final flag footer frame future global group hash height history host import info input instance internal item join key language layer left level limit link load lock login main map master maximum memory message metric minimum module mutable name network node notify number offset operator order output package panel parse patch pattern person pixel player policy position prefix primary process profile property public queue range reader refresh register remote render report reset response return role route rule scale scope script second select sequence service setting share signal single sort space start static step store string submit summary system target template text time toggle total track tree type unit upload user utility value version visible warning width worker year""".split()
 
 
 def samples(spark: SparkSession, n: int = 20_000) -> DataFrame:
