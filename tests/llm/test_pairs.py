@@ -271,6 +271,13 @@ def test_repeated_passages(spark, monkeypatch, crowd):
     assert left.count() == len(rows) and left.where("doc_id = 90").first().text == ""
 
 
+def test_passage_query_returns_what_repeats(spark):
+    docs_ = [(r.doc_id, r.text, "s") for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    got = {r.doc_id: r.spans for r in queries.op8_suffix_dedup(spark, "/root/testdata/sf0.001").collect()}
+    told = {i: ",".join(f"{a}:{b}" for a, b in spans) for i, spans in map(eval, brute_repeats(docs_, 50)) if spans}
+    assert got == told and got
+
+
 def test_passages_of_odd_rows(spark):
     found = suffixes.repeated_passages(docs(spark)).collect()
     assert len(found) == len({(i, t) for i, t, _ in ODD}) and all(r.spans == [] for r in found)
