@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lynxmark.functions.text import blank_to_null, has_text
-from lynxmark.operators import histograms, lifecycle
+from lynxmark.operators import histograms, lifecycle, serving
 from lynxmark.plans.adapters import PRODUCTS, products, table
 from lynxmark.schemas import SNAPSHOT
 from lynxmark.sources import html, lists, ndjson, sinks
@@ -135,6 +135,15 @@ def src_snapshot_decode(spark, d):
     return s.select("snapshot_id", "snapshot.asin", "snapshot.title", F.col("snapshot.ratingAverage").alias("average"), F.col("snapshot.ratingCount").alias("n"), "snapshot.partial")
 
 
+@query("SELECT event_id AS snapshot_id, CAST(user_id AS VARCHAR) AS product_id, 'A1' AS asin, event_type AS title, value AS rating_average, event_id AS rating_count, CAST(event_id % 3 AS INTEGER) AS n_inline, event_id % 2 = 0 AS partial FROM events")
+def flt_snapshot_listing(spark, d):
+    e, k = table(spark, d, "events"), F.col("event_id")
+    inline = F.transform(F.slice(F.array(*[F.lit(x) for x in "ab"]), F.lit(1), (k % 3).cast("int")), lambda t: F.struct(t.alias("title")))
+    body = F.to_json(F.struct(F.lit("A1").alias("asin"), F.col("event_type").alias("title"), F.col("value").alias("ratingAverage"), k.alias("ratingCount"), inline.alias("inlineReviews"), (k % 2 == 0).alias("partial")))
+    rows = e.select(k.alias("snapshot_id"), F.col("user_id").cast("string").alias("product_id"), F.lit(None).cast("string").alias("asin"), F.lit(None).cast("string").alias("title"), body.alias("snapshot_json"))
+    return serving.list_snapshots(ndjson.decode_snapshots(rows, SNAPSHOT))
+
+
 @query("SELECT url, min(page_id) AS n FROM (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS url FROM pages) GROUP BY url ORDER BY n")
 def src_url_dedup(spark, d):
     p = table(spark, d, "pages").select(F.col("page_id").alias("n"), F.regexp_replace("url", "[?#].*$", "").alias("url"))

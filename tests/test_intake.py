@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lynxmark import schemas
 from lynxmark.operators import evaluation, lifecycle, merge, serving
-from lynxmark.sources import html, lists, ndjson, sinks
+from lynxmark.sources import html, lists, ndjson, sinks, tables
 from lynxmark.streaming import intake
 
 
@@ -176,3 +176,14 @@ def test_job_without_an_end(spark):
     e = spark.sql("SELECT 1 AS job_id, 1 AS seq, TIMESTAMP_NTZ '2024-01-01 00:00:00' AS at, 'QUEUED' AS kind, CAST(NULL AS INT) AS collected, CAST(NULL AS INT) AS upserted, '' AS code, '' AS message")
     r = lifecycle.fold_jobs(e).first()
     assert (r.status, r.finished_at, r.attempt_count) == ("QUEUED", None, 0)
+
+
+def test_database_tables(spark):
+    url = "jdbc:derby:memory:t;create=true"
+    rows = spark.createDataFrame([(i, f"n{i}") for i in range(50)], "ID int, NAME string")
+    rows.write.format("jdbc").options(url=url, dbtable="T", driver="org.apache.derby.jdbc.EmbeddedDriver").save()
+    df = tables.read_jdbc(spark, url, "T", split="ID", bounds=(0, 50), parts=4, driver="org.apache.derby.jdbc.EmbeddedDriver")
+    assert df.rdd.getNumPartitions() == 4 and df.where("ID >= 40").count() == 10
+    assert "PushedFilters: [*IsNotNull(ID), *GreaterThanOrEqual(ID,40)]" in df.where("ID >= 40").select("NAME")._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(ValueError):
+        tables.read_jdbc(spark, url, "T", split="ID")
