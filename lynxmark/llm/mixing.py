@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lynxmark.llm.common import SPACE, WORD
+from lynxmark.llm.common import SPACE, WORD, materialize
 
 WEIGHTS = (3.0, 1.0, 2.0)
 ROUNDS = 4
@@ -172,7 +172,8 @@ class Mix:
         text = F.col(text_col)
         size = F.coalesce(F.size(F.split(F.regexp_replace(text, f"^{SPACE}", ""), SPACE, -1)) - F.when(text.rlike(r"[\x20\x09-\x0D]$"), 1).otherwise(0), F.lit(0)).cast("long")
         size = F.when(text.rlike(WORD), size).otherwise(F.lit(0)).cast("long")
-        own = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), F.xxhash64(text).alias("text_hash"))
+        # What is wanted of the texts is written once, some tens of bytes a row; all plans below read that.
+        own = materialize(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), F.xxhash64(text).alias("text_hash")), "sizes")
         sums = own.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).limit(max_sources + 1).collect()
         if len(sums) > max_sources:
             raise ValueError(f"over {max_sources} sources")
