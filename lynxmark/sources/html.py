@@ -28,10 +28,10 @@ BLOCKS = frozenset("p div li ul ol tr td th table br h1 h2 h3 h4 h5 h6 article s
 
 
 class Node:
-    __slots__ = ("attrs", "children", "parent", "tag")
+    __slots__ = ("attrs", "children", "index", "parent", "tag")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
-        self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
+        self.tag, self.attrs, self.parent, self.children, self.index = tag, attrs, parent, [], None
 
     def walk(self) -> Iterator[Node]:
         todo = [c for c in reversed(self.children) if isinstance(c, Node)]
@@ -57,18 +57,30 @@ class Node:
     def attr(self, name: str) -> str:
         return self.attrs.get(name, "")
 
-    def select(self, selector: str) -> list[Node]:
+    def _likely(self, step: list[tuple]) -> Iterator[Node]:
+        """The nodes below that can fit a step, in page order; a whole page keeps lists of them by tag, id, class and attribute."""
+        if self.parent is not None:
+            return self.walk()
+        if self.index is None:
+            self.index = {}
+            for n in self.walk():
+                for key in {n.tag, *(f"[{k}" for k in n.attrs), f"#{n.attr('id')}", *(f".{c}" for c in n.attr("class").split())}:
+                    self.index.setdefault(key, []).append(n)
+        keys = [k for tag, id_, cls, name, _ in step for k in ((id_ and f"#{id_}"), (cls and f".{cls}"), (name and f"[{name}"), (tag and tag != "*" and tag.lower())) if k]
+        return iter(min((self.index.get(k, []) for k in keys), key=len)) if keys else self.walk()
+
+    def _matching(self, selector: str) -> Iterator[Node]:
         options = [_compile(part) for part in selector.split(",")]
-        return [n for n in self.walk() if any(_matches(n, o, self) for o in options)]
+        if len(options) == 1:
+            return (n for n in self._likely(options[0][-1]) if _matches(n, options[0], self))
+        return (n for n in self.walk() if any(_matches(n, o, self) for o in options))
+
+    def select(self, selector: str) -> list[Node]:
+        return list(self._matching(selector))
 
     def first(self, *selectors: str) -> Node | None:
         """The first match of the first selector that has one."""
-        for selector in selectors:
-            options = [_compile(part) for part in selector.split(",")]
-            for n in self.walk():
-                if any(_matches(n, o, self) for o in options):
-                    return n
-        return None
+        return next((n for selector in selectors for n in self._matching(selector)), None)
 
 
 _simple = re.compile(r"(\*|[a-zA-Z][\w-]*)|#([\w-]+)|\.([\w-]+)|\[([\w-]+)(?:=[\"']?([^\]\"']*)[\"']?)?\]")
