@@ -237,7 +237,10 @@ class Mix:
         taken = self.pieces().groupBy("uid", "turn").agg(F.sort_array(F.collect_list(F.struct("from_word", "n_words"))).alias("_mix_parts"), F.sum("n_words").alias("_mix_n"))
         places = self.placed.select("uid", F.col("id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("text_hash").alias("_mix_hash"), F.col("size").alias("_mix_size"))
         taken = places.join(taken, "uid").withColumnRenamed("turn", "_mix_turn").drop("uid")
-        rows = self.docs.withColumn("_mix_h", F.xxhash64(text_col)).dropDuplicates([id_col, source_col, "_mix_h"])
+        rows = self.docs.withColumn("_mix_h", F.xxhash64(text_col))
+        # Repeated rows each have places of their own, so one of them is joined to all; without any, texts are shuffled once only.
+        if self.placed.groupBy("id", "source", "text_hash").count().where("count > 1").limit(1).count():
+            rows = rows.dropDuplicates([id_col, source_col, "_mix_h"])
         both = rows.join(taken, rows[id_col].eqNullSafe(taken["_mix_id"]) & rows[source_col].eqNullSafe(taken["_mix_source"]) & (rows["_mix_h"] == taken["_mix_hash"]))
         words = F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD})"), F.lit(1))
         cut = F.flatten(F.transform("_mix_parts", lambda p: F.slice(words, (p["from_word"] + 1).cast("int"), p["n_words"].cast("int"))))
