@@ -197,8 +197,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 #: Similar texts are sought in shards of texts that share a smallest shingle hash under one of so many orders: two
 #: texts of likeness 0.8 share at least one of them in all but 0.2 ** ORDERS of the cases.
 ORDERS, SKETCH, CROWD = 6, 128, 10_000
-#: Crowded shards up to which their list (9 bytes each) is sent to every task; a longer one is joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Pairs whose sketches show less than the wanted likeness by so much are not compared hash by hash. A sketch's error at
+#: likeness 0.8 has a standard deviation of 0.035: the binomial chance to lose such a pair is below 1e-7.
+MARGIN = 0.2
 ORDER_KEYS = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1)) & ((1 << 64) - 1) | 1 for i in range(ORDERS)], np.uint64)
 
 
@@ -211,11 +212,17 @@ def _features(width: int):
                 mixed = (h[:, None] ^ (h[:, None] >> np.uint64(31))) * ORDER_KEYS
                 mixed ^= mixed >> np.uint64(29)
             least = mixed.min(axis=0) if len(h) else np.zeros(ORDERS, np.uint64)
-            sketch = np.unique((h >> np.uint64(32)).astype(np.uint32))[:SKETCH]
-            out.append((np.uint64(majority(h)).view(np.int64), least.view(np.int64), sketch.tobytes()))
-        return pd.DataFrame(out, columns=["fp", "least", "sketch"])
+            out.append((np.uint64(majority(h)).view(np.int64), least.view(np.int64)))
+        return pd.DataFrame(out, columns=["fp", "least"])
 
-    return F.pandas_udf(find, "fp long, least array<long>, sketch binary")
+    return F.pandas_udf(find, "fp long, least array<long>")
+
+
+def _shingle_sets(width: int):
+    def find(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingle_hashes(data, width)).tobytes() for data in texts])
+
+    return F.pandas_udf(find, "binary")
 
 
 FULL = np.uint64(1 << 32)  # stands behind the end of a sketch
@@ -233,25 +240,39 @@ def sketch_likeness(a: np.ndarray, others: np.ndarray) -> np.ndarray:
     return np.where(union > 0, common / np.maximum(union, 1), 1.0)
 
 
-def _similar_in_shard(nodes: np.ndarray, values: np.ndarray, sketches: np.ndarray, radius: int, similarity: float) -> list[tuple[int, int]]:
+def set_likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """Likeness of two ascending sets of hashes; two empty ones are alike."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    common = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+    return common / (len(a) + len(b) - common)
+
+
+def _similar_in_shard(nodes: np.ndarray, values: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float) -> list[tuple[int, int]]:
     """Links that join what is similar. The tree starts from the middle of the shard, where the text lies that most
     others are copies of: pairs that links have joined already are not compared."""
     bits = np.unpackbits(values.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     middle = np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(values), bitorder="little").view(np.uint64)[0]
     order = np.lexsort((nodes, values, np.bitwise_count(values ^ middle)))
-    nodes, values, sketches = nodes[order], values[order], sketches[order]
+    nodes, values, sets = nodes[order], values[order], [sets[i] for i in order]
+    sizes = np.array([len(x) for x in sets])
+    sketches = np.full((len(sets), SKETCH), FULL, np.uint64)
+    for i, x in enumerate(sets):
+        own = np.unique(x[: 2 * SKETCH] >> np.uint64(32))[:SKETCH]
+        sketches[i, : len(own)] = own
     tree, part, found = BKTree(values.tolist()), np.arange(len(nodes)), []
     todo = [(0, np.arange(len(nodes)))]
     while todo:
         at, who = todo.pop()
         d = np.bitwise_count(values[who] ^ values[at])
-        near = who[(d <= radius) & (who > at) & (part[who] != part[at])]
+        fits = np.minimum(sizes[who], sizes[at]) >= (similarity - 1e-9) * np.maximum(sizes[who], sizes[at])
+        near = who[(d <= radius) & (who > at) & (part[who] != part[at]) & fits]
         for i in range(0, len(near), 4096):
             some = near[i : i + 4096]
-            alike = some[sketch_likeness(sketches[at], sketches[some]) >= similarity]
-            parts, first = np.unique(part[alike], return_index=True)
-            found += [(int(nodes[at]), int(nodes[j])) for j in alike[first]]
-            part[np.isin(part, parts)] = part[at]
+            for j in some[sketch_likeness(sketches[at], sketches[some]) >= similarity - MARGIN].tolist():
+                if part[j] != part[at] and set_likeness(sets[at], sets[j]) >= similarity:
+                    found.append((int(nodes[at]), int(nodes[j])))
+                    part[part == part[j]] = part[at]
         for edge, child in tree.children[at].items():
             if len(some := who[(d >= edge - radius) & (d <= edge + radius)]):
                 todo.append((child, some))
@@ -263,11 +284,8 @@ def _similar(radius: int, similarity: float):
         held: pd.DataFrame | None = None
 
         def solve(shard: pd.DataFrame) -> list[tuple[int, int]]:
-            sketches = np.full((len(shard), SKETCH), FULL, np.uint64)
-            for i, x in enumerate(shard["sketch"]):
-                own = np.frombuffer(x, np.uint32)
-                sketches[i, : len(own)] = own
-            return _similar_in_shard(shard["node"].to_numpy(np.int64), shard["fp"].to_numpy(np.int64).view(np.uint64), sketches, radius, similarity)
+            sets = [np.frombuffer(x, np.uint64) for x in shard["hashes"]]
+            return _similar_in_shard(shard["node"].to_numpy(np.int64), shard["fp"].to_numpy(np.int64).view(np.uint64), sets, radius, similarity)
 
         def links(pdf: pd.DataFrame) -> pd.DataFrame:
             keys = pdf["key"].to_numpy(np.int64)
@@ -292,25 +310,29 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``docs`` with one row of each group of similar texts: that with the smallest id, null ids last.
 
     Texts are similar if their fingerprints are within ``radius`` bits (two texts of likeness
-    0.8 hardly ever differ in more) and their sketches show ``similarity`` or more of common
-    ``width``-word shingles; groups are what such links join. Fingerprints this far apart
-    share no fixed bits, so the shards, each with its BK-tree, hold the texts that share a
-    smallest shingle hash. A shard of more than CROWD texts is dealt anew by pairs of such
-    hashes, which similar texts share too. Texts without words are similar to each other
-    alone. Repeated rows are copies like others; all columns stay as they are; no rows give
-    none.
+    0.8 hardly ever differ in more) and ``similarity`` or more of their different
+    ``width``-word shingles are common, counted by 64-bit hashes; groups are what such links
+    join. Fingerprints this far apart share no fixed bits, so the shards, each with its
+    BK-tree, hold the texts that share a smallest shingle hash. Only texts that share one
+    with another are read again, for all their hashes. A shard of more than CROWD texts is
+    dealt anew by pairs of such hashes, which similar texts share too. Texts without words
+    are similar to each other alone. Repeated rows are copies like others; all columns stay
+    as they are; no rows give none.
     """
     rows = materialize(with_uid(docs, "_sim_uid").withColumn("_sim", _features(width)(F.col(text_col).cast("binary"))), "similar")
     own = rows.select("_sim_uid", F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), "_sim.*")
     # Copies of one text are one node, named after one of them.
-    nodes = own.groupBy("hash", "fp").agg(F.min("_sim_uid").alias("node"), F.min_by(F.struct("least", "sketch"), "_sim_uid").alias("f"))
-    nodes = materialize(nodes.select("hash", "fp", "node", "f.least", "f.sketch"), "nodes")
-    sharded = nodes.select("node", "fp", "sketch", "least", F.posexplode("least").alias("n", "value")).withColumn("key", F.xxhash64("n", "value"))
-    crowds = materialize(sharded.groupBy("key").count().where(F.col("count") > CROWD).select("key", F.lit(True).alias("crowd")), "crowds")
-    told = sharded.join(F.broadcast(crowds) if crowds.count() <= BROADCAST_ROWS else crowds, "key", "left")
+    nodes = own.groupBy("hash", "fp").agg(F.min("_sim_uid").alias("node"), F.min_by("least", "_sim_uid").alias("least"))
+    nodes = materialize(nodes, "nodes")
+    sharded = nodes.select("node", "fp", "least", F.posexplode("least").alias("n", "value")).withColumn("key", F.xxhash64("n", "value"))
+    crowds = materialize(sharded.groupBy("key").count().where(F.col("count") > 1).select("key", (F.col("count") > CROWD).alias("crowd")), "shards")
+    told = sharded.join(crowds, "key")
     pairs = F.transform(F.sequence(F.lit(0), F.lit(ORDERS - 1)), lambda i: F.when(i != F.col("n"), F.xxhash64(F.col("key"), i, F.get("least", i))))
     keys = F.when(F.col("crowd"), F.array_compact(pairs)).otherwise(F.array("key"))
-    dealt = told.select(F.explode(keys).alias("key"), "node", "fp", "sketch").repartition("key").sortWithinPartitions("key", "fp", "node")
+    wanted = told.select("node", "fp", F.explode(keys).alias("key")).groupBy("node").agg(F.first("fp").alias("fp"), F.collect_list("key").alias("keys"))
+    texts = rows.select(F.col("_sim_uid").alias("node"), F.col(text_col).cast("binary").alias("text")).join(wanted, "node")
+    sets = texts.select("node", "fp", "keys", _shingle_sets(width)("text").alias("hashes"))
+    dealt = sets.select(F.explode("keys").alias("key"), "node", "fp", "hashes").repartition("key").sortWithinPartitions("key", "fp", "node")
     roots = connected_components(dealt.mapInPandas(_similar(radius, similarity), "a long, b long"))
     placed = nodes.select("hash", "fp", "node").join(roots, "node", "left").select("hash", "fp", F.coalesce("root", "node").alias("root"))
     member = own.select("_sim_uid", "id", "hash", "fp").join(placed, ["hash", "fp"])
