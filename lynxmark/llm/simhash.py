@@ -197,6 +197,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 #: Similar texts are sought in shards of texts that share a smallest shingle hash under one of so many orders: two
 #: texts of likeness 0.8 share at least one of them in all but 0.2 ** ORDERS of the cases.
 ORDERS, SKETCH, CROWD = 6, 128, 10_000
+#: Bytes of shingle hashes beyond which a shard is crowded too.
+CROWD_BYTES = 48 << 20
 #: Pairs whose sketches show less than the wanted likeness by so much are not compared hash by hash. A sketch's error at
 #: likeness 0.8 has a standard deviation of 0.035: the binomial chance to lose such a pair is below 1e-7.
 MARGIN = 0.2
@@ -204,6 +206,8 @@ ORDER_KEYS = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1)) & ((1 << 64) - 1) | 1
 
 
 def _features(width: int):
+    """Per text the fingerprint, the smallest hash in each order and the number of shingles."""
+
     def find(texts: pd.Series) -> pd.DataFrame:
         out = []
         for data in texts:
@@ -212,10 +216,10 @@ def _features(width: int):
                 mixed = (h[:, None] ^ (h[:, None] >> np.uint64(31))) * ORDER_KEYS
                 mixed ^= mixed >> np.uint64(29)
             least = mixed.min(axis=0) if len(h) else np.zeros(ORDERS, np.uint64)
-            out.append((np.uint64(majority(h)).view(np.int64), least.view(np.int64)))
-        return pd.DataFrame(out, columns=["fp", "least"])
+            out.append((np.uint64(majority(h)).view(np.int64), least.view(np.int64), len(h)))
+        return pd.DataFrame(out, columns=["fp", "least", "size"])
 
-    return F.pandas_udf(find, "fp long, least array<long>")
+    return F.pandas_udf(find, "fp long, least array<long>, size long")
 
 
 def _shingle_sets(width: int):
@@ -314,21 +318,24 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``width``-word shingles are common, counted by 64-bit hashes; groups are what such links
     join. Fingerprints this far apart share no fixed bits, so the shards, each with its
     BK-tree, hold the texts that share a smallest shingle hash. Only texts that share one
-    with another are read again, for all their hashes. A shard of more than CROWD texts is
-    dealt anew by pairs of such hashes, which similar texts share too. Texts without words
-    are similar to each other alone. Repeated rows are copies like others; all columns stay
-    as they are; no rows give none.
+    with another are read again, for all their hashes. A shard of more than CROWD texts or
+    CROWD_BYTES of hashes is cut into blocks, and every two blocks meet in a task, so that
+    every pair of the shard does. Texts without words are similar to each other alone.
+    Repeated rows are copies like others; all columns stay as they are; no rows give none.
     """
     rows = materialize(with_uid(docs, "_sim_uid").withColumn("_sim", _features(width)(F.col(text_col).cast("binary"))), "similar")
     own = rows.select("_sim_uid", F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), "_sim.*")
     # Copies of one text are one node, named after one of them.
-    nodes = own.groupBy("hash", "fp").agg(F.min("_sim_uid").alias("node"), F.min_by("least", "_sim_uid").alias("least"))
+    nodes = own.groupBy("hash", "fp").agg(F.min("_sim_uid").alias("node"), F.min_by("least", "_sim_uid").alias("least"), F.min_by("size", "_sim_uid").alias("size"))
     nodes = materialize(nodes, "nodes")
-    sharded = nodes.select("node", "fp", "least", F.posexplode("least").alias("n", "value")).withColumn("key", F.xxhash64("n", "value"))
-    crowds = materialize(sharded.groupBy("key").count().where(F.col("count") > 1).select("key", (F.col("count") > CROWD).alias("crowd")), "shards")
-    told = sharded.join(crowds, "key")
-    pairs = F.transform(F.sequence(F.lit(0), F.lit(ORDERS - 1)), lambda i: F.when(i != F.col("n"), F.xxhash64(F.col("key"), i, F.get("least", i))))
-    keys = F.when(F.col("crowd"), F.array_compact(pairs)).otherwise(F.array("key"))
+    sharded = nodes.select("node", "fp", "size", F.posexplode("least").alias("n", "value")).withColumn("key", F.xxhash64("n", "value"))
+    fill = F.greatest(F.count("*") / CROWD, F.sum("size") * 8 / CROWD_BYTES)  # 1: as much as a task takes
+    blocks = F.when(fill <= 1, 1).otherwise(F.ceil(2 * fill)).cast("int")
+    shards = sharded.groupBy("key").agg(F.count("*").alias("texts"), blocks.alias("blocks")).where("texts > 1").drop("texts")
+    told = sharded.join(materialize(shards, "shards"), "key").withColumn("block", F.pmod(F.xxhash64("node", "key"), "blocks"))
+    # A text goes to the tasks of its block and each other one; crowded shards have three blocks or more.
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.when(i != F.col("block"), F.xxhash64("key", F.least(i, "block"), F.greatest(i, "block"))))
+    keys = F.when(F.col("blocks") > 1, F.array_compact(pairs)).otherwise(F.array("key"))
     wanted = told.select("node", "fp", F.explode(keys).alias("key")).groupBy("node").agg(F.first("fp").alias("fp"), F.collect_list("key").alias("keys"))
     texts = rows.select(F.col("_sim_uid").alias("node"), F.col(text_col).cast("binary").alias("text")).join(wanted, "node")
     sets = texts.select("node", "fp", "keys", _shingle_sets(width)("text").alias("hashes"))

@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -220,6 +221,29 @@ def test_likeness_near_the_limit_is_exact(spark):
     assert sorted(r.doc_id for r in simhash.drop_similar(docs(spark, rows)).collect()) == kept_by_brute_force(rows)
 
 
+def test_all_pairs_of_a_crowded_shard_meet(spark, monkeypatch):
+    """Each pair is at likeness 0.8 or more, shares one min-hash alone, and shares that with short texts that make a crowd."""
+    rng = random.Random(13)
+    new = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    while len(rows) < 24:
+        common = new(104)
+        a, b = common + new(10), common + new(10)
+        least = simhash._features(5).func(pd.Series([" ".join(x).encode() for x in (a, b)]))["least"]
+        same = np.flatnonzero(least[0] == least[1])
+        if len(same) == 1:
+            grams = [" ".join(common[i : i + 5]) for i in range(100)]
+            least_of = [x[same[0]] for x in simhash._features(5).func(pd.Series([g.encode() for g in grams]))["least"]]
+            crowd = grams[least_of.index(least[0][same[0]])]
+            n = len(rows)
+            rows += [(n, " ".join(a), "s"), (n + 1, " ".join(b), "s"), (n + 2, crowd, "s"), (n + 3, crowd.upper(), "s"), (n + 4, crowd.title(), "s"), (n + 5, " " + crowd, "s")]
+    assert len(kept_by_brute_force(rows)) == 8
+    for crowd, size in ((10_000, 1 << 20), (5, 1 << 20), (2, 1 << 20), (10_000, 400)):
+        monkeypatch.setattr(simhash, "CROWD", crowd)
+        monkeypatch.setattr(simhash, "CROWD_BYTES", size, raising=False)
+        assert sorted(r.doc_id for r in simhash.drop_similar(docs(spark, rows)).collect()) == kept_by_brute_force(rows)
+
+
 def test_fingerprint_contract(spark):
     given = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy(F.desc("doc_id")).collect()
     rows = {r.doc_id: r for r in queries.op5_document_fingerprints(spark, "/root/testdata/sf0.001").collect()}
