@@ -197,6 +197,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 #: Similar texts are sought in shards of texts that share a smallest shingle hash under one of so many orders: two
 #: texts of likeness 0.8 share at least one of them in all but 0.2 ** ORDERS of the cases.
 ORDERS, SKETCH, CROWD = 6, 128, 10_000
+#: Bits in which fingerprints of sets of likeness 0.8 may differ. A bit differs with probability 0.1875 at most (a set of
+#: four in one of five; 0.159 from 20 shingles on), so more do in 1.3e-5 of such pairs at most (5e-7 from 20 shingles on).
+RADIUS = 26
 #: Bytes of shingle hashes beyond which a shard is crowded too.
 CROWD_BYTES = 48 << 20
 #: Pairs whose sketches show less than the wanted likeness by so much are not compared hash by hash. A sketch's error at
@@ -206,12 +209,12 @@ ORDER_KEYS = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1)) & ((1 << 64) - 1) | 1
 
 
 def _features(width: int):
-    """Per text the fingerprint, the smallest hash in each order and the number of shingles."""
+    """Per text, of its different shingles: the fingerprint, the smallest hash in each order, their number."""
 
     def find(texts: pd.Series) -> pd.DataFrame:
         out = []
         for data in texts:
-            h = shingle_hashes(data, width)
+            h = np.unique(shingle_hashes(data, width))
             with np.errstate(over="ignore"):
                 mixed = (h[:, None] ^ (h[:, None] >> np.uint64(31))) * ORDER_KEYS
                 mixed ^= mixed >> np.uint64(29)
@@ -310,13 +313,13 @@ def _similar(radius: int, similarity: float):
     return search
 
 
-def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 20) -> DataFrame:
+def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one row of each group of similar texts: that with the smallest id, null ids last.
 
-    Texts are similar if their fingerprints are within ``radius`` bits (two texts of likeness
-    0.8 hardly ever differ in more) and ``similarity`` or more of their different
-    ``width``-word shingles are common, counted by 64-bit hashes; groups are what such links
-    join. Fingerprints this far apart share no fixed bits, so the shards, each with its
+    Texts are similar if the fingerprints of their different ``width``-word shingles are
+    within ``radius`` bits (see RADIUS for how few pairs of likeness 0.8 are not) and
+    ``similarity`` or more of these shingles are common, counted by 64-bit hashes; groups are
+    what such links join. Fingerprints this far apart share no fixed bits, so the shards, each with its
     BK-tree, hold the texts that share a smallest shingle hash. Only texts that share one
     with another are read again, for all their hashes. A shard of more than CROWD texts or
     CROWD_BYTES of hashes is cut into blocks, and every two blocks meet in a task, so that

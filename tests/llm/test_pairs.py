@@ -244,6 +244,17 @@ def test_all_pairs_of_a_crowded_shard_meet(spark, monkeypatch):
         assert sorted(r.doc_id for r in simhash.drop_similar(docs(spark, rows)).collect()) == kept_by_brute_force(rows)
 
 
+def test_repeats_in_a_text_do_not_part_similar_ones(spark):
+    """The same shingles, one of them 296 times in one text and 8 times in the other."""
+    rng = random.Random(14)
+    rows = []
+    for i in range(30):
+        text, word = [f"v{rng.randrange(10**9)}" for _ in range(200)], f"v{rng.randrange(10**9)}"
+        rows += [(2 * i, " ".join(text + [word] * 300), "s"), (2 * i + 1, " ".join(text + [word] * 12), "s")]
+    kept = sorted(r.doc_id for r in simhash.drop_similar(docs(spark, rows)).collect())
+    assert kept == kept_by_brute_force(rows) == list(range(0, 60, 2))
+
+
 def test_fingerprint_contract(spark):
     given = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy(F.desc("doc_id")).collect()
     rows = {r.doc_id: r for r in queries.op5_document_fingerprints(spark, "/root/testdata/sf0.001").collect()}
