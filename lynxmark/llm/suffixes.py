@@ -51,7 +51,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def suffixes(words: list[bytes], passage: int = PASSAGE, gram: int = GRAM) -> Iterator[tuple[np.ndarray, ...]]:
     """The retained suffixes of a text, a segment at a time: (hash of the first words, first window's start, its distance
-    to the suffix, where the suffix's windows begin in the last array, 32-bit hashes of all windows)."""
+    to the suffix, where the suffix's windows begin in the last array, hashes of all windows)."""
     for s in range(0, max(0, len(words) - passage + 1), SEGMENT):
         part = words[s : s + SEGMENT + passage - 1]
         text = b" ".join(part) + b" "
@@ -69,7 +69,7 @@ def suffixes(words: list[bytes], passage: int = PASSAGE, gram: int = GRAM) -> It
         grams, windows = of(gram), of(passage)
         at = np.arange(len(windows)) + np.lib.stride_tricks.sliding_window_view(grams, passage - gram + 1).argmin(axis=1)
         first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        yield grams[at[first]], first + s, at[first] - first, first, (windows & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        yield grams[at[first]], first + s, at[first] - first, first, windows
 
 
 def _rows(with_windows: bool, passage: int, gram: int):
@@ -92,7 +92,7 @@ def _rows(with_windows: bool, passage: int, gram: int):
         uid = np.repeat(np.array([x[0] for x in held], np.int64), [len(x[1]) for x in held])
         if not with_windows:
             return pa.RecordBatch.from_arrays([pa.array(h), pa.array(uid)], ["h", "uid"])
-        starts, windows = (_lists([x[2] for x in held], [x[3] for x in held]), _lists([x[5].view(np.int32) for x in held], [x[6] for x in held]))
+        starts, windows = (_lists([x[2] for x in held], [x[3] for x in held]), _lists([x[5].view(np.int64) for x in held], [x[6] for x in held]))
         away = np.concatenate([x[4] for x in held]).astype(np.int32)
         return pa.RecordBatch.from_arrays([pa.array(h), pa.array(uid), starts, pa.array(away), windows], ["h", "uid", "starts", "away", "windows"])
 
@@ -103,9 +103,9 @@ def _once(uid: int, h: np.ndarray, start: np.ndarray, away: np.ndarray, at: np.n
     """A text's suffixes, those with the same windows as one (a word said a thousand times has a thousand of them): uid, hashes,
     starts and how many each has, distances, windows and how many each has."""
     n = np.diff(np.append(at, len(windows)))
-    first, last = windows[at].astype(np.uint64), windows[at + n - 1].astype(np.uint64)
+    first, last = windows[at], windows[at + n - 1]
     with np.errstate(over="ignore"):
-        same = _mix(h ^ _mix((first << np.uint64(32) | last) + n.astype(np.uint64)) ^ away.astype(np.uint64))
+        same = _mix(h ^ _mix(first + _mix(last + n.astype(np.uint64))) ^ away.astype(np.uint64))
     _, keep, group = np.unique(same, return_index=True, return_inverse=True)
     if len(keep) == len(h):
         return uid, h, start.astype(np.int32), np.ones(len(h), np.int64), away, windows, n
@@ -138,7 +138,7 @@ def _compare(passage: int):
         row = np.repeat(np.arange(len(h)), n)
         place = np.arange(len(windows)) - np.repeat(np.cumsum(n) - n, n)
         with np.errstate(over="ignore"):
-            key = _mix(h[row].view(np.uint64) + (away[row] - place).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ windows.view(np.uint32).astype(np.uint64)
+            key = _mix(h[row].view(np.uint64) + (away[row] - place).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ windows.view(np.uint64)
         order = np.lexsort((uid[row], key))
         k, u = key[order], uid[row][order]
         new = np.concatenate([[True], k[1:] != k[:-1]])
@@ -210,7 +210,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # All copies of a start count, by map-side sums; those in one document alone are done with.
     known = bare.groupBy("h").agg(F.min("uid").alias("a"), F.max("uid").alias("b"), F.count("*").alias("n")).where("a != b").select("h", (F.col("n") > CROWD).alias("crowd"))
     known = materialize(known, "starts")
-    full = rows.mapInArrow(_rows(True, passage, gram), "h long, uid long, starts array<int>, away int, windows array<int>")
+    full = rows.mapInArrow(_rows(True, passage, gram), "h long, uid long, starts array<int>, away int, windows array<long>")
     kept = materialize(full.join(known, "h"), "suffixes")
     few = kept.where("NOT crowd").drop("crowd").repartition("h").sortWithinPartitions("h").mapInArrow(_compare(passage), "uid long, low int, high int")
     many = _crowds(kept.where("crowd"), passage)

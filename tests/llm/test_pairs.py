@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -352,6 +353,24 @@ def test_fifty_words_are_found_and_forty_nine_are_not(spark):
     assert got == {1: [(70, 120)], 2: [(0, 50)], 3: [], 4: []}
 
 
+def test_windows_are_told_apart_by_all_bits(monkeypatch):
+    """The lower halves of all hashes are made equal: twenty words in other surroundings are no repeated passage still."""
+    mix, rng = suffixes._mix, random.Random(8)
+    monkeypatch.setattr(suffixes, "_mix", lambda x: mix(x) & ~np.uint64(0xFFFFFFFF))
+    new = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
+
+    def spans(length):
+        texts = []
+        for _ in range(100):
+            common = new(length)
+            texts += [" ".join(new(60) + common + new(60)).encode() for _ in range(2)]
+        batch = pa.RecordBatch.from_arrays([pa.array(range(200), pa.int64()), pa.array(texts, pa.binary())], ["uid", "text"])
+        found = pa.Table.from_batches(suffixes._rows(True, 50, 20)(iter([batch]))).sort_by("h").combine_chunks()
+        return {tuple(x.values()) for b in suffixes._compare(50)(iter(found.to_batches())) for x in b.to_pylist()}
+
+    assert spans(20) == set() and spans(50) == {(i, 60, 110) for i in range(200)}
+
+
 def test_segments_make_no_difference(monkeypatch):
     rng = random.Random(7)
     words = [b"%d" % rng.randrange(9) for _ in range(900)]
