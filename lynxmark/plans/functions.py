@@ -62,7 +62,7 @@ def fn_normalize(spark, d):
 
 @query()
 def fn_validate_and_digits(spark, d):
-    return _docs(spark, d).select("doc_id", T.validate(F.col("text"), 100).alias("checked"), T.normalize_digits(F.concat(F.lit("１２％ "), F.left("text", F.lit(20)))).alias("digits"))
+    return _docs(spark, d).select("doc_id", T.validate(F.col("text"), 100).alias("checked"), T.normalize_digits(F.concat(F.lit("１２％ "), F.col("text"))).alias("digits"))
 
 
 _NUM = "n AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN '￥' || p_retailprice WHEN 1 THEN '５つ星のうち' || (p_size % 50) / 10.0 WHEN 2 THEN (p_size * 1234) || '個の評価' WHEN 3 THEN p_name ELSE (p_size % 101) || ' ％' END AS s FROM part), a AS (SELECT p_partkey, translate(s, '０１２３４５６７８９％，．', '0123456789%,.') AS s FROM n)"

@@ -1,12 +1,14 @@
 """Golden values of the functions, the null and odd cases among them."""
 
 import datetime as dt
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
 from lynxmark.functions import dates, hashing, language, numbers, similarity, urls
 from lynxmark.functions import text as T
+from lynxmark.plans import functions as plans
 
 
 def values(spark, f, inputs, kind="string"):
@@ -79,3 +81,9 @@ def test_missing_required_text_is_an_error(spark):
 def test_ulids_differ(spark):
     ids = [r[0] for r in spark.range(50).select(hashing.new_ulid()).collect()]
     assert len(set(ids)) == 50 and all(len(i) == 26 for i in ids)
+
+
+def test_digits_of_whole_texts(spark, sf):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    whole = {i: unicodedata.normalize("NFKC", "１２％ " + t).strip("".join(map(chr, range(33)))) for i, t in texts.items()}
+    assert {r.doc_id: r.digits for r in plans.fn_validate_and_digits(spark, sf).collect()} == whole
