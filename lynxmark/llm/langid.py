@@ -112,29 +112,31 @@ def softmax(z: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 800, slices: int = 3, max_langs: int = 500, epochs: int = 8, seed: int = 11) -> Network:
     """Learn from rows where ``learn`` (a Column) is true and text, language and id are not null.
 
-    The sample is bounded: of each language the ``per_lang`` rows with the smallest hashes
-    of their ids, of each row ``slices`` windows from places that its hash picks. Which rows
-    these are does not depend on the order of the input.
+    The sample is bounded: of each language the ``per_lang`` different ids with the smallest
+    hashes, of each id one row with ``slices`` windows from places that its hash picks
+    (where an id has several rows, the one whose windows come first in order). Repeated
+    rows and ids neither crowd out others nor count twice, and which rows are taken does not
+    depend on the order of the input.
     """
     known = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     mix = F.xxhash64(F.col(id_col), F.lit(seed)).bitwiseAND(F.lit((1 << 63) - 1))
     keyed = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), mix.alias("mix"))
-    counts = {r["lang"]: r["count"] for r in keyed.groupBy("lang").count().limit(max_langs + 1).collect()}
+    ids = keyed.groupBy("lang").agg(F.approx_count_distinct("id").alias("n")).limit(max_langs + 1).collect()
+    counts = {r["lang"]: max(1, r["n"]) for r in ids}
     if len(counts) > max_langs:
         raise ValueError(f"over {max_langs} languages")
-    # Of a language with many rows only those with small hashes, four times as many as wanted, are ranked in one task.
+    # Of a language with many ids only those with small hashes, four times as many as wanted, are ranked in one task.
     bounds = {lang: min(1.0, 4 * per_lang / n) for lang, n in counts.items()}
     low = [(F.col("lang") == lang) & (F.col("mix") < F.lit(int(share * ((1 << 63) - 1)))) if share < 1 else F.col("lang") == lang for lang, share in bounds.items()]
-    few = keyed.where(reduce(or_, low, F.lit(False)))
+    few = keyed.where(reduce(or_, low, F.lit(False))).distinct()
     ranked = few.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("mix", "id")))
-    chosen = ranked.where(F.col("nth") <= per_lang).select("id", "lang").distinct()
-    langs = list(counts)
+    chosen = ranked.where(F.col("nth") <= per_lang).select("id", "lang")
     # at most per_lang * max_langs ids: small enough to send to every task
     rows = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(F.broadcast(chosen), ["id", "lang"], "left_semi")
     places = [F.pmod(F.xxhash64("id", F.lit(seed + i)), F.greatest(F.length("text") - WINDOW // 2, F.lit(1))).cast("int") + 1 for i in range(slices)]
-    cut = rows.select("lang", "id", *[F.substring(F.col("text"), p, F.lit(WINDOW)).alias(f"s{i}") for i, p in enumerate(places)])
-    sample = cut.orderBy("id", "lang", "s0").limit(per_lang * len(langs) + 1).toPandas() if langs else pd.DataFrame()
-    return fit([(lang, s) for lang, *parts in sample[["lang", *(f"s{i}" for i in range(slices))]].itertuples(index=False) for s in parts] if len(sample) else [], epochs, seed)
+    cut = rows.select("lang", "id", F.struct(*[F.substring(F.col("text"), p, F.lit(WINDOW)).alias(f"s{i}") for i, p in enumerate(places)]).alias("cut"))
+    sample = cut.groupBy("lang", "id").agg(F.min("cut").alias("cut")).orderBy("lang", "id").select("lang", "cut.*").collect()  # per_lang rows a language
+    return fit([(lang, s) for lang, *parts in sample for s in parts], epochs, seed)
 
 
 def fit(samples: list[tuple[str, str]], epochs: int = 8, seed: int = 11) -> Network:

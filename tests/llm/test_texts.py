@@ -179,6 +179,22 @@ def test_language_of_odd_rows(spark):
     assert langid.predict(docs(spark, [(1, "abc")]), one).first().language == ("x", 1.0)
 
 
+def test_repeated_ids_crowd_out_no_language(spark):
+    many = spark.range(20_000).select((F.col("id") % 3).alias("doc_id"), F.lit("abc abd abe abc abd").alias("text"), F.lit("x").alias("lang"))
+    few = spark.range(4000).select((F.col("id") + 10).alias("doc_id"), F.concat(F.lit("zzq zzr "), F.col("id").cast("string")).alias("text"), F.when(F.col("id") % 4 == 0, "y").otherwise("z").alias("lang"))
+    for shift in range(4):
+        both = many.union(few).withColumn("doc_id", F.col("doc_id") + 1000 * shift)
+        assert langid.train(both, F.lit(True), per_lang=40, epochs=1).labels == ["x", "y", "z"]
+    copies = spark.range(800).select(F.lit(7).alias("doc_id"), F.lit("one").alias("text"), F.lit("x").alias("lang")).union(few.where("doc_id < 60"))
+    taught = []
+    try:
+        own, langid.fit = langid.fit, lambda samples, *_: taught.append(samples)
+        langid.train(copies, F.lit(True), per_lang=20)
+    finally:
+        langid.fit = own
+    assert sum(lang == "x" for lang, _ in taught[0]) == 3 and sum(lang == "y" for lang, _ in taught[0]) == 3 * 13 and sum(lang == "z" for lang, _ in taught[0]) == 3 * 20
+
+
 def test_windows_cover_the_text():
     data = bytes(range(256)) * 5
     w = langid.windows(data)
