@@ -1,13 +1,20 @@
 """Class-based n-gram language model (Brown et al.): exchange clustering, class transitions, word emissions.
 
-Every word of the corpus is counted. Words belong to units: each of the most frequent words
-is a unit of its own, all others are dealt to units by their endings, so that the clustering
-has a fixed number of units however many words there are. Exchange clustering of the units
-by the corpus's unit bigrams gives every word a class.
-
-Texts are read once, into packs: some MB of texts as numbers into the pack's own word list.
-Counts come from the packs' lists; each pack gets back the counts of its own words alone,
-so no task and no broadcast holds the vocabulary.
+Every word of the training texts gets a class by exchange, in three steps that see more and
+more of the vocabulary:
+
+1. the most frequent words are moved one at a time, on the grid of their bigrams, until no
+   move raises the bigrams' likelihood under classes (``exchange``);
+2. the frequent words are moved all at once to the class where each raises that likelihood
+   most, by distributed counts of their neighbours' classes; a sweep that does not raise it
+   is taken back;
+3. so is every other word, by its neighbours among the frequent ones.
+
+Counts and classes of all words stay in a table; what the driver and the broadcasts hold is
+the classes' own counts and ``COMMON`` words. Texts are read once, into packs: some MB of
+texts as numbers into the pack's own word list. Each pack gets back the counts and classes of
+its own words alone, so no task holds the vocabulary; those of the commonest words, which
+nearly every pack has, are broadcast and take no part in that join.
 """
 
 from __future__ import annotations
@@ -18,17 +25,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lynxmark.llm.common import materialize
+from lynxmark.llm.common import TEXTS, materialize
 
-PACK_BYTES = 8 << 20
-HEADS, ENDINGS, CLASSES = 448, 63, 48
-END = HEADS + ENDINGS  # the unit of a text's end
-UNITS = END + 1
+PACK_BYTES = 16 << 20
+#: Words that are clustered one at a time, words moved next, words whose counts are broadcast.
+SEEDS, FREQUENT, COMMON = 510, 8192, 1 << 16
+SWEEPS = 2
+CLASSES = 48  # class 0 is the text's end
+REST = CLASSES  # stands for the class of a neighbour that has none yet
+SIDES = CLASSES + 1
+ENDINGS = 63  # groups of words by their last bytes; only words unseen in training get their class from these
 SMOOTH, TRUST = 0.1, 20.0
+WEIGHT = 1 << 16
 
 
 class _Numbers(dict):
@@ -44,6 +57,10 @@ def tokens(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+def ending(word: bytes) -> int:
+    return zlib.crc32(word[-3:]) % ENDINGS
+
+
 def _planes(x: np.ndarray) -> bytes:
     """uint32 numbers, all lowest bytes first: most higher ones are zeros and compress away."""
     return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
@@ -53,6 +70,10 @@ def _numbers(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
+def _names(words: bytes) -> list[bytes]:
+    return words.split(b" ") if words else []
+
+
 PACK = "pack long, words binary, trained binary, tokens binary, lengths binary, ids array<long>, learn array<boolean>, held array<boolean>"
 
 
@@ -79,7 +100,7 @@ def _packs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if learn:
                 trained.append(numbers)
             size += len(text or b"")
-            if size >= PACK_BYTES or len(rows) >= 50_000:
+            if size >= PACK_BYTES or len(rows) >= 100_000:
                 yield close()
                 n += 1
                 known, rows, trained, texts, size = _Numbers(), [], [], [], 0
@@ -87,24 +108,55 @@ def _packs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield close()
 
 
-def unit_of(words: list[bytes], heads: dict[bytes, int]) -> np.ndarray:
-    return np.array([heads.get(w, -1) if w in heads else HEADS + zlib.crc32(w[-3:]) % ENDINGS for w in words], np.int16)
+def _flow(kinds: np.ndarray, numbers: np.ndarray, lengths: np.ndarray, learn: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The learnt texts' bigrams (kind before, kind), each text between two ends; ``kinds`` are those of the pack's words."""
+    flow = np.insert(kinds[numbers] if len(numbers) else np.empty(0, kinds.dtype), np.cumsum(lengths), end)
+    before = np.concatenate([[end], flow[:-1]])
+    keep = np.repeat(learn, lengths + 1)
+    return before[keep].astype(np.int64), flow[keep].astype(np.int64)
+
+
+def _grid(packs: DataFrame, kinds_of, size: int, end: int) -> np.ndarray:
+    """How often each kind follows each, in the learnt texts of all packs: a size x size matrix.
+    ``kinds_of`` gives the kinds of a pack's words."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = np.zeros(size * size, np.int64)
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                a, b = _flow(kinds_of(row), _numbers(row.tokens), _numbers(row.lengths).astype(np.int64), np.array(row.learn, bool), end)
+                seen += np.bincount(a * size + b, minlength=size * size)
+        some = np.flatnonzero(seen)
+        yield pd.DataFrame({"pair": some, "n": seen[some]})
+
+    found = packs.mapInPandas(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()  # at most size x size rows
+    grid = np.zeros(size * size)
+    grid[found["pair"].to_numpy(np.int64)] = found["n"].to_numpy(float)
+    return grid.reshape(size, size)
+
 
+def _f(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1e-300))
 
-def exchange(counts: np.ndarray, classes: int, fixed: int, sweeps: int = 12) -> np.ndarray:
+
+def likelihood(c: np.ndarray) -> float:
+    """Log-likelihood of bigrams under their classes' counts, but for the words' own part, which no move changes."""
+    return float(_f(c).sum() - _f(c.sum(0)).sum() - _f(c.sum(1)).sum())
+
+
+def exchange(counts: np.ndarray, classes: int, fixed: dict[int, int], sweeps: int = 12) -> np.ndarray:
     """Class of each unit: start dealt round, then move one unit at a time to the class where the bigrams' likelihood
-    under classes is highest, until a sweep moves none. Unit ``fixed`` has class 0 to itself."""
+    under classes is highest, until a sweep moves none. The units in ``fixed`` keep their classes, which no other unit
+    enters; their classes are 0 and such as lie beyond ``classes``."""
     n = len(counts)
     weight = counts.sum(0) + counts.sum(1)
-    order = [u for u in np.argsort(-weight, kind="stable") if u != fixed]
+    order = [u for u in np.argsort(-weight, kind="stable") if u not in fixed]
     of = np.zeros(n, np.int64)
-    of[order] = 1 + np.arange(n - 1) % (classes - 1)
-    members = np.eye(classes)[of]
+    of[order] = 1 + np.arange(len(order)) % (classes - 1)
+    of[list(fixed)] = list(fixed.values())
+    size = max(classes, *(c + 1 for c in fixed.values()))
+    members = np.eye(size)[of]
     c = members.T @ counts @ members
-
-    def f(x: np.ndarray) -> np.ndarray:
-        return x * np.log(np.maximum(x, 1e-300))
-
     for _ in range(sweeps):
         moved = 0
         for u in order:
@@ -118,12 +170,12 @@ def exchange(counts: np.ndarray, classes: int, fixed: int, sweeps: int = 12) ->
             c[:, was] -= into
             c[was, was] -= own
             left, right = c.sum(1), c.sum(0)
-            fc = f(c)
-            rows, cols = f(c + out) - fc, f(c + into[:, None]) - fc
-            diag = f(np.diag(c) + out + into + own) - np.diag(fc)
+            fc = _f(c)
+            rows, cols = _f(c + out) - fc, _f(c + into[:, None]) - fc
+            diag = _f(np.diag(c) + out + into + own) - np.diag(fc)
             gain = rows.sum(1) - np.diag(rows) + cols.sum(0) - np.diag(cols) + diag
-            gain -= f(left + out.sum() + own) - f(left) + f(right + into.sum() + own) - f(right)
-            gain[0] = -np.inf
+            gain -= _f(left + out.sum() + own) - _f(left) + _f(right + into.sum() + own) - _f(right)
+            gain[list(fixed.values())] = -np.inf
             best = int(gain.argmax())
             if gain[best] <= gain[was] + 1e-9 * abs(gain[was]):
                 best = was
@@ -139,12 +191,153 @@ def exchange(counts: np.ndarray, classes: int, fixed: int, sweeps: int = 12) ->
     return of
 
 
+class Mover:
+    """Finds words' best classes from the counts of their neighbours' classes, all words at once against the same bigrams ``c``
+    of classes (SIDES x SIDES, the last for words without a class)."""
+
+    SMALL = 32  # gains of counts below are tabled
+
+    def __init__(self, c: np.ndarray):
+        self.c = c
+        self.left, self.right = c.sum(1), c.sum(0)
+        # Of a code (0 to SIDES-1: class before the word; from SIDES: class after it), what count it adds to, for each class of the word.
+        self.cells = np.concatenate([c, c.T])[:, 1:CLASSES]
+        self.table = np.stack([_f(self.cells + m) - _f(self.cells) for m in range(self.SMALL)])
+
+    def best(self, word: np.ndarray, code: np.ndarray, n: np.ndarray, words: int, now: np.ndarray) -> np.ndarray:
+        """Classes 1 to CLASSES-1 of ``words`` words; (word, code, n) are their neighbours, by word; ``now`` are their
+        present classes, REST where they have none. Bigrams of a word with itself count as with its present class. Ties
+        go to the present class, else to the lowest."""
+        out = np.empty(words, np.int64)
+        begins = np.searchsorted(word, np.arange(words + 1))
+        for lo in range(0, words, 4096):
+            hi = min(words, lo + 4096)
+            a, b = begins[lo], begins[hi]
+            w, k, m = word[a:b] - lo, code[a:b], n[a:b]
+            terms = self.table[np.minimum(m, self.SMALL - 1), k]
+            if len(big := np.flatnonzero(m >= self.SMALL)):
+                terms[big] = _f(self.cells[k[big]] + m[big, None]) - _f(self.cells[k[big]])
+            # A word's present class counts without the word: gains there are what leaving it would lose.
+            own = now[lo:hi]
+            at = np.flatnonzero(own[w] < REST)
+            cell = self.cells[k[at], own[w[at]] - 1]
+            terms[at, own[w[at]] - 1] = _f(cell) - _f(np.maximum(cell - m[at], 0))
+            gain = np.zeros((hi - lo, CLASSES - 1))
+            if len(w):
+                some, first = np.unique(w, return_index=True)
+                gain[some] = np.add.reduceat(terms, first, axis=0)
+            for side, whole in ((k < SIDES, self.right), (k >= SIDES, self.left)):
+                times = np.bincount(w[side], weights=m[side], minlength=hi - lo)[:, None]
+                whole = whole[1:CLASSES]
+                add = _f(whole + times) - _f(whole)
+                held = np.flatnonzero(own < REST)
+                sub = whole[own[held] - 1]
+                add[held, own[held] - 1] = _f(sub) - _f(np.maximum(sub - times[held, 0], 0))
+                gain -= add
+            top = gain.argmax(axis=1)
+            stay = np.flatnonzero(own < REST)
+            same = gain[stay, own[stay] - 1] >= gain[stay, top[stay]] - 1e-9 * np.abs(gain[stay, top[stay]])
+            top[stay[same]] = own[stay[same]] - 1
+            out[lo:hi] = top + 1
+        return out
+
+
+def _contexts(packs: DataFrame, sent, only_known: bool) -> DataFrame:
+    """(word, n, around): of each pack's learnt words (those in ``sent``'s dict of classes alone, if ``only_known``) the
+    count, and the neighbours' classes as bytes in turn (code, times)."""
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        classes = sent.value
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                names = _names(row.words)
+                kinds = np.fromiter((classes.get(w, REST) for w in names), np.int64, len(names))
+                numbers, lengths, learn = _numbers(row.tokens).astype(np.int64), _numbers(row.lengths).astype(np.int64), np.array(row.learn, bool)
+                wanted = _numbers(row.trained) > 0
+                if only_known:
+                    wanted &= np.fromiter((w in classes for w in names), bool, len(names))
+                flow = np.insert(kinds[numbers] if len(numbers) else np.empty(0, np.int64), np.cumsum(lengths), 0)
+                place = np.arange(len(numbers)) + np.repeat(np.arange(len(lengths)), lengths)
+                keep = np.repeat(learn, lengths) & (wanted[numbers] if len(numbers) else np.empty(0, bool))
+                who, place = numbers[keep] * (2 * SIDES), place[keep]
+                before = np.where(place > 0, flow[place - 1], 0)
+                codes, times = np.unique(np.concatenate([who + before, who + SIDES + flow[place + 1]]), return_counts=True)
+                if not len(codes):
+                    continue
+                # a count over 255 is several entries
+                parts = -(-times // 255)
+                each = np.full(parts.sum(), 255, np.int64)
+                each[np.cumsum(parts) - 1] = times - 255 * (parts - 1)
+                codes = np.repeat(codes, parts)
+                word = codes // (2 * SIDES)
+                pairs = np.stack([codes % (2 * SIDES), each], axis=1).astype(np.uint8)
+                begins = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+                ends = np.append(begins[1:], len(word))
+                data = pairs.tobytes()
+                found = word[begins]
+                yield pd.DataFrame({"word": [names[i] for i in found.tolist()], "n": _numbers(row.trained)[found].astype(np.int64), "around": [data[2 * i : 2 * j] for i, j in zip(begins.tolist(), ends.tolist(), strict=True)]})
+
+    return packs.select("words", "trained", "tokens", "lengths", "learn").mapInPandas(find, "word binary, n long, around binary")
+
+
+def _placed(contexts: DataFrame, grid: np.ndarray, sent, keep_known: bool) -> DataFrame:
+    """(word, n, cls): each word's class; those in ``sent``'s dict keep theirs if ``keep_known``. Words come sorted, a
+    batch at a time, so a task holds one batch and the rows of one word: as many as there are packs."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mover, classes = Mover(grid), sent.value
+        last: tuple[list, list, list] = ([], [], [])
+
+        def solve(words: list[bytes], n: list[int], around: list[bytes]) -> pa.RecordBatch:
+            names, turn, at = [], np.empty(len(words), np.int64), -1
+            previous = None
+            for i, w in enumerate(words):
+                if w != previous:
+                    names.append(w)
+                    previous, at = w, at + 1
+                turn[i] = at
+            pairs = np.frombuffer(b"".join(around), np.uint8).reshape(-1, 2).astype(np.int64)
+            key = np.repeat(turn, [len(x) // 2 for x in around]) * (2 * SIDES) + pairs[:, 0]
+            codes, back = np.unique(key, return_inverse=True)
+            times = np.bincount(back, weights=pairs[:, 1]).astype(np.int64)
+            now = np.fromiter((classes.get(w, REST) for w in names), np.int64, len(names))
+            cls = mover.best(codes // (2 * SIDES), codes % (2 * SIDES), times, len(names), now)
+            if keep_known:
+                cls = np.where(now < REST, now, cls)
+            total = np.bincount(turn, weights=n, minlength=len(names)).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(total), pa.array(cls.astype(np.int32))], ["word", "n", "cls"])
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            words, n, around = ([*a, *batch.column(c).to_pylist()] for a, c in zip(last, ("word", "n", "around"), strict=True))
+            cut = next((i for i in range(len(words) - 1, -1, -1) if words[i] != words[-1]), -1) + 1  # the last word's rows may go on
+            if cut:
+                yield solve(words[:cut], n[:cut], around[:cut])
+            last = words[cut:], n[cut:], around[cut:]
+        if last[0]:
+            yield solve(*last)
+
+    return contexts.repartition("word").sortWithinPartitions("word").mapInArrow(place, "word binary, n long, cls int")
+
+
+def _top(counts: DataFrame, n: int) -> DataFrame:
+    """The ``n`` words with the highest counts, ties by bytes. Only words whose counts have so many binary digits that ``n``
+    or more words have as many are ranked."""
+    digits = F.floor(F.log2(F.col("n").cast("double"))).cast("int")
+    told = sorted(((r["d"], r["words"]) for r in counts.groupBy(digits.alias("d")).agg(F.count("*").alias("words")).collect()), reverse=True)  # 64 rows at most
+    least, seen = 0, 0
+    for d, words in told:
+        least, seen = d, seen + words
+        if seen >= n:
+            break
+    return counts.where(F.col("n") >= F.lit(1 << max(0, least))).orderBy(F.desc("n"), "word").limit(n)
+
+
 @dataclass
 class ClassModel:
-    """The model's fixed-size part; the words' counts stay in a table."""
+    """The model's fixed-size part; the words' counts and classes stay in a table."""
 
-    heads: dict[bytes, int]
-    of: np.ndarray  # class of each unit
     transitions: np.ndarray  # log10 P(class | class before)
     totals: np.ndarray  # tokens of each class
     kinds: np.ndarray  # different words of each class
@@ -159,17 +352,18 @@ class ClassModel:
     def base(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + SMOOTH) / (self.tokens + SMOOTH * (self.words + 1)))
 
-    def score(self, numbers: np.ndarray, lengths: np.ndarray, counts: np.ndarray, units: np.ndarray) -> pd.DataFrame:
-        """Of each text of a pack: n_tokens, n_known, base_score, score (log10 probabilities of its words and end)."""
+    def score(self, numbers: np.ndarray, lengths: np.ndarray, counts: np.ndarray, classes: np.ndarray) -> pd.DataFrame:
+        """Of each text of a pack, from the counts and classes of the pack's words: n_tokens, n_known, base_score, score
+        (log10 probabilities of its words and end)."""
         n = len(lengths)
         doc = np.repeat(np.arange(n), lengths)
-        cls = self.of[units[numbers]] if len(numbers) else np.empty(0, np.int64)
+        cls = classes[numbers] if len(numbers) else np.empty(0, np.int64)
         first, last = np.cumsum(lengths) - lengths, np.cumsum(lengths) - 1
         some = lengths > 0
         before = np.concatenate([[0], cls[:-1]]) if len(cls) else cls
         before[first[some]] = 0
         c = counts[numbers] if len(numbers) else np.empty(0)
-        word_score = (self.transitions[before, cls] + self.emission(counts, self.of[units])[numbers]) if len(numbers) else c
+        word_score = (self.transitions[before, cls] + self.emission(counts, classes)[numbers]) if len(numbers) else c
         word_base = self.base(counts)[numbers] if len(numbers) else c
         final = np.zeros(n, np.int64)
         final[some] = cls[last[some]]
@@ -185,91 +379,151 @@ def fit_and_score(docs: DataFrame, learn: Column, held: Column, id_col: str = "d
     repeated ids and repeated rows are scored each for itself; other columns are ignored.
     Without rows to learn from every word is unknown. No rows give none.
     """
+    packs = packed(docs, learn, held, id_col, text_col)
+    words = cluster(packs)
+    told = _told(packs, words)
+    return _score(told, _model(told, words))
+
+
+def packed(docs: DataFrame, learn: Column, held: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The table of packs."""
     no = F.lit(False)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"), F.coalesce(learn, no).alias("learn"), F.coalesce(held, no).alias("held"))
-    packs = materialize(rows.mapInPandas(_packs, PACK), "packs")
-    counts, model = _fit(packs)
-    return _score(packs, counts, model)
+    return materialize(rows.mapInPandas(_packs, PACK), "packs", TEXTS)
 
 
-def _fit(packs: DataFrame) -> tuple[DataFrame, ClassModel]:
-    """The table of the learnt words' counts, and the model."""
+def cluster(packs: DataFrame) -> DataFrame:
+    """The table of all words of the packs' learnt texts: (word, n, cls)."""
     spark = packs.sparkSession
 
     def lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for words, trained in zip(pdf["words"], pdf["trained"], strict=True):
-                n, names = _numbers(trained), words.split(b" ") if words else []
+                n, names = _numbers(trained), _names(words)
                 some = np.flatnonzero(n)
                 yield pd.DataFrame({"word": [names[i] for i in some], "n": n[some].astype(np.int64)})
 
     counts = packs.select("words", "trained").mapInPandas(lists, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counts = materialize(counts, "words")
-    whole = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    ends = packs.select(F.coalesce(F.sum(F.size(F.filter("learn", lambda x: x))), F.lit(0))).first()[0]
-    top = counts.orderBy(F.desc("n"), "word").limit(HEADS).collect()
-    heads = {bytes(r["word"]): i for i, r in enumerate(top)}
-    sent = spark.sparkContext.broadcast(heads)
-
-    def bigrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = np.zeros(UNITS * UNITS, np.int64)
-        for pdf in batches:
-            for words, numbers, lengths, learn in zip(pdf["words"], pdf["tokens"], pdf["lengths"], pdf["learn"], strict=True):
-                units = np.append(unit_of(words.split(b" ") if words else [], sent.value), END).astype(np.int64)
-                sizes, learn = _numbers(lengths).astype(np.int64), np.array(learn, bool)
-                flow = np.insert(units[_numbers(numbers)], np.cumsum(sizes), END)
-                keep = np.repeat(learn, sizes + 1)
-                before = np.concatenate([[END], flow[:-1]])
-                seen += np.bincount(before[keep] * UNITS + flow[keep], minlength=UNITS * UNITS)
-        some = np.flatnonzero(seen)
-        yield pd.DataFrame({"pair": some, "n": seen[some]})
+    frequent = [bytes(r["word"]) for r in _top(materialize(counts, "counts"), FREQUENT).collect()]
+    seeds = frequent[:SEEDS]
+    slim = packs.select("words", "tokens", "lengths", "learn")
+
+    numbers = spark.sparkContext.broadcast({w: i for i, w in enumerate(seeds)})
+    rest, end = len(seeds), len(seeds) + 1
+    grid = _grid(slim, lambda row: np.fromiter((numbers.value.get(w, rest) for w in _names(row.words)), np.int64), end + 1, end)
+    of = exchange(grid, CLASSES, {end: 0, rest: REST})
+    classes = dict(zip(seeds, of.tolist(), strict=False))
+    members = np.eye(SIDES)[of]
+    c = members.T @ grid @ members
 
-    pairs = packs.select("words", "tokens", "lengths", "learn").mapInPandas(bigrams, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    found = pairs.toPandas()  # at most UNITS x UNITS rows
-    grid = np.zeros(UNITS * UNITS)
-    grid[found["pair"].to_numpy(np.int64)] = found["n"].to_numpy(float)
-    grid = grid.reshape(UNITS, UNITS)
+    def bigrams(sent) -> np.ndarray:
+        return _grid(slim, lambda row: np.fromiter((sent.value.get(w, REST) for w in _names(row.words)), np.int64), SIDES, 0)
 
-    def by_unit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kinds = np.zeros(UNITS, np.int64)
-        for pdf in batches:
-            kinds += np.bincount(unit_of([bytes(w) for w in pdf["word"]], sent.value), minlength=UNITS)
-        yield pd.DataFrame({"unit": np.arange(UNITS), "n": kinds})
-
-    kinds = np.zeros(UNITS)
-    for r in counts.select("word").mapInPandas(by_unit, "unit int, n long").groupBy("unit").agg(F.sum("n").alias("n")).collect():
-        kinds[r["unit"]] = r["n"]
-    of = exchange(grid, CLASSES, END)
-    members = np.eye(CLASSES)[of]
-    c = members.T @ grid @ members
-    totals = c.sum(0)
-    prior = (totals + 1) / (totals.sum() + CLASSES)
-    transitions = np.log10((c + TRUST * prior) / (c.sum(1, keepdims=True) + TRUST))
-    return counts, ClassModel(heads, of, transitions, totals, kinds @ members, int(whole[0]) + ends, whole[1] + (ends > 0), ends)
+    for _ in range(SWEEPS if len(frequent) > len(seeds) else 0):
+        sent = spark.sparkContext.broadcast(classes | {w: REST for w in frequent if w not in classes})
+        moved = {bytes(r["word"]): r["cls"] for r in _placed(_contexts(packs, sent, True), c, sent, False).collect()}  # FREQUENT rows
+        after = bigrams(spark.sparkContext.broadcast(moved))
+        if likelihood(after) <= likelihood(c):
+            break
+        classes, c = moved, after
+    sent = spark.sparkContext.broadcast(classes)
+    return materialize(_placed(_contexts(packs, sent, False), c, sent, True), "words")
 
 
-def _score(packs: DataFrame, counts: DataFrame, model: ClassModel) -> DataFrame:
+def _told(packs: DataFrame, words: DataFrame) -> DataFrame:
+    """The packs with their words' counts (0: not learnt) and classes in place of the words."""
     spark = packs.sparkSession
-    sent = spark.sparkContext.broadcast(model)
+    seen = words.groupBy(F.pmod(F.crc32(F.substring("word", -3, 3)), F.lit(ENDINGS)).alias("end"), "cls").agg(F.count("*").alias("n")).collect()  # ENDINGS x CLASSES rows at most
+    kinds = np.zeros((ENDINGS, CLASSES))
+    for r in seen:
+        kinds[r["end"], r["cls"]] = r["n"]
+    kinds[:, 0] = 0
+    general = kinds.sum(0)[1:].argmax() + 1
+    unseen = np.where(kinds.any(axis=1), kinds.argmax(axis=1), general).astype(np.int64)
+    common = {bytes(r["word"]): (r["n"], r["cls"]) for r in _top(words, COMMON).collect()}
+    sent = spark.sparkContext.broadcast((common, unseen))
 
     def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = sent.value[0]
         for pdf in batches:
-            for pack, words in zip(pdf["pack"], pdf["words"], strict=True):
-                names = words.split(b" ") if words else []
-                yield pd.DataFrame({"pack": np.full(len(names), pack), "at": np.arange(len(names), dtype=np.int32), "word": names, "unit": unit_of(names, sent.value.heads)})
+            for pack, data in zip(pdf["pack"], pdf["words"], strict=True):
+                names = _names(data)
+                at = [i for i, w in enumerate(names) if w not in known]
+                yield pd.DataFrame({"pack": np.full(len(at), pack), "at": np.array(at, np.int32), "word": [names[i] for i in at]})
 
-    wanted = packs.select("pack", "words").mapInPandas(asked, "pack long, at int, word binary, unit short")
-    answers = wanted.join(counts, "word", "left").select("pack", "at", "unit", F.coalesce("n", F.lit(0)).alias("n"))
+    wanted = packs.select("pack", "words").mapInPandas(asked, "pack long, at int, word binary")
+    answers = wanted.join(words, "word").select("pack", "at", (F.col("n") * CLASSES + F.col("cls")).alias("said"))
 
-    def judge(pack: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+    def fill(pack: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        known, endings = sent.value
         out = []
         for row in pack.itertuples():
-            size = len(found)
-            n, units = np.zeros(size), np.zeros(size, np.int16)
-            n[found["at"]], units[found["at"]] = found["n"], found["unit"]
-            scores = sent.value.score(_numbers(row.tokens), _numbers(row.lengths).astype(np.int64), n, units)
-            out.append(scores.assign(id=pd.array(list(row.ids), "Int64"), held=np.array(row.held, bool), train_tokens=sent.value.tokens))
-        return pd.concat(out) if out else pd.DataFrame({k: [] for k in ("id", "held", "n_tokens", "n_known", "train_tokens", "base_score", "score")})
-
-    kept = packs.select("pack", "tokens", "lengths", "ids", "held")
-    return kept.groupBy("pack").cogroup(answers.groupBy("pack")).applyInPandas(judge, "id long, held boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+            names = _names(row.words)
+            n, cls = np.zeros(len(names), np.int64), np.full(len(names), -1, np.int64)
+            for i, w in enumerate(names):
+                if w in known:
+                    n[i], cls[i] = known[w]
+            at, said = found["at"].to_numpy(), found["said"].to_numpy(np.int64)
+            n[at], cls[at] = said // CLASSES, said % CLASSES
+            for i in np.flatnonzero(cls < 0).tolist():
+                cls[i] = endings[ending(names[i])]
+            out.append({"counts": n.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes(), "classes": cls.astype(np.uint8).tobytes(), "tokens": row.tokens, "lengths": row.lengths, "ids": row.ids, "learn": row.learn, "held": row.held})
+        return pd.DataFrame(out, columns=["counts", "classes", "tokens", "lengths", "ids", "learn", "held"])
+
+    kept = packs.select("pack", "words", "tokens", "lengths", "ids", "learn", "held")
+    both = kept.groupBy("pack").cogroup(answers.groupBy("pack"))
+    return materialize(both.applyInPandas(fill, "counts binary, classes binary, tokens binary, lengths binary, ids array<long>, learn array<boolean>, held array<boolean>"), "told")
+
+
+def _longs(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
+def _transitions(told: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """How often each class follows each in the learnt texts, and the part of it that teaches: a word seen n times has chosen
+    its class by each of its places to 1/n, so a bigram counts less by that share of its rarer word."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen, taught = np.zeros(CLASSES * CLASSES, np.int64), np.zeros(CLASSES * CLASSES)
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                lengths, learn, numbers = _numbers(row.lengths).astype(np.int64), np.array(row.learn, bool), _numbers(row.tokens)
+                a, b = _flow(np.frombuffer(row.classes, np.uint8).astype(np.int64), numbers, lengths, learn, 0)
+                share = (WEIGHT - WEIGHT // np.maximum(_longs(row.counts), 1)).astype(np.int64)
+                own = np.minimum(*_flow(share, numbers, lengths, learn, WEIGHT))
+                seen += np.bincount(a * CLASSES + b, minlength=CLASSES * CLASSES)
+                taught += np.bincount(a * CLASSES + b, weights=own, minlength=CLASSES * CLASSES)  # whole numbers far below 2**53
+        some = np.flatnonzero(seen)
+        yield pd.DataFrame({"pair": some, "n": seen[some], "taught": taught[some].astype(np.int64)})
+
+    found = told.select("classes", "counts", "tokens", "lengths", "learn").mapInPandas(count, "pair long, n long, taught long").groupBy("pair").agg(F.sum("n").alias("n"), F.sum("taught").alias("taught")).toPandas()
+    out = np.zeros((2, CLASSES * CLASSES))
+    out[:, found["pair"].to_numpy(np.int64)] = found["n"].to_numpy(float), found["taught"].to_numpy(float) / WEIGHT
+    return out[0].reshape(CLASSES, CLASSES), out[1].reshape(CLASSES, CLASSES)
+
+
+def _model(told: DataFrame, words: DataFrame) -> ClassModel:
+    c, taught = _transitions(told)
+    kinds, whole = np.zeros(CLASSES), 0
+    for r in words.groupBy("cls").agg(F.count("*").alias("words"), F.sum("n").alias("n")).collect():
+        kinds[r["cls"]] = r["words"]
+        whole += r["n"]
+    ends = int(c[:, 0].sum())
+    kinds[0] += ends > 0
+    totals = c.sum(0)
+    prior = (totals + 1) / (totals.sum() + CLASSES)
+    loose = (c - taught).sum(1, keepdims=True) + TRUST  # goes to the classes as they are without a class before them
+    transitions = np.log10((taught + loose * prior) / (c.sum(1, keepdims=True) + TRUST))
+    return ClassModel(transitions, totals, kinds, whole + ends, int(kinds.sum()), ends)
+
+
+def _score(told: DataFrame, model: ClassModel) -> DataFrame:
+    sent = told.sparkSession.sparkContext.broadcast(model)
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                scores = sent.value.score(_numbers(row.tokens), _numbers(row.lengths).astype(np.int64), _longs(row.counts).astype(float), np.frombuffer(row.classes, np.uint8).astype(np.int64))
+                yield scores.assign(id=pd.array(list(row.ids), "Int64"), held=np.array(row.held, bool), train_tokens=sent.value.tokens)
+
+    return told.mapInPandas(judge, "id long, held boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

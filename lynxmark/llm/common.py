@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,13 +22,18 @@ _scratch: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """A folder of this application that the driver and all executors see.
 
-    It lies in the folder that the cluster names in ``spark.checkpoint.dir``; only where
-    that is unset, as in local tests, a temporary folder is taken. It is removed when the
-    application ends.
+    It lies in the folder that the cluster names in ``spark.checkpoint.dir``. Only where that
+    is unset and the master is a local one, as in tests, a temporary folder is taken; on a
+    cluster each executor would write to its own, so there an unset folder is an error. It is
+    removed when the application ends.
     """
     app = spark.sparkContext.applicationId
     if app not in _scratch:
-        base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='lynxmark-')}"
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            base = f"file://{tempfile.mkdtemp(prefix='lynxmark-')}"
         _scratch[app] = f"{base.rstrip('/')}/lynxmark-{app}-{uuid.uuid4().hex[:8]}"
         atexit.register(_remove, spark, _scratch[app])
     return _scratch[app]
@@ -46,22 +54,42 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def materialize(df: DataFrame, name: str = "step") -> DataFrame:
+def materialize(df: DataFrame, name: str = "step", batch: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage.
 
     Lost executors cost nothing afterwards: the table is read again from shared storage.
+    ``batch``: the most rows that a Python worker gets at a time while it is written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:10]}"
-    df.write.option("compression", "zstd").parquet(path)
+    with batches_of(spark, batch):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 200) -> None:
-    """Send texts to Python workers a few hundred at a time, so that a worker holds a few MB of them, unless the session already asks for less."""
+#: Texts go to Python workers so many at a time, a few MB.
+TEXTS = 200
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int | None) -> Iterator[None]:
+    """Jobs that run inside send ``rows`` rows at most to a Python worker at a time; afterwards the session's own number holds again."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
+    before = spark.conf.get(key)
+    if rows and not 0 < int(before) <= rows:
         spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """For applications that return texts unsaved: from now on the session sends Python workers ``TEXTS`` rows at most at a
+    time. No operator and no query calls this."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= TEXTS:
+        spark.conf.set(key, str(TEXTS))
 
 
 def with_uid(df: DataFrame, name: str = "uid") -> DataFrame:
@@ -74,17 +102,18 @@ def crc_fold(doc_id, mod: int):
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(mod))
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", batch: int | None = None) -> DataFrame:
     """Components of an undirected graph of bigint nodes: rows (node, root), root < node.
 
     Alternating large-star and small-star rounds. Each round is two aggregations with
     map-side combining and two equi-joins against one row per node, so a hub with a third
     of the edges is split by the skew-join rule and never meets in one task. Every round is
     written to the shared folder. Roots and nodes without links have no row; links of a
-    node to itself and null ends are ignored; no edges give no rows.
+    node to itself and null ends are ignored; no edges give no rows. ``batch`` is that of
+    ``materialize`` while ``edges`` are computed.
     """
     e = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    e, before = materialize(e, "links"), None
+    e, before = materialize(e, "links", batch), None
     while True:
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now[0] == 0 or now == before:

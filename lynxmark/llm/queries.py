@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lynxmark.llm import fingerprints as sketches
 from lynxmark.llm import brown, langid
 from lynxmark.llm.bpe import Codec
-from lynxmark.llm.common import crc_fold, small_batches
+from lynxmark.llm.common import TEXTS, crc_fold, materialize
 from lynxmark.llm.mixing import Mix
 from lynxmark.llm.secret_scan import KINDS, SecretModel, find_secrets, listed, samples
 from lynxmark.llm.simhash import near_duplicates
@@ -34,13 +34,11 @@ def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     found = near_duplicates(_table(spark, sf_dir, "documents"), width=3, radius=2)
     return found.select("doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op4_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     fold = crc_fold(F.col("doc_id"), 10)
     scored = brown.fit_and_score(_table(spark, sf_dir, "documents"), fold != 0, fold == 0)
     perplexity = F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))
@@ -57,23 +55,22 @@ def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     codec = Codec(spark, public_tokenizers.path("word_bpe_49k.json"))
     both = _table(spark, sf_dir, "documents").select("doc_id", codec.round_trip(F.col("text")).alias("both")).select("doc_id", "both.ids", "both.decoded")
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    told = both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return materialize(told, "bpe", TEXTS)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     fold = crc_fold(F.col("doc_id"), 4)
     found = langid.predict(docs.select("doc_id", "text"), langid.train(docs, fold != 2), out="found")
-    return found.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"))
+    told = found.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"))
+    return materialize(told, "languages", TEXTS)
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents with repeated passages; all others have none."""
-    small_batches(spark)
     found = repeated_passages(_table(spark, sf_dir, "documents"))
     sizes = F.transform("spans", lambda s: s["high"] - s["low"])
     told = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["low"].cast("string"), s["high"].cast("string"))), ",")
@@ -81,10 +78,9 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str, limit: int = 4096) -> DataFrame:
-    small_batches(spark)
     counter = TokenCounter(spark, public_tokenizers.path("piece_bpe_32k.model"))
     counted = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), counter.count(F.col("text")).alias("n_tokens"))
-    return counted.withColumn("over_limit", F.col("n_tokens") > limit)
+    return materialize(counted.withColumn("over_limit", F.col("n_tokens") > limit), "counted", TEXTS)
 
 
 def _is_kind(kind: int, secret: Column) -> Column:

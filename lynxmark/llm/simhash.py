@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from lynxmark.llm.common import connected_components, materialize, with_uid
+from lynxmark.llm.common import TEXTS, connected_components, materialize, with_uid
 
 BYTES, KEPT = 8, 6
 #: Of each kind of shard, the bits on which its fingerprints agree.
@@ -185,7 +185,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids stay as they are; other columns are ignored, whatever their names; no rows give none.
     """
     own = docs.select(F.col(id_col).alias("id"), simhash_column(F.col(text_col), width).alias("fp"))
-    own = materialize(own, "simhash")
+    own = materialize(own, "simhash", TEXTS)
     fps = own.groupBy("fp").agg(F.min("id").alias("first"))
     roots = connected_components(fingerprint_links(fps.select("fp"), radius))
     placed = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
@@ -326,7 +326,7 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     every pair of the shard does. Texts without words are similar to each other alone.
     Repeated rows are copies like others; all columns stay as they are; no rows give none.
     """
-    rows = materialize(with_uid(docs, "_sim_uid").withColumn("_sim", _features(width)(F.col(text_col).cast("binary"))), "similar")
+    rows = materialize(with_uid(docs, "_sim_uid").withColumn("_sim", _features(width)(F.col(text_col).cast("binary"))), "similar", TEXTS)
     own = rows.select("_sim_uid", F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), "_sim.*")
     # Copies of one text are one node, named after one of them.
     nodes = own.groupBy("hash", "fp").agg(F.min("_sim_uid").alias("node"), F.min_by("least", "_sim_uid").alias("least"), F.min_by("size", "_sim_uid").alias("size"))
@@ -343,7 +343,7 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = rows.select(F.col("_sim_uid").alias("node"), F.col(text_col).cast("binary").alias("text")).join(wanted, "node")
     sets = texts.select("node", "fp", "keys", _shingle_sets(width)("text").alias("hashes"))
     dealt = sets.select(F.explode("keys").alias("key"), "node", "fp", "hashes").repartition("key").sortWithinPartitions("key", "fp", "node")
-    roots = connected_components(dealt.mapInPandas(_similar(radius, similarity), "a long, b long"))
+    roots = connected_components(dealt.mapInPandas(_similar(radius, similarity), "a long, b long"), batch=TEXTS)
     placed = nodes.select("hash", "fp", "node").join(roots, "node", "left").select("hash", "fp", F.coalesce("root", "node").alias("root"))
     member = own.select("_sim_uid", "id", "hash", "fp").join(placed, ["hash", "fp"])
     best = member.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "_sim_uid")).alias("best")).select(F.col("best._sim_uid").alias("_sim_uid"))

@@ -73,24 +73,97 @@ def test_exchange_finds_planted_classes():
         grid[a, rng.choice(np.flatnonzero(kind == (kind[a] + 1) % 4))] += 1
     grid[40, :40] += 5
     grid[:40, 40] += 5
-    of = brown.exchange(grid, 5, 40)
+    of = brown.exchange(grid, 5, {40: 0})
     assert of[40] == 0 and (of[:40] > 0).all() and len({(k, c) for k, c in zip(kind, of[:40], strict=True)}) == 4
 
 
+def test_words_move_to_the_likeliest_class():
+    rng = np.random.default_rng(5)
+    c = rng.integers(1, 60, (brown.SIDES, brown.SIDES)).astype(float)
+    words, codes, times, now = [], [], [], []
+    for w in range(12):
+        now.append(brown.REST if w % 3 else 1 + w)
+        for code in sorted(rng.choice(2 * brown.SIDES, rng.integers(0, 9), replace=False).tolist()):
+            words.append(w), codes.append(code), times.append(int(rng.choice([1, 2, 40])))
+    for w, code, n in zip(words, codes, times, strict=True):  # a present member's counts are among its class's own
+        if now[w] < brown.REST:
+            c[(code, now[w]) if code < brown.SIDES else (now[w], code - brown.SIDES)] += n
+    got = brown.Mover(c).best(np.array(words), np.array(codes), np.array(times), 12, np.array(now))
+    for w in range(12):
+        around = [(k, n) for x, k, n in zip(words, codes, times, strict=True) if x == w]
+        gains = {k: _cellwise(c, around, k, now[w]) for k in range(1, brown.CLASSES)}
+        assert gains[int(got[w])] == pytest.approx(max(gains.values()), abs=1e-6)
+
+
+def _cellwise(c, around, k, now):
+    """The gain of one class, cell by cell and with the class's own two sums, by plain arithmetic."""
+    f = lambda x: x * math.log(x) if x > 0 else 0.0
+    change = (lambda x, n: f(x) - f(x - n)) if k == now else (lambda x, n: f(x + n) - f(x))
+    total = sum(change(c[code, k] if code < brown.SIDES else c[k, code - brown.SIDES], n) for code, n in around)
+    left, right = sum(n for code, n in around if code >= brown.SIDES), sum(n for code, n in around if code < brown.SIDES)
+    return total - change(c[k].sum(), left) - change(c[:, k].sum(), right)
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_scores_follow_from_the_classes(spark, monkeypatch, small):
+    """Every learnt word has a class, and scores are those of a plain model of these classes; with few seeds, frequent and
+    common words each step has words to place."""
+    if small:
+        for name, n in (("SEEDS", 30), ("FREQUENT", 200), ("COMMON", 50), ("PACK_BYTES", 40_000)):
+            monkeypatch.setattr(brown, name, n)
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(10))
+    packs = brown.packed(spark.read.parquet(f"{SF}/documents.parquet"), fold != 0, fold == 0)
+    words = brown.cluster(packs)
+    told = brown._told(packs, words)
+    scored = {r.id: r for r in brown._score(told, brown._model(told, words)).collect()}
+    table = {bytes(r.word): (r.n, r.cls) for r in words.collect()}
+    texts = given(spark)
+    tokens = {k: t.encode().lower().split() for k, t in texts.items()}
+    learnt = [k for k in texts if zlib.crc32(str(k).encode()) % 10]
+    assert {w: n for w, (n, _) in table.items()} == Counter(w for k in learnt for w in tokens[k])
+    assert len({c for _, c in table.values()}) > 20 and all(0 < c < brown.CLASSES for _, c in table.values())
+    groups = Counter((brown.ending(w), c) for w, (_, c) in table.items())
+    kinds = Counter(c for _, c in table.values())
+
+    def class_of(w):
+        if w in table:
+            return table[w][1]
+        own = {c: n for (e, c), n in groups.items() if e == brown.ending(w)} or kinds
+        return min(c for c, n in own.items() if n == max(own.values()))
+
+    flows = {k: [0, *map(class_of, ws), 0] for k, ws in tokens.items()}
+    own = lambda w: 1 if w is None else (65536 - 65536 // table[w][0]) / 65536
+    taught, after, before, loose = Counter(), Counter(), Counter(), Counter()
+    for k in learnt:
+        ws = [None, *tokens[k], None]
+        for a, b, x, y in zip(flows[k], flows[k][1:], ws, ws[1:]):
+            before[a] += 1
+            after[b] += 1
+            taught[a, b] += min(own(x), own(y))
+            loose[a] += 1 - min(own(x), own(y))
+    kinds[0] = 1
+    whole = sum(after.values())
+    for k, ws in tokens.items():
+        total = 0.0
+        for a, b, w in zip(flows[k], flows[k][1:], [*ws, None]):
+            prior = (after[b] + 1) / (whole + brown.CLASSES)
+            total += math.log10((taught[a, b] + (loose[a] + brown.TRUST) * prior) / (before[a] + brown.TRUST))
+            if w is not None:
+                total += math.log10((table.get(w, (0, 0))[0] + brown.SMOOTH) / (after[b] + brown.SMOOTH * (kinds[b] + 1)))
+        assert scored[k].score == pytest.approx(total, rel=1e-9)
+
+
 def test_class_model_is_a_distribution():
     """Of one history all words' and the unseen word's probabilities sum to 1."""
-    heads = {b"a": 0, b"b": 1}
-    of = np.zeros(brown.UNITS, np.int64)
-    of[:brown.END] = 1 + np.arange(brown.END) % (brown.CLASSES - 1)
-    counts = {b"a": 5, b"b": 3, b"cc": 2, b"dd": 1}
-    units = brown.unit_of(list(counts), heads).astype(np.int64)
+    classes = np.array([1, 2, 2, 5])
+    counts = np.array([5.0, 3, 2, 1])
     totals, kinds = np.zeros(brown.CLASSES), np.zeros(brown.CLASSES)
-    np.add.at(totals, of[units], list(counts.values()))
-    np.add.at(kinds, of[units], 1)
+    np.add.at(totals, classes, counts)
+    np.add.at(kinds, classes, 1)
     totals[0], kinds[0] = 4, 1
-    model = brown.ClassModel(heads, of, np.log10(np.full((brown.CLASSES, brown.CLASSES), 1 / brown.CLASSES)), totals, kinds, 15, 5, 4)
+    model = brown.ClassModel(np.log10(np.full((brown.CLASSES, brown.CLASSES), 1 / brown.CLASSES)), totals, kinds, 15, 5, 4)
     for c in range(brown.CLASSES):
-        seen = [n for (w, n), u in zip(counts.items(), units, strict=True) if of[u] == c] + ([4] if c == 0 else [])
+        seen = counts[classes == c].tolist() + ([4] if c == 0 else [])
         assert sum(10.0 ** model.emission(np.array([*seen, 0.0]), np.full(len(seen) + 1, c))) == pytest.approx(1.0)
 
 
