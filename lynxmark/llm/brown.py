@@ -26,13 +26,15 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lynxmark.llm.common import TEXTS, materialize
 
-PACK_BYTES = 16 << 20
+PACK_BYTES = 8 << 20
+ROWS = 50_000  # words of a pack that leave a worker at a time
 #: Words that are clustered one at a time, words moved next, words whose counts are broadcast.
 SEEDS, FREQUENT, COMMON = 510, 8192, 1 << 16
 SWEEPS = 2
@@ -44,17 +46,44 @@ SMOOTH, TRUST = 0.1, 20.0
 WEIGHT = 1 << 16
 
 
-class _Numbers(dict):
-    """Numbers words as they come."""
+#: ASCII white space.
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        return n
 
+def _binary(data: np.ndarray, offsets: np.ndarray) -> pa.BinaryArray:
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
-def tokens(text: bytes) -> list[bytes]:
-    """Words of a UTF-8 text, A-Z lower-cased, split at ASCII white space."""
-    return text.lower().split()
+
+def tokens(texts: list[bytes]) -> tuple[pa.BinaryArray, np.ndarray]:
+    """Words of UTF-8 texts, A-Z lower-cased, split at ASCII white space, and how many each text has."""
+    raw = np.frombuffer(b" ".join(x.lower() for x in texts), np.uint8)
+    space = _SPACE[raw]
+    edge = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
+    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    stops = np.cumsum([len(x) + 1 for x in texts])
+    return _binary(raw[~space], np.concatenate([[0], np.cumsum(ends - starts)])), np.diff(np.searchsorted(starts, stops), prepend=0)
+
+
+def _names(words: bytes) -> pa.BinaryArray:
+    """A pack's words, from their list in one text."""
+    if not words:
+        return pa.array([], pa.binary())
+    raw = np.frombuffer(words, np.uint8)
+    cuts = np.flatnonzero(raw == 32)
+    return _binary(raw[raw != 32], np.concatenate([[0], cuts - np.arange(len(cuts)), [len(raw) - len(cuts)]]))
+
+
+class Known:
+    """A bounded set of words with a number each."""
+
+    def __init__(self, numbers: dict[bytes, int]):
+        self.words, self.numbers = list(numbers), np.array(list(numbers.values()), np.int64)
+
+    def of(self, names: pa.BinaryArray, other: int) -> np.ndarray:
+        """The words' numbers; ``other`` for words not in the set."""
+        at = pc.index_in(names, value_set=pa.array(self.words, pa.binary())).fill_null(-1).to_numpy(zero_copy_only=False)
+        return np.append(self.numbers, other)[at]
 
 
 def ending(word: bytes) -> int:
@@ -70,40 +99,33 @@ def _numbers(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
-def _names(words: bytes) -> list[bytes]:
-    return words.split(b" ") if words else []
-
-
 PACK = "pack long, words binary, trained binary, tokens binary, lengths binary, ids array<long>, learn array<boolean>, held array<boolean>"
 
 
 def _packs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     part, n = TaskContext.get().partitionId(), 0
-    known, rows, trained, texts, size = _Numbers(), [], [], [], 0
+    rows, texts, size = [], [], 0
 
     def close() -> pd.DataFrame:
-        counts = np.zeros(len(known), np.uint32)
-        for t in trained:
-            np.add.at(counts, t, 1)
+        words, lengths = tokens(texts)
+        coded = words.dictionary_encode()
+        numbers = coded.indices.to_numpy().astype(np.uint32)
         ids, learn, held = (list(x) for x in zip(*rows, strict=True))
+        counts = np.bincount(numbers[np.repeat(learn, lengths)], minlength=len(coded.dictionary))
         return pd.DataFrame({
-            "pack": [part << 32 | n], "words": [b" ".join(known)], "trained": [_planes(counts)], "tokens": [_planes(np.concatenate(texts))],
-            "lengths": [_planes(np.array([len(t) for t in texts]))], "ids": [ids], "learn": [learn], "held": [held],
+            "pack": [part << 32 | n], "words": [b" ".join(coded.dictionary.to_pylist())], "trained": [_planes(counts)], "tokens": [_planes(numbers)],
+            "lengths": [_planes(lengths)], "ids": [ids], "learn": [learn], "held": [held],
         })
 
     for pdf in batches:
         for doc_id, text, learn, held in zip(pdf["id"], pdf["text"], pdf["learn"], pdf["held"], strict=True):
-            words = tokens(text or b"")
-            numbers = np.fromiter(map(known.__getitem__, words), np.uint32, len(words))
-            texts.append(numbers)
+            texts.append(text or b"")
             rows.append((None if pd.isna(doc_id) else int(doc_id), bool(learn), bool(held)))
-            if learn:
-                trained.append(numbers)
-            size += len(text or b"")
+            size += len(texts[-1])
             if size >= PACK_BYTES or len(rows) >= 100_000:
                 yield close()
                 n += 1
-                known, rows, trained, texts, size = _Numbers(), [], [], [], 0
+                rows, texts, size = [], [], 0
     if rows:
         yield close()
 
@@ -243,41 +265,43 @@ class Mover:
 
 
 def _contexts(packs: DataFrame, sent, only_known: bool) -> DataFrame:
-    """(word, n, around): of each pack's learnt words (those in ``sent``'s dict of classes alone, if ``only_known``) the
-    count, and the neighbours' classes as bytes in turn (code, times)."""
+    """(word, n, around): of each pack's learnt words (those that ``sent`` knows alone, if ``only_known``) the count, and the
+    neighbours' classes as bytes in turn (code, times)."""
 
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        classes = sent.value
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                names = _names(row.words)
-                kinds = np.fromiter((classes.get(w, REST) for w in names), np.int64, len(names))
-                numbers, lengths, learn = _numbers(row.tokens).astype(np.int64), _numbers(row.lengths).astype(np.int64), np.array(row.learn, bool)
-                wanted = _numbers(row.trained) > 0
-                if only_known:
-                    wanted &= np.fromiter((w in classes for w in names), bool, len(names))
-                flow = np.insert(kinds[numbers] if len(numbers) else np.empty(0, np.int64), np.cumsum(lengths), 0)
-                place = np.arange(len(numbers)) + np.repeat(np.arange(len(lengths)), lengths)
-                keep = np.repeat(learn, lengths) & (wanted[numbers] if len(numbers) else np.empty(0, bool))
-                who, place = numbers[keep] * (2 * SIDES), place[keep]
-                before = np.where(place > 0, flow[place - 1], 0)
-                codes, times = np.unique(np.concatenate([who + before, who + SIDES + flow[place + 1]]), return_counts=True)
-                if not len(codes):
-                    continue
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                names = _names(row["words"])
+                kinds = sent.value.of(names, -1)
+                numbers, lengths, learn = _numbers(row["tokens"]), _numbers(row["lengths"]).astype(np.int64), np.array(row["learn"], bool)
+                trained = _numbers(row["trained"])
+                wanted = (trained > 0) & (kinds >= 0 if only_known else True)
+                kinds = np.where(kinds < 0, REST, kinds)
+                codes, times = around(kinds, numbers, lengths, np.repeat(learn, lengths) & (wanted[numbers] if len(numbers) else np.empty(0, bool)))
                 # a count over 255 is several entries
                 parts = -(-times // 255)
                 each = np.full(parts.sum(), 255, np.int64)
                 each[np.cumsum(parts) - 1] = times - 255 * (parts - 1)
                 codes = np.repeat(codes, parts)
                 word = codes // (2 * SIDES)
-                pairs = np.stack([codes % (2 * SIDES), each], axis=1).astype(np.uint8)
-                begins = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-                ends = np.append(begins[1:], len(word))
-                data = pairs.tobytes()
-                found = word[begins]
-                yield pd.DataFrame({"word": [names[i] for i in found.tolist()], "n": _numbers(row.trained)[found].astype(np.int64), "around": [data[2 * i : 2 * j] for i, j in zip(begins.tolist(), ends.tolist(), strict=True)]})
-
-    return packs.select("words", "trained", "tokens", "lengths", "learn").mapInPandas(find, "word binary, n long, around binary")
+                data = np.stack([codes % (2 * SIDES), each], axis=1).astype(np.uint8).ravel()
+                begins = np.flatnonzero(np.diff(word, prepend=-1))
+                bounds = np.append(begins, len(word))
+                for i in range(0, len(begins), ROWS):
+                    some, cut = word[begins[i : i + ROWS]], bounds[i : i + ROWS + 1]
+                    own = _binary(data[2 * cut[0] : 2 * cut[-1]], 2 * (cut - cut[0]))
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(some)), pa.array(trained[some].astype(np.int64)), own], ["word", "n", "around"])
+
+    def around(kinds: np.ndarray, numbers: np.ndarray, lengths: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What stands before and after the kept tokens: (word number * 2 SIDES + code, times), ascending."""
+        flow = np.insert(kinds[numbers].astype(np.uint8) if len(numbers) else np.empty(0, np.uint8), np.cumsum(lengths), 0)
+        place = (np.arange(len(numbers)) + np.repeat(np.arange(len(lengths)), lengths))[keep]
+        who = numbers[keep].astype(np.uint32 if len(kinds) < 1 << 25 else np.uint64) * (2 * SIDES)
+        before = np.where(place > 0, flow[place - 1], 0).astype(np.uint8)
+        codes, times = np.unique(np.concatenate([who + before, who + SIDES + flow[place + 1]]), return_counts=True)
+        return codes.astype(np.int64), times
+
+    return packs.select("words", "trained", "tokens", "lengths", "learn").mapInArrow(find, "word binary, n long, around binary")
 
 
 def _placed(contexts: DataFrame, grid: np.ndarray, sent, keep_known: bool) -> DataFrame:
@@ -285,38 +309,43 @@ def _placed(contexts: DataFrame, grid: np.ndarray, sent, keep_known: bool) -> Da
     batch at a time, so a task holds one batch and the rows of one word: as many as there are packs."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mover, classes = Mover(grid), sent.value
-        last: tuple[list, list, list] = ([], [], [])
-
-        def solve(words: list[bytes], n: list[int], around: list[bytes]) -> pa.RecordBatch:
-            names, turn, at = [], np.empty(len(words), np.int64), -1
-            previous = None
-            for i, w in enumerate(words):
-                if w != previous:
-                    names.append(w)
-                    previous, at = w, at + 1
-                turn[i] = at
-            pairs = np.frombuffer(b"".join(around), np.uint8).reshape(-1, 2).astype(np.int64)
-            key = np.repeat(turn, [len(x) // 2 for x in around]) * (2 * SIDES) + pairs[:, 0]
-            codes, back = np.unique(key, return_inverse=True)
-            times = np.bincount(back, weights=pairs[:, 1]).astype(np.int64)
-            now = np.fromiter((classes.get(w, REST) for w in names), np.int64, len(names))
-            cls = mover.best(codes // (2 * SIDES), codes % (2 * SIDES), times, len(names), now)
-            if keep_known:
-                cls = np.where(now < REST, now, cls)
-            total = np.bincount(turn, weights=n, minlength=len(names)).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(total), pa.array(cls.astype(np.int32))], ["word", "n", "cls"])
-
+        mover = Mover(grid)
+
+        def solve(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            for batch in rows.combine_chunks().to_batches():
+                words, around = batch.column("word"), batch.column("around")
+                new = np.concatenate([[True], pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False)])
+                names, turn = words.filter(pa.array(new)), np.cumsum(new) - 1
+                cuts = np.frombuffer(around.buffers()[1], np.int32)[around.offset : around.offset + len(around) + 1]
+                pairs = np.frombuffer(around.buffers()[2], np.uint8)[cuts[0] : cuts[-1]].reshape(-1, 2).astype(np.int64)
+                codes, back = np.unique(np.repeat(turn, np.diff(cuts) // 2) * (2 * SIDES) + pairs[:, 0], return_inverse=True)
+                times = np.bincount(back, weights=pairs[:, 1]).astype(np.int64)
+                now = sent.value.of(names, REST)
+                cls = mover.best(codes // (2 * SIDES), codes % (2 * SIDES), times, len(names), now)
+                if keep_known:
+                    cls = np.where(now < REST, now, cls)
+                total = np.bincount(turn, weights=batch.column("n").to_numpy(), minlength=len(names)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([names, pa.array(total), pa.array(cls.astype(np.int32))], ["word", "n", "cls"])
+
+        held: pa.Table | None = None
         for batch in batches:
             if not len(batch):
                 continue
-            words, n, around = ([*a, *batch.column(c).to_pylist()] for a, c in zip(last, ("word", "n", "around"), strict=True))
-            cut = next((i for i in range(len(words) - 1, -1, -1) if words[i] != words[-1]), -1) + 1  # the last word's rows may go on
-            if cut:
-                yield solve(words[:cut], n[:cut], around[:cut])
-            last = words[cut:], n[cut:], around[cut:]
-        if last[0]:
-            yield solve(*last)
+            new = pa.Table.from_batches([batch])
+            held = new if held is None else pa.concat_tables([held, new])
+            words = new.column("word").combine_chunks()
+            same = pc.equal(words, words[-1]).to_numpy(zero_copy_only=False)  # the last word's rows may go on
+            if not same.all():
+                keep = int(same.argmax())
+                cut = len(held) - len(new) + keep
+                yield from solve(held.slice(0, cut))
+                held = held.slice(cut)
+            elif len(held) > len(new) and held.column("word")[0].as_py() != words[0].as_py():
+                cut = len(held) - len(new)
+                yield from solve(held.slice(0, cut))
+                held = new
+        if held is not None:
+            yield from solve(held)
 
     return contexts.repartition("word").sortWithinPartitions("word").mapInArrow(place, "word binary, n long, cls int")
 
@@ -396,37 +425,39 @@ def cluster(packs: DataFrame) -> DataFrame:
     """The table of all words of the packs' learnt texts: (word, n, cls)."""
     spark = packs.sparkSession
 
-    def lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for words, trained in zip(pdf["words"], pdf["trained"], strict=True):
-                n, names = _numbers(trained), _names(words)
-                some = np.flatnonzero(n)
-                yield pd.DataFrame({"word": [names[i] for i in some], "n": n[some].astype(np.int64)})
-
-    counts = packs.select("words", "trained").mapInPandas(lists, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                n, names = _numbers(row["trained"]), _names(row["words"])
+                learnt = np.flatnonzero(n)
+                for i in range(0, len(learnt), ROWS):
+                    some = learnt[i : i + ROWS]
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(some)), pa.array(n[some].astype(np.int64))], ["word", "n"])
+
+    counts = packs.select("words", "trained").mapInArrow(lists, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     frequent = [bytes(r["word"]) for r in _top(materialize(counts, "counts"), FREQUENT).collect()]
     seeds = frequent[:SEEDS]
     slim = packs.select("words", "tokens", "lengths", "learn")
 
-    numbers = spark.sparkContext.broadcast({w: i for i, w in enumerate(seeds)})
+    numbers = spark.sparkContext.broadcast(Known({w: i for i, w in enumerate(seeds)}))
     rest, end = len(seeds), len(seeds) + 1
-    grid = _grid(slim, lambda row: np.fromiter((numbers.value.get(w, rest) for w in _names(row.words)), np.int64), end + 1, end)
+    grid = _grid(slim, lambda row: numbers.value.of(_names(row.words), rest), end + 1, end)
     of = exchange(grid, CLASSES, {end: 0, rest: REST})
     classes = dict(zip(seeds, of.tolist(), strict=False))
     members = np.eye(SIDES)[of]
     c = members.T @ grid @ members
 
     def bigrams(sent) -> np.ndarray:
-        return _grid(slim, lambda row: np.fromiter((sent.value.get(w, REST) for w in _names(row.words)), np.int64), SIDES, 0)
+        return _grid(slim, lambda row: sent.value.of(_names(row.words), REST), SIDES, 0)
 
     for _ in range(SWEEPS if len(frequent) > len(seeds) else 0):
-        sent = spark.sparkContext.broadcast(classes | {w: REST for w in frequent if w not in classes})
+        sent = spark.sparkContext.broadcast(Known(classes | {w: REST for w in frequent if w not in classes}))
         moved = {bytes(r["word"]): r["cls"] for r in _placed(_contexts(packs, sent, True), c, sent, False).collect()}  # FREQUENT rows
-        after = bigrams(spark.sparkContext.broadcast(moved))
+        after = bigrams(spark.sparkContext.broadcast(Known(moved)))
         if likelihood(after) <= likelihood(c):
             break
         classes, c = moved, after
-    sent = spark.sparkContext.broadcast(classes)
+    sent = spark.sparkContext.broadcast(Known(classes))
     return materialize(_placed(_contexts(packs, sent, False), c, sent, True), "words")
 
 
@@ -440,18 +471,19 @@ def _told(packs: DataFrame, words: DataFrame) -> DataFrame:
     kinds[:, 0] = 0
     general = kinds.sum(0)[1:].argmax() + 1
     unseen = np.where(kinds.any(axis=1), kinds.argmax(axis=1), general).astype(np.int64)
-    common = {bytes(r["word"]): (r["n"], r["cls"]) for r in _top(words, COMMON).collect()}
+    common = Known({bytes(r["word"]): r["n"] * CLASSES + r["cls"] for r in _top(words, COMMON).collect()})
     sent = spark.sparkContext.broadcast((common, unseen))
 
-    def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = sent.value[0]
-        for pdf in batches:
-            for pack, data in zip(pdf["pack"], pdf["words"], strict=True):
-                names = _names(data)
-                at = [i for i, w in enumerate(names) if w not in known]
-                yield pd.DataFrame({"pack": np.full(len(at), pack), "at": np.array(at, np.int32), "word": [names[i] for i in at]})
-
-    wanted = packs.select("pack", "words").mapInPandas(asked, "pack long, at int, word binary")
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                names = _names(row["words"])
+                rare = np.flatnonzero(sent.value[0].of(names, -1) < 0)
+                for i in range(0, len(rare), ROWS):
+                    at = rare[i : i + ROWS]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), row["pack"])), pa.array(at.astype(np.int32)), names.take(pa.array(at))], ["pack", "at", "word"])
+
+    wanted = packs.select("pack", "words").mapInArrow(asked, "pack long, at int, word binary")
     answers = wanted.join(words, "word").select("pack", "at", (F.col("n") * CLASSES + F.col("cls")).alias("said"))
 
     def fill(pack: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
@@ -459,14 +491,11 @@ def _told(packs: DataFrame, words: DataFrame) -> DataFrame:
         out = []
         for row in pack.itertuples():
             names = _names(row.words)
-            n, cls = np.zeros(len(names), np.int64), np.full(len(names), -1, np.int64)
-            for i, w in enumerate(names):
-                if w in known:
-                    n[i], cls[i] = known[w]
-            at, said = found["at"].to_numpy(), found["said"].to_numpy(np.int64)
-            n[at], cls[at] = said // CLASSES, said % CLASSES
-            for i in np.flatnonzero(cls < 0).tolist():
-                cls[i] = endings[ending(names[i])]
+            told = known.of(names, -1)
+            told[found["at"].to_numpy()] = found["said"].to_numpy(np.int64)
+            n, cls = np.maximum(told, 0) // CLASSES, told % CLASSES
+            new = np.flatnonzero(told < 0)
+            cls[new] = [endings[ending(w)] for w in names.take(pa.array(new)).to_pylist()]
             out.append({"counts": n.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes(), "classes": cls.astype(np.uint8).tobytes(), "tokens": row.tokens, "lengths": row.lengths, "ids": row.ids, "learn": row.learn, "held": row.held})
         return pd.DataFrame(out, columns=["counts", "classes", "tokens", "lengths", "ids", "learn", "held"])
 
