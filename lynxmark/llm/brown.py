@@ -31,10 +31,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lynxmark.llm.common import TEXTS, materialize
+from lynxmark.llm.common import TEXTS, batches_of, materialize
 
 PACK_BYTES = 8 << 20
-ROWS = 50_000  # words of a pack that leave a worker at a time
+ROWS = 10_000  # words that enter or leave a worker at a time
 #: Words that are clustered one at a time, words moved next, words whose counts are broadcast.
 SEEDS, FREQUENT, COMMON = 510, 8192, 1 << 16
 SWEEPS = 2
@@ -409,9 +409,10 @@ def fit_and_score(docs: DataFrame, learn: Column, held: Column, id_col: str = "d
     Without rows to learn from every word is unknown. No rows give none.
     """
     packs = packed(docs, learn, held, id_col, text_col)
-    words = cluster(packs)
-    told = _told(packs, words)
-    return _score(told, _model(told, words))
+    with batches_of(docs.sparkSession, ROWS):
+        words = cluster(packs)
+        told = _told(packs, words)
+        return materialize(_score(told, _model(told, words)), "scores")
 
 
 def packed(docs: DataFrame, learn: Column, held: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

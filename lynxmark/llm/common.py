@@ -67,21 +67,25 @@ def materialize(df: DataFrame, name: str = "step", batch: int | None = None) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Texts go to Python workers so many at a time, a few MB.
-TEXTS = 200
+#: Texts go to Python workers so many at a time, or a few MB.
+TEXTS, BATCH_BYTES = 200, 4 << 20
 
 
 @contextmanager
 def batches_of(spark: SparkSession, rows: int | None) -> Iterator[None]:
-    """Jobs that run inside send ``rows`` rows at most to a Python worker at a time; afterwards the session's own number holds again."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    if rows and not 0 < int(before) <= rows:
-        spark.conf.set(key, str(rows))
+    """Jobs that run inside send ``rows`` rows or ``BATCH_BYTES`` at most to a Python worker at a time (a larger row by
+    itself); afterwards the session's own limits hold again. None changes nothing."""
+    names = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+    before = {k: spark.conf.get(k) for k in names}
+    if rows:
+        for k, most in names.items():
+            if not 0 < int(before[k].rstrip("b")) <= most:
+                spark.conf.set(k, str(most))
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def small_batches(spark: SparkSession) -> None:
