@@ -350,17 +350,19 @@ def _placed(contexts: DataFrame, grid: np.ndarray, sent, keep_known: bool) -> Da
     return contexts.repartition("word").sortWithinPartitions("word").mapInArrow(place, "word binary, n long, cls int")
 
 
-def _top(counts: DataFrame, n: int) -> DataFrame:
-    """The ``n`` words with the highest counts, ties by bytes. Only words whose counts have so many binary digits that ``n``
-    or more words have as many are ranked."""
-    digits = F.floor(F.log2(F.col("n").cast("double"))).cast("int")
-    told = sorted(((r["d"], r["words"]) for r in counts.groupBy(digits.alias("d")).agg(F.count("*").alias("words")).collect()), reverse=True)  # 64 rows at most
-    least, seen = 0, 0
-    for d, words in told:
-        least, seen = d, seen + words
-        if seen >= n:
+def _top(counts: DataFrame, most: int) -> dict[bytes, tuple]:
+    """The words with the highest counts, at most ``most``, in order: of words whose counts share their first binary digits all
+    or none, so that nothing has to be ranked. Each with the rest of its row."""
+    digits = F.floor(8 * F.log2(F.col("n").cast("double")))
+    told = counts.groupBy(digits.alias("d")).agg(F.count("*").alias("words"), F.min("n").alias("least")).orderBy(F.desc("d")).collect()  # 8 x 64 rows at most
+    least, seen = None, 0
+    for r in told:
+        seen += r["words"]
+        if seen > most:
             break
-    return counts.where(F.col("n") >= F.lit(1 << max(0, least))).orderBy(F.desc("n"), "word").limit(n)
+        least = r["least"]
+    rows = [] if least is None else counts.where(F.col("n") >= least).collect()
+    return {bytes(w): rest for w, *rest in sorted(rows, key=lambda r: (-r["n"], bytes(r["word"])))}
 
 
 @dataclass
@@ -436,7 +438,7 @@ def cluster(packs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([names.take(pa.array(some)), pa.array(n[some].astype(np.int64))], ["word", "n"])
 
     counts = packs.select("words", "trained").mapInArrow(lists, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    frequent = [bytes(r["word"]) for r in _top(materialize(counts, "counts"), FREQUENT).collect()]
+    frequent = list(_top(materialize(counts, "counts"), FREQUENT))
     seeds = frequent[:SEEDS]
     slim = packs.select("words", "tokens", "lengths", "learn")
 
@@ -472,7 +474,7 @@ def _told(packs: DataFrame, words: DataFrame) -> DataFrame:
     kinds[:, 0] = 0
     general = kinds.sum(0)[1:].argmax() + 1
     unseen = np.where(kinds.any(axis=1), kinds.argmax(axis=1), general).astype(np.int64)
-    common = Known({bytes(r["word"]): r["n"] * CLASSES + r["cls"] for r in _top(words, COMMON).collect()})
+    common = Known({w: n * CLASSES + cls for w, (n, cls) in _top(words, COMMON).items()})
     sent = spark.sparkContext.broadcast((common, unseen))
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

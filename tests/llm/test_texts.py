@@ -109,7 +109,7 @@ def test_scores_follow_from_the_classes(spark, monkeypatch, small):
     """Every learnt word has a class, and scores are those of a plain model of these classes; with few seeds, frequent and
     common words each step has words to place."""
     if small:
-        for name, n in (("SEEDS", 30), ("FREQUENT", 200), ("COMMON", 50), ("PACK_BYTES", 40_000)):
+        for name, n in (("SEEDS", 30), ("FREQUENT", 300), ("COMMON", 60), ("PACK_BYTES", 40_000), ("ROWS", 500)):
             monkeypatch.setattr(brown, name, n)
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(10))
     packs = brown.packed(spark.read.parquet(f"{SF}/documents.parquet"), fold != 0, fold == 0)
@@ -153,6 +153,12 @@ def test_scores_follow_from_the_classes(spark, monkeypatch, small):
         assert scored[k].score == pytest.approx(total, rel=1e-9)
 
 
+def test_words_that_all_occur_once(spark, monkeypatch):
+    monkeypatch.setattr(brown, "FREQUENT", 5)
+    rows = brown.fit_and_score(spark.createDataFrame([(1, "a b c d e f g h"), (2, "i j")], "doc_id long, text string"), F.col("doc_id") == 1, F.lit(False)).collect()
+    assert sorted((r.id, r.n_known, r.train_tokens) for r in rows) == [(1, 9, 9), (2, 1, 9)] and all(r.score < 0 for r in rows)
+
+
 def test_class_model_is_a_distribution():
     """Of one history all words' and the unseen word's probabilities sum to 1."""
     classes = np.array([1, 2, 2, 5])
