@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import json
 import math
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,26 +20,39 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 #: Runs are greedy and whole, so their least lengths can stand in the pattern itself.
 ACCESS, HEX, RUN = r"AKIA[A-Z0-9]{16,}", r"[0-9a-f]{24,}", r"[A-Za-z0-9+/_=-]{20,}"
 SIZE = 128
-BLOCK = 512
+#: Terms of an array that are summed in one go, and code points of a text that are cut at once.
+BLOCK, CHUNK = 64, 256
+#: Halvings that find a place among 2**30 spans.
+STEPS = [1 << b for b in reversed(range(30))]
 SPAN = "array<struct<start:int,kind:int,stop:int,text:string>>"
 
-#: Words of ordinary identifiers, from which the built-in samples are put together.
+#: Words of ordinary identifiers, from which the built-in samples are put together; samples() takes any others.
 WORDS = """account active admin amount async balance batch begin body border bucket build bytes call card category channel check city clean clock cluster color comment common connect constant context convert copy country current custom date default depth device disable document double driver empty encode entry event execute export factory feature file final flag footer frame future global group hash height history host import info input instance internal item join key language layer left level limit link load lock login main map master maximum memory message metric minimum module mutable name network node notify number offset operator order output package panel parse patch pattern person pixel player policy position prefix primary process profile property public queue range reader refresh register remote render report reset response return role route rule scale scope script second select sequence service setting share signal single sort space start static step store string submit summary system target template text time toggle total track tree type unit upload user utility value version visible warning width worker year""".split()
 
 
-def samples(spark: SparkSession, n: int = 20_000) -> DataFrame:
-    """Labelled samples (text, random boolean), made from hashes of row numbers: keys in several alphabets, and names in several styles."""
-    words = F.split(F.lit(" ".join(WORDS)), " ")
+#: The rule by which samples() makes further words, such as may stand in any name: a beginning, a vowel, a close, an ending.
+PARTS = [x.split(",") for x in ("b,bl,br,c,ch,cl,cr,d,dr,f,fl,fr,g,gl,gr,h,j,k,l,m,n,p,ph,pl,pr,qu,r,s,sc,sh,sk,sl,sm,sn,sp,st,str,sw,t,th,tr,tw,v,w,wh,y,z,", "a,e,i,o,u,ai,au,ea,ee,io,oa,oo,ou,ow,y", ",b,bb,c,ck,ct,d,dd,ft,g,gg,l,ld,ll,lt,m,mm,mp,n,nd,ng,nn,nt,p,pp,r,rd,rg,rk,rm,rn,rr,rt,s,sh,sk,sp,ss,st,t,th,tt,v,x,zz", ",a,al,e,el,en,er,et,ic,in,it,le,o,on,or,y")]
+
+
+def _made_word(seed: Column) -> Column:
+    return F.concat(*[F.element_at(F.array(*map(F.lit, part)), (F.pmod(F.xxhash64(seed, F.lit(i)), F.lit(len(part))) + 1).cast("int")) for i, part in enumerate(PARTS)])
+
+
+def samples(spark: SparkSession, n: int = 20_000, words: list[str] | None = None, first: int = 0, made: bool = True) -> DataFrame:
+    """Labelled samples (text, random boolean), made from hashes of row numbers from ``first`` on: keys in several alphabets, and names in several styles, of ``words`` and, if ``made``, of as many made by rule."""
+    given = words or WORDS
+    words = F.split(F.lit(" ".join(given)), " ")
     bits = [F.sha2(F.concat(F.lit(f"{i}:"), F.col("id").cast("string")), 256) for i in range(3)]
     raw = F.unhex(F.concat(*bits[:2]))
     b64 = F.substring(F.base64(raw), F.lit(1), (20 + F.col("id") % 44).cast("int"))
     plain = F.regexp_replace(b64, "[+/=]", "")
     key = F.element_at(F.array(b64, plain, F.upper(plain), F.lower(plain), F.translate(b64, "+/=", "-_"), F.substring(bits[0], F.lit(1), (24 + F.col("id") % 40).cast("int"))), (F.col("id") % 6 + 1).cast("int"))
     count = (2 + F.col("id") % 5).cast("int")
-    chosen = F.transform(F.sequence(F.lit(1), count), lambda i: F.element_at(words, (F.pmod(F.xxhash64(F.col("id"), i), F.lit(len(WORDS))) + 1).cast("int")))
+    listed_word = lambda i: F.element_at(words, (F.pmod(F.xxhash64(F.col("id"), i), F.lit(len(given))) + 1).cast("int"))
+    chosen = F.transform(F.sequence(F.lit(1), count), lambda i: F.when(F.lit(made) & (F.pmod(F.xxhash64(i, F.col("id")), F.lit(2)) == 0), _made_word(F.xxhash64(F.col("id"), i, F.lit(2)))).otherwise(listed_word(i)))
     number = F.when(F.xxhash64("id") % 3 == 0, (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(4000))).cast("string")).otherwise(F.lit(""))
     joined = F.element_at(F.array(F.array_join(chosen, "_"), F.array_join(F.transform(chosen, F.initcap), ""), F.array_join(chosen, "-"), F.upper(F.array_join(chosen, "_")), F.array_join(chosen, "/"), F.array_join(chosen, "")), (F.col("id") % 6 + 1).cast("int"))
-    ids = spark.range(n)
+    ids = spark.range(first, first + n)
     return ids.select(key.alias("text"), F.lit(True).alias("random")).union(ids.select(F.concat(joined, number).alias("text"), F.lit(False).alias("random")))
 
 
@@ -73,19 +88,19 @@ def _let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _starts(lengths: Column) -> Column:
-    """Running sums, each without its own term; in blocks, so that an array of n terms costs n * BLOCK steps at most."""
+def _running(values: Column, step) -> Column:
+    """What ``step`` makes of 0 and all terms (int) before each one. In blocks, so that n terms cost some n * BLOCK steps."""
 
     def run(part: Column, first: Column) -> Column:
-        begin = F.struct(first.alias("sum"), F.array().cast("array<int>").alias("out"))
-        return F.aggregate(part, begin, lambda at, x: F.struct((at["sum"] + x).alias("sum"), F.concat(at["out"], F.array(at["sum"])).alias("out")))["out"]
+        begin = F.struct(first.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(part, begin, lambda so_far, x: F.struct(step(so_far["at"], x).alias("at"), F.concat(so_far["out"], F.array(so_far["at"])).alias("out")))["out"]
 
     def blocks(all_: Column) -> Column:
         cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / BLOCK).cast("int")), lambda b: F.slice(all_, b * BLOCK + 1, BLOCK))
-        whole = lambda parts: run(F.transform(parts, lambda p: F.aggregate(p, F.lit(0), lambda a, x: a + x)), F.lit(0))
+        whole = lambda parts: run(F.transform(parts, lambda p: F.aggregate(p, F.lit(0), step)), F.lit(0))
         return _let(cut, lambda parts: F.flatten(F.zip_with(parts, whole(parts), run)))
 
-    return _let(lengths, blocks)
+    return _let(values, blocks)
 
 
 def _spans(text: Column, pattern: str, kind: int, least: int | None = None) -> Column:
@@ -95,7 +110,7 @@ def _spans(text: Column, pattern: str, kind: int, least: int | None = None) -> C
 
     def place(matches: Column) -> Column:
         between = F.transform(F.split(text, pattern, -1), F.length)
-        starts = _starts(F.zip_with(F.slice(between, 1, F.size(matches)), F.transform(matches, F.length), lambda gap, n: gap + n))
+        starts = _running(F.zip_with(F.slice(between, 1, F.size(matches)), F.transform(matches, F.length), lambda gap, n: gap + n), lambda at, n: at + n)
         ends = F.zip_with(starts, between, lambda s, gap: s + gap)
         spans = F.zip_with(matches, F.slice(ends, 1, F.size(matches)), lambda m, at: F.struct(at.alias("start"), F.lit(kind).alias("kind"), (at + F.length(m)).alias("stop"), m.alias("text")))
         if least is not None:
@@ -116,29 +131,45 @@ def find_secrets(docs: DataFrame, model: SecretModel, text_col: str = "text", ou
     empty texts have none; all other columns, whatever their names, and repeated rows stay.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = F.concat(_spans(text, ASSIGN, 0, 6), _spans(text, ACCESS, 1), _spans(text, HEX, 2))
+    base = F.struct(_spans(text, ASSIGN, 0, 6).alias("assign"), _spans(text, ACCESS, 1).alias("access"), _spans(text, HEX, 2).alias("hex"))
 
     def judged(found: Column) -> Column:
-        free = lambda s: ~F.exists(found, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
+        kinds = [found["assign"], found["access"], found["hex"]]
         keylike = lambda s: s["text"].rlike("[0-9]") & s["text"].rlike("[A-Za-z]")
-        more = F.filter(_spans(text, RUN, 3), lambda s: keylike(s) & free(s) & (self_score(s["text"]) >= model.threshold))
-        return F.sort_array(F.concat(found, more))
+        free = lambda s: ~reduce(or_, (_touched(spans, s) for spans in kinds))
+        more = F.filter(_spans(text, RUN, 3), lambda s: keylike(s) & free(s) & (model.score(s["text"]) >= model.threshold))
+        return F.sort_array(F.concat(*kinds, more))
 
-    self_score = model.score
     return docs.withColumn(out, _let(base, judged))
 
 
+def _touched(spans: Column, s: Column) -> Column:
+    """Does a span overlap one of ``spans``, which are in order and apart? Only the last one that starts before its end can."""
+    before = F.aggregate(F.array(*map(F.lit, STEPS)), F.lit(0), lambda at, n: F.when((at + n <= F.size(spans)) & (F.get(spans, at + n - 1)["start"] < s["stop"]), at + n).otherwise(at))
+    return F.when(F.size(spans) == 0, F.lit(False)).otherwise(F.coalesce(F.get(spans, before - 1)["stop"] > s["start"], F.lit(False)))
+
+
 def redact(text: Column, secrets: Column, mark: str = "[SECRET]") -> Column:
-    """The text with each span, overlapping ones together, replaced by ``mark``; null stays null."""
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    """The text with each span, overlapping ones together, replaced by ``mark``; null stays null. Spans are in order.
+
+    The text is cut into chunks once and each gap put together from its own chunks, so that time grows with the text and
+    the number of spans, not with their product.
+    """
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+    def between(parts: Column, low: Column, high: Column) -> Column:
+        first = F.floor(low / CHUNK).cast("int")
+        some = F.slice(parts, first + 1, F.floor((high - 1) / CHUNK).cast("int") - first + 1)
+        return F.when(high > low, F.substring(F.array_join(some, ""), low - first * CHUNK + 1, high - low)).otherwise(F.lit(""))
 
-    def step(done: Column, s: Column) -> Column:
-        gap = F.substring(text, done["at"] + 1, s["start"] - done["at"])
-        fresh = F.struct(s["stop"].alias("at"), F.concat(done["out"], F.array(gap, F.lit(mark))).alias("out"))
-        return F.when(s["start"] >= done["at"], fresh).otherwise(F.struct(F.greatest(done["at"], s["stop"]).alias("at"), done["out"].alias("out")))
+    def cut(parts: Column) -> Column:
+        reach = _running(F.transform(secrets, lambda s: s["stop"]), lambda a, b: F.greatest(a, b))
+        last = F.array_max(F.transform(secrets, lambda s: s["stop"]))
+        gaps = F.filter(F.zip_with(secrets, reach, lambda s, r: F.when(s["start"] >= r, F.struct(r.alias("low"), s["start"].alias("high")))), lambda g: g.isNotNull())
+        tail = F.array(F.struct(last.alias("low"), F.length(text).alias("high")))
+        return F.array_join(F.transform(F.concat(gaps, tail), lambda g: between(parts, g["low"], g["high"])), mark)
 
-    cut = _let(F.aggregate(secrets, begin, step), lambda d: F.concat(F.array_join(d["out"], ""), F.substring(text, d["at"] + 1, F.greatest(F.length(text) - d["at"], F.lit(0)))))
-    return F.when(F.size(secrets) > 0, cut).otherwise(text)
+    return F.when(F.size(secrets) > 0, _let(chunks, cut)).otherwise(text)
 
 
 def listed(secrets: Column) -> Column:
