@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text is cut into words at ASCII white space only: a word is a run of ``[^\x20\x09-\x0D]``.
@@ -129,3 +129,28 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", batch: in
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = materialize(small.union(least).distinct(), "links")
+
+
+def let(value: Column, use) -> Column:
+    """``use(value)``, with ``value`` computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+#: Terms of an array that running() takes in one go.
+BLOCK = 64
+
+
+def running(values: Column, step, first: int = 0) -> Column:
+    """What ``step`` makes of ``first`` and all terms (int) before each one; ``step(a, first)`` must be ``a`` for sums and maxima
+    alike. In blocks, so that n terms cost some n * BLOCK steps."""
+
+    def run(part: Column, begin: Column) -> Column:
+        start = F.struct(begin.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(part, start, lambda so_far, x: F.struct(step(so_far["at"], x).alias("at"), F.concat(so_far["out"], F.array(so_far["at"])).alias("out")))["out"]
+
+    def blocks(all_: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / BLOCK).cast("int")), lambda b: F.slice(all_, b * BLOCK + 1, BLOCK))
+        whole = lambda parts: run(F.transform(parts, lambda p: F.aggregate(p, F.lit(first), step)), F.lit(first))
+        return let(cut, lambda parts: F.flatten(F.zip_with(parts, whole(parts), run)))
+
+    return let(values, blocks)

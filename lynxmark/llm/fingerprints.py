@@ -10,16 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lynxmark.llm.common import SPACE
+from lynxmark.llm.common import SPACE, let
 
 K, WIDTH, BITS = 128, 5, 40
 
 
-def let(value: Column, use) -> Column:
-    """``use(value)``, with ``value`` computed once."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def sketch(text: Column, k: int = K, width: int = WIDTH) -> Column:
     """array<bigint>. Words are lower-cased and split at ASCII white space; a text of fewer than ``width`` words is
     one shingle; a null text or one without words has the empty sketch."""

@@ -70,11 +70,11 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents with repeated passages; all others have none."""
+    """Every document, with its repeated passages."""
     found = repeated_passages(_table(spark, sf_dir, "documents"))
     sizes = F.transform("spans", lambda s: s["high"] - s["low"])
     told = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["low"].cast("string"), s["high"].cast("string"))), ",")
-    return found.where(F.size("spans") > 0).select(F.col("id").alias("doc_id"), "n_words", F.size("spans").cast("long").alias("n_spans"), F.aggregate(sizes, F.lit(0), lambda a, x: a + x).cast("long").alias("repeated_words"), told.alias("spans"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", F.size("spans").cast("long").alias("n_spans"), F.aggregate(sizes, F.lit(0), lambda a, x: a + x).cast("long").alias("repeated_words"), told.alias("spans"))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str, limit: int = 4096) -> DataFrame:

@@ -15,13 +15,15 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lynxmark.llm.common import let, running
+
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: Runs are greedy and whole, so their least lengths can stand in the pattern itself.
 ACCESS, HEX, RUN = r"AKIA[A-Z0-9]{16,}", r"[0-9a-f]{24,}", r"[A-Za-z0-9+/_=-]{20,}"
 SIZE = 128
-#: Terms of an array that are summed in one go, and code points of a text that are cut at once.
-BLOCK, CHUNK = 64, 256
+#: Code points of a text that are cut at once.
+CHUNK = 256
 #: Halvings that find a place among 2**30 spans.
 STEPS = [1 << b for b in reversed(range(30))]
 SPAN = "array<struct<start:int,kind:int,stop:int,text:string>>"
@@ -84,25 +86,6 @@ class SecretModel:
         return F.aggregate(codes, start, step)["sum"]
 
 
-def _let(value: Column, use) -> Column:
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
-def _running(values: Column, step) -> Column:
-    """What ``step`` makes of 0 and all terms (int) before each one. In blocks, so that n terms cost some n * BLOCK steps."""
-
-    def run(part: Column, first: Column) -> Column:
-        begin = F.struct(first.alias("at"), F.array().cast("array<int>").alias("out"))
-        return F.aggregate(part, begin, lambda so_far, x: F.struct(step(so_far["at"], x).alias("at"), F.concat(so_far["out"], F.array(so_far["at"])).alias("out")))["out"]
-
-    def blocks(all_: Column) -> Column:
-        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / BLOCK).cast("int")), lambda b: F.slice(all_, b * BLOCK + 1, BLOCK))
-        whole = lambda parts: run(F.transform(parts, lambda p: F.aggregate(p, F.lit(0), step)), F.lit(0))
-        return _let(cut, lambda parts: F.flatten(F.zip_with(parts, whole(parts), run)))
-
-    return _let(values, blocks)
-
-
 def _spans(text: Column, pattern: str, kind: int, least: int | None = None) -> Column:
     """Leftmost matches that do not overlap; with ``least``, those whose second group is that long."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -110,7 +93,7 @@ def _spans(text: Column, pattern: str, kind: int, least: int | None = None) -> C
 
     def place(matches: Column) -> Column:
         between = F.transform(F.split(text, pattern, -1), F.length)
-        starts = _running(F.zip_with(F.slice(between, 1, F.size(matches)), F.transform(matches, F.length), lambda gap, n: gap + n), lambda at, n: at + n)
+        starts = running(F.zip_with(F.slice(between, 1, F.size(matches)), F.transform(matches, F.length), lambda gap, n: gap + n), lambda at, n: at + n)
         ends = F.zip_with(starts, between, lambda s, gap: s + gap)
         spans = F.zip_with(matches, F.slice(ends, 1, F.size(matches)), lambda m, at: F.struct(at.alias("start"), F.lit(kind).alias("kind"), (at + F.length(m)).alias("stop"), m.alias("text")))
         if least is not None:
@@ -119,7 +102,7 @@ def _spans(text: Column, pattern: str, kind: int, least: int | None = None) -> C
             spans = F.filter(long, lambda s: s.isNotNull())
         return spans.cast(SPAN)
 
-    return _let(whole, lambda m: F.when(F.size(m) > 0, place(m)).otherwise(none))
+    return let(whole, lambda m: F.when(F.size(m) > 0, place(m)).otherwise(none))
 
 
 def find_secrets(docs: DataFrame, model: SecretModel, text_col: str = "text", out: str = "secrets") -> DataFrame:
@@ -140,7 +123,7 @@ def find_secrets(docs: DataFrame, model: SecretModel, text_col: str = "text", ou
         more = F.filter(_spans(text, RUN, 3), lambda s: keylike(s) & free(s) & (model.score(s["text"]) >= model.threshold))
         return F.sort_array(F.concat(*kinds, more))
 
-    return docs.withColumn(out, _let(base, judged))
+    return docs.withColumn(out, let(base, judged))
 
 
 def _touched(spans: Column, s: Column) -> Column:
@@ -163,13 +146,13 @@ def redact(text: Column, secrets: Column, mark: str = "[SECRET]") -> Column:
         return F.when(high > low, F.substring(F.array_join(some, ""), low - first * CHUNK + 1, high - low)).otherwise(F.lit(""))
 
     def cut(parts: Column) -> Column:
-        reach = _running(F.transform(secrets, lambda s: s["stop"]), lambda a, b: F.greatest(a, b))
+        reach = running(F.transform(secrets, lambda s: s["stop"]), lambda a, b: F.greatest(a, b))
         last = F.array_max(F.transform(secrets, lambda s: s["stop"]))
         gaps = F.filter(F.zip_with(secrets, reach, lambda s, r: F.when(s["start"] >= r, F.struct(r.alias("low"), s["start"].alias("high")))), lambda g: g.isNotNull())
         tail = F.array(F.struct(last.alias("low"), F.length(text).alias("high")))
         return F.array_join(F.transform(F.concat(gaps, tail), lambda g: between(parts, g["low"], g["high"])), mark)
 
-    return F.when(F.size(secrets) > 0, _let(chunks, cut)).otherwise(text)
+    return F.when(F.size(secrets) > 0, let(chunks, cut)).otherwise(text)
 
 
 def listed(secrets: Column) -> Column:

@@ -3,13 +3,15 @@
 Of all suffixes (by words) those are retained that start at a minimiser: a position whose
 20-word hash is the smallest in some window of ``PASSAGE`` words. What a window selects
 depends on its words alone, so the same passage selects the same suffixes wherever it
-stands. Suffixes are sorted by their first 20 words, and neighbours that agree on them are
-compared in all windows that selected them, which reach left and right of the suffix's
-start: equal windows extend a match by their words on either side. A word is repeated if
-some window of ``PASSAGE`` words over it stands in another document too.
-
-The text is read twice: first for the suffixes' hashes alone, of which only those found in
-several documents are kept for the second reading.
+stands. Suffixes are sorted by their first words' hash. Neighbours that agree on it carry
+the words of all windows that selected them, up to 30 to the left of the suffix's start and
+50 to its right: hashes of these windows propose who matches whom and from where to where,
+and the words decide, so a match reaches as far left and right as the words are equal and no
+hash can make one. A word is repeated if some window of ``PASSAGE`` words over it stands in
+another document too.
+
+Texts are read for their suffixes' hashes first; only texts with suffixes that several texts
+have are read again, for these suffixes' words.
 """
 
 from __future__ import annotations
@@ -21,13 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lynxmark.llm.common import materialize
+from lynxmark.llm.common import TEXTS, let, materialize, running
 
 PASSAGE, GRAM = 50, 20
 SEGMENT = 1 << 17  # words of a huge text that are in work at once
-#: Suffixes with the same start beyond which they are compared by a distributed aggregation, not in one task, where
-#: so many take some 50 MB.
-CROWD = 50_000
+#: Texts with the same start beyond which their suffixes are compared by a distributed aggregation, not in one task.
+CROWD = 512
 #: Groups of copies up to which their list (24 bytes each) is sent to every task; a longer one is joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 SPANS = "array<struct<low:int,high:int>>"
@@ -49,78 +50,82 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _hashes(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray, length: int) -> np.ndarray:
+    """Of every ``length`` words in turn, given where words start and stop in the bytes, the hash of their bytes."""
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _powers_of(_BASE, len(raw)))])
+    a, b = starts[: max(0, len(starts) - length + 1)], stops[length - 1 :]
+    return _mix((sums[b] - sums[a]) * _powers_of(_INVERSE, len(raw))[a])
+
+
 def suffixes(words: list[bytes], passage: int = PASSAGE, gram: int = GRAM) -> Iterator[tuple[np.ndarray, ...]]:
     """The retained suffixes of a text, a segment at a time: (hash of the first words, first window's start, its distance
-    to the suffix, where the suffix's windows begin in the last array, hashes of all windows)."""
+    to the suffix, number of windows)."""
     for s in range(0, max(0, len(words) - passage + 1), SEGMENT):
-        part = words[s : s + SEGMENT + passage - 1]
-        text = b" ".join(part) + b" "
-        raw = np.frombuffer(text, np.uint8)
+        raw = np.frombuffer(b" ".join(words[s : s + SEGMENT + passage - 1]) + b" ", np.uint8)
         stops = np.flatnonzero(raw == 32)
-        starts = np.concatenate([[0], stops[:-1] + 1])
-        n = len(raw)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _powers_of(_BASE, n))])
-        back = _powers_of(_INVERSE, n)
+        grams = _hashes(raw, np.concatenate([[0], stops[:-1] + 1]), stops, gram)
+        windows = len(stops) - passage + 1
+        at = np.arange(windows) + np.lib.stride_tricks.sliding_window_view(grams, passage - gram + 1).argmin(axis=1)
+        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        yield grams[at[first]], first + s, at[first] - first, np.diff(np.append(first, windows))
 
-        def of(length: int) -> np.ndarray:
-            a, b = starts[: len(starts) - length + 1], stops[length - 1 :]
-            return _mix((sums[b] - sums[a]) * back[a])
 
-        grams, windows = of(gram), of(passage)
-        at = np.arange(len(windows)) + np.lib.stride_tricks.sliding_window_view(grams, passage - gram + 1).argmin(axis=1)
-        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        yield grams[at[first]], first + s, at[first] - first, first, windows
+def _words(text: bytes | None) -> list[bytes]:
+    return (text or b"").lower().split()
 
 
-def _rows(with_windows: bool, passage: int, gram: int):
+def _starts(passage: int, gram: int):
+    """(h, uid) of the texts' retained suffixes, each once a text."""
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            uids, texts, held = batch.column("uid").to_numpy(), batch.column("text"), []
-            size = 0
-            for i in range(len(batch)):
-                for part in suffixes((texts[i].as_py() or b"").lower().split(), passage, gram):
-                    held.append(_once(uids[i], *part))
-                    size += len(part[-1])
-                if size > 500_000:
-                    yield emit(held)
-                    held, size = [], 0
-            if held:
-                yield emit(held)
-
-    def emit(held: list[tuple]) -> pa.RecordBatch:
-        h = np.concatenate([x[1] for x in held]).view(np.int64)
-        uid = np.repeat(np.array([x[0] for x in held], np.int64), [len(x[1]) for x in held])
-        if not with_windows:
-            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(uid)], ["h", "uid"])
-        starts, windows = (_lists([x[2] for x in held], [x[3] for x in held]), _lists([x[5].view(np.int64) for x in held], [x[6] for x in held]))
-        away = np.concatenate([x[4] for x in held]).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(uid), starts, pa.array(away), windows], ["h", "uid", "starts", "away", "windows"])
+            for uid, text in zip(batch.column("uid").to_pylist(), batch.column("text"), strict=True):
+                if found := [h for h, *_ in suffixes(_words(text.as_py()), passage, gram)]:
+                    h = np.unique(np.concatenate(found)).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), uid))], ["h", "uid"])
 
     return find
 
 
-def _once(uid: int, h: np.ndarray, start: np.ndarray, away: np.ndarray, at: np.ndarray, windows: np.ndarray) -> tuple:
-    """A text's suffixes, those with the same windows as one (a word said a thousand times has a thousand of them): uid, hashes,
-    starts and how many each has, distances, windows and how many each has."""
-    n = np.diff(np.append(at, len(windows)))
-    first, last = windows[at], windows[at + n - 1]
-    with np.errstate(over="ignore"):
-        same = _mix(h ^ _mix(first + _mix(last + n.astype(np.uint64))) ^ away.astype(np.uint64))
-    _, keep, group = np.unique(same, return_index=True, return_inverse=True)
-    if len(keep) == len(h):
-        return uid, h, start.astype(np.int32), np.ones(len(h), np.int64), away, windows, n
-    order = np.argsort(group, kind="stable")
-    taken = np.concatenate([windows[at[i] : at[i] + n[i]] for i in keep])
-    return uid, h[keep], start[order].astype(np.int32), np.bincount(group), away[keep], taken, n[keep]
+def _kept(passage: int, gram: int):
+    """Rows of the suffixes whose hashes are in ``hs``: (h, crowd, uid, starts, away, words); ``starts`` are the places of all
+    suffixes of a text that have the same words around them (a word said a thousand times has a thousand)."""
+    names = ["h", "crowd", "uid", "starts", "away", "words"]
 
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, size = [], 0
+            for i, uid in enumerate(batch.column("uid").to_pylist()):
+                words = _words(batch.column("text")[i].as_py())
+                hs, crowded = (np.array(batch.column(c)[i].as_py(), np.int64) for c in ("hs", "crowded"))
+                places: dict[tuple, list[int]] = {}
+                for h, start, away, n in suffixes(words, passage, gram):
+                    h = h.view(np.int64)
+                    some = np.flatnonzero(np.isin(h, hs))
+                    for key, at, d, k in zip(h[some].tolist(), start[some].tolist(), away[some].tolist(), n[some].tolist(), strict=True):
+                        places.setdefault((key, d, b" ".join(words[at : at + k + passage - 1])), []).append(at)
+                much = set(crowded.tolist())
+                for (key, d, around), at in places.items():
+                    rows.append((key, key in much, uid, at, d, around))
+                    size += len(around) + 8 * len(at)
+                    if size > 4 << 20:
+                        yield emit(rows)
+                        rows, size = [], 0
+            if rows:
+                yield emit(rows)
+
+    def emit(rows: list[tuple]) -> pa.RecordBatch:
+        h, crowd, uid, starts, away, words = zip(*rows, strict=True)
+        types = (pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((h, crowd, uid, starts, away, words), types, strict=True)], names)
 
-def _lists(values: list[np.ndarray], sizes: list[np.ndarray]) -> pa.ListArray:
-    offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values)))
+    return find
 
 
 def _joined_spans(uid: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
     """Spans of each uid in order, with overlapping and touching ones made one."""
+    if not len(uid):
+        return uid, low, high
     order = np.lexsort((low, uid))
     uid, low, high = uid[order], low[order], high[order]
     turn = np.cumsum(np.concatenate([[0], uid[1:] != uid[:-1]])).astype(np.int64) << 33
@@ -130,58 +135,93 @@ def _joined_spans(uid: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[n
     return uid[begins], low[begins], (reach - turn)[np.append(begins[1:], len(uid)) - 1]
 
 
-def _compare(passage: int):
-    """Over suffixes sorted by their hash: spans (uid, low, high) of words that other documents have too."""
-    names = ["uid", "low", "high"]
-
-    def solve(h: np.ndarray, uid: np.ndarray, away: np.ndarray, n_starts: np.ndarray, n: np.ndarray, starts: np.ndarray, windows: np.ndarray) -> pa.RecordBatch:
-        row = np.repeat(np.arange(len(h)), n)
-        place = np.arange(len(windows)) - np.repeat(np.cumsum(n) - n, n)
+class Neighbours:
+    """Suffixes in the order of their hashes, with the words around them: which windows do other documents have too?"""
+
+    def __init__(self, h: np.ndarray, uid: np.ndarray, away: np.ndarray, words: list[bytes], passage: int):
+        self.h, self.uid, self.away, self.passage = h, uid, away, passage
+        self.text = b" ".join(words) + b" "
+        raw = np.frombuffer(self.text, np.uint8)
+        self.stops = np.flatnonzero(raw == 32)
+        self.begins = np.concatenate([[0], self.stops[:-1] + 1])
+        count = np.array([w.count(b" ") + 1 for w in words])
+        self.first = np.cumsum(count) - count  # each suffix's first word
+        n = count - passage + 1
+        self.row = np.repeat(np.arange(len(h)), n)
+        self.place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        self.word = self.first[self.row] + self.place
+        self.windows = _hashes(raw, self.begins, self.stops, passage)[self.word]
+
+    def said(self, i: int, last: int | None = None) -> bytes:
+        """The words of window ``i``, to the end of window ``last`` of the same suffix."""
+        return self.text[self.begins[self.word[i]] : self.stops[self.word[i if last is None else last] + self.passage - 1]]
+
+    def repeated(self) -> np.ndarray:
+        """Of each window, whether another document has its words. Equal hashes propose; runs of windows that match the same
+        other suffix are compared word by word, all at once."""
         with np.errstate(over="ignore"):
-            key = _mix(h[row].view(np.uint64) + (away[row] - place).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ windows.view(np.uint64)
-        order = np.lexsort((uid[row], key))
-        k, u = key[order], uid[row][order]
+            key = _mix(self.h[self.row].view(np.uint64) + (self.away[self.row] - self.place).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ self.windows
+        uid = self.uid[self.row]
+        order = np.lexsort((uid, key))
+        k, u = key[order], uid[order]
         new = np.concatenate([[True], k[1:] != k[:-1]])
-        begins = np.flatnonzero(new)
+        group, begins = np.cumsum(new) - 1, np.flatnonzero(new)
         ends = np.append(begins[1:], len(k)) - 1
-        several = u[begins] != u[ends]
-        hit = np.zeros(len(windows), bool)
-        hit[order] = several[np.cumsum(new) - 1]
-        edge = np.concatenate([[True], (row[1:] != row[:-1]) | ~hit[:-1]])
-        last = np.concatenate([(row[1:] != row[:-1]) | ~hit[1:], [True]])
-        low, high = np.flatnonzero(hit & edge), np.flatnonzero(hit & last)
-        if not len(low):
-            return pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int32()), pa.array([], pa.int32())], names)
-        of, times = row[low], n_starts[row[low]]
-        begin = np.cumsum(n_starts) - n_starts
-        each = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(begin[of], times)
-        at = starts[each].astype(np.int64)
-        uids, lows, highs = _joined_spans(np.repeat(uid[of], times), at + np.repeat(place[low], times), at + np.repeat(place[high] + passage, times))
-        return pa.RecordBatch.from_arrays([pa.array(uids), pa.array(lows.astype(np.int32)), pa.array(highs.astype(np.int32))], names)
+        hit, other, part_of = np.zeros(len(k), bool), np.zeros(len(k), np.int64), np.zeros(len(k), np.int64)
+        hit[order] = (u[begins] != u[ends])[group]
+        other[order] = order[np.where(u == u[begins][group], ends[group], begins[group])]
+        part_of[order] = group
+        at = np.flatnonzero(hit)
+        if not len(at):
+            return hit
+        a, b = at, other[at]
+        same = (self.row[a[1:]] == self.row[a[:-1]]) & (a[1:] == a[:-1] + 1) & (b[1:] == b[:-1] + 1) & (self.row[b[1:]] == self.row[b[:-1]])
+        starts = np.flatnonzero(np.concatenate([[True], ~same]))
+        stops = np.append(starts[1:], len(at)) - 1
+        doubtful: set[int] = set()
+        for i, j in zip(starts.tolist(), stops.tolist(), strict=True):
+            if self.said(a[i], a[j]) != self.said(b[i], b[j]):
+                doubtful.update(part_of[a[i : j + 1]].tolist())
+        for g in doubtful:  # windows of different words with the same hash: told apart by the words
+            members: dict[bytes, list[int]] = {}
+            for i in order[begins[g] : ends[g] + 1].tolist():
+                members.setdefault(self.said(i), []).append(i)
+            for windows in members.values():
+                hit[windows] = len({int(uid[i]) for i in windows}) > 1
+        return hit
+
+    def spans(self, starts: list[list[int]]) -> tuple[np.ndarray, ...]:
+        """(uid, low, high): what is repeated of each suffix, wherever the suffix starts."""
+        hit = self.repeated()
+        turn = self.row[1:] != self.row[:-1]
+        low = np.flatnonzero(hit & np.concatenate([[True], turn | ~hit[:-1]]))
+        high = np.flatnonzero(hit & np.concatenate([turn | ~hit[1:], [True]]))
+        sizes = np.array([len(x) for x in starts])
+        flat = np.concatenate([np.array(x, np.int64) for x in starts])
+        times = sizes[self.row[low]]
+        each = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat((np.cumsum(sizes) - sizes)[self.row[low]], times)
+        at = flat[each]
+        return _joined_spans(np.repeat(self.uid[self.row[low]], times), at + np.repeat(self.place[low], times), at + np.repeat(self.place[high] + self.passage, times))
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[list[np.ndarray]] = []  # of one hash, or the last one's and those before it
 
-        def flush(whole: bool) -> Iterator[pa.RecordBatch]:
-            held = [np.concatenate(x) for x in zip(*waiting, strict=True)]
-            waiting.clear()
-            cut = len(held[0]) if whole else int(np.searchsorted(held[0], held[0][-1]))
-            a, b = int(held[3][:cut].sum()), int(held[4][:cut].sum())
-            if cut:
-                yield solve(*[x[:cut] for x in held[:5]], held[5][:a], held[6][:b])
-            if not whole:
-                waiting.append([x[cut:] for x in held[:5]] + [held[5][a:], held[6][b:]])
+def _compare(passage: int):
+    """Over suffixes sorted by their hash: spans (uid, low, high) of words that other documents have too."""
+
+    def solve(rows: list[tuple]) -> pa.RecordBatch:
+        h, uid, away, words, starts = zip(*rows, strict=True)
+        uids, low, high = Neighbours(np.array(h, np.int64), np.array(uid, np.int64), np.array(away, np.int64), list(words), passage).spans(list(starts))
+        return pa.RecordBatch.from_arrays([pa.array(uids), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))], ["uid", "low", "high"])
 
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
         for batch in batches:
-            if not len(batch):
-                continue
-            lists = [batch.column(c) for c in ("starts", "windows")]
-            new = [batch.column(c).to_numpy() for c in ("h", "uid", "away")] + [np.diff(x.offsets.to_numpy()) for x in lists] + [x.flatten().to_numpy() for x in lists]
-            waiting.append(new)
-            if new[0][-1] != waiting[0][0][-1]:  # else all that waits may go on
-                yield from flush(False)
-        if waiting:
-            yield from flush(True)
+            held += zip(*(batch.column(c).to_pylist() for c in ("h", "uid", "away", "words", "starts")), strict=True)
+            cut = next((i for i in range(len(held) - 1, -1, -1) if held[i][0] != held[-1][0]), -1) + 1  # the last hash's rows may go on
+            if cut:
+                yield solve(held[:cut])
+                held = held[cut:]
+        if held:
+            yield solve(held)
 
     return compare
 
@@ -206,16 +246,15 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     small = F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies
     single = own.join(small, ["text_hash", "more"], "left").where(F.col("first").isNull() | F.col("id").eqNullSafe(F.col("first")))
     rows = single.select(F.xxhash64("text_hash", "id").alias("uid"), F.col("text").cast("binary").alias("text"))
-    bare = rows.mapInArrow(_rows(False, passage, gram), "h long, uid long")
-    # All copies of a start count, by map-side sums; those in one document alone are done with.
+    bare = materialize(rows.mapInArrow(_starts(passage, gram), "h long, uid long"), "hashes", TEXTS)
+    # All texts of a start count, by map-side sums; those in one text alone are done with.
     known = bare.groupBy("h").agg(F.min("uid").alias("a"), F.max("uid").alias("b"), F.count("*").alias("n")).where("a != b").select("h", (F.col("n") > CROWD).alias("crowd"))
-    known = materialize(known, "starts")
-    full = rows.mapInArrow(_rows(True, passage, gram), "h long, uid long, starts array<int>, away int, windows array<long>")
-    kept = materialize(full.join(known, "h"), "suffixes")
+    asked = bare.join(known, "h").groupBy("uid").agg(F.collect_set("h").alias("hs"), F.collect_set(F.when(F.col("crowd"), F.col("h"))).alias("crowded"))
+    kept = materialize(rows.join(asked, "uid").mapInArrow(_kept(passage, gram), "h long, crowd boolean, uid long, starts array<int>, away int, words binary"), "suffixes", TEXTS)
     few = kept.where("NOT crowd").drop("crowd").repartition("h").sortWithinPartitions("h").mapInArrow(_compare(passage), "uid long, low int, high int")
     many = _crowds(kept.where("crowd"), passage)
     spans = few.union(many).distinct().groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("spans"))
-    spans = spans.select("uid", _merged(F.col("spans")).alias("spans"))
+    spans = materialize(spans.select("uid", _merged(F.col("spans")).alias("spans")), "spans", 4096)
     found = all_docs.join(small.withColumn("copied", F.lit(True)).drop("first"), ["text_hash", "more"], "left").withColumn("uid", F.xxhash64("text_hash", "id")).join(spans, "uid", "left")
     whole = F.when(F.col("n_words") >= passage, F.array(F.struct(F.lit(0).alias("low"), F.col("n_words").cast("int").alias("high")))).otherwise(F.array())
     shown = F.when(F.col("copied"), whole.cast(SPANS)).otherwise(F.coalesce("spans", F.array().cast(SPANS)))
@@ -223,29 +262,31 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def _crowds(kept: DataFrame, passage: int) -> DataFrame:
-    """The same comparison for starts that very many documents share: suffixes with the same windows are one from the
-    start, by map-side sums; their windows are compared by a second aggregation, and each suffix is joined once to the
-    spans that its windows make."""
-    rows = kept.select("uid", "starts", F.xxhash64("h", "away", "windows").alias("same"), F.struct("h", "away", "windows").alias("of"))
-    lists = rows.groupBy("same").agg(F.min("uid").alias("a"), F.max("uid").alias("b"), F.min_by("of", "uid").alias("of"))
-    spread = lists.select("same", "a", "b", F.col("of.h").alias("h"), F.col("of.away").alias("away"), F.posexplode("of.windows").alias("place", "w")).select("same", "a", "b", "place", F.xxhash64("h", F.col("away") - F.col("place"), "w").alias("key"))
-    twice = spread.groupBy("key").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a != b").select("key")
-    hits = spread.join(twice, "key", "left_semi").groupBy("same").agg(F.sort_array(F.collect_set(F.struct(F.col("place").alias("low"), (F.col("place") + passage).alias("high")))).alias("spans"))
+    """The same comparison for starts that very many texts share: suffixes with the same words are one from the start, by
+    map-side sums; their windows are compared by a second aggregation, and each suffix is joined once to the spans that its
+    windows make. Words are told apart by two 64-bit hashes of theirs."""
+    twice = lambda x: [F.xxhash64(x), F.xxhash64(F.lit("other"), x)]
+    rows = kept.select("uid", "starts", "words", F.struct(*(x.alias(n) for x, n in zip(twice(F.col("words")), "ab", strict=True))).alias("same"))
+    lists = rows.groupBy("same").agg(F.min("uid").alias("low"), F.max("uid").alias("high"), F.min_by("words", "uid").alias("words"))
+    words = F.split(F.col("words").cast("string"), " ", -1)
+    windows = let(words, lambda all_: F.transform(F.sequence(F.lit(1), F.size(all_) - passage + 1), lambda i: F.struct(*(x.alias(n) for x, n in zip(twice(F.slice(all_, i, passage)), "ab", strict=True)))))
+    spread = lists.select("same", "low", "high", F.posexplode(windows).alias("place", "key"))
+    common = spread.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low != high").select("key")
+    hits = spread.join(common, "key", "left_semi").groupBy("same").agg(F.sort_array(F.collect_set(F.struct(F.col("place").alias("low"), (F.col("place") + passage).alias("high")))).alias("spans"))
     shifted = F.flatten(F.transform("starts", lambda at: F.transform(_merged(F.col("spans")), lambda s: F.struct((at + s["low"]).alias("low"), (at + s["high"]).alias("high")))))
-    return rows.select("uid", "starts", "same").join(hits, "same").select("uid", F.explode(_merged(F.sort_array(shifted))).alias("s")).select("uid", "s.low", "s.high")
+    return rows.select("uid", "starts", "same").join(hits, "same").select("uid", F.explode(shifted).alias("s")).select("uid", "s.low", "s.high")
 
 
 def _merged(spans: Column) -> Column:
     """Ascending spans with overlapping and touching ones made one."""
-    nothing = F.struct(F.lit(-1).alias("low"), F.lit(-1).alias("high"))
-    start = F.struct(nothing.alias("open"), F.array().cast("array<struct<low:int,high:int>>").alias("done"))
 
-    def step(at: Column, s: Column) -> Column:
-        longer = F.struct(F.struct(at["open"]["low"].alias("low"), F.greatest(at["open"]["high"], s["high"]).alias("high")).alias("open"), at["done"].alias("done"))
-        closed = F.when(at["open"]["low"] < 0, at["done"]).otherwise(F.concat(at["done"], F.array(at["open"])))
-        return F.when((at["open"]["low"] >= 0) & (s["low"] <= at["open"]["high"]), longer).otherwise(F.struct(s.alias("open"), closed.alias("done")))
+    def join(all_: Column) -> Column:
+        reach = running(F.transform(all_, lambda s: s["high"]), lambda a, b: F.greatest(a, b), -1)
+        heads = F.filter(F.zip_with(all_, reach, lambda s, r: F.when(s["low"] > r, F.struct(s["low"].alias("low"), r.alias("before")))), lambda x: x.isNotNull())
+        last = F.array_max(F.transform(all_, lambda s: s["high"]))
+        return let(heads, lambda x: F.transform(x, lambda one, i: F.struct(one["low"].alias("low"), F.coalesce(F.get(x, i + 1)["before"], last).alias("high"))))
 
-    return F.aggregate(spans, start, step, lambda at: F.concat(at["done"], F.array(at["open"])))
+    return F.when(F.size(spans) == 0, F.array().cast(SPANS)).otherwise(let(spans, join))
 
 
 def without_repeats(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -256,6 +297,8 @@ def without_repeats(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id"
     spans = passages.where(F.size("spans") > 0).select(F.col("id").alias("_rep_id"), F.col("text_hash").alias("_rep_hash"), F.col("spans").alias("_rep_spans"))
     joined = docs.join(spans, docs[id_col].eqNullSafe(spans["_rep_id"]) & (F.xxhash64(docs[text_col]) == spans["_rep_hash"]), "left")
     words = F.filter(F.split(docs[text_col], r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
-    left = F.filter(words, lambda w, i: ~F.exists(F.col("_rep_spans"), lambda s: (s["low"] <= i) & (i < s["high"])))
+    gaps = lambda all_: F.transform(F.col("_rep_spans"), lambda s, i: F.slice(all_, F.coalesce(F.get("_rep_spans", i - 1)["high"], F.lit(0)) + 1, s["low"] - F.coalesce(F.get("_rep_spans", i - 1)["high"], F.lit(0))))
+    rest = lambda all_: F.slice(all_, F.element_at("_rep_spans", -1)["high"] + 1, F.size(all_))
+    left = let(words, lambda all_: F.concat(F.flatten(gaps(all_)), rest(all_)))
     kept = F.when(F.col("_rep_spans").isNull(), docs[text_col]).otherwise(F.array_join(left, " "))
     return joined.select(*[kept.alias(c) if c == text_col else docs[c] for c in docs.columns])

@@ -311,9 +311,17 @@ def brute_repeats(rows, length):
     return sorted(out)
 
 
+def cut_hashes(monkeypatch, bits):
+    mix = suffixes._mix
+    monkeypatch.setattr(suffixes, "_mix", lambda x: mix(x) & np.uint64((1 << bits) - 1))
+
+
 @pytest.mark.parametrize("crowd", [3, 50_000])
-def test_repeated_passages(spark, monkeypatch, crowd):
+@pytest.mark.parametrize("bits", [64, 8])
+def test_repeated_passages(spark, monkeypatch, crowd, bits):
+    """Also where all hashes have eight bits alone: the words decide."""
     monkeypatch.setattr(suffixes, "CROWD", crowd)
+    cut_hashes(monkeypatch, bits)
     rng = random.Random(4)
     base = [rng.choice("abcdefgh") for _ in range(300)]
     rows = []
@@ -331,11 +339,11 @@ def test_repeated_passages(spark, monkeypatch, crowd):
     assert left.count() == len(rows) and left.where("doc_id = 90").first().text == ""
 
 
-def test_passage_query_returns_what_repeats(spark):
+def test_passage_query_returns_every_document(spark):
     docs_ = [(r.doc_id, r.text, "s") for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     got = {r.doc_id: r.spans for r in queries.op8_suffix_dedup(spark, "/root/testdata/sf0.001").collect()}
-    told = {i: ",".join(f"{a}:{b}" for a, b in spans) for i, spans in map(eval, brute_repeats(docs_, 50)) if spans}
-    assert got == told and got
+    told = {i: ",".join(f"{a}:{b}" for a, b in spans) for i, spans in map(eval, brute_repeats(docs_, 50))}
+    assert got == told and any(got.values()) and len(got) == len(docs_)
 
 
 def test_passages_of_odd_rows(spark):
@@ -353,28 +361,47 @@ def test_fifty_words_are_found_and_forty_nine_are_not(spark):
     assert got == {1: [(70, 120)], 2: [(0, 50)], 3: [], 4: []}
 
 
-def test_windows_are_told_apart_by_all_bits(monkeypatch):
-    """The lower halves of all hashes are made equal: twenty words in other surroundings are no repeated passage still."""
-    mix, rng = suffixes._mix, random.Random(8)
-    monkeypatch.setattr(suffixes, "_mix", lambda x: mix(x) & ~np.uint64(0xFFFFFFFF))
+@pytest.mark.parametrize("bits", [64, 32, 8, 1])
+def test_words_decide_not_hashes(monkeypatch, bits):
+    """Twenty words in other surroundings are no repeated passage, fifty are, however many windows have the same hash."""
+    cut_hashes(monkeypatch, bits)
+    rng = random.Random(8)
     new = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
 
     def spans(length):
-        texts = []
-        for _ in range(100):
+        rows = []
+        for _ in range(30):
             common = new(length)
-            texts += [" ".join(new(60) + common + new(60)).encode() for _ in range(2)]
-        batch = pa.RecordBatch.from_arrays([pa.array(range(200), pa.int64()), pa.array(texts, pa.binary())], ["uid", "text"])
-        found = pa.Table.from_batches(suffixes._rows(True, 50, 20)(iter([batch]))).sort_by("h").combine_chunks()
-        return {tuple(x.values()) for b in suffixes._compare(50)(iter(found.to_batches())) for x in b.to_pylist()}
-
-    assert spans(20) == set() and spans(50) == {(i, 60, 110) for i in range(200)}
+            for _ in range(2):
+                words = [w.encode() for w in new(60) + common + new(60)]
+                found = [(int(h), len(rows), int(d), b" ".join(words[at : at + n + 49]), int(at)) for part in suffixes.suffixes(words) for h, at, d, n in zip(*part, strict=True)]
+                rows.append(found)
+        flat = sorted(x for found in rows for x in found)
+        h, uid, away, words, at = zip(*flat, strict=True)
+        near = suffixes.Neighbours(np.array(h, np.uint64).view(np.int64), np.array(uid), np.array(away), list(words), 50)
+        return sorted(set(zip(*(x.tolist() for x in near.spans([[i] for i in at])), strict=True)))
+
+    assert spans(20) == [] and spans(50) == [(i, 60, 110) for i in range(60)]
+
+
+def test_spans_merge_in_order(spark):
+    rng = random.Random(3)
+    rows = [(sorted((a, a + rng.randint(1, 30)) for a in (rng.randrange(4000) for _ in range(n))),) for n in (0, 1, 2, 63, 64, 65, 300)]
+    df = spark.createDataFrame(rows, "spans array<struct<low:int,high:int>>")
+    for r in df.withColumn("merged", suffixes._merged(F.col("spans"))).collect():
+        out = []
+        for a, b in r.spans:
+            if out and a <= out[-1][1]:
+                out[-1][1] = max(out[-1][1], b)
+            else:
+                out.append([a, b])
+        assert [list(x) for x in r.merged] == out
 
 
 def test_segments_make_no_difference(monkeypatch):
     rng = random.Random(7)
     words = [b"%d" % rng.randrange(9) for _ in range(900)]
-    flat = lambda: {(int(h), int(s + a)) for part in suffixes.suffixes(words) for h, s, a in zip(*part[:3], strict=True)}
+    flat = lambda: {(int(h), int(s + a)) for part in suffixes.suffixes(words) for h, s, a, _ in zip(*part, strict=True)}
     whole = flat()
     monkeypatch.setattr(suffixes, "SEGMENT", 70)
     assert flat() == whole
