@@ -273,6 +273,7 @@ def _crowds(kept: DataFrame, passage: int) -> DataFrame:
     spread = lists.select("same", "low", "high", F.posexplode(windows).alias("place", "key"))
     common = spread.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low != high").select("key")
     hits = spread.join(common, "key", "left_semi").groupBy("same").agg(F.sort_array(F.collect_set(F.struct(F.col("place").alias("low"), (F.col("place") + passage).alias("high")))).alias("spans"))
+    hits = materialize(hits, "hits", 4096)  # one row for suffixes with the same words, however many: the join below can be split where they are many
     shifted = F.flatten(F.transform("starts", lambda at: F.transform(_merged(F.col("spans")), lambda s: F.struct((at + s["low"]).alias("low"), (at + s["high"]).alias("high")))))
     return rows.select("uid", "starts", "same").join(hits, "same").select("uid", F.explode(shifted).alias("s")).select("uid", "s.low", "s.high")
 
