@@ -276,7 +276,7 @@ def test_edits_of_odd_rows(spark, monkeypatch, bucket):
     monkeypatch.setattr(sketches, "with_next", lambda d, i, t: plain(d, i, t, bucket))
     many = ODD + [(i, f"number {i} " * (i % 4), "s") for i in range(20, 60, 3)]
     for rows in (many, ODD[:1], [(None, "only", "s")], [(None, "ab", "s"), (None, "abc", "s")], []):
-        order = sorted(((i is None, -(i or 0), (t or "").encode()), i, t or "") for i, t, _ in rows)
+        order = sorted(((i is None, -(i or 0), xxhash.xxh64_intdigest((t or "").encode(), 42) >> 1, (t or "").encode()), i, t or "") for i, t, _ in rows)
         expected = []
         for n, (_, i, t) in enumerate(order):
             third = len(t) // 3
@@ -285,6 +285,19 @@ def test_edits_of_odd_rows(spark, monkeypatch, bucket):
         assert sorted(map(str, got)) == sorted(map(str, expected))
 
 
+def test_repeated_and_null_ids_are_spread(spark, monkeypatch):
+    """100,000 rows without an id, 50,000 of one id and others: many buckets, each row beside its next one."""
+    monkeypatch.setattr(sketches, "SHARES", 8)
+    given = spark.range(160_000).select(F.when(F.col("id") < 100_000, None).when(F.col("id") < 150_000, F.lit(77)).otherwise(F.col("id") % 3000).alias("doc_id"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
+    rows, window = sketches.with_next(given, "doc_id", "text", 4000)
+    buckets = rows.groupBy("place", "part").count().collect()
+    assert len(buckets) >= 38 and max(r["count"] for r in buckets) < 16_000 and sum(r.place == -1 for r in buckets) == 25 and sum(r["count"] for r in buckets) == 160_000 + len(buckets)
+    got = {r.text: r.following for r in rows.withColumn("following", F.lead("text").over(window)).where("NOT extra").collect()}
+    key = lambda r: (r.doc_id is None, -(r.doc_id or 0), xxhash.xxh64_intdigest(r.text, 42) >> 1)
+    order = [r.text for r in sorted(given.collect(), key=key)]
+    assert got == dict(zip(order, [*order[1:], order[0]], strict=True))
+
+
 def test_sketches_merge(spark):
     df = spark.createDataFrame([("a b c d e f g h", "e f g h i j k", "a b c d e f g h i j k")], "x string, y string, z string")
     s = lambda c: sketches.sketch(F.col(c))
