@@ -106,6 +106,27 @@ def test_permutations_and_shards():
     assert 0 <= mixing._hyper(np.random.default_rng(1), 10**10, 10**10, 10**9) <= 10**9
 
 
+def test_topk_with_many_blocks_and_shells_that_leave_out(spark, monkeypatch):
+    """Cells of several blocks, several groups and slices; tight clusters far apart, so that most blocks are out of reach."""
+    for name, value in (("BLOCK", 32), ("SLICE", 2), ("LEAST_GROUP", 16), ("MOST_GROUP", 16), ("STEP", 8)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(2)
+    centres = np.vstack([np.eye(6), -np.eye(6)]) * 40
+    x = np.round(centres[rng.integers(0, 12, 1500)] + rng.normal(size=(1500, 6)), 1)
+    x[:300] = x[0] + np.round(rng.normal(size=(300, 6)) / 4, 1)  # a cell with a fifth of all rows, many equal
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found, pairs = topk.search(df, F.col("vec_id") % 7 == 0, "vec_id", "embedding", 5, 256.0, 24, 4096)
+    whole = np.floor(256 * x).astype(np.int64)
+    scores = whole @ whole.T
+    expected = []
+    for q in range(0, 1500, 7):
+        order = [j for j in np.lexsort((np.arange(1500), -scores[q])).tolist() if j != q][:5]
+        expected += [(q, n + 1, j, int(scores[q, j])) for n, j in enumerate(order)]
+    assert sorted(tuple(r) for r in found.collect()) == expected
+    groups, blocks = pairs.select("grp").distinct().count(), 1500 / 32
+    assert groups >= 14 and pairs.count() < 0.6 * groups * blocks and pairs.where("NOT own").count() > 0
+
+
 def test_topk_against_brute_force(spark):
     rng = np.random.default_rng(0)
     rows = [(int(i), [float(v) for v in rng.normal(size=rng.integers(0, 6)).round(1)]) for i in rng.integers(0, 40, 200)]
