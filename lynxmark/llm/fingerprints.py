@@ -82,7 +82,7 @@ def _below(ends: list[int], value: Column) -> Column:
     return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, s: F.when((at + s <= len(ends)) & (F.get(bounds, at + s - 1) < value), at + s).otherwise(at))
 
 
-def with_next(docs: DataFrame, id_col: str, text_col: str, bucket_rows: int = 4000) -> tuple[DataFrame, Window]:
+def with_next(docs: DataFrame, id_col: str, text_col: str, bucket_rows: int = 1000) -> tuple[DataFrame, Window]:
     """Each row's id and text (null: empty), to be read beside the following row's by ``F.lead`` over the returned window.
 
     Rows go by descending id (null ids last, equal ids by the text's hash, then by the text);
