@@ -28,7 +28,7 @@ from lynxmark.llm.common import TEXTS, let, materialize, running
 PASSAGE, GRAM = 50, 20
 SEGMENT = 1 << 17  # words of a huge text that are in work at once
 #: Texts with the same start beyond which their suffixes are compared by a distributed aggregation, not in one task.
-CROWD = 512
+CROWD = 128
 #: Groups of copies up to which their list (24 bytes each) is sent to every task; a longer one is joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 SPANS = "array<struct<low:int,high:int>>"
