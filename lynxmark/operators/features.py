@@ -32,24 +32,27 @@ def largest_group(reviews: DataFrame, key: Column, product: str = "product_id")
     return keyed.groupBy(product, "k").agg(F.count("*").alias("n")).groupBy(product).agg(F.max("n").alias("max_cluster"))
 
 
-def busiest_day(reviews: DataFrame, day: Column, product: str = "product_id") -> DataFrame:
-    """(product, max_day, days)"""
-    by_day = reviews.select(F.col(product), day.alias("day")).where("day IS NOT NULL").groupBy(product, "day").agg(F.count("*").alias("n"))
-    return by_day.groupBy(product).agg(F.max("n").alias("max_day"), F.count("*").alias("days"))
+def _grouped(reviews: DataFrame, product: str, counts: dict[str, Column], key: Column, day: Column) -> DataFrame:
+    """Per product: total_reviews, the ``counts`` (conditions), max_cluster, max_day and days, in one reading of the reviews.
 
-
-def _joined(base: DataFrame, product: str, *more: DataFrame) -> DataFrame:
-    for df in more:
-        base = base.join(df, product, "left")
-    return base
+    Each review's conditions, key digest and day are computed once; three groupings of these
+    (by product, by product and key, by product and day) share the scan and the shuffle, with
+    partial sums where the reviews are read. Null keys and days make no cluster and no day.
+    """
+    slim = reviews.select(F.col(product), *[F.coalesce(c, F.lit(False)).cast("int").alias(k) for k, c in counts.items()], F.sha2(key, 256).alias("k"), day.alias("day"))
+    at = [F.col(product), F.col("k"), F.col("day")]
+    sets = slim.groupingSets([at[:1], at[:2], [at[0], at[2]]], *at).agg(F.grouping_id().alias("left_out"), F.count("*").alias("n"), *[F.sum(c).alias(c) for c in counts])
+    whole, by_key, by_day = F.col("left_out") == 3, (F.col("left_out") == 1) & F.col("k").isNotNull(), (F.col("left_out") == 2) & F.col("day").isNotNull()
+    of = lambda which, c: F.max(F.when(which, F.col(c)))
+    return sets.groupBy(product).agg(of(whole, "n").alias("total_reviews"), *[of(whole, c).alias(c) for c in counts], of(by_key, "n").alias("max_cluster"), of(by_day, "n").alias("max_day"), F.count_if(by_day).alias("days"))
 
 
 def noise_parts(body: Column, variant: str) -> dict[str, Column]:
-    """Counts of noisy reviews; an empty body counts as short alone."""
+    """What makes a review noisy; an empty body is short alone."""
     full = body != ""
     return {
-        "url_hits": F.count_if(full & T.has_url(body)), "emoji_hits": F.count_if(full & T.has_emoji(body, variant)),
-        "symbol_runs": F.count_if(full & T.has_symbol_run(body)), "short_reviews": F.count_if(F.length(body) < SHORT_SITE),
+        "url_hits": full & T.has_url(body), "emoji_hits": full & T.has_emoji(body, variant),
+        "symbol_runs": full & T.has_symbol_run(body), "short_reviews": F.length(body) < SHORT_SITE,
     }
 
 
@@ -75,10 +78,9 @@ def site_key(df: DataFrame, normalize: Callable[[Column], Column] = T.normalize,
 def site_features(reviews: DataFrame, product: str = "product_id", normalize: Callable[[Column], Column] = T.normalize, strict_reviewer_meta: bool = False, day: Column | None = None) -> DataFrame:
     """dist_bias, duplicates, surge and noise in percent, with the counts behind them."""
     rows = reviews.withColumn("body", T.java_trim(F.coalesce("body", F.lit(""))))
-    base = rows.groupBy(product).agg(F.count("*").alias("total_reviews"), F.count_if(F.col("stars") >= 5).alias("five_star"), *[c.alias(k) for k, c in noise_parts(F.col("body"), "site").items()])
-    clusters = largest_group(rows, site_key(rows, normalize, strict_reviewer_meta), product)
-    days = busiest_day(rows, F.to_date("created_at") if day is None else day, product)
-    return _percentages(_joined(base, product, clusters, days), product)
+    counts = {"five_star": F.col("stars") >= 5} | noise_parts(F.col("body"), "site")
+    grouped = _grouped(rows, product, counts, site_key(rows, normalize, strict_reviewer_meta), F.to_date("created_at") if day is None else day)
+    return _percentages(grouped, product)
 
 
 def _percentages(df: DataFrame, product: str) -> DataFrame:
@@ -94,11 +96,8 @@ def _percentages(df: DataFrame, product: str) -> DataFrame:
 def eval_features(reviews: DataFrame, product: str = "product_id", day: Column | None = None) -> DataFrame:
     """The offline evaluator's: exact stripped bodies as clusters, its own emoji set, undated rows in the mean day."""
     rows = reviews.withColumn("body", T.unicode_strip(F.coalesce("body", F.lit(""))))
-    parts = noise_parts(F.col("body"), "eval")
-    base = rows.groupBy(product).agg(F.count("*").alias("total_reviews"), F.count_if(F.col("stars") >= 5).alias("five_star"), *[c.alias(k) for k, c in parts.items()])
-    clusters = largest_group(rows, F.nullif("body", F.lit("")), product)
-    days = busiest_day(rows, F.to_date("created_at") if day is None else day, product)
-    return _percentages(_joined(base, product, clusters, days), product)
+    counts = {"five_star": F.col("stars") >= 5} | noise_parts(F.col("body"), "eval")
+    return _percentages(_grouped(rows, product, counts, F.nullif("body", F.lit("")), F.to_date("created_at") if day is None else day), product)
 
 
 def amazon_features(reviews: DataFrame, as_of: str, product: str = "product_id", normalize: Callable[[Column], Column] = T.normalize) -> DataFrame:
@@ -107,10 +106,10 @@ def amazon_features(reviews: DataFrame, as_of: str, product: str = "product_id",
     few = F.size(F.array_distinct(F.split("norm", ""))) < FEW_CHARS
     noisy = ~T.has_text(F.col("norm")) | (F.length("norm") < NOISY_AMAZON) | few
     recent = F.col("review_date") >= F.date_sub(F.to_date(F.lit(as_of)), WINDOW_DAYS)
-    base = rows.groupBy(product).agg(F.count("*").alias("total_reviews"), F.count_if(F.col("stars") >= 5).alias("five_star"), F.count_if(F.length("norm") < SHORT_AMAZON).alias("short"), F.count_if(noisy).alias("noisy"), F.count_if(recent).alias("recent_reviews"))
+    counts = {"five_star": F.col("stars") >= 5, "short": F.length("norm") < SHORT_AMAZON, "noisy": noisy, "recent_reviews": recent}
     key = F.coalesce(_filled(_or_null(rows, "fingerprint")), _filled(F.col("norm")), _filled(_or_null(rows, "reviewer")))
     total = F.col("total_reviews")
-    return _joined(base, product, largest_group(rows, key, product)).select(
+    return _grouped(rows, product, counts, key, F.lit(None).cast("date")).select(
         product, "total_reviews", clamp01(F.col("five_star") / total * (F.col("short") / total)).alias("dist_bias"), clamp01(F.coalesce("max_cluster", F.lit(1)) / total).alias("duplicate_rate"),
         clamp01(F.col("recent_reviews") * 1.0 / F.greatest(F.lit(1.0), total / 5.0)).alias("surge_ratio"), clamp01(F.col("noisy") / total).alias("noise_ratio"), "recent_reviews", F.lit(WINDOW_DAYS).alias("window_days"),
     )
@@ -123,4 +122,4 @@ def exported_features(reviews: DataFrame, product: str = "product_id") -> DataFr
     clusters = largest_group(rows, T.normalize_body(F.col("body")), product)
     median = F.greatest(F.lit(1.0), F.bround("median"))
     bias = 100.0 * (0.7 * (F.col("five") / F.col("cnt")) + 0.3 * F.least(F.lit(1.0), 40.0 / median))
-    return _joined(base, product, clusters).select(product, F.bround(bias, 2).alias("dist_bias"), F.coalesce("max_cluster", F.lit(0)).cast("long").alias("duplicates"), "cnt")
+    return base.join(clusters, product, "left").select(product, F.bround(bias, 2).alias("dist_bias"), F.coalesce("max_cluster", F.lit(0)).cast("long").alias("duplicates"), "cnt")

@@ -51,10 +51,19 @@ def moderation_audit(reviews: DataFrame, decisions: DataFrame) -> DataFrame:
     return taken.select(F.col("actor"), F.when(F.col("approve"), "REVIEW_APPROVE").otherwise("REVIEW_REJECT").alias("action"), F.lit("review").alias("target_type"), F.col("review_id").cast("string").alias("target_id"), F.to_json(F.struct("reason")).alias("meta"), F.col("at").alias("created_at"))
 
 
-def register_products(products: DataFrame, requests: DataFrame, stamp: str) -> DataFrame:
-    """Get or create by asin: what is there stays, only blanks are filled. New rows start visible as drafts, named after their asin's row."""
+def register_products(products: DataFrame, requests: DataFrame, stamp: str, order: tuple[str, ...] = ()) -> DataFrame:
+    """Get or create by asin: what is there stays, only blanks are filled. New rows start visible as drafts, named after their asin's row.
+
+    Of several requests for an asin the first one that has a value fills it: the first by
+    ``order``, columns of the requests, and then by product_id and by the value.
+    """
     fill = ("title", "name", "brand", "url")
-    one = requests.where(F.col("asin").isNotNull()).groupBy("asin").agg(*[F.first(blank_to_null(F.col(c)), ignorenulls=True).alias(f"_n_{c}") if c in requests.columns else F.lit(None).cast("string").alias(f"_n_{c}") for c in fill], F.min("product_id").alias("_id"))
+
+    def earliest(c: str) -> Column:
+        value = blank_to_null(F.col(c))
+        return F.min_by(value, F.when(value.isNotNull(), F.struct(*order, "product_id", value.alias("_value")))).alias(f"_n_{c}")
+
+    one = requests.where(F.col("asin").isNotNull()).groupBy("asin").agg(*[earliest(c) if c in requests.columns else F.lit(None).cast("string").alias(f"_n_{c}") for c in fill], F.min("product_id").alias("_id"))
     both = products.join(one, "asin", "full_outer")
     values = {c: F.coalesce(blank_to_null(F.col(c)), f"_n_{c}") for c in fill if c in products.columns}
     values |= {"product_id": F.coalesce("product_id", "_id"), "visible": F.coalesce("visible", F.lit(True)), "publish_status": F.coalesce("publish_status", F.lit("DRAFT")), "updated_at": F.when(F.col("_id").isNotNull(), F.lit(stamp).cast("timestamp_ntz")).otherwise(F.col("updated_at"))}
@@ -65,8 +74,8 @@ def intake_pages(products: DataFrame, pages: DataFrame, stamp: str) -> tuple[Dat
     """Parsed product pages (a snapshot's fields, page_key, source_url) taken in: the products after registering those with a
     product number, and the snapshot rows to append, one a page."""
     known = pages.where(F.col("asin").isNotNull())
-    requests = known.select(F.upper("asin").alias("asin"), "title", F.col("title").alias("name"), "brand", F.col("source_url").alias("url"), F.concat(F.lit("p-"), F.upper("asin")).alias("product_id"))
-    after = register_products(products, requests, stamp)
+    requests = known.select("page_key", F.upper("asin").alias("asin"), "title", F.col("title").alias("name"), "brand", F.col("source_url").alias("url"), F.concat(F.lit("p-"), F.upper("asin")).alias("product_id"))
+    after = register_products(products, requests, stamp, ("page_key",))
     fields = [F.col(c) for c in pages.columns if c not in ("page_key", "source_url")]
     rows = known.select("page_key", F.upper("asin").alias("asin"), "source_url", F.to_json(F.struct(*fields)).alias("snapshot_json"))
     ids = after.select("asin", "product_id", F.col("title").alias("product_name"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lynxmark.functions import dates, hashing, language, numbers, similarity, urls
 from lynxmark.functions import text as T
-from lynxmark.plans.adapters import SQL_EMOJI_EVAL, SQL_EMOJI_SITE, SQL_RUN, SQL_URL, sql_java_trim, table
+from lynxmark.plans.adapters import SQL_EMOJI_EVAL, SQL_EMOJI_SITE, SQL_RUN, SQL_URL, sql_java_trim, sql_squeeze, table
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -54,13 +54,18 @@ def fn_negative_words(spark, d):
     return _docs(spark, d).select("doc_id", T.has_negative_word(F.col("text")).alias("negative"))
 
 
-@query()
+#: Marks, compatibility forms and capitals behind each text, and what becomes of them; the texts themselves have composed letters alone.
+_FORMS, _BARE, _COMPOSED = " ﬁ①ＡÀ\t\tが ", " fi1aa か", " fi1AÀ が"
+
+
+@query(f"SELECT doc_id, {sql_squeeze("strip_accents(lower(text))")} || '{_BARE}' AS normalized, regexp_replace(regexp_replace({sql_java_trim('text')}, '[ \t\x0B\f]+', ' ', 'g'), '[ \t\n\x0B\f\r]*\n[ \t\n\x0B\f\r]*', chr(10), 'g') || '{_COMPOSED}' AS scraped FROM documents")
 def fn_normalize(spark, d):
-    """Decomposed, marks dropped, lower case: SQL has no such function."""
-    return _docs(spark, d).select("doc_id", T.normalize(F.col("text")).alias("normalized"), T.normalize_scraped(F.col("text")).alias("scraped"))
+    """Decomposed, marks dropped, lower case; and composed, for scraped texts."""
+    t = F.concat(F.rtrim("text"), F.lit(_FORMS))
+    return _docs(spark, d).select("doc_id", T.normalize(t).alias("normalized"), T.normalize_scraped(t).alias("scraped"))
 
 
-@query()
+@query(f"WITH t AS (SELECT doc_id, regexp_replace(regexp_replace({sql_java_trim('text')}, '[ \t\x0B\f]+', ' ', 'g'), '[ \t\n\x0B\f\r]*\n[ \t\n\x0B\f\r]*', chr(10), 'g') AS s, text FROM documents) SELECT doc_id, nullif(CASE WHEN length(s) > 100 THEN {sql_java_trim('left(s, 100)')} ELSE s END, '') AS checked, {sql_java_trim("'12% ' || nfc_normalize(text)")} AS digits FROM t")
 def fn_validate_and_digits(spark, d):
     return _docs(spark, d).select("doc_id", T.validate(F.col("text"), 100).alias("checked"), T.normalize_digits(F.concat(F.lit("１２％ "), F.col("text"))).alias("digits"))
 
@@ -172,7 +177,11 @@ def fn_name_uuid(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", hashing.name_uuid(F.col("s_name")).alias("id"))
 
 
-@query()
+#: The offset and the prime of 64-bit FNV-1a, by bytes of the text.
+_FNV = "list_reduce(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: CAST('0x' || x AS HUGEINT)), lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616, CAST(14695981039346656037 AS HUGEINT))"
+
+
+@query(f"SELECT doc_id, CAST(CASE WHEN text IS NULL THEN 0 WHEN h >= 9223372036854775808 THEN h - 18446744073709551616 ELSE h END AS BIGINT) AS fnv FROM (SELECT doc_id, text, {_FNV} AS h FROM documents)")
 def fn_fnv64(spark, d):
     return _docs(spark, d).select("doc_id", hashing.fnv64(F.col("text")).alias("fnv"))
 
@@ -184,10 +193,15 @@ def fn_ulid_time(spark, d):
     return e.select("event_id", hashing.ulid_millis(F.concat(F.array_join(digits, ""), F.lit("0123456789ABCDEF"))).alias("ms"))
 
 
-@query()
+@query("SELECT event_id, 26 AS length, true AS alphabet, true AS of_now, true AS only FROM events")
 def fn_ulid_new(spark, d):
-    """New identifiers: other ones at every run."""
-    return table(spark, d, "events").select("event_id", hashing.new_ulid().alias("ulid"))
+    """What can be told of new identifiers, which are others at every run: their length, letters and time, and that there is no other like each."""
+    from pyspark.sql import Window
+
+    ulids = table(spark, d, "events").select("event_id", hashing.new_ulid().alias("ulid"))
+    age = F.abs(hashing.ulid_millis(F.col("ulid")) - F.unix_millis(F.current_timestamp()))
+    same = F.count("*").over(Window.partitionBy("ulid"))
+    return ulids.select("event_id", "ulid", same.alias("same")).select("event_id", F.length("ulid").alias("length"), F.col("ulid").rlike(f"^[0-7][{hashing.CROCKFORD}]{{25}}$").alias("alphabet"), (age < 86_400_000).alias("of_now"), (F.col("same") == 1).alias("only"))
 
 
 @query("SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'jpeg' WHEN 1 THEN 'png' WHEN 2 THEN 'gif' WHEN 3 THEN 'webp' END AS kind FROM part")
@@ -217,9 +231,9 @@ _SEEN = r"[^\t\n\v\f\r \x00-\x1f\x7f-\x{9f}\p{Zs}\p{Zl}\p{Zp}]|[\x{A0}\x{2007}\x
 _N = lambda p: f"len(regexp_extract_all(t, '{p}'))"
 
 
-@query(rf"WITH t AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'これは日本語の文です。' || left(text, 10) ELSE text END AS t FROM documents), c AS (SELECT doc_id, {_N(_SEEN)} AS seen, {_N('[' + chr(92) + 'x{3040}-' + chr(92) + 'x{30FF}' + chr(92) + 'x{4E00}-' + chr(92) + 'x{9FFF}]')} AS ja, {_N(chr(92) + 'p{L}')} AS letters, {_N('[A-Za-z]')} AS ascii_ FROM t) SELECT doc_id, seen > 0 AND CAST(ja AS DOUBLE) / greatest(seen, 1) >= 0.3 AS japanese, CASE WHEN seen > 0 AND CAST(ja AS DOUBLE) / greatest(seen, 1) >= 0.3 THEN 'ja' WHEN letters > 0 AND CAST(ascii_ AS DOUBLE) / greatest(letters, 1) > 0.7 THEN 'en' ELSE 'unknown' END AS language FROM c")
+@query(rf"WITH t AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'これは日本語の文です。' || regexp_replace(text, '[a-m]', 'あ', 'g') ELSE text END AS t FROM documents), c AS (SELECT doc_id, {_N(_SEEN)} AS seen, {_N('[' + chr(92) + 'x{3040}-' + chr(92) + 'x{30FF}' + chr(92) + 'x{4E00}-' + chr(92) + 'x{9FFF}]')} AS ja, {_N(chr(92) + 'p{L}')} AS letters, {_N('[A-Za-z]')} AS ascii_ FROM t) SELECT doc_id, seen > 0 AND CAST(ja AS DOUBLE) / greatest(seen, 1) >= 0.3 AS japanese, CASE WHEN seen > 0 AND CAST(ja AS DOUBLE) / greatest(seen, 1) >= 0.3 THEN 'ja' WHEN letters > 0 AND CAST(ascii_ AS DOUBLE) / greatest(letters, 1) > 0.7 THEN 'en' ELSE 'unknown' END AS language FROM c")
 def language_detect(spark, d):
-    t = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("これは日本語の文です。"), F.left("text", F.lit(10)))).otherwise(F.col("text"))
+    t = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("これは日本語の文です。"), F.regexp_replace("text", "[a-m]", "あ"))).otherwise(F.col("text"))
     return _docs(spark, d).select("doc_id", t.alias("t")).select("doc_id", language.is_japanese(F.col("t")).alias("japanese"), language.detect(F.col("t")).alias("language"))
 
 

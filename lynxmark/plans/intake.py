@@ -150,7 +150,9 @@ def src_url_dedup(spark, d):
     return lists.first_of_each(p, "url", "n").select("url", "n")
 
 
-@query()
+@query(r"""WITH bare AS (SELECT page_id, regexp_replace(html, '(?is)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', ' ', 'g') AS b FROM pages)
+    SELECT page_id AS page_key, replace(trim(regexp_extract(b, '(?is)<title>(.*?)</title>', 1)), '&amp;', '&') AS title, CAST(len(regexp_extract_all(b, '(?i)<a\s[^>]*href')) AS INTEGER) AS n_links, CAST(len(regexp_extract_all(b, '(?i)<p[\s>]')) AS INTEGER) AS n_paragraphs,
+    CAST(len(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(b, '(?i)</?(b|i|em|strong|a|span)(\s[^>]*)?>', '', 'g'), '<[^>]*>', ' ', 'g'), '\s+'), lambda x: x <> '')) AS INTEGER) AS n_words FROM bare""")
 def src_page_outlines(spark, d):
     """All pages through the HTML parser."""
     return html.page_outline(table(spark, d, "pages"), "page_id")
@@ -187,16 +189,56 @@ def src_review_lists(spark, d):
     return r.select("page_key", F.col("reviewId").alias("review_id"), "asin", "title", "rating", F.col("reviewDate").alias("review_date"), "reviewer", "url", F.col("helpfulVotes").alias("votes"))
 
 
-@query("SELECT p_partkey AS page_key, 74 AS five, 26 AS four, 0 AS one, 5.0 AS average, CAST(p_partkey % 900 + 1 AS INTEGER) AS n FROM part WHERE p_partkey % 2 = 0")
+@query("SELECT p_partkey AS page_key, CASE WHEN p_partkey % 2 = 0 THEN 74 ELSE 0 END AS five, CASE WHEN p_partkey % 2 = 0 THEN 26 ELSE 0 END AS four, 0 AS one, CASE WHEN p_partkey % 2 = 0 THEN 5.0 END AS average, CAST(p_partkey % 900 + 1 AS INTEGER) AS n FROM part")
 def src_rating_histograms(spark, d):
-    pages = _pages(spark, d).where("page_id % 2 = 0").withColumn("html", F.regexp_replace("html", r'<li><a href="\?filterByStar=five_star" aria-label="52%">5</a>', '<li><a aria-label="5 stars 52%">52%</a>'))
-    pages = pages.withColumn("html", F.regexp_replace("html", r'<a href="\?f=four_star" aria-label="26%">4</a>', '<a aria-label="4 stars">26%</a>'))
-    pages = pages.withColumn("html", F.regexp_replace("html", r'title="[^"]*"></span>', "> 5,0 / 5</span>"))
-    h = html.parse_histograms(pages, "page_id")
+    """Every page, even ones in a layout whose rows carry their percentages as text, odd ones in one where only links do, which count for nothing here."""
+    rows, even = F.col("html"), F.col("page_id") % 2 == 0
+    told = F.regexp_replace(rows, r'<li><a href="\?filterByStar=five_star" aria-label="52%">5</a>', '<li><a aria-label="5 stars 52%">52%</a>')
+    told = F.regexp_replace(told, r'<a href="\?f=four_star" aria-label="26%">4</a>', '<a aria-label="4 stars">26%</a>')
+    told = F.regexp_replace(told, r'title="[^"]*"></span>', "> 5,0 / 5</span>")
+    h = html.parse_histograms(_pages(spark, d).withColumn("html", F.when(even, told).otherwise(rows)), "page_id")
     share = lambda k: F.element_at("percentageByStar", F.lit(k))
     return h.select("page_key", share(5).alias("five"), share(4).alias("four"), share(1).alias("one"), F.col("averageRating").alias("average"), F.col("reviewCount").alias("n"))
 
 
+_REVIEW = '<div data-hook="review"><a data-hook="review-title"><span>T</span></a><i data-hook="review-star-rating"><span>5つ星のうち4.0</span></i><span data-hook="review-date">d</span><span data-hook="review-body"><span>Body {name}</span></span>{badge}</div>'
+#: A page's parts, in eight layouts: places that are asked first, places that are asked when those are missing or unfit, and nowhere.
+_LAYOUTS = {
+    0: '<input id="ASIN" value="{asin}"><span id="productTitle">{name}</span><a id="bylineInfo">ブランド: {brand}</a><div id="corePriceDisplay_desktop_feature_div"><span class="a-offscreen">￥{price}</span></div><span id="acrPopover" title="5つ星のうち{stars}"></span><span id="acrCustomerReviewText">{n}個の評価</span><div id="cm-cr-dp-review-list">{review}</div>',
+    1: '<div id="detailBullets_feature_div"><ul><li>Size : 3</li><li><span>ASIN :</span> <span>{asin}</span></li></ul></div><span id="productTitle"> {name} </span><a id="bylineInfo">{brand}</a><span id="priceblock_ourprice">￥ {price}</span><span data-hook="rating-out-of-text">5つ星のうち{stars}</span><span data-hook="total-review-count">{n} ratings</span><div id="reviewsMedley">{review}{review}</div>',
+    2: '<input id="ASIN" value="short"><table id="productDetails_detailBullets_sections1"><tr><th>Weight</th><td>1</td></tr><tr><th> ASIN </th><td> {asin} </td></tr></table><span id="productTitle">{name}</span><span id="priceblock_dealprice">{price}円</span><span id="acrPopover"></span><span data-hook="rating-out-of-text">{stars} / 5</span><a id="acrCustomerReviewLink"><span>{n}</span></a><div id="cm-cr-dp-review-list"></div><div id="reviewsMedley">{review}</div>',
+    3: '<input id="ASIN" value="{asin}"><span id="productTitle">{name}</span><span id="acrPopover" title="5つ星のうち{stars}"></span><span id="acrCustomerReviewText">{n}</span><div id="cm-cr-dp-review-list">{review}</div>',
+    4: '<input id="ASIN" value="{asin}"><span id="productTitle">{name}</span><span id="priceblock_ourprice">{price}</span><span id="acrPopover" title="{stars}"></span><span id="acrCustomerReviewText">{n}</span><ul id="histogramTable"><li><a href="?x=five_star">5</a><div class="a-meter" aria-valuenow="61"></div></li><li><a aria-label="4つ星">4</a><span class="a-text-right"><span>30%</span></span></li><li>1つ星 <a aria-label="9%">x</a></li></ul>',
+    5: '<span id="productTitle">  </span><div id="imgTagWrapperId"><img id="landingImage" src="https://i/{n}.jpg" data-old-hires="https://i/{n}-big.jpg" data-a-dynamic-image="{{&quot;https://i/{n}.jpg&quot;:[1,2],&quot;https://i/{n}-2.jpg&quot;:[3,4]}}"></div><div id="imageBlock_feature_div"><img data-src="https://i/block.jpg"></div>',
+    6: '<input id="ASIN" value="{asin}"><div id="feature-bullets"><ul class="a-unordered-list"><li><span class="a-list-item">One {n}</span></li><li><span class="a-list-item"> </span></li><li><span class="a-list-item">Two</span></li></ul></div><div id="main-image-container"><img src="https://i/main.jpg" data-a-dynamic-image="not json"></div>',
+    7: '<div id="feature-bullets"><ul><li>Plain</li></ul></div><div id="detailBullets_feature_div"><ul><li>ASIN：{asin}</li></ul></div><div id="reviewsMedley"><div data-hook="review"></div></div>',
+}
+
+
+def _layouts(spark, d):
+    p, k = table(spark, d, "part"), F.col("p_partkey")
+    page = F.element_at(F.create_map(*[F.lit(x) for n, text in _LAYOUTS.items() for x in (n, "<html><body>" + text.replace("{review}", _REVIEW).replace("{{", "{").replace("}}", "}"))]), (k % 8).cast("int"))
+    badge = F.when(k % 3 == 0, '<span data-hook="avp-badge">x</span>').when(k % 3 == 1, "<span>Amazonで購入</span>").otherwise("")
+    values = {"asin": F.concat(F.lit("B"), F.lpad(k.cast("string"), 9, "0")), "name": F.col("p_name"), "brand": F.col("p_brand"), "price": F.format_number(k * 7, 0), "stars": F.concat((F.col("p_size") % 5).cast("string"), F.lit("."), (k % 10).cast("string")), "n": (k % 900 + 1).cast("string"), "badge": badge}
+    for name, value in values.items():
+        page = F.replace(page, F.lit("{" + name + "}"), value)
+    return p.select(k.alias("page_id"), page.alias("html"))
+
+
+@query(
+    "WITH t AS (SELECT *, p_partkey % 8 AS l, CAST(p_partkey % 900 + 1 AS VARCHAR) AS n FROM part) SELECT p_partkey AS page_key, CASE WHEN l <> 5 THEN 'B' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') END AS asin, CASE WHEN l < 5 THEN p_name END AS title, CASE WHEN l < 2 THEN p_brand END AS brand, "
+    "CASE WHEN l IN (0, 1, 2, 4) THEN p_partkey * 7 END AS price, CASE WHEN l < 5 THEN CAST(CAST(p_size % 5 AS VARCHAR) || '.' || CAST(p_partkey % 10 AS VARCHAR) AS DOUBLE) END AS average, CASE WHEN l < 5 THEN CAST(n AS INTEGER) END AS n, CASE WHEN l = 4 THEN 61.0 ELSE 0.0 END AS five, CASE WHEN l = 4 THEN 30.0 ELSE 0.0 END AS four, CASE WHEN l = 4 THEN 9.0 ELSE 0.0 END AS one, "
+    "CASE l WHEN 5 THEN 'https://i/' || n || '-big.jpg,https://i/' || n || '.jpg,https://i/' || n || '-2.jpg,https://i/block.jpg' WHEN 6 THEN 'https://i/main.jpg' ELSE '' END AS images, CASE l WHEN 6 THEN 'One ' || n || ',Two' WHEN 7 THEN 'Plain' ELSE '' END AS bullets, "
+    "CASE WHEN l IN (0, 2, 3) THEN 1 WHEN l = 1 THEN 2 ELSE 0 END AS n_reviews, CASE WHEN l < 4 THEN 'Body ' || p_name END AS body, CASE WHEN l < 4 AND p_partkey % 3 < 2 THEN true END AS verified, l > 2 AS partial FROM t"
+)
+def src_page_layouts(spark, d):
+    """Every page in one of eight layouts: fallback places, missing and unfit parts, images, bullets, badges."""
+    s = html.parse_product_pages(_layouts(spark, d), "page_id")
+    share = lambda k: F.element_at("ratingSharePct", F.lit(k))
+    first = F.get("inlineReviews", F.lit(0))
+    return s.select("page_key", "asin", "title", "brand", F.col("priceMinor").alias("price"), F.col("ratingAverage").alias("average"), F.col("ratingCount").alias("n"), share(5).alias("five"), share(4).alias("four"), share(1).alias("one"), F.array_join("imageUrls", ",").alias("images"), F.array_join("featureBullets", ",").alias("bullets"), F.size("inlineReviews").alias("n_reviews"), first["body"].alias("body"), first["verified"].alias("verified"), "partial")
+
+
 @query(f"WITH {_BASE} SELECT 'adhoc' AS dataset, asin, count(*) FILTER (m > 2) AS n_reviews, count(*) FILTER (m = 2) AS n_histograms FROM b WHERE m > 1 GROUP BY asin")
 def snk_ndjson_lines(spark, d):
     parsed = _parsed(spark, d)

@@ -65,9 +65,12 @@ def score_site(spark, d):
     return s.select("product_id", "total_reviews", *[f"points_{k}" for k in _P], "risk", "display", "rank", F.concat_ws(",", "flags").alias("flags"), "verdict").orderBy(F.desc("risk"), "product_id")
 
 
-@query()
+_FULL = SCORED.replace(sql_squeeze("body"), sql_squeeze("strip_accents(body)"))
+
+
+@query(f"{_FULL} SELECT product_id, risk, {_RANK} AS rank, {_V('dist_bias', 'duplicates', _PCT)} AS verdict, max_duplicate_cluster FROM scored")
 def score_site_full_normalization(spark, d):
-    """With compatibility decomposition in the cluster key, which SQL has no function for."""
+    """With decomposition in the cluster key; the texts have composed letters and no compatibility forms, for which SQL has no function."""
     s = scoring.score_site(features.site_features(reviews_text(spark, d)))
     return s.select("product_id", "risk", "rank", "verdict", "max_duplicate_cluster")
 

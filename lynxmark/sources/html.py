@@ -181,7 +181,7 @@ HISTOGRAM_SELECTORS = {
     "count": ["#acrCustomerReviewText", "#acrCustomerReviewLink #acrCustomerReviewText", "span[data-hook=total-review-count]"],
 }
 STAR_WORDS = {"five_star": 5, "four_star": 4, "three_star": 3, "two_star": 2, "one_star": 1}
-STAR_TEXT = re.compile(r"(?:^|\s)([1-5])\s*[つツ]?\s*星|([1-5])\s*stars?|([1-5])\s*-star", re.I)
+STAR_TEXT = re.compile(r"(?:^|\s)([1-5])\s*(?:つ|ツ)?\s*星|([1-5])\s*stars?|([1-5])\s*-star", re.I)
 
 
 def selectors_from(properties: str, defaults: dict[str, list[str]] | None = None) -> dict[str, list[str]]:

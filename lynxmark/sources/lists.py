@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import io
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -41,15 +42,28 @@ def _decoded(files: pd.Series) -> pd.Series:
     return files.map(one)
 
 
-def read_url_csv(spark: SparkSession, path: str) -> DataFrame:
-    """(n, url): trimmed http addresses of a CSV file with a header line, each where it comes first."""
-    files = spark.read.format("binaryFile").load(path).select(_decoded("content").alias("text"))
-    lines = files.select(F.posexplode(F.split("text", r"\r\n|\n|\r")).alias("n", "line"))
-    header = next(csv.reader([lines.where("n = 0").first()["line"]]))
+def _addresses(text: str) -> list[str]:
+    """The addresses' column of a CSV file, read by the file's own header; lines may lie within quotes."""
+    rows = csv.reader(io.StringIO(text, newline=""))
+    header = next(rows, None)
+    if header is None:
+        return []
     at = header.index(pick_url_header(header))
-    fields = F.from_csv("line", ", ".join(f"c{i} string" for i in range(len(header))))
-    rows = lines.where("n > 0").select("n", java_trim(fields[f"c{at}"]).alias("url"))
-    return first_of_each(rows.where(is_http(F.col("url"))), "url", "n")
+    return [r[at] if at < len(r) else "" for r in rows if r]
+
+
+def read_url_csv(spark: SparkSession, path: str) -> DataFrame:
+    """(n, url): trimmed http addresses of CSV files with a header line each, every address where it comes first.
+
+    Files go by path, each by its own header; n numbers all addresses in that order, from 1.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", _decoded("content").alias("text"))
+    found = files.mapInPandas(lambda batches: (pd.DataFrame([(p, i, u) for p, t in zip(b["path"], b["text"], strict=True) for i, u in enumerate(_addresses(t))], columns=["path", "i", "url"]) for b in batches), "path string, i long, url string")
+    rows = found.select("path", "i", java_trim(F.col("url")).alias("url")).where(is_http(F.col("url")))
+    first = first_of_each(rows.withColumn("at", F.struct("path", "i")), "url", "at")
+    files_before = first.groupBy("path").agg(F.count("*").alias("k")).withColumn("before", F.sum("k").over(Window.orderBy("path")) - F.col("k"))  # a row for each file
+    nth = F.row_number().over(Window.partitionBy("path").orderBy("i"))
+    return first.join(files_before, "path").select((F.col("before") + nth).cast("long").alias("n"), "url").orderBy("n")
 
 
 def first_of_each(df: DataFrame, key: str, order: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lynxmark.operators.merge import VersionedTable
@@ -12,9 +12,11 @@ from lynxmark.sources import ndjson
 
 
 def read_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
-    """Streamed lines (path, line); their numbers are given batch by batch."""
+    """Streamed lines (path, modified, block, line): with the file's time and where in the file Spark's block begins, so that a
+    line's place does not depend on how files are dealt to tasks."""
     df = spark.readStream.format("text").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch).load(path)
-    return df.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line"))
+    meta = F.col("_metadata")
+    return df.select(meta["file_path"].alias("path"), meta["file_modification_time"].alias("modified"), meta["file_block_start"].alias("block"), F.col("value").alias("line"))
 
 
 def daily_counts(events: DataFrame, late: str = "2 days") -> DataFrame:
@@ -25,16 +27,25 @@ def daily_counts(events: DataFrame, late: str = "2 days") -> DataFrame:
 def start(spark: SparkSession, path: str, checkpoint: str, table: VersionedTable, merge_batch: Callable[[DataFrame, DataFrame], DataFrame], rescore: Callable[[DataFrame], None] | None = None):
     """Each batch's reviews are merged into the table; ``rescore`` gets the reviews of the products that it touched, whole.
 
-    A batch that is run again after a failure merges to the same table, for merges by key repeat.
+    ``merge_batch`` gets the table's rows of the partitions that the batch touches (all rows,
+    if the table has none) and the batch with line_no, a number that grows with the file's
+    time, its path and the place of the line in it, so that the last write is the same one
+    however files are dealt to tasks. A batch that is run again after a failure merges to the
+    same table. Only touched partitions are written.
     """
 
     def one(batch: DataFrame, _: int) -> None:
-        rows = ndjson.reviews(ndjson.parse(batch.withColumn("line_no", F.monotonically_increasing_id())))
+        # Lines of a block come in the file's order; the rank of (time, path, block) goes before it.
+        batch = batch.withColumn("offset", F.monotonically_increasing_id())
+        blocks = batch.groupBy("modified", "path", "block").agg(F.min("offset").alias("first"))
+        place = blocks.select("path", "block", "first", (F.row_number().over(Window.orderBy("modified", "path", "block")) - 1).alias("turn"))  # a row for each block of a trigger's files
+        lines = batch.join(F.broadcast(place), ["path", "block"]).withColumn("line_no", F.col("turn") * F.lit(1 << 33) + F.col("offset") - F.col("first"))
+        rows = ndjson.reviews(ndjson.parse(lines.select("path", "line", "line_no")))
         if rows.isEmpty():
             return
-        table.write(merge_batch(table.read(), rows))
+        touched = rows.select("asin").distinct()
+        table.replace(merge_batch(table.read(touched), rows), touched)
         if rescore is not None:
-            touched = rows.select("asin").distinct()
-            rescore(table.read().join(touched, "asin", "left_semi"))
+            rescore(table.read(touched).join(touched, "asin", "left_semi"))
 
     return read_stream(spark, path).writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

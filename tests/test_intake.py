@@ -1,6 +1,7 @@
 """Files in, tables merged, files out."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -60,6 +61,11 @@ def test_url_lists(spark, tmp_path):
     assert [r.url for r in lists.read_url_csv(spark, str(tmp_path / "a.csv")).collect()] == ["https://a/1", "HTTP://c"]
     (tmp_path / "b.csv").write_bytes("名前,リンク\n品,https://d\n".encode("cp932"))
     assert [r.url for r in lists.read_url_csv(spark, str(tmp_path / "b.csv")).collect()] == ["https://d"]
+    both = tmp_path / "both"
+    write(both / "1.csv", "x,url", '"two\nlines, quoted",https://a', "y,https://b")
+    write(both / "2.csv", "link,x", "https://b,1", "https://c,2", "ftp://d")
+    (both / "3.csv").write_text("")
+    assert [tuple(r) for r in lists.read_url_csv(spark, str(both)).collect()] == [(1, "https://a"), (2, "https://b"), (3, "https://c")]
     write(tmp_path / "c.txt", "# no", "", " , https://e,f", "https://g")
     assert [r.url for r in lists.read_url_list(spark, str(tmp_path / "c.txt")).collect()] == ["https://e", "https://g"]
     assert lists.pick_url_header(["a", "My URL", "link"]) == "link" and lists.pick_url_header(["my_urls_x"]) == "my_urls_x"
@@ -119,14 +125,61 @@ def test_stats_and_scores(spark):
     assert merge.upsert_scores(scores, s.union(s.withColumn("score", F.lit(13.0)).withColumn("o", F.lit(2))), ["o"], "2024-01-01 00:00:00").first().score == 13.0
 
 
-def test_versioned_table(spark, tmp_path):
-    t = merge.VersionedTable(spark, str(tmp_path / "t"))
+@pytest.mark.parametrize("by", [None, "id"])
+def test_versioned_table(spark, tmp_path, by):
+    t = merge.VersionedTable(spark, str(tmp_path / "t"), by, 4)
     with pytest.raises(FileNotFoundError):
         t.read()
     t.write(spark.range(3))
     first = t.version()
     t.write(t.read().union(spark.range(2)))
-    assert t.read().count() == 5 and t.version() != first
+    assert t.read().count() == 5 and t.version() == first + 1
+    t.write(t.read().limit(0))
+    assert t.read().count() == 0 and t.read().columns == ["id"]
+
+
+@pytest.mark.parametrize("by", [None, "id"])
+def test_a_write_that_stops_leaves_the_table_as_it_was(spark, tmp_path, monkeypatch, by):
+    """Between the folder and the file that makes it count, and between drafting that file and its renaming."""
+    t = merge.VersionedTable(spark, str(tmp_path / "t"), by, 4)
+    t.write(spark.range(3))
+
+    def stop(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(merge.VersionedTable, "_publish", stop)
+        with pytest.raises(KeyboardInterrupt):
+            t.write(spark.range(9))
+    other = merge.VersionedTable(spark, str(tmp_path / "t"), by, 4)
+    assert other.read().count() == 3
+    (tmp_path / "t/drafts").mkdir(exist_ok=True)
+    (tmp_path / "t/drafts/v-00000002-x").write_text("- v-00000002-x")
+    assert other.read().count() == 3 and other.version() == 1
+    # Two writers from the same version: the second one's rename is refused.
+    monkeypatch.setattr(other, "version", lambda: 1)
+    t.write(spark.range(4))
+    with pytest.raises(RuntimeError):
+        other.write(spark.range(5))
+    assert t.read().count() == 4
+    t.write(spark.range(6))
+    t.prune(1)
+    assert t.read().count() == 6 and len([x for x in (tmp_path / "t").iterdir() if x.name.startswith("v-")]) == 1
+
+
+def test_only_touched_partitions_are_written(spark, tmp_path):
+    t = merge.VersionedTable(spark, str(tmp_path / "t"), "k", 8)
+    t.write(spark.range(200).select("id", (F.col("id") % 40).alias("k")))
+    before = t._folders(t.version())
+    touched = spark.createDataFrame([(3,), (3,)], "k long")
+    old = t.read(touched)
+    assert 0 < old.count() < 200
+    t.replace(old.where("k != 3").union(spark.createDataFrame([(999, 3)], "id long, k long")), touched)
+    after = t._folders(t.version())
+    assert sum(after[k] != before[k] for k in before) == 1 and sorted(r.id for r in t.read().where("k = 3").collect()) == [999] and t.read().count() == 196
+    new = spark.createDataFrame([(3,), (1001,)], "k long")
+    t.replace(t.read(new).where("k != 3"), new)
+    assert t.read().count() == 195 and t.read(spark.createDataFrame([], "k long")).count() == 0
 
 
 def test_sinks(spark, tmp_path):
@@ -145,8 +198,9 @@ def test_sinks(spark, tmp_path):
     assert json.loads(sinks.as_json_array(r, "asin", "reviewId").first().json)[0]["reviewId"] == "R1"
 
 
-def test_stream_merges_what_comes(spark, tmp_path):
-    src, table = tmp_path / "in", merge.VersionedTable(spark, str(tmp_path / "t"))
+@pytest.mark.parametrize("by", [None, "asin"])
+def test_stream_merges_what_comes(spark, tmp_path, by):
+    src, table = tmp_path / "in", merge.VersionedTable(spark, str(tmp_path / "t"), by, 4)
     schema = "asin string, reviewId string, rating double, body string"
     table.write(spark.createDataFrame([("B000000001", "R0", 1.0, "old")], schema))
     touched = []
@@ -163,6 +217,18 @@ def test_stream_merges_what_comes(spark, tmp_path):
     assert counted.isStreaming and counted.columns == ["product_id", "day", "n"]
 
 
+def test_the_last_write_is_that_of_the_newest_file(spark, tmp_path):
+    """Whatever the files' sizes and names, and so the order in which Spark deals them."""
+    src, table = tmp_path / "in", merge.VersionedTable(spark, str(tmp_path / "t"))
+    table.write(spark.createDataFrame([], "asin string, reviewId string, rating double, body string"))
+    src.mkdir()
+    for name, age, lines in (("a", 10, 900), ("b", 30, 1), ("c", 20, 50)):
+        write(src / f"{name}.ndjson", *[json.dumps(REVIEW | {"reviewId": "R1", "body": f"{name}{i}"}) for i in range(lines)])
+        os.utime(src / f"{name}.ndjson", (1_700_000_000 - age, 1_700_000_000 - age))
+    intake.start(spark, str(src), str(tmp_path / "ck"), table, lambda old, rows: merge.merge(old, rows.select("asin", "reviewId", "rating", "body", "line_no"), ["asin", "reviewId"], ["line_no"])).awaitTermination()
+    assert [r.body for r in table.read().collect()] == ["a899"]
+
+
 def test_serving_parameters(spark):
     assert [serving.clamp_limit(n, 100, 100) for n in (None, 0, -1, 5, 500)] == [100, 100, 100, 5, 100]
     assert [serving.parse_bool(x) for x in ("Yes", " off ", "", None)] == [True, False, None, None]
@@ -172,6 +238,14 @@ def test_serving_parameters(spark):
     assert [r.problem for r in serving.checked_user_reviews(reviews).collect()] == ["stars", None, "stars", "body too long", "body missing"]
 
 
+def test_the_first_request_fills(spark):
+    products = spark.createDataFrame([("p1", "A1", None, "n", "b", None, True, "DRAFT", None)], "product_id string, asin string, title string, name string, brand string, url string, visible boolean, publish_status string, updated_at timestamp_ntz")
+    asked = [(3, "A1", "late", "p9"), (1, "A1", " ", "p9"), (2, "A1", "early", "p9"), (2, "A2", "z", "q"), (2, "A2", "y", "q")]
+    requests = spark.createDataFrame(asked, "n int, asin string, title string, product_id string")
+    got = {r.asin: r.title for r in lifecycle.register_products(products, requests, "2024-01-01 00:00:00", ("n",)).collect()}
+    assert got == {"A1": "early", "A2": "y"}
+
+
 def test_job_without_an_end(spark):
     e = spark.sql("SELECT 1 AS job_id, 1 AS seq, TIMESTAMP_NTZ '2024-01-01 00:00:00' AS at, 'QUEUED' AS kind, CAST(NULL AS INT) AS collected, CAST(NULL AS INT) AS upserted, '' AS code, '' AS message")
     r = lifecycle.fold_jobs(e).first()

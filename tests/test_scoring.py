@@ -162,3 +162,11 @@ def test_scans_read_only_what_they_use(spark, sf):
     assert "ReadSchema: struct<l_partkey:bigint,l_quantity:double>" in plan
     kept = QUERIES["public_reviews"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "html" not in kept and "l_comment" not in kept
+
+
+@pytest.mark.parametrize("name", ["score_site", "score_eval", "score_amazon"])
+def test_reviews_are_read_once(spark, sf, name):
+    from lynxmark.plans.catalog import QUERIES
+
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 3 and "Expand" in plan  # documents, labels, events: once each
