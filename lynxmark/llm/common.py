@@ -101,6 +101,14 @@ def with_uid(df: DataFrame, name: str = "uid") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with so many underscores behind it that no column of ``df`` has it, in capitals or not."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def crc_fold(doc_id, mod: int):
     """crc32 of the id written as decimal text, modulo ``mod``; null ids give null."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(mod))

@@ -229,20 +229,23 @@ class Mix:
 
     def mixed_documents(self) -> DataFrame:
         """The mix as rows of ``docs``, with all their columns: a row for each pass over a document, its text the words
-        that the pass takes (the text itself where it takes all; else joined by one space), and in ``_mix_turn`` the pass.
+        that the pass takes (the text itself where it takes all; else joined by one space).
 
         Of rows that agree in id, source and text, the other columns are those of one of them.
         """
         id_col, text_col, source_col = self.cols
-        taken = self.pieces().groupBy("uid", "turn").agg(F.sort_array(F.collect_list(F.struct("from_word", "n_words"))).alias("_mix_parts"), F.sum("n_words").alias("_mix_n"))
-        places = self.placed.select("uid", F.col("id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("text_hash").alias("_mix_hash"), F.col("size").alias("_mix_size"))
-        taken = places.join(taken, "uid").withColumnRenamed("turn", "_mix_turn").drop("uid")
-        rows = self.docs.withColumn("_mix_h", F.xxhash64(text_col))
+        mark = "_mix"  # before the names of columns that are none of the documents'
+        while any(c.lower().startswith(mark) for c in self.docs.columns):
+            mark += "_"
+        taken = self.pieces().groupBy("uid", "turn").agg(F.sort_array(F.collect_list(F.struct("from_word", "n_words"))).alias(f"{mark}_parts"), F.sum("n_words").alias(f"{mark}_n"))
+        places = self.placed.select("uid", F.col("id").alias(f"{mark}_id"), F.col("source").alias(f"{mark}_source"), F.col("text_hash").alias(f"{mark}_hash"), F.col("size").alias(f"{mark}_size"))
+        taken = places.join(taken, "uid").withColumnRenamed("turn", f"{mark}_turn").drop("uid")
+        rows = self.docs.withColumn(f"{mark}_h", F.xxhash64(text_col))
         # Repeated rows each have places of their own, so one of them is joined to all; without any, texts are shuffled once only.
         if self.placed.groupBy("id", "source", "text_hash").count().where("count > 1").limit(1).count():
-            rows = rows.dropDuplicates([id_col, source_col, "_mix_h"])
-        both = rows.join(taken, rows[id_col].eqNullSafe(taken["_mix_id"]) & rows[source_col].eqNullSafe(taken["_mix_source"]) & (rows["_mix_h"] == taken["_mix_hash"]))
+            rows = rows.dropDuplicates([id_col, source_col, f"{mark}_h"])
+        both = rows.join(taken, rows[id_col].eqNullSafe(taken[f"{mark}_id"]) & rows[source_col].eqNullSafe(taken[f"{mark}_source"]) & (rows[f"{mark}_h"] == taken[f"{mark}_hash"]))
         words = F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD})"), F.lit(1))
-        cut = F.flatten(F.transform("_mix_parts", lambda p: F.slice(words, (p["from_word"] + 1).cast("int"), p["n_words"].cast("int"))))
-        text = F.when(F.col("_mix_n") == F.col("_mix_size"), F.col(text_col)).otherwise(F.array_join(cut, " "))
-        return both.select(*[text.alias(c) if c == text_col else rows[c] for c in self.docs.columns], F.col("_mix_turn"))
+        cut = F.flatten(F.transform(f"{mark}_parts", lambda p: F.slice(words, (p["from_word"] + 1).cast("int"), p["n_words"].cast("int"))))
+        text = F.when(F.col(f"{mark}_n") == F.col(f"{mark}_size"), F.col(text_col)).otherwise(F.array_join(cut, " "))
+        return both.select(*[text.alias(c) if c == text_col else rows[c] for c in self.docs.columns])

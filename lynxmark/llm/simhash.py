@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from lynxmark.llm.common import TEXTS, connected_components, materialize, with_uid
+from lynxmark.llm.common import TEXTS, connected_components, fresh, materialize, with_uid
 
 BYTES, KEPT = 8, 6
 #: Of each kind of shard, the bits on which its fingerprints agree.
@@ -205,7 +205,22 @@ CROWD_BYTES = 48 << 20
 #: Pairs whose sketches show less than the wanted likeness by so much are not compared hash by hash. A sketch's error at
 #: likeness 0.8 has a standard deviation of 0.035: the binomial chance to lose such a pair is below 1e-7.
 MARGIN = 0.2
-ORDER_KEYS = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1)) & ((1 << 64) - 1) | 1 for i in range(ORDERS)], np.uint64)
+#: An order's key by rule: hashes of its number, so that no key is a simple multiple of another.
+ORDER_KEYS = np.array([xxhash.xxh64_intdigest(f"order {i}", 42) for i in range(ORDERS)], np.uint64)
+
+
+def smallest(hashes: np.ndarray) -> np.ndarray:
+    """The smallest of a set of hashes in each order; zeros for the empty set."""
+    if not len(hashes):
+        return np.zeros(ORDERS, np.uint64)
+    out = np.empty(ORDERS, np.uint64)
+    with np.errstate(over="ignore"):
+        for i, key in enumerate(ORDER_KEYS):
+            x = hashes ^ key
+            x = (x ^ (x >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+            out[i] = x.min()
+    return out
 
 
 def _features(width: int):
@@ -215,11 +230,7 @@ def _features(width: int):
         out = []
         for data in texts:
             h = np.unique(shingle_hashes(data, width))
-            with np.errstate(over="ignore"):
-                mixed = (h[:, None] ^ (h[:, None] >> np.uint64(31))) * ORDER_KEYS
-                mixed ^= mixed >> np.uint64(29)
-            least = mixed.min(axis=0) if len(h) else np.zeros(ORDERS, np.uint64)
-            out.append((np.uint64(majority(h)).view(np.int64), least.view(np.int64), len(h)))
+            out.append((np.uint64(majority(h)).view(np.int64), smallest(h).view(np.int64), len(h)))
         return pd.DataFrame(out, columns=["fp", "least", "size"])
 
     return F.pandas_udf(find, "fp long, least array<long>, size long")
@@ -314,7 +325,18 @@ def _similar(radius: int, similarity: float):
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one row of each group of similar texts: that with the smallest id, null ids last.
+    """``docs`` with one row of each group of ``similar_groups``: that with the smallest id, null ids last.
+
+    Repeated rows are copies like others; all columns stay as they are; no rows give none.
+    """
+    uid, group = fresh(docs, "uid"), fresh(docs, "grp")
+    rows = similar_groups(docs, id_col, text_col, width, similarity, radius, uid, group)
+    best = rows.groupBy(group).agg(F.min(F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), F.col(uid).alias("uid"))).alias("best")).select(F.col("best.uid").alias(uid))
+    return rows.join(best, uid, "left_semi").select(*docs.columns)
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, radius: int = RADIUS, uid: str = "uid", group: str = "grp") -> DataFrame:
+    """``docs`` with a number for each row and the number of its group of similar texts, in the columns ``uid`` and ``group``.
 
     Texts are similar if the fingerprints of their different ``width``-word shingles are
     within ``radius`` bits (see RADIUS for how few pairs of likeness 0.8 are not) and
@@ -323,13 +345,14 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     BK-tree, hold the texts that share a smallest shingle hash. Only texts that share one
     with another are read again, for all their hashes. A shard of more than CROWD texts or
     CROWD_BYTES of hashes is cut into blocks, and every two blocks meet in a task, so that
-    every pair of the shard does. Texts without words are similar to each other alone.
-    Repeated rows are copies like others; all columns stay as they are; no rows give none.
+    every pair of the shard does. Null texts and texts without words are similar to each
+    other alone. Repeated rows are copies like others; no rows give none.
     """
-    rows = materialize(with_uid(docs, "_sim_uid").withColumn("_sim", _features(width)(F.col(text_col).cast("binary"))), "similar", TEXTS)
-    own = rows.select("_sim_uid", F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), "_sim.*")
+    found = fresh(docs, "found")
+    rows = materialize(with_uid(docs, uid).withColumn(found, _features(width)(F.col(text_col).cast("binary"))), "similar", TEXTS)
+    own = rows.select(F.col(uid).alias("_uid"), F.xxhash64(text_col).alias("hash"), f"{found}.*")
     # Copies of one text are one node, named after one of them.
-    nodes = own.groupBy("hash", "fp").agg(F.min("_sim_uid").alias("node"), F.min_by("least", "_sim_uid").alias("least"), F.min_by("size", "_sim_uid").alias("size"))
+    nodes = own.groupBy("hash", "fp").agg(F.min("_uid").alias("node"), F.min_by("least", "_uid").alias("least"), F.min_by("size", "_uid").alias("size"))
     nodes = materialize(nodes, "nodes")
     sharded = nodes.select("node", "fp", "size", F.posexplode("least").alias("n", "value")).withColumn("key", F.xxhash64("n", "value"))
     fill = F.greatest(F.count("*") / CROWD, F.sum("size") * 8 / CROWD_BYTES)  # 1: as much as a task takes
@@ -340,11 +363,10 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.when(i != F.col("block"), F.xxhash64("key", F.least(i, "block"), F.greatest(i, "block"))))
     keys = F.when(F.col("blocks") > 1, F.array_compact(pairs)).otherwise(F.array("key"))
     wanted = told.select("node", "fp", F.explode(keys).alias("key")).groupBy("node").agg(F.first("fp").alias("fp"), F.collect_list("key").alias("keys"))
-    texts = rows.select(F.col("_sim_uid").alias("node"), F.col(text_col).cast("binary").alias("text")).join(wanted, "node")
+    texts = rows.select(F.col(uid).alias("node"), F.col(text_col).cast("binary").alias("text")).join(wanted, "node")
     sets = texts.select("node", "fp", "keys", _shingle_sets(width)("text").alias("hashes"))
     dealt = sets.select(F.explode("keys").alias("key"), "node", "fp", "hashes").repartition("key").sortWithinPartitions("key", "fp", "node")
     roots = connected_components(dealt.mapInPandas(_similar(radius, similarity), "a long, b long"), batch=TEXTS)
     placed = nodes.select("hash", "fp", "node").join(roots, "node", "left").select("hash", "fp", F.coalesce("root", "node").alias("root"))
-    member = own.select("_sim_uid", "id", "hash", "fp").join(placed, ["hash", "fp"])
-    best = member.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "_sim_uid")).alias("best")).select(F.col("best._sim_uid").alias("_sim_uid"))
-    return rows.join(best, "_sim_uid", "left_semi").select(*docs.columns)
+    member = own.select("_uid", "hash", "fp").join(placed, ["hash", "fp"]).select(F.col("_uid").alias(uid), F.col("root").alias(group))
+    return rows.drop(found).join(member, uid).select(*docs.columns, uid, group)

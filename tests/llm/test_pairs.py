@@ -1,6 +1,7 @@
 """Mixing, top-k, SimHash, fingerprints and repeated passages beside brute force, with odd rows among them."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -243,6 +244,56 @@ def test_likeness_near_the_limit_is_exact(spark):
     assert sorted(r.doc_id for r in simhash.drop_similar(docs(spark, rows)).collect()) == kept_by_brute_force(rows)
 
 
+def test_smallest_hashes_are_independent():
+    """Sets of likeness 0.8 share each smallest hash with that probability, whichever others they share."""
+    rng = np.random.default_rng(9)
+    shared = []
+    for _ in range(6000):
+        x = rng.integers(0, 1 << 63, 110, dtype=np.uint64)
+        a, b = simhash.smallest(x[:99]), simhash.smallest(x[11:])  # 88 of 110 in common
+        shared.append((a == b).sum())
+    counts = np.bincount(shared, minlength=7)
+    assert abs(np.mean(shared) - 4.8) < 0.05 and counts[0] <= 4 and abs(counts[6] / 6000 - 0.8**6) < 0.03
+
+
+def test_pair_recall(spark):
+    """All pairs of likeness 0.8 or more of a whole table with planted copies of copies are in one group, and groups are what
+    such pairs join: by brute force over the pairs that share a shingle."""
+    rng = random.Random(12)
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    at = 1_000_000
+    for base in rng.sample(sorted(i for i, t in texts.items() if len(t.split()) > 60), 60):
+        words = texts[base].split()
+        for edits in (1, 2, 4, 6):
+            copy = list(words)
+            for i in rng.sample(range(len(copy)), max(1, len(copy) * edits // 250)):
+                copy[i] = f"new{at}x{i}"
+            texts[at] = " ".join(copy)
+            at += 1
+    sets = {i: shingles(t) for i, t in texts.items()}
+    holders = {}
+    for i, own in sets.items():
+        for x in own:
+            holders.setdefault(x, []).append(i)
+    pairs = {p for ids in holders.values() if len(ids) > 1 for p in itertools.combinations(sorted(ids), 2)}
+    near = {p: x for p in pairs if (x := jaccard(sets[p[0]], sets[p[1]])) >= 0.8}
+    edge = [p for p, x in near.items() if x < 0.85]
+    rows = [(i, t, "s") for i, t in texts.items()]
+    groups = {r.doc_id: r.g for r in simhash.similar_groups(docs(spark, rows), uid="u", group="g").select("doc_id", "g").collect()}
+    assert len(near) > 400 and len(edge) > 30
+    assert sum(groups[a] == groups[b] for a, b in near) == len(near)
+    root = {i: i for i in texts}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in near:
+        root[top(a)] = top(b)
+    assert len({top(i) for i in texts if texts[i].split()}) == len({groups[i] for i in texts if texts[i].split()})
+
+
 def test_all_pairs_of_a_crowded_shard_meet(spark, monkeypatch):
     """Each pair is at likeness 0.8 or more, shares one min-hash alone, and shares that with short texts that make a crowd."""
     rng = random.Random(13)

@@ -256,7 +256,27 @@ def test_language_of_odd_rows(spark):
     none = langid.train(docs(spark).withColumn("lang", F.lit(None).cast("string")), F.lit(True))
     assert none.labels == [] and {r.language.lang for r in langid.predict(docs(spark), none).collect()} == {"und"}
     one = langid.fit([("x", "abc")])
-    assert langid.predict(docs(spark, [(1, "abc")]), one).first().language == ("x", 1.0)
+    got = langid.predict(docs(spark, [(1, "abc")]), one).first().language
+    assert (got.lang, got.score) == ("x", 1.0) and got.other < 0.5
+    assert {tuple(r.language) for r in langid.predict(docs(spark), none).collect()} == {("und", 0.0, 1.0)}
+
+
+STRANGE = {
+    "ru": "Сегодня хорошая погода, и люди большого города идут в парк.", "el": "Ο καιρός είναι καλός σήμερα και οι άνθρωποι περπατούν.", "ja": "今日は天気がいいので、みんなで公園を歩いています。",
+    "ko": "오늘은 날씨가 좋아서 사람들이 공원을 걷고 있습니다.", "he": "מזג האוויר טוב היום ואנשים הולכים בפארק", "th": "วันนี้อากาศดีและผู้คนเดินเล่นในสวนสาธารณะ",
+}
+
+
+def test_texts_in_strange_scripts_are_not_known(spark):
+    """Whatever the number of learnt languages; what those languages' documents hold, short and odd ones too, is known."""
+    base = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    for langs in (["de", "en", "es", "fr"], ["en", "fr"], ["es"]):
+        known = base.where(F.col("lang").isin(langs))
+        net = langid.train(known, F.lit(True))
+        both = known.union(spark.createDataFrame([(-i - 1, t, k) for i, (k, t) in enumerate(STRANGE.items())], known.schema))
+        told = langid.predict(both, net, out="f").withColumn("known", langid.is_known(F.col("f"), net))
+        assert [r.lang for r in told.where("doc_id < 0 AND known").collect()] == []
+        assert told.where("doc_id >= 0 AND NOT known AND f.lang != 'und'").count() == 0, langs
 
 
 def test_repeated_ids_crowd_out_no_language(spark):
@@ -404,6 +424,19 @@ def test_pipeline_stages(spark):
     assert Counter(tuple(own.encode(r.text, add_special_tokens=False).ids) for r in mixed) == Counter(tuple(r.ids) for r in seen["bpe"].collect())
 
 
+def test_pipeline_beside_other_columns(spark):
+    """Columns named like the stages' own, nulls in all of them, no n_chars; texts and decisions are those without."""
+    base = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source")
+    odd = base.select("doc_id", "text", "lang", "source", *[F.when(F.col("doc_id") % 2 == 0, F.lit("own")).alias(c) for c in ("found", "Found_", "uid", "grp", "_mix_parts", "_mix_h", "language", "_secrets", "id", "hash", "words")])
+    plain = base
+    for name, stage in corpus_pipeline.STAGES:
+        plain, odd = materialize(stage(spark, plain, SF), "plain"), materialize(stage(spark, odd, SF), "odd")
+        if name != "bpe":
+            assert odd.count() == odd.where("(doc_id % 2 = 0) = (found IS NOT NULL) AND (doc_id % 2 = 0) = (_mix_h IS NOT NULL)").count() > 0
+        shared = [c for c in plain.columns if c in odd.columns]
+        assert sorted(map(str, plain.select(*shared).collect())) == sorted(map(str, odd.select(*shared).collect())), name
+
+
 def test_pipeline_of_nothing(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:
