@@ -8,45 +8,64 @@ from pyspark.sql import functions as F
 
 from lynxmark.llm import langid
 from lynxmark.llm.bpe import Codec
-from lynxmark.llm.common import materialize, small_batches
+from lynxmark.llm.common import fresh, materialize, small_batches
 from lynxmark.llm.mixing import Mix
 from lynxmark.llm.secret_scan import SecretModel, find_secrets, redact, samples
 from lynxmark.llm.simhash import drop_similar
 
-#: A text whose likeliest language has a lower probability is in no known language.
-LEAST_SCORE = 0.3
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the labelled ones teach; texts that are null, have no letter or are in no known
-    language go. A null lang becomes the predicted one; all other values stay."""
+    """Documents in a language that the labelled ones teach; texts that are null, empty or without a letter, or are in a script
+    that no learnt language uses, go, and so do those whose likeliest language is nearly a blind guess.
+
+    A null lang becomes the predicted one; all other values and columns stay, repeated rows
+    are judged each for itself, and without a labelled document none is kept. No rows give none.
+    """
     small_batches(spark)
-    found = langid.predict(docs, langid.train(docs, F.lit(True)), out="_found")
-    kept = found.where((F.col("_found.lang") != langid.UNKNOWN) & (F.col("_found.score") >= LEAST_SCORE))
-    return kept.withColumn("lang", F.coalesce("lang", "_found.lang")).select(*docs.columns)
+    out = fresh(docs, "found")
+    net = langid.train(docs, F.lit(True))
+    found = langid.predict(docs, net, out=out)
+    kept = found.where(langid.is_known(F.col(out), net))
+    return kept.withColumn("lang", F.coalesce("lang", f"{out}.lang")).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: five-word shingles, likeness 0.8 or more."""
-    small_batches(spark)
+    """One document of each group of near-duplicates stays: five-word shingles, likeness 0.8 or more.
+
+    It is the one with the smallest id, null ids last. Null texts and texts without words are
+    copies of each other, repeated rows too; texts of fewer than five words are one shingle.
+    All columns stay as they are. No rows give none.
+    """
     return drop_similar(docs, width=5, similarity=0.8)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in texts become a mark; every document stays, and n_chars follows where its text has changed."""
-    found = find_secrets(docs, SecretModel.train(samples(spark)), out="_secrets")
-    clean = found.withColumn("text", redact(F.col("text"), F.col("_secrets")))
-    return clean.withColumn("n_chars", F.when(F.size("_secrets") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    """Secrets in texts become a mark; every document stays, and n_chars, where there is such a column, follows where its text
+    has changed. Null and empty texts stay as they are, repeated rows too. No rows give none."""
+    out = fresh(docs, "found")
+    found = find_secrets(docs, SecretModel.train(samples(spark)), out=out)
+    clean = found.withColumn("text", redact(F.col("text"), F.col(out)))
+    if "n_chars" in docs.columns:
+        clean = clean.withColumn("n_chars", F.when(F.size(out) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return clean.select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of the sources, a row for each pass over a document with the words that the pass takes."""
+    """The mix of the sources, a row for each pass over a document with the words that the pass takes, joined by one space.
+
+    Documents of which no word is taken, null and empty ones among them, have no row. A null
+    source is one of its own. Repeated rows and ids count each for themselves. n_chars, where
+    there is such a column, is the row's; all other columns are the document's. No rows give none.
+    """
     mixed = Mix(docs).mixed_documents()
-    return mixed.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        mixed = mixed.withColumn("n_chars", F.length("text").cast("long"))
+    return mixed.select(*docs.columns)
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each text's token ids, and what they decode to."""
+    """Each text's token ids, and what they decode to: the columns doc_id, lang, source, n_tokens, ids and decoded, and no
+    others. Null and empty texts have no ids. Repeated rows stay. No rows give none."""
     small_batches(spark)
     codec = Codec(spark, public_tokenizers.path("word_bpe_49k.json"))
     both = docs.select("doc_id", "lang", "source", codec.round_trip(F.col("text")).alias("both"))
