@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lynxmark.plans import functions, intake, scores, serving
+from lynxmark.plans import files, functions, intake, scores, serving
 
-QUERIES = {**scores.Q, **serving.Q, **functions.Q, **intake.Q}
-ORACLE_SQL = {**scores.SQL, **serving.SQL, **functions.SQL, **intake.SQL}
+QUERIES = {**scores.Q, **serving.Q, **functions.Q, **intake.Q, **files.Q}
+ORACLE_SQL = {**scores.SQL, **serving.SQL, **functions.SQL, **intake.SQL, **files.SQL}
