@@ -25,20 +25,24 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to the sources' targets: what the mix takes of each."""
     mix = Mix(_table(spark, sf_dir, "documents"))
     return mix.documents().select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
 def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best integer inner products of every fiftieth vector id among all other rows."""
     return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256.0)
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its fingerprint of three-word shingles and its component at two bits."""
     found = near_duplicates(_table(spark, sf_dir, "documents"), width=3, radius=2)
     return found.select("doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op4_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by the class model and by the words' counts; a tenth of the ids is held out of training."""
     fold = crc_fold(F.col("doc_id"), 10)
     scored = brown.fit_and_score(_table(spark, sf_dir, "documents"), fold != 0, fold == 0)
     perplexity = F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))
@@ -46,6 +50,7 @@ def op4_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's sketch beside those of its edited text and of the next document."""
     rows = sketches.with_edits(_table(spark, sf_dir, "documents"))
     own, edited, following = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
     return rows.select(
@@ -55,6 +60,7 @@ def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded: the ids' number and digest, and the decoded text's."""
     codec = Codec(spark, public_tokenizers.path("word_bpe_49k.json"))
     both = _table(spark, sf_dir, "documents").select("doc_id", codec.round_trip(F.col("text")).alias("both")).select("doc_id", "both.ids", "both.decoded")
     told = both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -62,6 +68,7 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learnt from three quarters of the labelled ids."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     fold = crc_fold(F.col("doc_id"), 4)
     found = langid.predict(docs.select("doc_id", "text"), langid.train(docs, fold != 2), out="found")
@@ -78,6 +85,7 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str, limit: int = 4096) -> DataFrame:
+    """Every document's tokens, counted in overlapping chunks where it is long."""
     counter = TokenCounter(spark, public_tokenizers.path("piece_bpe_32k.model"))
     counted = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), counter.count(F.col("text")).alias("n_tokens"))
     return materialize(counted.withColumn("over_limit", F.col("n_tokens") > limit), "counted", TEXTS)
@@ -88,6 +96,7 @@ def _is_kind(kind: int, secret: Column) -> Column:
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's secrets: fixed patterns, and runs that the character models hold for random."""
     model = SecretModel.train(samples(spark))
     found = find_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"), model)
     n = [F.size(F.filter("secrets", partial(_is_kind, k))).cast("long") for k in range(len(KINDS))]
