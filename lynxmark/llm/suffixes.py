@@ -28,7 +28,7 @@ from lynxmark.llm.common import TEXTS, let, materialize, running
 PASSAGE, GRAM = 50, 20
 SEGMENT = 1 << 17  # words of a huge text that are in work at once
 #: Texts with the same start beyond which their suffixes are compared by a distributed aggregation, not in one task.
-CROWD = 128
+CROWD = 512
 #: Groups of copies up to which their list (24 bytes each) is sent to every task; a longer one is joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 SPANS = "array<struct<low:int,high:int>>"
@@ -253,7 +253,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     kept = materialize(rows.join(asked, "uid").mapInArrow(_kept(passage, gram), "h long, crowd boolean, uid long, starts array<int>, away int, words binary"), "suffixes", TEXTS)
     few = kept.where("NOT crowd").drop("crowd").repartition("h").sortWithinPartitions("h").mapInArrow(_compare(passage), "uid long, low int, high int")
     many = _crowds(kept.where("crowd"), passage)
-    spans = few.union(many).distinct().groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("spans"))
+    lists = few.select("uid", F.array(F.struct("low", "high")).alias("spans")).union(many)
+    spans = lists.groupBy("uid").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"))
     spans = materialize(spans.select("uid", _merged(F.col("spans")).alias("spans")), "spans", 4096)
     found = all_docs.join(small.withColumn("copied", F.lit(True)).drop("first"), ["text_hash", "more"], "left").withColumn("uid", F.xxhash64("text_hash", "id")).join(spans, "uid", "left")
     whole = F.when(F.col("n_words") >= passage, F.array(F.struct(F.lit(0).alias("low"), F.col("n_words").cast("int").alias("high")))).otherwise(F.array())
@@ -275,7 +276,7 @@ def _crowds(kept: DataFrame, passage: int) -> DataFrame:
     hits = spread.join(common, "key", "left_semi").groupBy("same").agg(F.sort_array(F.collect_set(F.struct(F.col("place").alias("low"), (F.col("place") + passage).alias("high")))).alias("spans"))
     hits = materialize(hits, "hits", 4096)  # one row for suffixes with the same words, however many: the join below can be split where they are many
     shifted = F.flatten(F.transform("starts", lambda at: F.transform(_merged(F.col("spans")), lambda s: F.struct((at + s["low"]).alias("low"), (at + s["high"]).alias("high")))))
-    return rows.select("uid", "starts", "same").join(hits, "same").select("uid", F.explode(shifted).alias("s")).select("uid", "s.low", "s.high")
+    return rows.select("uid", "starts", "same").join(hits, "same").select("uid", shifted.alias("spans"))
 
 
 def _merged(spans: Column) -> Column:
