@@ -109,9 +109,14 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def crc_of(text: Column, mod: int) -> Column:
+    """crc32 of a text in UTF-8, modulo ``mod``; null gives null."""
+    return F.pmod(F.crc32(text.cast("binary")), F.lit(mod))
+
+
 def crc_fold(doc_id, mod: int):
     """crc32 of the id written as decimal text, modulo ``mod``; null ids give null."""
-    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(mod))
+    return crc_of(doc_id.cast("string"), mod)
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", batch: int | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lynxmark.llm import fingerprints as sketches
-from lynxmark.llm import brown, langid
+from lynxmark.llm import brown, conversations, langid
 from lynxmark.llm.bpe import Codec
 from lynxmark.llm.common import TEXTS, crc_fold, materialize
 from lynxmark.llm.mixing import Mix
@@ -104,10 +104,19 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", n[0].alias("n_assign"), n[1].alias("n_access"), n[2].alias("n_hex"), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("secrets")).alias("spans"), n[3].alias("n_random"))
 
 
-OPERATORS = (op1_mix_sources, op2_exact_topk, op3_simhash_near_dedup, op4_brown_lm, op5_document_fingerprints, op6_bpe, op7_language_id, op8_suffix_dedup, op9_token_counts, op10_secret_scan)
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation's faults after damage, its cheapest repair, and the digest of what that makes."""
+    rows = _table(spark, sf_dir, "conversations")
+    return conversations.repaired(rows, conversations.damage(rows))
+
+
+OPERATORS = (
+    op1_mix_sources, op2_exact_topk, op3_simhash_near_dedup, op4_brown_lm, op5_document_fingerprints, op6_bpe, op7_language_id, op8_suffix_dedup, op9_token_counts, op10_secret_scan, op11_conversation_repair,
+)
 QUERIES = {f.__name__: f for f in OPERATORS}
 #: The others cannot be written in SQL: each is held against a brute-force version in tests/llm.
 ORACLE_SQL: dict[str, str] = {
+    "op11_conversation_repair": conversations.SQL,
     "op2_exact_topk": """
         WITH sound AS (SELECT row_number() OVER () AS uid, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
             FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
