@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lynxmark.llm import fingerprints as sketches
-from lynxmark.llm import brown, conversations, langid
+from lynxmark.llm import brown, conversations, jaccard, langid, quantize
 from lynxmark.llm.bpe import Codec
 from lynxmark.llm.common import TEXTS, crc_fold, materialize
 from lynxmark.llm.mixing import Mix
@@ -110,13 +110,28 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repaired(rows, conversations.damage(rows))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's code in eight parts of sixteen entries, and how far it is from what the code stands for."""
+    codes = quantize.Quantizer(_table(spark, sf_dir, "embeddings")).codes_by_label()
+    return codes.select(F.col("id").alias("vec_id"), "code", "error", "label_error", "codebooks_sha256")
+
+
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the size of its set of five-word shingles and its component at a likeness of 0.8."""
+    found = jaccard.Join(_table(spark, sf_dir, "documents")).components()
+    return found.select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), "component_id")
+
+
 OPERATORS = (
     op1_mix_sources, op2_exact_topk, op3_simhash_near_dedup, op4_brown_lm, op5_document_fingerprints, op6_bpe, op7_language_id, op8_suffix_dedup, op9_token_counts, op10_secret_scan, op11_conversation_repair,
+    op12_vector_codes, op13_jaccard_join,
 )
 QUERIES = {f.__name__: f for f in OPERATORS}
 #: The others cannot be written in SQL: each is held against a brute-force version in tests/llm.
 ORACLE_SQL: dict[str, str] = {
     "op11_conversation_repair": conversations.SQL,
+    "op12_vector_codes": quantize.sql(),
+    "op13_jaccard_join": jaccard.SQL,
     "op2_exact_topk": """
         WITH sound AS (SELECT row_number() OVER () AS uid, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
             FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
