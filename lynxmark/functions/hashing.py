@@ -55,11 +55,22 @@ def name_uuid(c: Column) -> Column:
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("3"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
 
 
+# The first bytes of the formats that are taken, in hex, and the least length of a file.
+IMAGE_HEADS = {"png": "89504E47", "jpeg": "FFD8", "gif": "474946", "bmp": "424D"}
+LEAST_IMAGE = 8
+
+
 def image_kind(data: Column) -> Column:
-    """The format that a file's first bytes tell, null for others."""
-    head = F.hex(F.substring(data, 1, 12))
-    webp = head.startswith("52494646") & (F.substring(head, 17, 8) == "57454250")
-    return F.when(head.startswith("FFD8FF"), "jpeg").when(head.startswith("89504E470D0A1A0A"), "png").when(head.startswith("47494638"), "gif").when(webp, "webp")
+    """The format that a file's first bytes tell; null for others, for files of under eight bytes and for none."""
+    head = F.hex(F.substring(data, 1, 4))
+    kind = F.coalesce(*[F.when(head.startswith(h), k) for k, h in IMAGE_HEADS.items()])
+    return F.when(F.octet_length(data) >= LEAST_IMAGE, kind)
+
+
+def valid_image(data: Column, most_bytes: int = 0) -> Column:
+    """Whether a file may be taken: of a known format and, if ``most_bytes`` is above 0, no longer than that. Pictures are not decoded."""
+    fits = F.octet_length(data) <= most_bytes if most_bytes > 0 else F.lit(True)
+    return F.coalesce(fits & image_kind(data).isNotNull(), F.lit(False))
 
 
 def _base32(n: int, length: int) -> str:

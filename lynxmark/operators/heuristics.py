@@ -15,14 +15,20 @@ FLAG_FROM, FIVE_STAR_SHARE, NAMED_FROM = 0.60, 0.40, 0.05
 def with_product_stats(reviews: DataFrame, product: str = "product_id") -> DataFrame:
     """Adds total, five_star, dup_count and author_count: of the product, its rows with the same normalized body and author.
 
-    Counts are summed where rows are read and joined back, so that no product's reviews meet in one task.
+    The reviews are read twice: for the counts of all cells (product, body, author, five stars),
+    summed where rows are read, from whose one shuffle the three counts are added up; and to be
+    joined with these. No product's reviews meet in one task. A null or empty body or author is an empty key
+    and has no count.
     """
+    some = lambda c: F.coalesce(c, F.lit(""))  # noqa: E731  keys without nulls: no filter on them keeps the cells from being shared
     body = F.nullif(T.normalize_body(F.col("body")), F.lit(""))
-    rows = reviews.withColumns({"body_key": F.sha2(body, 256), "author_key": F.nullif(T.normalize_author(F.col("author")), F.lit("")), "star": rating_to_int(F.col("rating").cast("double"))})
-    of_product = rows.groupBy(product).agg(F.count("*").alias("total"), F.count_if(F.col("star") == 5).alias("five_star"))
-    of_body = rows.where("body_key IS NOT NULL").groupBy(product, "body_key").agg(F.count("*").alias("dup_count"))
-    of_author = rows.where("author_key IS NOT NULL").groupBy(product, "author_key").agg(F.count("*").alias("author_count"))
-    return rows.join(of_product, product).join(of_body, [product, "body_key"], "left").join(of_author, [product, "author_key"], "left")
+    rows = reviews.withColumns({"body_key": some(F.sha2(body, 256)), "author_key": some(T.normalize_author(F.col("author"))), "star": rating_to_int(F.col("rating").cast("double"))})
+    cells = rows.groupBy(product, "body_key", "author_key", F.coalesce(F.col("star") == 5, F.lit(False)).alias("five")).agg(F.count("*").alias("n"))
+    of_product = cells.groupBy(product).agg(F.sum("n").alias("total"), F.sum(F.when(F.col("five"), F.col("n")).otherwise(0)).alias("five_star"))
+    of_body = cells.groupBy(product, "body_key").agg(F.sum("n").alias("dup_count"))
+    of_author = cells.groupBy(product, "author_key").agg(F.sum("n").alias("author_count"))
+    both = rows.join(of_product, product).join(of_body, [product, "body_key"], "left").join(of_author, [product, "author_key"], "left")
+    return both.withColumns({f"{k}_count": F.when(F.col(key) != "", F.col(f"{k}_count")) for k, key in (("dup", "body_key"), ("author", "author_key"))})
 
 
 def _components() -> dict[str, Column]:

@@ -1,4 +1,4 @@
-"""Keyed upserts of one table into another, and tables that are replaced whole.
+"""Keyed upserts of one table into another.
 
 A merge is one shuffle of the batch (its rows of a key folded into one, with map-side
 partial results) and one full outer join on the key. Nothing is read to the driver.
@@ -6,10 +6,9 @@ partial results) and one full outer join on the key. Nothing is read to the driv
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lynxmark.functions import text as T
@@ -95,99 +94,3 @@ def estimate_upsert(batch: DataFrame, existing: DataFrame, key: str) -> DataFram
     ids = batch.where(F.col(key).isNotNull()).select(key)
     known = ids.distinct().join(existing.select(key), key, "left_semi").agg(F.count("*").alias("updated"))
     return ids.agg(F.count("*").alias("n")).crossJoin(known).select(F.greatest(F.col("n") - F.col("updated"), F.lit(0)).alias("inserted"), "updated")
-
-
-class VersionedTable:
-    """A Parquet table of which each write is a new folder, ``v-<number>-<name>``, counted from the moment that a file of the
-    same name is renamed into ``committed``: the highest number there is the table.
-
-    A write that ends before that leaves the version before it in place, and no moment is
-    without one. Of two writers at a time the second to rename fails, and its folder is left
-    out. With ``by``, a table lies in ``parts`` partitions by that column's hash, and
-    ``replace`` writes those alone that a batch touches: a version then is a list of folders,
-    one a partition, of which all others stay those of the version before. ``prune`` removes
-    folders that no version in use names.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, by: str | None = None, parts: int = 64):
-        self.spark, self.path, self.by, self.parts = spark, path.rstrip("/"), by, parts
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _committed(self) -> dict[int, str]:
-        folder = self._path(f"{self.path}/committed")
-        names = [f.getPath().getName() for f in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
-        return {int(n): n for n in names if n.isdigit()}
-
-    def version(self) -> int | None:
-        return max(self._committed(), default=None)
-
-    def _folders(self, version: int) -> dict[str, str]:
-        """Of each partition of a version ("": all of a table without partitions), its folder."""
-        rows = self.spark.read.text(f"{self.path}/committed/{version:08d}").collect()
-        return dict(r[0].split(" ", 1) for r in rows if r[0])
-
-    def read(self, keys: DataFrame | None = None) -> DataFrame:
-        """The table, or only the partitions where the values of ``keys``' first column lie."""
-        version = self.version()
-        if version is None:
-            raise FileNotFoundError(self.path)
-        folders = self._folders(version)
-        if keys is not None and self.by:
-            wanted = {str(r[0]) for r in keys.select(self._part(keys.columns[0])).distinct().collect()}  # ``parts`` rows at most
-            folders = {k: v for k, v in folders.items() if k in wanted} or dict([next(iter(folders.items()))])
-        df = self.spark.read.parquet(*[f"{self.path}/{x}" for x in folders.values()])
-        return df.where(self._part(self.by).cast("string").isin(sorted(wanted))) if keys is not None and self.by else df
-
-    def _part(self, column: str) -> Column:
-        return F.pmod(F.xxhash64(column), F.lit(self.parts)).cast("int")
-
-    def write(self, df: DataFrame) -> int:
-        """``df`` becomes the table."""
-        return self._commit(df, None)
-
-    def replace(self, df: DataFrame, keys: DataFrame) -> int:
-        """``df`` holds the rows of all partitions that ``keys`` touch, as ``read(keys)`` gives them; those alone are written."""
-        if not self.by:
-            return self.write(df)
-        touched = {str(r[0]) for r in keys.select(self._part(keys.columns[0])).distinct().collect()}
-        return self._commit(df, touched)
-
-    def _commit(self, df: DataFrame, touched: set[str] | None) -> int:
-        version = self.version()
-        name = f"v-{(version or 0) + 1:08d}-{uuid.uuid4().hex}"
-        if self.by:
-            df.withColumn("_part", self._part(self.by)).repartition("_part").write.partitionBy("_part").parquet(f"{self.path}/{name}")
-            made = {f.getPath().getName().removeprefix("_part="): f"{name}/{f.getPath().getName()}" for f in self._fs.listStatus(self._path(f"{self.path}/{name}")) if f.getPath().getName().startswith("_part=")}
-            kept = {} if touched is None or version is None else {k: v for k, v in self._folders(version).items() if k not in touched}
-            folders = kept | made
-            if not folders:  # no rows at all: an empty folder keeps the columns
-                df.limit(0).write.mode("overwrite").parquet(f"{self.path}/{name}")
-                folders = {"-": name}
-        else:
-            df.write.parquet(f"{self.path}/{name}")
-            folders = {"-": name}
-        self._publish((version or 0) + 1, name, folders)
-        return (version or 0) + 1
-
-    def _publish(self, number: int, name: str, folders: dict[str, str]) -> None:
-        draft, place = self._path(f"{self.path}/drafts/{name}"), self._path(f"{self.path}/committed/{number:08d}")
-        out = self._fs.create(draft, True)
-        out.write(bytearray("\n".join(f"{k} {v}" for k, v in folders.items()).encode()))
-        out.close()
-        self._fs.mkdirs(place.getParent())
-        if self._fs.exists(place) or not self._fs.rename(draft, place):
-            raise RuntimeError(f"version {number} of {self.path} has been written by another")
-
-    def prune(self, keep: int = 2) -> None:
-        """Removes all but the last ``keep`` versions and the folders that only those before named."""
-        committed = sorted(self._committed())
-        used = {v.split("/")[0] for n in committed[-keep:] for v in self._folders(n).values()}
-        for n in committed[:-keep]:
-            self._fs.delete(self._path(f"{self.path}/committed/{n:08d}"), False)
-        last = committed[-1] if committed else 0
-        for f in self._fs.listStatus(self._path(self.path)):
-            name = f.getPath().getName()
-            if name.startswith("v-") and name not in used and int(name.split("-")[1]) <= last:
-                self._fs.delete(f.getPath(), True)

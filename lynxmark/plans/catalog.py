@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lynxmark.plans import files, functions, intake, scores, serving
+from lynxmark.plans import contexts, files, functions, intake, scores, serving, streams
 
-QUERIES = {**scores.Q, **serving.Q, **functions.Q, **intake.Q, **files.Q}
-ORACLE_SQL = {**scores.SQL, **serving.SQL, **functions.SQL, **intake.SQL, **files.SQL}
+QUERIES = {**scores.Q, **contexts.Q, **serving.Q, **functions.Q, **intake.Q, **files.Q, **streams.Q}
+ORACLE_SQL = {**scores.SQL, **contexts.SQL, **serving.SQL, **functions.SQL, **intake.SQL, **files.SQL, **streams.SQL}

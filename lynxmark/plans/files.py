@@ -15,7 +15,7 @@ from lynxmark.operators import features, rules, scoring, serving
 from lynxmark.plans import scores
 from lynxmark.plans.adapters import reviews_text, squeeze, table
 from lynxmark.plans.intake import _BASE, _lines, _parsed
-from lynxmark.sources import html, lists, ndjson, sinks
+from lynxmark.sources import html, lists, ndjson, sinks, tables
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -188,12 +188,22 @@ def _from_file() -> config.Thresholds:
         return config.ThresholdSource(f.name).get()
 
 
-@query("SELECT * FROM (VALUES ('dist_bias', 0.1), ('duplicates', 0.6), ('surge', 0.05), ('noise', 0.25), ('noise.warn', 0.25), ('noise.crit', 0.75), ('sakura.dist', 70.0), ('sakura.dup', 30.0), ('likely.dist', 65.0)) t(name, value)")
+#: Of each setting, the feature that it is about.
+_ABOUT = {"dist_bias": "dist_bias", "duplicates": "duplicates", "surge": "surge", "noise": "noise", "noise.warn": "noise", "noise.crit": "noise", "sakura.dist": "dist_bias", "sakura.dup": "duplicates", "likely.dist": "dist_bias"}
+_VALUES = "('dist_bias', 0.1), ('duplicates', 0.6), ('surge', 0.05), ('noise', 0.25), ('noise.warn', 0.25), ('noise.crit', 0.75), ('sakura.dist', 70.0), ('sakura.dup', 30.0), ('likely.dist', 65.0)"
+_PICK = "CASE " + " ".join(f"WHEN name = '{k}' THEN {v}" for k, v in _ABOUT.items()) + " END"
+
+
+@query(f"""{scores.SITE_SQL}, t AS (SELECT name, CAST(value AS DOUBLE) AS value FROM (VALUES {_VALUES}) v(name, value))
+    SELECT name, value, count(*) FILTER ({_PICK} >= CASE WHEN value <= 1 THEN value * 100.0 ELSE value END) AS products FROM t, feats GROUP BY name, value""")
 def src_thresholds_file(spark, d):
-    """A file's values; what it lacks, or what is no number there, stays."""
+    """A file's values (what it lacks, or what is no number there, stays), each with the number of products that reach it."""
     t = _from_file()
     rows = [*t.weights.items(), ("noise.warn", t.noise.warn), ("noise.crit", t.noise.crit), ("sakura.dist", float(t.percent.dist_sakura)), ("sakura.dup", float(t.percent.dup_sakura)), ("likely.dist", float(t.percent.dist_likely))]
-    return spark.createDataFrame(rows, "name string, value double")
+    site = features.site_features(reviews_text(spark, d), normalize=squeeze)
+    reached = [F.count_if(F.col(_ABOUT[k]) >= (v * 100.0 if v <= 1 else v)).alias(k) for k, v in rows]
+    counts = site.agg(F.array(*[F.struct(F.lit(k).alias("name"), F.lit(float(v)).alias("value"), c.alias("products")) for (k, v), c in zip(rows, reached, strict=True)]).alias("all"))
+    return counts.select(F.inline("all"))
 
 
 _POINTS = ", ".join(f"CAST(floor(greatest(0.0, least(1.0, {k} / 100.0)) * {w} * 100.0 + 0.5) AS INTEGER) AS points_{k}" for k, w in _WEIGHTS.items())
@@ -218,11 +228,17 @@ def rule_profile(spark, d):
     return s.select(*_ID.split(", "), F.col("penalty_SURGE_ACTIVITY").alias("surge"), F.col("penalty_NOISE").alias("noise"), "total_penalty", F.array_join(F.transform("triggered", lambda t: t["flag"]), ",").alias("triggered"))
 
 
-@query("SELECT row_number() OVER () AS nth, flag, weight FROM (VALUES " + ", ".join(f"('{k}', CAST({w} AS DOUBLE))" for k, w in (("DUPLICATE_TEXT", 15), ("UNNATURAL_LANGUAGE", 5), ("STAR_DISTRIBUTION", 5), ("EXCESSIVE_FIVE_STAR", 5), ("SURGE_ACTIVITY", 10), ("NOISE", 3), ("LOW_VERIFIED_RATE", 5), ("ANONYMOUS_REVIEWER", 5), ("NEW_ACCOUNT_BURST", 10), ("SAME_VENDOR_CONCENTRATION", 5), ("LOW_SPECIFICITY", 5))) + ") t(flag, weight)")
+_CATALOG = {"DUPLICATE_TEXT": 15, "UNNATURAL_LANGUAGE": 5, "STAR_DISTRIBUTION": 5, "EXCESSIVE_FIVE_STAR": 5, "SURGE_ACTIVITY": 10, "NOISE": 3, "LOW_VERIFIED_RATE": 5, "ANONYMOUS_REVIEWER": 5, "NEW_ACCOUNT_BURST": 10, "SAME_VENDOR_CONCENTRATION": 5, "LOW_SPECIFICITY": 5}
+
+
+@query(f"{scores.RULES_SQL} " + " UNION ALL ".join(f"SELECT CAST({n + 1} AS BIGINT) AS nth, '{k}' AS flag, CAST({w} AS DOUBLE) AS weight, count(penalty_{k}) AS triggered, coalesce(max(penalty_{k}), 0.0) AS worst FROM sc" for n, (k, w) in enumerate(_CATALOG.items())))
 def rule_catalog(spark, d):
-    """The eleven rules in order, with their weights."""
-    weights = rules.Profile().weights
-    return spark.createDataFrame([(i + 1, r.flag, float(weights[r.flag])) for i, r in enumerate(rules.CATALOG)], "nth long, flag string, weight double")
+    """The eleven rules in order, with their weights, how many reviews each has triggered for, and its highest penalty."""
+    weights, scored = rules.Profile().weights, rules.score_rules(scores._contexts(spark, d))
+    penalty = lambda r: F.col(f"penalty_{r.flag}")
+    sums = scored.agg(*[F.struct(F.count(penalty(r)).alias("triggered"), F.coalesce(F.max(penalty(r)), F.lit(0.0)).alias("worst")).alias(r.flag) for r in rules.CATALOG])
+    rows = [F.struct(F.lit(i + 1).cast("long").alias("nth"), F.lit(r.flag).alias("flag"), F.lit(float(weights[r.flag])).alias("weight"), F.col(f"{r.flag}.triggered"), F.col(f"{r.flag}.worst")) for i, r in enumerate(rules.CATALOG)]
+    return sums.select(F.inline(F.array(*rows)))
 
 
 @query("SELECT event_id, CASE event_id % 6 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true WHEN 3 THEN false WHEN 4 THEN NULL ELSE true END AS asked, event_id % 6 IN (0, 2, 5) = (event_id % 2 = 0) AND event_id % 6 <> 4 AS kept FROM events")
@@ -232,3 +248,13 @@ def flt_bool_parameter(spark, d):
     told = F.element_at(F.create_map(*[F.lit(x) for k, w in words.items() for x in (k, serving.parse_bool(w))]), (F.col("event_id") % 6).cast("int"))
     e = table(spark, d, "events").select("event_id", told.alias("asked"))
     return e.select("event_id", "asked", F.coalesce(F.col("asked") == (F.col("event_id") % 2 == 0), F.lit(False)).alias("kept"))
+
+
+@query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
+def src_jdbc_by_key(spark, d):
+    """The customers, written to a database in the driver and read back by ranges of their names. The database is one process's
+    own, so this query is for a local master."""
+    options = {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    url = f"jdbc:derby:memory:c{uuid.uuid4().hex[:12]};create=true"
+    table(spark, d, "customer").coalesce(4).write.format("jdbc").options(url=url, dbtable="CUSTOMER", createTableColumnTypes="c_name VARCHAR(64), c_mktsegment VARCHAR(32)", **options).save()
+    return tables.read_jdbc_by_key(spark, url, "CUSTOMER", '"c_name"', 8, **options)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lynxmark.functions import text as T
 from lynxmark.functions.hashing import fingerprint, reviewer_ref
-from lynxmark.operators import lifecycle, merge, serving
+from lynxmark.operators import lifecycle, merge, pages, search, serving
 from lynxmark.plans.adapters import PRODUCTS, REVIEWS_NUM, REVIEWS_TEXT, products, reviews_num, reviews_text, table
+from lynxmark.plans.files import scratch
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -409,3 +413,41 @@ def dml_backfills(spark, d):
 def snk_exception_rows(spark, d):
     rows = table(spark, d, "documents").select("doc_id", F.col("source").alias("message"), F.when(F.col("doc_id") % 2 == 0, F.col("doc_id").cast("string")).alias("request_id"), F.repeat("text", F.lit(8)).alias("stack"))
     return lifecycle.exception_rows(rows, STAMP).select("doc_id", "message", "stack", "created_at")
+
+
+_ORDER = [("updated_at", True), ("product_id", False)]
+
+
+@query(f"""WITH {PRODUCTS}, n AS (SELECT product_id, updated_at, row_number() OVER (ORDER BY updated_at DESC, product_id) - 1 AS place FROM products)
+    SELECT place // 90 AS page_no, product_id, updated_at FROM n WHERE place // 90 IN (0, 2, 5) OR place // 90 = (SELECT max(place) // 90 FROM n)""")
+def srt_deep_pages(spark, d):
+    """First, some and last pages of a table laid out for that, each from the range that holds it."""
+    laid = pages.PageDirectory.build(products(spark, d), scratch(spark, "pages"), _ORDER, rows=128)
+    last = (laid.total() - 1) // 90
+    found = [laid.page(n, 90).select(F.lit(n).cast("long").alias("page_no"), "product_id", "updated_at") for n in sorted({0, 2, 5, last})]
+    return reduce(DataFrame.union, found)
+
+
+@query(f"WITH {PRODUCTS} SELECT product_id, row_number() OVER (ORDER BY updated_at DESC, product_id) AS ordinal FROM products")
+def win_whole_order(spark, d):
+    """Each product's place among all, numbered range by range."""
+    return pages.PageDirectory.build(products(spark, d), scratch(spark, "order"), _ORDER, rows=128).numbered().select("product_id", "ordinal")
+
+
+@query(f"""WITH {PRODUCTS}, w AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(title), ' ')) AS word FROM products), asked AS (SELECT word AS q FROM w UNION SELECT right(word, 4) FROM w)
+    SELECT q, product_id FROM asked JOIN products ON contains(lower(title), q) WHERE length(q) >= 3""")
+def search_by_trigrams(spark, d):
+    """Where each of many texts occurs in names, by postings."""
+    rows = products(spark, d)
+    words = rows.select(F.explode(F.split(F.lower("title"), " ")).alias("word"))
+    asked = words.select(F.explode(F.array("word", F.right("word", F.lit(4)))).alias("q")).distinct()
+    return search.TrigramIndex(spark, scratch(spark, "grams"), 16).build(rows, "product_id", ["title", "asin"]).contain(rows, "product_id", "title", asked)
+
+
+@query(f"WITH {PRODUCTS} SELECT 'title' AS field, product_id FROM products WHERE lower(title) LIKE '%re%d%' UNION ALL SELECT 'long', product_id FROM products WHERE lower(title) LIKE '%part_1%' UNION ALL SELECT 'asin', product_id FROM products WHERE lower(asin) LIKE '%b00000012%'")
+def search_patterns_by_trigrams(spark, d):
+    """Patterns with wild cards by their fixed parts; one without any of three characters by all rows."""
+    rows = products(spark, d)
+    index = search.TrigramIndex(spark, scratch(spark, "grams"), 16).build(rows, "product_id", ["title", "asin"])
+    found = [index.like(rows, "product_id", f, q).select(F.lit(name).alias("field"), "product_id") for name, f, q in (("title", "title", "Re%d"), ("long", "title", "part_1"), ("asin", "asin", "B00000012"))]
+    return reduce(DataFrame.union, found)

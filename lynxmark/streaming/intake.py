@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lynxmark.operators.merge import VersionedTable
+from lynxmark.operators.versions import VersionedTable
 from lynxmark.sources import ndjson
 
 
@@ -24,17 +24,20 @@ def daily_counts(events: DataFrame, late: str = "2 days") -> DataFrame:
     return events.withWatermark("posted_at", late).groupBy("product_id", F.window("posted_at", "1 day").alias("day")).agg(F.count("*").alias("n"))
 
 
-def start(spark: SparkSession, path: str, checkpoint: str, table: VersionedTable, merge_batch: Callable[[DataFrame, DataFrame], DataFrame], rescore: Callable[[DataFrame], None] | None = None):
-    """Each batch's reviews are merged into the table; ``rescore`` gets the reviews of the products that it touched, whole.
+def start(spark: SparkSession, path: str, checkpoint: str, table: VersionedTable, merge_batch: Callable[[DataFrame, DataFrame], DataFrame], rescore: Callable[[DataFrame, tuple[str, int]], None] | None = None):
+    """Each batch's reviews are merged into the table, once; ``rescore`` gets the reviews of the products that it touched, whole,
+    and the batch's name (the checkpoint and a number).
 
     ``merge_batch`` gets the table's rows of the partitions that the batch touches (all rows,
     if the table has none) and the batch with line_no, a number that grows with the file's
     time, its path and the place of the line in it, so that the last write is the same one
-    however files are dealt to tasks. A batch that is run again after a failure merges to the
-    same table. Only touched partitions are written.
+    however files are dealt to tasks. A batch that is run again after a failure is not merged
+    again, for the table's ledger holds its name; ``rescore`` is called again, as it may not
+    have come to its end, and is to write under the same name. Only touched partitions are
+    written, beside other writers.
     """
 
-    def one(batch: DataFrame, _: int) -> None:
+    def one(batch: DataFrame, number: int) -> None:
         # Lines of a block come in the file's order; the rank of (time, path, block) goes before it.
         batch = batch.withColumn("offset", F.monotonically_increasing_id())
         blocks = batch.groupBy("modified", "path", "block").agg(F.min("offset").alias("first"))
@@ -44,8 +47,9 @@ def start(spark: SparkSession, path: str, checkpoint: str, table: VersionedTable
         if rows.isEmpty():
             return
         touched = rows.select("asin").distinct()
-        table.replace(merge_batch(table.read(touched), rows), touched)
+        name = (checkpoint, number)
+        table.update(touched, lambda old: merge_batch(old, rows), name)
         if rescore is not None:
-            rescore(table.read(touched).join(touched, "asin", "left_semi"))
+            rescore(table.read(touched).join(touched, "asin", "left_semi"), name)
 
     return read_stream(spark, path).writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

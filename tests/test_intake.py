@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lynxmark import schemas
-from lynxmark.operators import evaluation, lifecycle, merge, serving
+from lynxmark.operators import evaluation, lifecycle, merge, serving, versions
 from lynxmark.sources import html, lists, ndjson, sinks, tables
 from lynxmark.streaming import intake
 
@@ -127,7 +127,7 @@ def test_stats_and_scores(spark):
 
 @pytest.mark.parametrize("by", [None, "id"])
 def test_versioned_table(spark, tmp_path, by):
-    t = merge.VersionedTable(spark, str(tmp_path / "t"), by, 4)
+    t = versions.VersionedTable(spark, str(tmp_path / "t"), by, 4)
     with pytest.raises(FileNotFoundError):
         t.read()
     t.write(spark.range(3))
@@ -141,26 +141,25 @@ def test_versioned_table(spark, tmp_path, by):
 @pytest.mark.parametrize("by", [None, "id"])
 def test_a_write_that_stops_leaves_the_table_as_it_was(spark, tmp_path, monkeypatch, by):
     """Between the folder and the file that makes it count, and between drafting that file and its renaming."""
-    t = merge.VersionedTable(spark, str(tmp_path / "t"), by, 4)
+    t = versions.VersionedTable(spark, str(tmp_path / "t"), by, 4)
     t.write(spark.range(3))
 
     def stop(*_):
         raise KeyboardInterrupt
 
     with monkeypatch.context() as m:
-        m.setattr(merge.VersionedTable, "_publish", stop)
+        m.setattr(versions.VersionedTable, "_publish", stop)
         with pytest.raises(KeyboardInterrupt):
             t.write(spark.range(9))
-    other = merge.VersionedTable(spark, str(tmp_path / "t"), by, 4)
+    other = versions.VersionedTable(spark, str(tmp_path / "t"), by, 4)
     assert other.read().count() == 3
     (tmp_path / "t/drafts").mkdir(exist_ok=True)
     (tmp_path / "t/drafts/v-00000002-x").write_text("- v-00000002-x")
     assert other.read().count() == 3 and other.version() == 1
-    # Two writers from the same version: the second one's rename is refused.
-    monkeypatch.setattr(other, "version", lambda: 1)
-    t.write(spark.range(4))
-    with pytest.raises(RuntimeError):
-        other.write(spark.range(5))
+    # Two writers of the whole table from the same version: the second one is refused.
+    t.write(spark.range(4), base=1)
+    with pytest.raises(versions.Conflict):
+        other.write(spark.range(5), base=1)
     assert t.read().count() == 4
     t.write(spark.range(6))
     t.prune(1)
@@ -168,18 +167,18 @@ def test_a_write_that_stops_leaves_the_table_as_it_was(spark, tmp_path, monkeypa
 
 
 def test_only_touched_partitions_are_written(spark, tmp_path):
-    t = merge.VersionedTable(spark, str(tmp_path / "t"), "k", 8)
+    t = versions.VersionedTable(spark, str(tmp_path / "t"), "k", 8)
     t.write(spark.range(200).select("id", (F.col("id") % 40).alias("k")))
-    before = t._folders(t.version())
+    before = t.current().folders
     touched = spark.createDataFrame([(3,), (3,)], "k long")
     old = t.read(touched)
     assert 0 < old.count() < 200
     t.replace(old.where("k != 3").union(spark.createDataFrame([(999, 3)], "id long, k long")), touched)
-    after = t._folders(t.version())
+    after = t.current().folders
     assert sum(after[k] != before[k] for k in before) == 1 and sorted(r.id for r in t.read().where("k = 3").collect()) == [999] and t.read().count() == 196
     new = spark.createDataFrame([(3,), (1001,)], "k long")
     t.replace(t.read(new).where("k != 3"), new)
-    assert t.read().count() == 195 and t.read(spark.createDataFrame([], "k long")).count() == 0
+    assert t.read().count() == 195 and t.read().columns == ["id", "k"] and t.read(spark.createDataFrame([], "k long")).count() == 0
 
 
 def test_sinks(spark, tmp_path):
@@ -200,7 +199,7 @@ def test_sinks(spark, tmp_path):
 
 @pytest.mark.parametrize("by", [None, "asin"])
 def test_stream_merges_what_comes(spark, tmp_path, by):
-    src, table = tmp_path / "in", merge.VersionedTable(spark, str(tmp_path / "t"), by, 4)
+    src, table = tmp_path / "in", versions.VersionedTable(spark, str(tmp_path / "t"), by, 4)
     schema = "asin string, reviewId string, rating double, body string"
     table.write(spark.createDataFrame([("B000000001", "R0", 1.0, "old")], schema))
     touched = []
@@ -210,7 +209,7 @@ def test_stream_merges_what_comes(spark, tmp_path, by):
 
     for i in (1, 2):
         write(src / f"{i}.ndjson", json.dumps(REVIEW | {"reviewId": f"R{i}", "rating": float(i)}), json.dumps(REVIEW | {"reviewId": "R1", "rating": None, "body": "later"}))
-        intake.start(spark, str(src), str(tmp_path / "ck"), table, combine, lambda df: touched.append(df.count())).awaitTermination()
+        intake.start(spark, str(src), str(tmp_path / "ck"), table, combine, lambda df, name: touched.append(df.count())).awaitTermination()
     got = {r.reviewId: (r.rating, r.body) for r in table.read().collect()}
     assert got == {"R0": (1.0, "old"), "R1": (1.0, "later"), "R2": (2.0, "fine")} and touched == [2, 3]
     counted = intake.daily_counts(spark.readStream.schema("product_id string, posted_at timestamp").json(str(src)))
@@ -219,7 +218,7 @@ def test_stream_merges_what_comes(spark, tmp_path, by):
 
 def test_the_last_write_is_that_of_the_newest_file(spark, tmp_path):
     """Whatever the files' sizes and names, and so the order in which Spark deals them."""
-    src, table = tmp_path / "in", merge.VersionedTable(spark, str(tmp_path / "t"))
+    src, table = tmp_path / "in", versions.VersionedTable(spark, str(tmp_path / "t"))
     table.write(spark.createDataFrame([], "asin string, reviewId string, rating double, body string"))
     src.mkdir()
     for name, age, lines in (("a", 10, 900), ("b", 30, 1), ("c", 20, 50)):
