@@ -6,8 +6,8 @@ Every shingle flips bits of sketches, so that what two sets share cancels out:
   by the exclusive or of their hashes. A shingle that only one set has changes one block, so
   two sets that differ in d shingles differ in d blocks at most and agree in all others. The
   number of blocks goes by bands of set sizes, a set at a band's upper end is in the next too;
-* a narrow one of 1,024 bits, one bit a shingle, whose Hamming distance is never more than
-  the number of shingles in which two sets differ.
+* a narrow one of 1,024 bits or, for larger sets, of as many as shingles, one bit a shingle,
+  whose Hamming distance is never more than the number of shingles in which two sets differ.
 
 Sets of likeness 0.8 and size n differ in n // 4 shingles at most. All blocks have an order in
 which those come last that are empty or common in the corpus; of two sets that link, the
@@ -27,9 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lynxmark.llm.common import TEXTS, connected_components, materialize
-from lynxmark.llm.simhash import shingle_hashes
 
-WORDS = 16  # of 64 bits in a narrow sketch
+WORDS = 16  # of 64 bits in a narrow sketch at least
 BAND = 4  # a band's largest set is so many times its smallest
 #: A block's value is common if this share of a task's sets has it, and then of all sets.
 COMMON = 0.002
@@ -54,14 +53,92 @@ def key_of(name: str) -> int:
 
 COLUMNS = ["id", "h", "bytes", "node", "size", "sketch", "common", "n"]
 BIT, BLOCK, VALUE = (key_of(x) for x in ("bit", "block", "value"))
+BASE = key_of("base") | 1
+LETTERS = np.array([key_of(f"byte {i}") for i in range(256)], np.uint64)
+PART = 1 << 20  # bytes of a text that are hashed at a time, and a shingle more
+_powers = np.ones((2, 1), np.uint64)
+
+
+def powers(n: int) -> np.ndarray:
+    """BASE to the 0 .. n-1 and their inverses, modulo 2**64."""
+    global _powers
+    if _powers.shape[1] < n:
+        each = np.full((2, n), [[BASE], [pow(BASE, -1, 1 << 64)]], np.uint64)
+        each[:, 0] = 1
+        _powers = np.cumprod(each, axis=1, dtype=np.uint64)
+    return _powers
+
+
+def shingle_set(data: bytes | None, width: int) -> np.ndarray:
+    """Hashes of the different shingles of a UTF-8 text, ascending: sums of the bytes' numbers times powers, from running sums."""
+    words = data.lower().split() if data else []
+    if not words:
+        return np.empty(0, np.uint64)
+    text = b" ".join(words)
+    raw = np.frombuffer(text, np.uint8)
+    gaps = np.flatnonzero(raw == 32)
+    many = max(1, len(words) - width + 1)
+    starts, ends = np.concatenate([[0], gaps + 1])[:many], np.concatenate([gaps, [len(raw)]])[-many:]
+    out, i = [], 0
+    while i < many:
+        j = max(i + 1, int(np.searchsorted(starts, starts[i] + PART)))
+        low, high = int(starts[i]), int(ends[j - 1])
+        up, down = powers(high - low + 1)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(LETTERS[raw[low:high]] * up[: high - low], dtype=np.uint64)])
+        a, b = starts[i:j] - low, ends[i:j] - low
+        out.append(mixed((sums[b] - sums[a]) * down[a], BASE))
+        i = j
+    return different(np.concatenate(out))
+
+
+def different(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])]
+
+
+def digest(own: np.ndarray) -> int:
+    """A set's 64-bit name."""
+    return xxhash.xxh64_intdigest(own.tobytes(), 42)
+
+
+def width_of(size: int) -> int:
+    """Words of 64 bits in the narrow sketch of a set: as many bits as shingles, or more, so that sets without much in common
+    differ in more bits than those that link may."""
+    return max(WORDS, 1 << max(0, (size - 1).bit_length() - 6))
 
 
 def narrow(hashes: np.ndarray) -> np.ndarray:
-    """The sketch of 64 * WORDS bits of a set of hashes: each flips one bit."""
-    flips = np.bincount((mixed(hashes, BIT) % np.uint64(64 * WORDS)).astype(np.int64), minlength=64 * WORDS)
+    """The narrow sketch of a set of hashes: each flips one bit."""
+    bits = 64 * width_of(len(hashes))
+    flips = np.bincount((mixed(hashes, BIT) & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((flips & 1).astype(np.uint8), bitorder="little").view(np.uint64)
 
 
+class Sketches:
+    """The narrow sketches of some sets. The lower half of a sketch, flipped by its upper half, is the sketch of half the width:
+    sets of sizes that may link are compared at the lesser of their widths, of which one is at most twice the other."""
+
+    def __init__(self, sketches: list[np.ndarray]):
+        self.width = np.array([len(x) for x in sketches], np.int64)
+        self.at, self.rows = {}, {}
+        for w in np.unique(self.width).tolist():
+            own, wider = np.flatnonzero(self.width == w), np.flatnonzero(self.width == 2 * w)
+            at = np.full(len(sketches), -1, np.int64)
+            at[np.concatenate([own, wider])] = np.arange(len(own) + len(wider))
+            folded = [sketches[i][:w] ^ sketches[i][w:] for i in wider.tolist()]
+            self.at[w], self.rows[w] = at, np.stack([sketches[i] for i in own.tolist()] + folded)
+
+    def differ(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Bits in which the sets a[i] and b[i] differ; their widths are equal or one is twice the other."""
+        out, lesser = np.empty(len(a), np.int64), np.minimum(self.width[a], self.width[b])
+        for w in np.unique(lesser).tolist():
+            some = np.flatnonzero(lesser == w)
+            for k in range(0, len(some), step := max(1, (1 << 21) // w)):
+                part = some[k : k + step]
+                out[part] = np.bitwise_count(self.rows[w][self.at[w][a[part]]] ^ self.rows[w][self.at[w][b[part]]]).sum(axis=1, dtype=np.int64)
+        return out
+
+
 def most_different(size: int, percent: int) -> int:
     """In how many shingles a set of that size and any that it links with differ at most."""
     return (100 - percent) * size // percent
@@ -81,11 +158,10 @@ def blocks(hashes: np.ndarray, low: int, percent: int) -> tuple[np.ndarray, np.n
     """A band's blocks of a set that are not empty: numbers and keys (which hold band, number and value); and how many blocks there are."""
     many = max(16, 2 * most_different(BAND * low, percent))
     at = (mixed(hashes, BLOCK ^ low) % np.uint64(many)).astype(np.int64)
-    order = np.argsort(at, kind="stable")
-    at = at[order]
-    starts = np.flatnonzero(np.diff(at, prepend=-1))
-    value = np.bitwise_xor.reduceat(mixed(hashes, VALUE)[order], starts)
-    return at[starts], _keys(at[starts], value, low), many
+    value = np.zeros(many, np.uint64)
+    np.bitwise_xor.at(value, at, mixed(hashes, VALUE))
+    held = np.flatnonzero(np.bincount(at, minlength=many))
+    return held, _keys(held, value[held], low), many
 
 
 def _keys(at: np.ndarray, value: np.ndarray, low: int) -> np.ndarray:
@@ -98,7 +174,7 @@ def first_blocks(hashes: np.ndarray, percent: int, common: np.ndarray) -> np.nda
     for low in bands(len(hashes), percent):
         at, keys, many = blocks(hashes, low, percent)
         late = common[np.minimum(np.searchsorted(common, keys), len(common) - 1)] == keys if len(common) else np.zeros(len(keys), bool)
-        keys = keys[np.lexsort((keys, late))][:wanted]
+        keys = np.concatenate([np.sort(keys[~late]), np.sort(keys[late])])[:wanted]
         if len(keys) < wanted:  # empty blocks come last, in the order of their keys as well
             empty = np.setdiff1d(np.arange(many), at)
             keys = np.concatenate([keys, np.sort(_keys(empty, np.zeros(len(empty), np.uint64), low))[: wanted - len(keys)]])
@@ -106,15 +182,11 @@ def first_blocks(hashes: np.ndarray, percent: int, common: np.ndarray) -> np.nda
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
-def differ(a: np.ndarray, others: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(others ^ a).sum(axis=1, dtype=np.int64)
-
-
-def near(sizes: np.ndarray, i: int, some: np.ndarray, sketches: np.ndarray, percent: int) -> np.ndarray:
+def near(sizes: np.ndarray, i: int, some: np.ndarray, sketches: Sketches, percent: int) -> np.ndarray:
     """Those of ``some`` whose sizes and sketches do not rule out a link with ``i``, nearest first."""
     a, b = sizes[i], sizes[some]
     some = some[100 * np.minimum(a, b) >= percent * np.maximum(a, b)]
-    far = differ(sketches[i], sketches[some])
+    far = sketches.differ(np.full(len(some), i), some)
     fit = far * (100 + percent) <= (a + sizes[some]) * (100 - percent)
     return some[fit][np.argsort(far[fit], kind="stable")]
 
@@ -124,7 +196,7 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def joined(sizes: np.ndarray, sketches: np.ndarray, percent: int, sets: list[np.ndarray] | None = None) -> np.ndarray:
+def joined(sizes: np.ndarray, sketches: Sketches, percent: int, sets: list[np.ndarray] | None = None) -> np.ndarray:
     """For each of some sets the first one that it hangs together with: by what the sketches cannot tell apart, or by links
     between whole ``sets``. Pairs that hang together already are not compared."""
     part = np.arange(len(sizes))
@@ -138,19 +210,58 @@ def joined(sizes: np.ndarray, sketches: np.ndarray, percent: int, sets: list[np.
     return part
 
 
-def _per_group(solve):
-    """What ``solve`` makes of the rows of each ``task``, which come in order."""
+SMALL = 24  # sets of a group whose pairs are compared all at once, with those of other groups
+
+
+def small_groups(bounds: np.ndarray, sizes: np.ndarray, sketches: Sketches, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of one group, of those of 2 to SMALL sets, that sizes and sketches do not rule out; ``bounds`` are the groups' ends."""
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    many = np.diff(bounds)
+    for m in range(2, SMALL + 1):
+        begins = bounds[:-1][many == m]
+        i, j = np.triu_indices(m, 1)
+        for k in range(0, len(begins), max(1, 200_000 // len(i))):
+            some = begins[k : k + max(1, 200_000 // len(i))][:, None]
+            a, b = (some + i).ravel(), (some + j).ravel()
+            fit = 100 * np.minimum(sizes[a], sizes[b]) >= percent * np.maximum(sizes[a], sizes[b])
+            a, b = a[fit], b[fit]
+            far = sketches.differ(a, b)
+            fit = far * (100 + percent) <= (sizes[a] + sizes[b]) * (100 - percent)
+            left.append(a[fit])
+            right.append(b[fit])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _per_group(percent: int, whole: bool):
+    """Links (a, b) that join what hangs together among the rows of each ``task``, which come in order."""
+
+    def links(pdf: pd.DataFrame) -> pd.DataFrame:
+        keys, nodes, sizes = (pdf[c].to_numpy(np.int64) for c in ("task", "node", "size"))
+        sets = [np.frombuffer(x, np.uint64) for x in pdf["hashes"]] if whole else None
+        sketches = [narrow(x) for x in sets] if whole else [np.frombuffer(x, np.uint64) for x in pdf["sketch"]]
+        bounds = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
+        root = list(range(len(nodes)))
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        for i, j in zip(*(x.tolist() for x in small_groups(bounds, sizes, Sketches(sketches), percent)), strict=True):
+            x, y = find(i), find(j)
+            if x != y and (not whole or linked(sets[i], sets[j], percent)):
+                root[max(x, y)] = min(x, y)
+        tops = np.array([find(i) for i in range(len(nodes))])
+        for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            if j - i > SMALL:
+                tops[i:j] = i + joined(sizes[i:j], Sketches(sketches[i:j]), percent, sets[i:j] if whole else None)
+        moved = np.flatnonzero(tops != np.arange(len(tops)))
+        return pd.DataFrame({"a": nodes[moved], "b": nodes[tops[moved]]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
 
-        def links(pdf: pd.DataFrame) -> pd.DataFrame:
-            keys = pdf["task"].to_numpy(np.int64)
-            bounds = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
-            found = [solve(pdf.iloc[i:j]) for i, j in zip(bounds[:-1], bounds[1:], strict=True) if j - i > 1]
-            a, b = (np.concatenate([np.empty(0, np.int64), *x]) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 2
-            return pd.DataFrame({"a": a, "b": b})
-
         for pdf in batches:
             keys = pdf["task"].to_numpy(np.int64)
             if not len(keys):
@@ -168,18 +279,6 @@ def _per_group(solve):
     return run
 
 
-def _solver(percent: int, whole: bool):
-    def solve(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        nodes, sizes = pdf["node"].to_numpy(np.int64), pdf["size"].to_numpy(np.int64)
-        sets = [np.frombuffer(x, np.uint64) for x in pdf["hashes"]] if whole else None
-        sketches = np.stack([narrow(x) for x in sets]) if whole else np.frombuffer(b"".join(pdf["sketch"]), np.uint64).reshape(len(nodes), WORDS)
-        part = joined(sizes, sketches, percent, sets)
-        moved = np.flatnonzero(part != np.arange(len(part)))
-        return nodes[moved], nodes[part[moved]]
-
-    return solve
-
-
 def _tasks(rows: DataFrame, key: str) -> DataFrame:
     """``rows`` (node, size) with a ``task`` for each group of a ``key``, or, where a group is crowded, for every two of its blocks."""
     fill = F.greatest(F.count("*") / CROWD, F.sum("size") * 8 / CROWD_BYTES)
@@ -226,8 +325,8 @@ class Join:
             for pdf in batches:
                 out = []
                 for doc_id, data, h, size in zip(pdf["id"], pdf["text"], pdf["h"], pdf["bytes"], strict=True):
-                    own = np.unique(shingle_hashes(data, width))
-                    node = np.uint64(xxhash.xxh64_intdigest(own.tobytes(), 42)).view(np.int64) if len(own) else None
+                    own = shingle_set(data, width)
+                    node = np.uint64(digest(own)).view(np.int64) if len(own) else None
                     out.append((doc_id, h, size, node, len(own), narrow(own).tobytes(), None, None))
                     for low in bands(len(own), percent):
                         many += 1
@@ -261,8 +360,8 @@ class Join:
             for pdf in batches:
                 keys, nodes, salts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
                 for data in pdf["text"]:
-                    own = np.unique(shingle_hashes(data, width))
-                    node = int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), 42)).view(np.int64))
+                    own = shingle_set(data, width)
+                    node = int(np.uint64(digest(own)).view(np.int64))
                     if node in seen:  # a copy
                         continue
                     if len(seen) >= SEEN:
@@ -298,16 +397,17 @@ class Join:
     def _likely(self, meetings: DataFrame) -> DataFrame:
         """Links (a, b) that hold together what meets and cannot be told apart by narrow sketches."""
         sized = meetings.join(self.nodes.select("node", "size"), "node")
-        dealt = _tasks(sized.select("key", "node", F.lit(4 * WORDS).alias("size")), "key").select("task", "node")
+        dealt = _tasks(sized.select("key", "node", (F.greatest(F.lit(512.0), F.col("size")) / 16).alias("size")), "key").select("task", "node")
         rows = dealt.join(self.nodes.select("node", "size", "sketch"), "node").select("task", "node", "size", "sketch")
-        return rows.repartition("task").sortWithinPartitions("task", "size", "node").mapInPandas(_per_group(_solver(self.percent, False)), "a long, b long")
+        return rows.repartition("task").sortWithinPartitions("task", "size", "node").mapInPandas(_per_group(self.percent, False), "a long, b long")
 
     def groups(self) -> DataFrame:
         """(node, root): the nodes that may be linked, by groups that no link leaves; nodes alone have no row."""
         meetings = materialize(self._meetings(), "meetings")
-        first = meetings.groupBy("node").agg(F.min("key").alias("key"))
-        links = materialize(self._likely(first.select("key", "node")), "likely")
+        ends = meetings.groupBy("node").agg(F.array_distinct(F.array(F.min("key"), F.max("key"))).alias("keys"))
+        links = materialize(self._likely(ends.select(F.explode("keys").alias("key"), "node")), "likely")
         roots = connected_components(links)
+        # Only values whose sets do not hang together yet can join more.
         told = meetings.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         apart = told.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
         more = self._likely(meetings.join(apart, "key", "left_semi"))
@@ -320,10 +420,10 @@ class Join:
         member = materialize(self.groups().join(self.nodes.select("node", "size", "text"), "node"), "members")
         dealt = _tasks(member.select("node", "root", "size"), "root").groupBy("node").agg(F.collect_list("task").alias("tasks"))
         wanted = member.select("node", F.col("text.h").alias("h"), F.col("text.bytes").alias("bytes")).join(dealt, "node")
-        sets = F.pandas_udf(lambda texts: pd.Series([np.unique(shingle_hashes(x, width)).tobytes() for x in texts]), "binary")
+        sets = F.pandas_udf(lambda texts: pd.Series([shingle_set(x, width).tobytes() for x in texts]), "binary")
         texts = self.texts.dropDuplicates(["h", "bytes"]).join(wanted, ["h", "bytes"]).select("node", "tasks", sets("text").alias("hashes"))
         rows = texts.select(F.explode("tasks").alias("task"), "node", (F.octet_length("hashes") / 8).cast("int").alias("size"), "hashes")
-        return rows.repartition("task").sortWithinPartitions("task", "size", "node").mapInPandas(_per_group(_solver(self.percent, True)), "a long, b long")
+        return rows.repartition("task").sortWithinPartitions("task", "size", "node").mapInPandas(_per_group(self.percent, True), "a long, b long")
 
     def components(self) -> DataFrame:
         """Every row: (id, size, component_id), the smallest id that links reach, its own included."""

@@ -97,11 +97,34 @@ def test_sets_that_link_share_a_first_block(percent):
         common = np.sort(np.concatenate([jaccard.blocks(x, low, percent)[1][::2] for low in jaccard.bands(len(x), percent)]))
         for late in (np.empty(0, np.uint64), common):
             assert len(np.intersect1d(jaccard.first_blocks(x, percent, late), jaccard.first_blocks(y, percent, late)))
-        far = jaccard.differ(jaccard.narrow(x), jaccard.narrow(y)[None])[0]
+        sketches = jaccard.Sketches([jaccard.narrow(x), jaccard.narrow(y)])
+        far = sketches.differ(np.array([0]), np.array([1]))[0]
         assert far <= len(x) + len(y) - 2 * both and jaccard.linked(x, y, percent)
-        sizes, sketches = np.array([len(x), len(y)]), np.stack([jaccard.narrow(x), jaccard.narrow(y)])
+        sizes = np.array([len(x), len(y)])
         assert jaccard.near(sizes, 0, np.array([1]), sketches, percent).tolist() == [1]
 
 
 def test_same_as_sql(spark, sf):
     assert difference(spark, sf, queries.op13_jaccard_join, queries.ORACLE_SQL["op13_jaccard_join"]) == ""
+
+
+def test_sketches_of_all_widths():
+    """Sketches are compared at the lesser width: as if both had been made at that."""
+    rng = np.random.default_rng(1)
+    for size in (5, 1000, 1024, 1025, 2100, 9000):
+        x = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+        y = np.unique(np.concatenate([x[: int(size * 0.95)], rng.integers(0, 2**63, size // 6).astype(np.uint64)]))
+        bits = 64 * min(jaccard.width_of(len(x)), jaccard.width_of(len(y)))
+        odd = lambda h: np.bincount((jaccard.mixed(h, jaccard.BIT) % np.uint64(bits)).astype(int), minlength=bits) % 2  # noqa: B023, E731
+        far = jaccard.Sketches([jaccard.narrow(x), jaccard.narrow(y)]).differ(np.array([0]), np.array([1]))[0]
+        assert far == (odd(x) != odd(y)).sum() <= len(np.setxor1d(x, y))
+
+
+def test_shingle_sets(monkeypatch):
+    """Equal shingles have equal hashes wherever they stand, also where a text is hashed in parts."""
+    text = " ".join(random.Random(2).choice(["a", "bb", "Ccc", "é", "😀", "dddd"]) for _ in range(3000)) + " one two three four five"
+    whole = jaccard.shingle_set(text.encode(), 5)
+    assert len(whole) == len(shingles(text)) and len(jaccard.shingle_set(b"one  TWO\x0bthree four five", 5)) == 1
+    assert jaccard.shingle_set(b"one two three four five", 5)[0] in whole and len(jaccard.shingle_set(b"a b", 5)) == 1 and len(jaccard.shingle_set(None, 5)) == len(jaccard.shingle_set(b" \n", 5)) == 0
+    monkeypatch.setattr(jaccard, "PART", 100)
+    assert (jaccard.shingle_set(text.encode(), 5) == whole).all()
