@@ -27,7 +27,7 @@ from lynxmark.llm.common import batches_of, materialize, with_uid
 BLOCK, SLICE, LEAST_GROUP, MOST_GROUP = 2048, 16, 512, 8192
 STEP = 256  # rows of a block that are scored at once
 NO_ID = np.iinfo(np.int64).max
-LARGEST = 1 << 26
+LONG = 2.0**63
 
 
 def _pivots(sample: np.ndarray, n: int) -> np.ndarray:
@@ -47,8 +47,17 @@ def _matrix(values: pd.Series, dim: int) -> np.ndarray:
     return out
 
 
+def _integers(v: np.ndarray) -> np.ndarray:
+    """Whole numbers of any size, as Python's own."""
+    out = np.empty(v.shape, object)
+    out[:] = [[int(x) for x in row] for row in v]
+    return out
+
+
 def _distances(points: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    return np.stack([np.linalg.norm(points - p, axis=1) for p in pivots], axis=1)
+    with np.errstate(over="ignore", invalid="ignore"):
+        away = np.stack([np.linalg.norm(points - p, axis=1) for p in pivots], axis=1)
+    return np.nan_to_num(away, nan=0.0, posinf=1e300)  # squares may leave a double; bounds are not trusted then
 
 
 class Best:
@@ -88,8 +97,8 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
     or infinite component take no part; shorter vectors count as padded with zeros, empty
     ones score 0. Repeated rows and ids are rows of their own, so a copy of a query is one
     of its candidates. Where fewer than ``k`` rows are there, all are returned; other
-    columns are ignored; no rows or no queries give none. Components beyond 2**26 in size
-    are refused, for their products might not fit a long.
+    columns are ignored; no rows or no queries give none. Components of any finite size
+    are taken; only a score that does not fit a long is an error.
 
     The driver holds ``sample`` vectors, of which ``pivots`` become pivots (None: 16 to 1024, by
     the root of the number of rows): nothing that grows with the rows beyond that. A cell is any
@@ -105,18 +114,21 @@ def search(vectors: DataFrame, is_query: Column, id_col: str, vector_col: str, k
     spark = vectors.sparkSession
     x = F.col(vector_col)
     sound = x.isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v.cast("double")) & (F.abs(v.cast("double")) < float("inf")))
-    refused = F.raise_error(F.lit("a component is too large")).cast("long")
-    whole = F.transform(x, lambda v: F.when(F.abs(v.cast("double") * scale) <= LARGEST, F.floor(v.cast("double") * scale)).otherwise(refused))
-    rows = vectors.where(sound).select(F.col(id_col).cast("long").alias("id"), F.coalesce(is_query, F.lit(False)).alias("query"), whole.cast("array<int>").alias("x"))
+    scaled = lambda v: v.cast("double") * scale
+    whole = F.transform(x, lambda v: F.when(F.abs(scaled(v)) < 2.0**53, F.floor(scaled(v)).cast("double")).otherwise(scaled(v)))  # larger doubles are whole
+    rows = vectors.where(sound).select(F.col(id_col).cast("long").alias("id"), F.coalesce(is_query, F.lit(False)).alias("query"), whole.alias("x"))
     rows = materialize(with_uid(rows), "vectors")
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    told = rows.agg(F.count("*"), F.max(F.size("x")), F.max(F.aggregate("x", F.lit(0.0), lambda a, v: a + v.cast("double") * v)), F.max(F.array_max(F.transform("x", lambda v: F.abs(v))))).first()
+    told = rows.agg(F.count("*"), F.max(F.size("x")), F.max(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)), F.max(F.array_max(F.transform("x", lambda v: F.abs(v))))).first()
     n = told[0]
-    asked = rows.where("query").count()
+    asked, highest = rows.where("query").agg(F.count("*"), F.max(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v))).first()
     if not asked:
         return empty, None
     dim, longest = int(told[1]), float(told[2] or 0) * (1 + 1e-12) + 1e-9
     exact_floats = dim * float(told[3] or 0) ** 2 < 2**52  # then doubles add up to the very integers
+    # No score is above the product of the two lengths; where that may leave a long, scores are Python's integers and no bound is trusted.
+    wide = not float(highest or 0) ** 0.5 * longest**0.5 * (1 + 1e-9) < LONG
+    stored = np.int32 if float(told[3] or 0) < 2**31 else np.float64
 
     def lift(v: np.ndarray) -> np.ndarray:
         return np.column_stack([v, np.sqrt(np.maximum(longest - (v * v).sum(1), 0))])
@@ -141,7 +153,7 @@ def search(vectors: DataFrame, is_query: Column, id_col: str, vector_col: str, k
 
             def close(own: pd.DataFrame) -> pd.DataFrame:
                 ids = np.array([NO_ID if pd.isna(i) else i for i in own["id"]], np.int64)
-                return pd.DataFrame({"block": [int(own["uid"].iloc[0])], "cells": [own["cell"].unique().tolist()], "low": [own["away"].min()], "high": [own["away"].max()], "uids": [own["uid"].to_numpy(np.int64).tobytes()], "ids": [ids.tobytes()], "x": [_matrix(own["x"], dim).astype(np.int32).tobytes()]})
+                return pd.DataFrame({"block": [int(own["uid"].iloc[0])], "cells": [own["cell"].unique().tolist()], "low": [own["away"].min()], "high": [own["away"].max()], "uids": [own["uid"].to_numpy(np.int64).tobytes()], "ids": [ids.tobytes()], "x": [_matrix(own["x"], dim).astype(stored).tobytes()]})
 
             for pdf in batches:
                 held = pdf if held is None else pd.concat([held, pdf])
@@ -159,7 +171,7 @@ def search(vectors: DataFrame, is_query: Column, id_col: str, vector_col: str, k
 
     def dealt(some: DataFrame, size: int, whole: bool, parts: int, name: str) -> DataFrame:
         """Rows in order of cell and distance, ``size`` to a block; of several cells if ``whole``."""
-        near = some.mapInPandas(placed, "uid long, id long, x array<int>, query boolean, cell int, away double")
+        near = some.mapInPandas(placed, "uid long, id long, x array<double>, query boolean, cell int, away double")
         sorted_ = near.repartitionByRange(parts, "cell", "away", "uid").sortWithinPartitions("cell", "away", "uid")
         return materialize(sorted_.mapInPandas(packed(size, whole), "block long, cells array<int>, low double, high double, uids binary, ids binary, x binary"), name)
 
@@ -188,14 +200,18 @@ def search(vectors: DataFrame, is_query: Column, id_col: str, vector_col: str, k
         for pdf in batches:
             for grp, _, kind, _, uids, ids, x in pdf.itertuples(index=False):
                 uids, ids = np.frombuffer(uids, np.int64), np.frombuffer(ids, np.int64)
-                v = np.frombuffer(x, np.int32).reshape(len(uids), dim).astype(number)
+                v = np.frombuffer(x, stored).reshape(len(uids), dim)
+                v = _integers(v) if wide else v.astype(number)
                 if kind == 0:
                     if now:
                         yield answers()
                     now = grp, v, uids, ids, Best(len(uids), k)
                     continue
                 for i in range(0, len(v), STEP):
-                    now[4].add(now[1] @ v[i : i + STEP].T, ids[i : i + STEP], uids[i : i + STEP], now[2])
+                    scores = now[1] @ v[i : i + STEP].T
+                    if wide and any(abs(x) >= LONG for x in scores[uids[i : i + STEP] != now[2][:, None]]):
+                        raise OverflowError("a score is beyond a long")
+                    now[4].add(scores, ids[i : i + STEP], uids[i : i + STEP], now[2])
         if now:
             yield answers()
 
@@ -207,11 +223,11 @@ def search(vectors: DataFrame, is_query: Column, id_col: str, vector_col: str, k
 
         def bound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             between = np.linalg.norm(sent.value[:, None] - sent.value[None], axis=2)
-            slack = 1e-6 * (1 + float(np.sqrt(longest)))
+            slack = np.inf if wide else 1e-6 * (1 + float(np.sqrt(longest)))
             for pdf in batches:
                 for grp, uids, x, known in pdf.itertuples(index=False):
                     uids = np.frombuffer(uids, np.int64)
-                    v = np.frombuffer(x, np.int32).reshape(len(uids), dim).astype(float)
+                    v = np.frombuffer(x, stored).reshape(len(uids), dim).astype(float)
                     scores = {r["quid"]: r["score"] for r in known} if known is not None else {}
                     least = np.array([scores.get(u, -np.inf) for u in uids.tolist()])
                     theta = np.sqrt(np.maximum((v * v).sum(1) + longest - 2 * least, 0)) + slack

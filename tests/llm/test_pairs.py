@@ -144,8 +144,27 @@ def test_topk_against_brute_force(spark):
     assert topk.top_k(df.limit(0), F.lit(True)).count() == 0 and topk.top_k(df, F.lit(None).cast("boolean")).count() == 0
     two = topk.top_k(spark.createDataFrame([(1, [1.0]), (2, [3.0])], "vec_id long, embedding array<float>"), F.lit(True)).collect()
     assert sorted(map(tuple, two)) == [(1, 1, 2, 256 * 768), (2, 1, 1, 256 * 768)]
-    with pytest.raises(Exception, match="too large"):
-        topk.top_k(spark.createDataFrame([(1, [1e30])], "vec_id long, embedding array<double>"), F.lit(True)).collect()
+
+
+def test_topk_of_large_components(spark):
+    """Also where products leave a double's exact integers, a long, or a double itself; only scores that leave a long are refused."""
+    rng = np.random.default_rng(4)
+    schema = "vec_id long, embedding array<double>"
+    for rows in (
+        [(i, [float(x) for x in rng.choice([1e6, -1e6, 0.5, 3.7], 8)]) for i in range(60)] + [(60, [1e6, 0.5])],
+        [(i, [float(x) for x in rng.integers(-11_000_000, 11_000_000, 1)]) for i in range(40)],
+        [(1, [2.0**22, 0.0]), (2, [0.0, 1e30]), (3, [2.0**22, 0.0]), (4, [-(2.0**22), 0.0]), (5, [0.0, 0.0])],
+        [(1, [1e200, 0.0]), (2, [0.0, 1.0])],
+    ):
+        whole = {i: [math.floor(256 * x) for x in v] for i, v in rows}
+        score = lambda a, b: sum(x * y for x, y in zip(whole[a], whole[b], strict=False))  # noqa: B023, E731
+        asked = [i for i in whole if i != 2 or len(rows) > 5]
+        expected = sorted((q, n + 1, d, s) for q in asked for n, (s, d) in enumerate(sorted(((score(q, d), d) for d in whole if d != q), key=lambda x: (-x[0], x[1]))[:5]))
+        got = topk.top_k(spark.createDataFrame(rows, schema), F.col("vec_id").isin(asked)).collect()
+        assert sorted(map(tuple, got)) == expected
+    assert topk.top_k(spark.createDataFrame([(1, [1e30])], schema), F.lit(True)).collect() == []
+    with pytest.raises(Exception, match="beyond a long"):
+        topk.top_k(spark.createDataFrame([(1, [1e30]), (2, [1e30])], schema), F.lit(True)).collect()
 
 
 def plain_simhash(text, width=3):
