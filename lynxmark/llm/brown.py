@@ -37,7 +37,10 @@ PACK_BYTES = 8 << 20
 ROWS = 10_000  # words that enter or leave a worker at a time
 #: Words that are clustered one at a time, words moved next, words whose counts are broadcast.
 SEEDS, FREQUENT, COMMON = 510, 8192, 1 << 16
-SWEEPS = 2
+#: Sweeps over the frequent words at most, and the share of all that classes have gained below which a sweep is the last.
+SWEEPS, ENOUGH = 5, 0.01
+LONGEST = 256  # bytes of a word that may be among those
+EQUAL = 1e-6  # gains that differ by less are equal
 CLASSES = 48  # class 0 is the text's end
 REST = CLASSES  # stands for the class of a neighbour that has none yet
 SIDES = CLASSES + 1
@@ -226,10 +229,11 @@ class Mover:
         self.cells = np.concatenate([c, c.T])[:, 1:CLASSES]
         self.table = np.stack([_f(self.cells + m) - _f(self.cells) for m in range(self.SMALL)])
 
-    def best(self, word: np.ndarray, code: np.ndarray, n: np.ndarray, words: int, now: np.ndarray) -> np.ndarray:
+    def best(self, word: np.ndarray, code: np.ndarray, n: np.ndarray, words: int, now: np.ndarray, turn: np.ndarray | None = None) -> np.ndarray:
         """Classes 1 to CLASSES-1 of ``words`` words; (word, code, n) are their neighbours, by word; ``now`` are their
         present classes, REST where they have none. Bigrams of a word with itself count as with its present class. Ties
-        go to the present class, else to the lowest."""
+        go to the present class, else to that of the equal ones which ``turn`` (a number for each word) tells, so that words
+        of which nothing is known do not make up one class."""
         out = np.empty(words, np.int64)
         begins = np.searchsorted(word, np.arange(words + 1))
         for lo in range(0, words, 4096):
@@ -256,41 +260,58 @@ class Mover:
                 sub = whole[own[held] - 1]
                 add[held, own[held] - 1] = _f(sub) - _f(np.maximum(sub - times[held, 0], 0))
                 gain -= add
-            top = gain.argmax(axis=1)
+            highest = gain.max(axis=1, keepdims=True)
+            equal = gain >= highest - EQUAL
+            nth = (turn[lo:hi] if turn is not None else np.zeros(hi - lo, np.int64)) % equal.sum(axis=1)
+            top = (equal.cumsum(axis=1) > nth[:, None]).argmax(axis=1)
             stay = np.flatnonzero(own < REST)
-            same = gain[stay, own[stay] - 1] >= gain[stay, top[stay]] - 1e-9 * np.abs(gain[stay, top[stay]])
+            same = equal[stay, own[stay] - 1]
             top[stay[same]] = own[stay[same]] - 1
             out[lo:hi] = top + 1
         return out
 
 
-def _contexts(packs: DataFrame, sent, only_known: bool) -> DataFrame:
-    """(word, n, around): of each pack's learnt words (those that ``sent`` knows alone, if ``only_known``) the count, and the
-    neighbours' classes as bytes in turn (code, times)."""
+def _contexts(packs: DataFrame, sent, gather, only_gathered: bool) -> DataFrame:
+    """(word, n, around): of learnt words the count, and the neighbours' classes as bytes in turn (code, times).
+
+    Words in ``gather``, which are in nearly every pack, are added up in each task and leave it once; each pack sends its
+    other words, those excepted that ``sent`` knows, or none if ``only_gathered``."""
+
+    def rows(names: pa.BinaryArray, n: np.ndarray, codes: np.ndarray, times: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """``codes`` are word number * 2 SIDES + code, ascending; a count over 255 is several entries."""
+        parts = -(-times // 255)
+        each = np.full(parts.sum(), 255, np.int64)
+        each[np.cumsum(parts) - 1] = times - 255 * (parts - 1)
+        codes = np.repeat(codes, parts)
+        word = codes // (2 * SIDES)
+        data = np.stack([codes % (2 * SIDES), each], axis=1).astype(np.uint8).ravel()
+        begins = np.flatnonzero(np.diff(word, prepend=-1))
+        bounds = np.append(begins, len(word))
+        for i in range(0, len(begins), ROWS):
+            some, cut = word[begins[i : i + ROWS]], bounds[i : i + ROWS + 1]
+            own = _binary(data[2 * cut[0] : 2 * cut[-1]], 2 * (cut - cut[0]))
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(some)), pa.array(n[some].astype(np.int64)), own], ["word", "n", "around"])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole: Known = gather.value
+        n, seen = np.zeros(len(whole.words), np.int64), np.zeros(len(whole.words) * 2 * SIDES, np.int32)
         for batch in batches:
             for row in batch.to_pylist():
                 names = _names(row["words"])
-                kinds = sent.value.of(names, -1)
+                kinds, slots = sent.value.of(names, -1), whole.of(names, -1)
                 numbers, lengths, learn = _numbers(row["tokens"]), _numbers(row["lengths"]).astype(np.int64), np.array(row["learn"], bool)
                 trained = _numbers(row["trained"])
-                wanted = (trained > 0) & (kinds >= 0 if only_known else True)
+                wanted = (trained > 0) & (slots >= 0 if only_gathered else (slots >= 0) | (kinds < 0))
                 kinds = np.where(kinds < 0, REST, kinds)
                 codes, times = around(kinds, numbers, lengths, np.repeat(learn, lengths) & (wanted[numbers] if len(numbers) else np.empty(0, bool)))
-                # a count over 255 is several entries
-                parts = -(-times // 255)
-                each = np.full(parts.sum(), 255, np.int64)
-                each[np.cumsum(parts) - 1] = times - 255 * (parts - 1)
-                codes = np.repeat(codes, parts)
-                word = codes // (2 * SIDES)
-                data = np.stack([codes % (2 * SIDES), each], axis=1).astype(np.uint8).ravel()
-                begins = np.flatnonzero(np.diff(word, prepend=-1))
-                bounds = np.append(begins, len(word))
-                for i in range(0, len(begins), ROWS):
-                    some, cut = word[begins[i : i + ROWS]], bounds[i : i + ROWS + 1]
-                    own = _binary(data[2 * cut[0] : 2 * cut[-1]], 2 * (cut - cut[0]))
-                    yield pa.RecordBatch.from_arrays([names.take(pa.array(some)), pa.array(trained[some].astype(np.int64)), own], ["word", "n", "around"])
+                slot = slots[codes // (2 * SIDES)] if len(codes) else codes
+                own = slot >= 0
+                seen[slot[own] * (2 * SIDES) + codes[own] % (2 * SIDES)] += times[own].astype(np.int32)
+                some = np.flatnonzero((slots >= 0) & (trained > 0))
+                n[slots[some]] += trained[some]
+                yield from rows(names, trained, codes[~own], times[~own])
+        some = np.flatnonzero(seen)
+        yield from rows(pa.array(whole.words, pa.binary()), n, some, seen[some].astype(np.int64))
 
     def around(kinds: np.ndarray, numbers: np.ndarray, lengths: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """What stands before and after the kept tokens: (word number * 2 SIDES + code, times), ascending."""
@@ -304,65 +325,73 @@ def _contexts(packs: DataFrame, sent, only_known: bool) -> DataFrame:
     return packs.select("words", "trained", "tokens", "lengths", "learn").mapInArrow(find, "word binary, n long, around binary")
 
 
-def _placed(contexts: DataFrame, grid: np.ndarray, sent, keep_known: bool) -> DataFrame:
-    """(word, n, cls): each word's class; those in ``sent``'s dict keep theirs if ``keep_known``. Words come sorted, a
-    batch at a time, so a task holds one batch and the rows of one word: as many as there are packs."""
+def _placed(contexts: DataFrame, grid: np.ndarray, sent) -> DataFrame:
+    """(word, n, cls): each word's class; ``sent`` holds the present ones. Words come sorted, a batch at a time; of a word whose
+    rows go on in the next batch a task holds the sums, one number for each code."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mover = Mover(grid)
 
-        def solve(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-            for batch in rows.combine_chunks().to_batches():
-                words, around = batch.column("word"), batch.column("around")
-                new = np.concatenate([[True], pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False)])
-                names, turn = words.filter(pa.array(new)), np.cumsum(new) - 1
-                cuts = np.frombuffer(around.buffers()[1], np.int32)[around.offset : around.offset + len(around) + 1]
-                pairs = np.frombuffer(around.buffers()[2], np.uint8)[cuts[0] : cuts[-1]].reshape(-1, 2).astype(np.int64)
-                codes, back = np.unique(np.repeat(turn, np.diff(cuts) // 2) * (2 * SIDES) + pairs[:, 0], return_inverse=True)
-                times = np.bincount(back, weights=pairs[:, 1]).astype(np.int64)
-                now = sent.value.of(names, REST)
-                cls = mover.best(codes // (2 * SIDES), codes % (2 * SIDES), times, len(names), now)
-                if keep_known:
-                    cls = np.where(now < REST, now, cls)
-                total = np.bincount(turn, weights=batch.column("n").to_numpy(), minlength=len(names)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([names, pa.array(total), pa.array(cls.astype(np.int32))], ["word", "n", "cls"])
-
-        held: pa.Table | None = None
+        def solve(names: pa.BinaryArray, total: np.ndarray, word: np.ndarray, code: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
+            turn = np.array([zlib.crc32(w) for w in names.to_pylist()], np.int64)
+            cls = mover.best(word, code, times, len(names), sent.value.of(names, REST), turn)
+            return pa.RecordBatch.from_arrays([names, pa.array(total.astype(np.int64)), pa.array(cls.astype(np.int32))], ["word", "n", "cls"])
+
+        def alone(word: bytes, n: int, sums: np.ndarray) -> pa.RecordBatch:
+            some = np.flatnonzero(sums)
+            return solve(pa.array([word], pa.binary()), np.array([n]), np.zeros(len(some), np.int64), some, sums[some])
+
+        last: tuple[bytes, int, np.ndarray] | None = None
         for batch in batches:
             if not len(batch):
                 continue
-            new = pa.Table.from_batches([batch])
-            held = new if held is None else pa.concat_tables([held, new])
-            words = new.column("word").combine_chunks()
-            same = pc.equal(words, words[-1]).to_numpy(zero_copy_only=False)  # the last word's rows may go on
-            if not same.all():
-                keep = int(same.argmax())
-                cut = len(held) - len(new) + keep
-                yield from solve(held.slice(0, cut))
-                held = held.slice(cut)
-            elif len(held) > len(new) and held.column("word")[0].as_py() != words[0].as_py():
-                cut = len(held) - len(new)
-                yield from solve(held.slice(0, cut))
-                held = new
-        if held is not None:
-            yield from solve(held)
+            words, around = batch.column("word"), batch.column("around")
+            new = np.concatenate([[True], pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False)])
+            names, turn = words.filter(pa.array(new)), np.cumsum(new) - 1
+            cuts = np.frombuffer(around.buffers()[1], np.int32)[around.offset : around.offset + len(around) + 1]
+            data = around.buffers()[2]
+            pairs = np.frombuffer(data, np.uint8)[cuts[0] : cuts[-1]].reshape(-1, 2).astype(np.int64) if data else np.empty((0, 2), np.int64)
+            codes, back = np.unique(np.repeat(turn, np.diff(cuts) // 2) * (2 * SIDES) + pairs[:, 0], return_inverse=True)
+            times = np.bincount(back, weights=pairs[:, 1], minlength=len(codes)).astype(np.int64)
+            total = np.bincount(turn, weights=batch.column("n").to_numpy(), minlength=len(names)).astype(np.int64)
+            word, code = codes // (2 * SIDES), codes % (2 * SIDES)
+            for i in sorted({0, len(names) - 1}):  # the words that may have rows in the batches beside this one
+                sums = np.zeros(2 * SIDES, np.int64)
+                sums[code[word == i]] = times[word == i]
+                name, n = names[i].as_py(), int(total[i])
+                if last and last[0] == name:
+                    n, sums = n + last[1], sums + last[2]
+                elif last:
+                    yield alone(*last)
+                last = name, n, sums
+            if len(names) > 2:
+                inner = (word > 0) & (word < len(names) - 1)
+                yield solve(names[1:-1], total[1:-1], word[inner] - 1, code[inner], times[inner])
+        if last:
+            yield alone(*last)
 
     return contexts.repartition("word").sortWithinPartitions("word").mapInArrow(place, "word binary, n long, cls int")
 
 
 def _top(counts: DataFrame, most: int) -> dict[bytes, tuple]:
-    """The words with the highest counts, at most ``most``, in order: of words whose counts share their first binary digits all
-    or none, so that nothing has to be ranked. Each with the rest of its row."""
-    digits = F.floor(8 * F.log2(F.col("n").cast("double")))
-    told = counts.groupBy(digits.alias("d")).agg(F.count("*").alias("words"), F.min("n").alias("least")).orderBy(F.desc("d")).collect()  # 8 x 64 rows at most
-    least, seen = None, 0
+    """The ``most`` words of up to LONGEST bytes with the highest counts (all, if fewer), in order, each with the rest of its row.
+
+    Nothing is ranked over all words: of those whose counts share their first binary digits the last that fit
+    in are told by a hash, whatever their number, and what is collected beyond ``most`` is cut."""
+    short = counts.where(F.octet_length("word") <= LONGEST).withColumn("digits", F.floor(8 * F.log2(F.col("n").cast("double"))))
+    told = short.groupBy("digits").agg(F.count("*").alias("words")).orderBy(F.desc("digits")).collect()  # 8 x 64 rows at most
+    wanted, seen = F.lit(False), 0
     for r in told:
-        seen += r["words"]
-        if seen > most:
+        left = most - seen
+        if left <= 0:
             break
-        least = r["least"]
-    rows = [] if least is None else counts.where(F.col("n") >= least).collect()
-    return {bytes(w): rest for w, *rest in sorted(rows, key=lambda r: (-r["n"], bytes(r["word"])))}
+        share = (left + 6 * left**0.5 + 32) / r["words"]
+        within = F.lit(True) if share >= 1 else F.pmod(F.xxhash64("word"), F.lit(1 << 52)) < int(share * (1 << 52))
+        wanted |= (F.col("digits") == r["digits"]) & within
+        seen += r["words"]
+    rows = short.where(wanted).drop("digits").collect()  # most, and some hundred by chance
+    ranked = sorted(rows, key=lambda r: (-r["n"], zlib.crc32(bytes(r["word"])), bytes(r["word"])))[:most]
+    return {bytes(w): rest for w, *rest in ranked}
 
 
 @dataclass
@@ -438,7 +467,8 @@ def cluster(packs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([names.take(pa.array(some)), pa.array(n[some].astype(np.int64))], ["word", "n"])
 
     counts = packs.select("words", "trained").mapInArrow(lists, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    frequent = list(_top(materialize(counts, "counts"), FREQUENT))
+    common = _top(materialize(counts, "counts"), max(COMMON, FREQUENT))
+    frequent = list(common)[:FREQUENT]
     seeds = frequent[:SEEDS]
     slim = packs.select("words", "tokens", "lengths", "learn")
 
@@ -453,15 +483,25 @@ def cluster(packs: DataFrame) -> DataFrame:
     def bigrams(sent) -> np.ndarray:
         return _grid(slim, lambda row: sent.value.of(_names(row.words), REST), SIDES, 0)
 
+    one = np.eye(2)[[0] + [1] * (SIDES - 1)]
+    alone = likelihood(one.T @ c @ one)  # with all words in one class
+    gather = spark.sparkContext.broadcast(Known({w: i for i, w in enumerate(frequent)}))
     for _ in range(SWEEPS if len(frequent) > len(seeds) else 0):
         sent = spark.sparkContext.broadcast(Known(classes | {w: REST for w in frequent if w not in classes}))
-        moved = {bytes(r["word"]): r["cls"] for r in _placed(_contexts(packs, sent, True), c, sent, False).collect()}  # FREQUENT rows
+        moved = {bytes(r["word"]): r["cls"] for r in _placed(_contexts(packs, sent, gather, True), c, sent).collect()}  # FREQUENT rows
         after = bigrams(spark.sparkContext.broadcast(Known(moved)))
-        if likelihood(after) <= likelihood(c):
+        gain = likelihood(after) - likelihood(c)
+        if gain <= 0:
             break
+        enough = len(classes) == len(frequent) and gain < ENOUGH * abs(likelihood(c) - alone)
         classes, c = moved, after
+        if enough:
+            break
     sent = spark.sparkContext.broadcast(Known(classes))
-    return materialize(_placed(_contexts(packs, sent, False), c, sent, True), "words")
+    gather = spark.sparkContext.broadcast(Known({w: i for i, w in enumerate(w for w in common if w not in classes)}))
+    placed = _placed(_contexts(packs, sent, gather, False), c, sent)
+    known = spark.createDataFrame([(bytearray(w), int(common[w][0]), int(k)) for w, k in classes.items()], "word binary, n long, cls int")
+    return materialize(placed.union(known), "words")
 
 
 def _told(packs: DataFrame, words: DataFrame) -> DataFrame:

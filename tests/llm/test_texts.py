@@ -110,7 +110,7 @@ def test_scores_follow_from_the_classes(spark, monkeypatch, small):
     """Every learnt word has a class, and scores are those of a plain model of these classes; with few seeds, frequent and
     common words each step has words to place."""
     if small:
-        for name, n in (("SEEDS", 30), ("FREQUENT", 300), ("COMMON", 60), ("PACK_BYTES", 40_000), ("ROWS", 500)):
+        for name, n in (("SEEDS", 30), ("FREQUENT", 300), ("COMMON", 420), ("PACK_BYTES", 40_000), ("ROWS", 500)):
             monkeypatch.setattr(brown, name, n)
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(10))
     packs = brown.packed(spark.read.parquet(f"{SF}/documents.parquet"), fold != 0, fold == 0)
@@ -154,6 +154,46 @@ def test_scores_follow_from_the_classes(spark, monkeypatch, small):
         assert scored[k].score == pytest.approx(total, rel=1e-9)
 
 
+def equally_frequent(n, seed=1):
+    """Texts of 1,000 words, in which each of ``n`` words occurs twice."""
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(n)] * 2
+    rng.shuffle(words)
+    return [(i // 1000, " ".join(words[i : i + 1000])) for i in range(0, len(words), 1000)]
+
+
+@pytest.mark.parametrize("n", [8_400, 80_000])
+def test_equally_frequent_words_use_all_classes(spark, n):
+    """However many words share the topmost count, as many as wanted of them are taken, told by a hash."""
+    packs = brown.packed(spark.createDataFrame(equally_frequent(n), "doc_id long, text string"), F.lit(True), F.lit(False))
+    words = brown.cluster(packs)
+    assert words.count() == n and words.select("cls").distinct().count() > 40
+    assert len(brown._top(words.select("word", "n"), 5_000)) == 5_000
+
+
+def test_top_words(spark):
+    rows = [(f"w{i}".encode(), 1 + i // 100) for i in range(5_000)] + [(b"x" * 300, 10**9), (b"y" * 256, 10**8)]
+    counts = spark.createDataFrame(rows, "word binary, n long")
+    for most in (1, 2, 150, 4_999, 6_000):
+        got = brown._top(counts, most)
+        assert len(got) == min(most, 5_001) and next(iter(got)) == b"y" * 256
+        assert list(got.values()) == sorted(got.values(), reverse=True)
+
+
+def test_classes_do_not_go_by_packs_or_batches(spark, monkeypatch):
+    """Words' rows meet in the same sums, however they are dealt: a frequent word in the sums of a task, others row by row."""
+    for name, n in (("SEEDS", 30), ("FREQUENT", 200), ("COMMON", 300)):
+        monkeypatch.setattr(brown, name, n)
+    found = []
+    for pack, rows in ((8 << 20, 10_000), (3_000, 3)):
+        monkeypatch.setattr(brown, "PACK_BYTES", pack)
+        monkeypatch.setattr(brown, "ROWS", rows)
+        docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id % 9 = 0").coalesce(1)
+        with brown.batches_of(spark, rows):
+            found.append(sorted((bytes(r.word), r.n, r.cls) for r in brown.cluster(brown.packed(docs, F.lit(True), F.lit(False))).collect()))
+    assert found[0] == found[1] and len(found[0]) > 1_000
+
+
 def test_words_that_all_occur_once(spark, monkeypatch):
     monkeypatch.setattr(brown, "FREQUENT", 5)
     rows = brown.fit_and_score(spark.createDataFrame([(1, "a b c d e f g h"), (2, "i j")], "doc_id long, text string"), F.col("doc_id") == 1, F.lit(False)).collect()
