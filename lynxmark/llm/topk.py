@@ -125,10 +125,11 @@ def search(vectors: DataFrame, is_query: Column, id_col: str, vector_col: str, k
     if not asked:
         return empty, None
     dim, longest = int(told[1]), float(told[2] or 0) * (1 + 1e-12) + 1e-9
-    exact_floats = dim * float(told[3] or 0) ** 2 < 2**52  # then doubles add up to the very integers
+    greatest = float(told[3] or 0)
+    exact_floats = dim * greatest * greatest < 2**52  # then doubles add up to the very integers
     # No score is above the product of the two lengths; where that may leave a long, scores are Python's integers and no bound is trusted.
     wide = not float(highest or 0) ** 0.5 * longest**0.5 * (1 + 1e-9) < LONG
-    stored = np.int32 if float(told[3] or 0) < 2**31 else np.float64
+    stored = np.int32 if greatest < 2**31 else np.float64
 
     def lift(v: np.ndarray) -> np.ndarray:
         return np.column_stack([v, np.sqrt(np.maximum(longest - (v * v).sum(1), 0))])
