@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lynxmark.llm import langid
 from lynxmark.llm.bpe import Codec
-from lynxmark.llm.common import fresh, materialize, small_batches
+from lynxmark.llm.common import TEXTS, fresh, materialize
 from lynxmark.llm.mixing import Mix
 from lynxmark.llm.secret_scan import SecretModel, find_secrets, redact, samples
 from lynxmark.llm.simhash import drop_similar
@@ -21,12 +21,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null lang becomes the predicted one; all other values and columns stay, repeated rows
     are judged each for itself, and without a labelled document none is kept. No rows give none.
     """
-    small_batches(spark)
     out = fresh(docs, "found")
     net = langid.train(docs, F.lit(True))
     found = langid.predict(docs, net, out=out)
     kept = found.where(langid.is_known(F.col(out), net))
-    return kept.withColumn("lang", F.coalesce("lang", f"{out}.lang")).select(*docs.columns)
+    return materialize(kept.withColumn("lang", F.coalesce("lang", f"{out}.lang")).select(*docs.columns), "known", TEXTS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,10 +65,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each text's token ids, and what they decode to: the columns doc_id, lang, source, n_tokens, ids and decoded, and no
     others. Null and empty texts have no ids. Repeated rows stay. No rows give none."""
-    small_batches(spark)
     codec = Codec(spark, public_tokenizers.path("word_bpe_49k.json"))
     both = docs.select("doc_id", "lang", "source", codec.round_trip(F.col("text")).alias("both"))
-    return both.select("doc_id", "lang", "source", F.size("both.ids").cast("long").alias("n_tokens"), "both.ids", "both.decoded")
+    return materialize(both.select("doc_id", "lang", "source", F.size("both.ids").cast("long").alias("n_tokens"), "both.ids", "both.decoded"), "tokens", TEXTS)
 
 
 STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("secret_scan", secret_scan), ("mix_sources", mix_sources), ("bpe", bpe)]

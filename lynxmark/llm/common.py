@@ -88,14 +88,6 @@ def batches_of(spark: SparkSession, rows: int | None) -> Iterator[None]:
             spark.conf.set(k, v)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """For applications that return texts unsaved: from now on the session sends Python workers ``TEXTS`` rows at most at a
-    time. No operator and no query calls this."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= TEXTS:
-        spark.conf.set(key, str(TEXTS))
-
-
 def with_uid(df: DataFrame, name: str = "uid") -> DataFrame:
     """Number the rows; stable only once materialized."""
     return df.withColumn(name, F.monotonically_increasing_id())

@@ -200,8 +200,13 @@ ORDERS, SKETCH, CROWD = 6, 128, 10_000
 #: Bits in which fingerprints of sets of likeness 0.8 may differ. A bit differs with probability 0.1875 at most (a set of
 #: four in one of five; 0.159 from 20 shingles on), so more do in 1.3e-5 of such pairs at most (5e-7 from 20 shingles on).
 RADIUS = 26
-#: Bytes of shingle hashes beyond which a shard is crowded too.
+#: Bytes of shingle hashes beyond which a group is crowded too.
 CROWD_BYTES = 48 << 20
+#: Words of a wide fingerprint, and the bits in which those of likeness 0.8 may differ: 48 are expected at most, with a standard
+#: deviation of 6.2, so more do in one of three million pairs; of sets without much in common 128 differ.
+WIDE, WIDE_RADIUS = 4, 79
+#: A shard's sets have sizes of at most so many times its smallest, so that two of likeness 0.8 lie in one band or in neighbours.
+BAND = 1.25
 #: Pairs whose sketches show less than the wanted likeness by so much are not compared hash by hash. A sketch's error at
 #: likeness 0.8 has a standard deviation of 0.035: the binomial chance to lose such a pair is below 1e-7.
 MARGIN = 0.2
@@ -223,17 +228,59 @@ def smallest(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def wide(hashes: np.ndarray) -> np.ndarray:
+    """The fingerprint of 64 * WIDE bits: of each hash, and of others made from it, the bits that over half of them have."""
+    out = np.empty(WIDE, np.uint64)
+    for i in range(WIDE):
+        with np.errstate(over="ignore"):
+            x = (hashes ^ ORDER_KEYS[i]) * np.uint64(0x9E3779B97F4A7C15)
+            x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        out[i] = majority(x ^ (x >> np.uint64(32)))
+    return out
+
+
+def size_band(size: int) -> int:
+    """Bands of sizes, each BAND times the one before."""
+    return int(np.floor(np.log(max(size, 1)) / np.log(BAND) + 1e-9))
+
+
 def _features(width: int):
-    """Per text, of its different shingles: the fingerprint, the smallest hash in each order, their number."""
+    """Per text, of its different shingles: the fingerprint and the wide one, the smallest hash in each order, their number, its band."""
 
     def find(texts: pd.Series) -> pd.DataFrame:
         out = []
         for data in texts:
             h = np.unique(shingle_hashes(data, width))
-            out.append((np.uint64(majority(h)).view(np.int64), smallest(h).view(np.int64), len(h)))
-        return pd.DataFrame(out, columns=["fp", "least", "size"])
+            out.append((np.uint64(majority(h)).view(np.int64), wide(h).tobytes(), smallest(h).view(np.int64), len(h), size_band(len(h))))
+        return pd.DataFrame(out, columns=["fp", "wide", "least", "size", "band"])
 
-    return F.pandas_udf(find, "fp long, least array<long>, size long")
+    return F.pandas_udf(find, "fp long, wide binary, least array<long>, size long, band int")
+
+
+def likely_in_shard(prints: np.ndarray, sizes: np.ndarray, similarity: float, radius: int = WIDE_RADIUS) -> tuple[np.ndarray, int]:
+    """For each wide fingerprint (a row) the first one that it hangs together with, by sizes and distances, and how many pairs were
+    visited. The tree starts from the middle of the shard; what hangs together already is not visited again."""
+    bits = np.unpackbits(prints.view(np.uint8).reshape(len(prints), -1), axis=1, bitorder="little")
+    middle = np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(prints), bitorder="little").view(np.uint64)
+    order = np.lexsort((sizes, np.bitwise_count(prints ^ middle).sum(axis=1)))
+    own, sizes = prints[order], sizes[order]
+    tree = BKTree([int.from_bytes(x.tobytes(), "little") for x in own])
+    part, visited, todo = np.arange(len(own)), 0, [(0, np.arange(len(own)))]
+    while todo:
+        at, who = todo.pop()
+        visited += int((who > at).sum())
+        d = np.bitwise_count(own[who] ^ own[at]).sum(axis=1, dtype=np.int64)
+        fits = np.minimum(sizes[who], sizes[at]) >= (similarity - 1e-9) * np.maximum(sizes[who], sizes[at])
+        for j in np.unique(part[who[(d <= radius) & fits & (part[who] != part[at])]]).tolist():
+            low, high = sorted((int(part[at]), j))
+            part[part == high] = low
+        for edge, child in tree.children[at].items():
+            some = who[(d >= edge - radius) & (d <= edge + radius)]
+            if len(some) > 1 and (part[some] != part[some[0]]).any():
+                todo.append((child, some))
+    top = np.empty(len(own), np.int64)
+    top[order] = order[part]
+    return top, visited
 
 
 def _shingle_sets(width: int):
@@ -297,33 +344,71 @@ def _similar_in_shard(nodes: np.ndarray, values: np.ndarray, sets: list[np.ndarr
     return found
 
 
-def _similar(radius: int, similarity: float):
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None
+def _in_groups(columns, solve):
+    """The links (a, b) that ``solve`` finds among the rows of each ``key``, which come in order; ``columns`` makes of a frame the
+    sequences of which it gets a group's part."""
 
-        def solve(shard: pd.DataFrame) -> list[tuple[int, int]]:
-            sets = [np.frombuffer(x, np.uint64) for x in shard["hashes"]]
-            return _similar_in_shard(shard["node"].to_numpy(np.int64), shard["fp"].to_numpy(np.int64).view(np.uint64), sets, radius, similarity)
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
 
         def links(pdf: pd.DataFrame) -> pd.DataFrame:
-            keys = pdf["key"].to_numpy(np.int64)
-            bounds = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
-            found = [x for i, j in zip(bounds[:-1], bounds[1:], strict=True) if j - i > 1 for x in solve(pdf.iloc[i:j])]
+            keys, given = pdf["key"].to_numpy(np.int64), columns(pdf)
+            bounds = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]]).tolist()
+            found = [x for i, j in zip(bounds[:-1], bounds[1:], strict=True) if j - i > 1 for x in solve(*(c[i:j] for c in given))]
             return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
         for pdf in batches:
-            held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            keys = held["key"].to_numpy(np.int64)
-            cut = int((keys == keys[-1]).argmax()) if len(keys) else 0
-            if cut:
-                yield links(held.iloc[:cut])
-                held = held.iloc[cut:].reset_index(drop=True)
-        if held is not None and len(held) > 1:
-            yield links(held)
+            keys = pdf["key"].to_numpy(np.int64)
+            if not len(keys):
+                continue
+            cut = int((keys == keys[-1]).argmax())
+            if held and (cut or keys[0] != held[-1]["key"].iloc[-1]):
+                yield links(pd.concat([*held, pdf.iloc[:cut]], ignore_index=True))
+                held = []
+            elif cut:
+                yield links(pdf.iloc[:cut])
+            held.append(pdf.iloc[cut:])
+        if held:
+            yield links(pd.concat(held, ignore_index=True))
 
     return search
 
 
+def _similar(radius: int, similarity: float):
+    def columns(pdf: pd.DataFrame) -> tuple:
+        return pdf["node"].to_numpy(np.int64), pdf["fp"].to_numpy(np.int64).view(np.uint64), [np.frombuffer(x, np.uint64) for x in pdf["hashes"]]
+
+    return _in_groups(columns, lambda nodes, values, sets: _similar_in_shard(nodes, values, sets, radius, similarity))
+
+
+def _likely(similarity: float):
+    def columns(pdf: pd.DataFrame) -> tuple:
+        return pdf["node"].to_numpy(np.int64), pdf["size"].to_numpy(np.int64), np.frombuffer(b"".join(pdf["wide"]), np.uint64).reshape(len(pdf), WIDE)
+
+    def solve(nodes: np.ndarray, sizes: np.ndarray, prints: np.ndarray) -> list[tuple[int, int]]:
+        if len(nodes) <= 48:  # mostly without any pair that is near: told at once
+            far = np.bitwise_count(prints[:, None] ^ prints[None]).sum(axis=2, dtype=np.int64)
+            if (far <= WIDE_RADIUS).sum() == len(nodes):
+                return []
+        top, _ = likely_in_shard(prints, sizes, similarity)
+        moved = np.flatnonzero(top != np.arange(len(top)))
+        return list(zip(nodes[moved].tolist(), nodes[top[moved]].tolist(), strict=True))
+
+    return _in_groups(columns, solve)
+
+
+def _dealt(rows: DataFrame, group: str, crowd: int) -> DataFrame:
+    """``rows`` (node, size) of groups of two and more, with a ``key`` for each or, where a group is crowded, for every two of its
+    blocks: a row goes to the tasks of its block and each other one; crowded groups have three blocks or more."""
+    fill = F.greatest(F.count("*") / crowd, F.sum("size") * 8 / CROWD_BYTES)  # 1: as much as a task takes
+    blocks = F.when(fill <= 1, 1).otherwise(F.ceil(2 * fill)).cast("int")
+    groups = rows.groupBy(group).agg(F.count("*").alias("texts"), blocks.alias("blocks")).where("texts > 1").drop("texts")
+    told = rows.join(groups, group).withColumn("block", F.pmod(F.xxhash64("node", group), "blocks"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.when(i != F.col("block"), F.xxhash64(group, F.least(i, "block"), F.greatest(i, "block"))))
+    keys = F.when(F.col("blocks") > 1, F.array_compact(pairs)).otherwise(F.array(F.xxhash64(group)))
+    return told.withColumn("key", F.explode(keys)).select("key", "node")
+
+
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one row of each group of ``similar_groups``: that with the smallest id, null ids last.
 
@@ -341,30 +426,31 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Texts are similar if the fingerprints of their different ``width``-word shingles are
     within ``radius`` bits (see RADIUS for how few pairs of likeness 0.8 are not) and
     ``similarity`` or more of these shingles are common, counted by 64-bit hashes; groups are
-    what such links join. Fingerprints this far apart share no fixed bits, so the shards, each with its
-    BK-tree, hold the texts that share a smallest shingle hash. Only texts that share one
-    with another are read again, for all their hashes. A shard of more than CROWD texts or
-    CROWD_BYTES of hashes is cut into blocks, and every two blocks meet in a task, so that
-    every pair of the shard does. Null texts and texts without words are similar to each
+    what such links join. Fingerprints this far apart share no fixed bits, so they are sought in two
+    steps. Shards, each with its BK-tree of wide fingerprints (WIDE), hold the texts that
+    share a smallest shingle hash and lie in one band of sizes or the next; what hangs
+    together there is a group, and only texts of a group are read again, once each, for all their hashes, which a
+    second BK-tree sets beside each other. A shard of more than CROWD texts, or a group of so
+    many or of CROWD_BYTES of hashes, is cut into blocks, and every two blocks meet in a task, so that
+    every pair does. Null texts and texts without words are similar to each
     other alone. Repeated rows are copies like others; no rows give none.
     """
     found = fresh(docs, "found")
     rows = materialize(with_uid(docs, uid).withColumn(found, _features(width)(F.col(text_col).cast("binary"))), "similar", TEXTS)
     own = rows.select(F.col(uid).alias("_uid"), F.xxhash64(text_col).alias("hash"), f"{found}.*")
     # Copies of one text are one node, named after one of them.
-    nodes = own.groupBy("hash", "fp").agg(F.min("_uid").alias("node"), F.min_by("least", "_uid").alias("least"), F.min_by("size", "_uid").alias("size"))
-    nodes = materialize(nodes, "nodes")
-    sharded = nodes.select("node", "fp", "size", F.posexplode("least").alias("n", "value")).withColumn("key", F.xxhash64("n", "value"))
-    fill = F.greatest(F.count("*") / CROWD, F.sum("size") * 8 / CROWD_BYTES)  # 1: as much as a task takes
-    blocks = F.when(fill <= 1, 1).otherwise(F.ceil(2 * fill)).cast("int")
-    shards = sharded.groupBy("key").agg(F.count("*").alias("texts"), blocks.alias("blocks")).where("texts > 1").drop("texts")
-    told = sharded.join(materialize(shards, "shards"), "key").withColumn("block", F.pmod(F.xxhash64("node", "key"), "blocks"))
-    # A text goes to the tasks of its block and each other one; crowded shards have three blocks or more.
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.when(i != F.col("block"), F.xxhash64("key", F.least(i, "block"), F.greatest(i, "block"))))
-    keys = F.when(F.col("blocks") > 1, F.array_compact(pairs)).otherwise(F.array("key"))
-    wanted = told.select("node", "fp", F.explode(keys).alias("key")).groupBy("node").agg(F.first("fp").alias("fp"), F.collect_list("key").alias("keys"))
+    picked = [F.min_by(c, "_uid").alias(c) for c in ("wide", "least", "size", "band")]
+    nodes = materialize(own.groupBy("hash", "fp").agg(F.min("_uid").alias("node"), *picked), "nodes")
+    bands = F.array("band", F.col("band") + 1)
+    sharded = nodes.select("node", "size", F.explode(bands).alias("band"), "least").select("node", "band", F.posexplode("least").alias("n", "value")).select("node", F.xxhash64("n", "value", "band").alias("shard"), F.lit(0).alias("size"))
+    rowed = _dealt(sharded, "shard", CROWD).join(nodes.select("node", "size", "wide"), "node")
+    likely = rowed.repartition("key").sortWithinPartitions("key", "size", "node").mapInPandas(_likely(similarity), "a long, b long")
+    groups = connected_components(likely)
+    member = groups.union(groups.select(F.col("root").alias("node"), "root").distinct())
+    member = materialize(member.join(nodes.select("node", "fp", "size"), "node"), "members")
+    wanted = _dealt(member.select("node", "root", "size"), "root", CROWD).groupBy("node").agg(F.collect_list("key").alias("keys"))
     texts = rows.select(F.col(uid).alias("node"), F.col(text_col).cast("binary").alias("text")).join(wanted, "node")
-    sets = texts.select("node", "fp", "keys", _shingle_sets(width)("text").alias("hashes"))
+    sets = texts.select("node", "keys", _shingle_sets(width)("text").alias("hashes")).join(member.select("node", "fp"), "node")
     dealt = sets.select(F.explode("keys").alias("key"), "node", "fp", "hashes").repartition("key").sortWithinPartitions("key", "fp", "node")
     roots = connected_components(dealt.mapInPandas(_similar(radius, similarity), "a long, b long"), batch=TEXTS)
     placed = nodes.select("hash", "fp", "node").join(roots, "node", "left").select("hash", "fp", F.coalesce("root", "node").alias("root"))

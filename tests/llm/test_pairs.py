@@ -275,6 +275,29 @@ def test_smallest_hashes_are_independent():
     assert abs(np.mean(shared) - 4.8) < 0.05 and counts[0] <= 4 and abs(counts[6] / 6000 - 0.8**6) < 0.03
 
 
+def test_few_pairs_of_a_table_are_visited():
+    """Of all pairs of texts that share a smallest hash, less than a tenth is visited in shards by bands of sizes; unrelated and
+    like fingerprints lie far apart."""
+    rng = random.Random(3)
+    docs_ = pd.read_parquet("/root/testdata/sf0.1/documents.parquet", columns=["text"])["text"].dropna().sample(1500, random_state=1)
+    told = simhash._features(5).func(pd.Series([t.encode() for t in docs_]))
+    shards, wider = {}, {}
+    for i, (least, band) in enumerate(zip(told["least"], told["band"], strict=True)):
+        for n, x in enumerate(least):
+            wider.setdefault((n, int(x)), set()).add(i)
+            for b in (band, band + 1):
+                shards.setdefault((n, int(x), b), []).append(i)
+    prints = np.stack([np.frombuffer(x, np.uint64) for x in told["wide"]])
+    sizes = told["size"].to_numpy()
+    visited = sum(simhash.likely_in_shard(prints[own], sizes[own], 0.8)[1] for own in map(np.array, shards.values()) if len(own) > 1)
+    every = len(docs_) * (len(docs_) - 1) // 2
+    print("visited", visited, "of", every, "pairs, of pairs that share a hash", sum(len(x) * (len(x) - 1) // 2 for x in wider.values()))
+    assert visited < every / 10
+    a, b = (np.array([rng.getrandbits(64) for _ in range(500)], np.uint64) for _ in range(2))
+    apart = lambda x, y: int(np.bitwise_count(simhash.wide(x) ^ simhash.wide(y)).sum())
+    assert apart(a, np.concatenate([a[56:], b[:56]])) <= simhash.WIDE_RADIUS < 90 < apart(a, b)
+
+
 def test_pair_recall(spark):
     """All pairs of likeness 0.8 or more of a whole table with planted copies of copies are in one group, and groups are what
     such pairs join: by brute force over the pairs that share a shingle."""
