@@ -38,11 +38,12 @@ def merge(target: DataFrame, batch: DataFrame, keys: list[str], order: list[str]
     """
     policy = policy or {}
     whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
-    new = fold(batch.where(whole), keys, order, policy, default).withColumn("_new", F.lit(True))
-    old = target.where(whole)
+    # Rows without a whole key get one of their own, another on either side, so that both are read once and nulls are spread.
+    alone = lambda sign: F.when(whole, F.lit(0).cast("long")).otherwise(sign * (F.monotonically_increasing_id() + 1))
+    new = fold(batch.withColumn("_alone", alone(1)), [*keys, "_alone"], order, policy, default).withColumn("_new", F.lit(True))
     names = [c for c in target.columns if c not in keys]
-    n = new.select(*keys, "_new", *[F.col(c).alias(f"_n_{c}") for c in names if c in new.columns])
-    both = old.join(n, keys, "full_outer")
+    n = new.select(*keys, "_alone", "_new", *[F.col(c).alias(f"_n_{c}") for c in names if c in new.columns])
+    both = target.withColumn("_alone", alone(-1)).join(n, [*keys, "_alone"], "full_outer")
 
     def value(c: str) -> Column:
         if stamp is not None and c == touched:
@@ -52,10 +53,7 @@ def merge(target: DataFrame, batch: DataFrame, keys: list[str], order: list[str]
         how, fresh = policy.get(c, default), F.col(f"_n_{c}").cast(target.schema[c].dataType)
         return {COALESCE: F.coalesce(fresh, F.col(c)), KEEP: F.coalesce(F.col(c), fresh), OVERWRITE: F.when(F.col("_new"), fresh).otherwise(F.col(c))}[how]
 
-    merged = both.select(*[F.col(c) if c in keys else value(c).alias(c) for c in target.columns])
-    loose = batch.where(~whole)
-    added = loose.select(*[F.lit(stamp).cast(target.schema[c].dataType).alias(c) if stamp is not None and c == touched else (F.col(c).cast(target.schema[c].dataType) if c in batch.columns else F.lit(None).cast(target.schema[c].dataType)).alias(c) for c in target.columns])
-    return merged.unionByName(target.where(~whole)).unionByName(added)
+    return both.select(*[F.col(c).cast(target.schema[c].dataType).alias(c) if c in keys else value(c).alias(c) for c in target.columns])
 
 
 def prepare_reviews(batch: DataFrame, default_source: str = "AMAZON") -> DataFrame:
