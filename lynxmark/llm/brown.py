@@ -380,15 +380,14 @@ def _top(counts: DataFrame, most: int) -> dict[bytes, tuple]:
     in are told by a hash, whatever their number, and what is collected beyond ``most`` is cut."""
     short = counts.where(F.octet_length("word") <= LONGEST).withColumn("digits", F.floor(8 * F.log2(F.col("n").cast("double"))))
     told = short.groupBy("digits").agg(F.count("*").alias("words")).orderBy(F.desc("digits")).collect()  # 8 x 64 rows at most
-    wanted, seen = F.lit(False), 0
+    wanted, left = F.lit(True), most
     for r in told:
-        left = most - seen
-        if left <= 0:
+        if r["words"] > left:  # the last group: as many of it as are missing
+            share = min(1.0, (left + 6 * left**0.5 + 32) / r["words"])
+            within = F.pmod(F.xxhash64("word"), F.lit(1 << 52)) < int(share * (1 << 52))
+            wanted = (F.col("digits") > r["digits"]) | ((F.col("digits") == r["digits"]) & within)
             break
-        share = (left + 6 * left**0.5 + 32) / r["words"]
-        within = F.lit(True) if share >= 1 else F.pmod(F.xxhash64("word"), F.lit(1 << 52)) < int(share * (1 << 52))
-        wanted |= (F.col("digits") == r["digits"]) & within
-        seen += r["words"]
+        left -= r["words"]
     rows = short.where(wanted).drop("digits").collect()  # most, and some hundred by chance
     ranked = sorted(rows, key=lambda r: (-r["n"], zlib.crc32(bytes(r["word"])), bytes(r["word"])))[:most]
     return {bytes(w): rest for w, *rest in ranked}
