@@ -15,7 +15,7 @@ from lynxmark.operators import features, rules, scoring, serving
 from lynxmark.plans import scores
 from lynxmark.plans.adapters import reviews_text, squeeze, table
 from lynxmark.plans.intake import _BASE, _lines, _parsed
-from lynxmark.sources import html, lists, ndjson, sinks, tables
+from lynxmark.sources import html, lists, ndjson, review_files, sinks, tables
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -258,3 +258,16 @@ def src_jdbc_by_key(spark, d):
     url = f"jdbc:derby:memory:c{uuid.uuid4().hex[:12]};create=true"
     table(spark, d, "customer").coalesce(4).write.format("jdbc").options(url=url, dbtable="CUSTOMER", createTableColumnTypes="c_name VARCHAR(64), c_mktsegment VARCHAR(32)", **options).save()
     return tables.read_jdbc_by_key(spark, url, "CUSTOMER", '"c_name"', 8, **options)
+
+
+@query("""SELECT event_type AS dataset, 'B' || lpad(CAST(user_id % 30 AS VARCHAR), 9, '0') AS asin, event_id AS review_id, value AS rating, true AS placed FROM events
+    WHERE user_id % 30 IN (7, 11, 29) AND event_type <> 'error' AND event_id % 2 = 0""")
+def src_review_files(spark, d):
+    """Lines of three products, written by dataset and product and read back by the data source that opens their folders alone."""
+    folder = scratch(spark, "reviews")
+    e = table(spark, d, "events").where("user_id IS NOT NULL AND event_type IS NOT NULL")
+    line = F.to_json(F.struct(F.col("event_id").alias("reviewId"), F.col("value").alias("rating")))
+    e.select(F.col("event_type").alias("dataset"), F.format_string("B%09d", F.col("user_id") % 30).alias("asin"), line.alias("line")).repartition("dataset", "asin").write.partitionBy("dataset", "asin").text(folder)
+    lines = review_files.read_review_files(spark, folder).where(F.col("asin").isin("B000000007", "B000000011", "B000000029") & (F.col("dataset") != "error"))
+    told = lines.select("dataset", "asin", F.get_json_object("line", "$.reviewId").cast("long").alias("review_id"), F.get_json_object("line", "$.rating").cast("double").alias("rating"), (F.col("offset") < F.col("size")).alias("placed"))
+    return told.where("review_id % 2 = 0")
