@@ -9,7 +9,7 @@ from lynxmark.operators import merge
 from lynxmark.operators.versions import VersionedTable
 from lynxmark.plans.adapters import REVIEWS_NUM, reviews_num, table
 from lynxmark.plans.files import scratch
-from lynxmark.streaming import score_cache
+from lynxmark.streaming import intake, score_cache
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -66,3 +66,18 @@ def snk_version_changes(spark: SparkSession, d: str) -> DataFrame:
     batch = one(reviews.where(some.isin(3, 7)).withColumn("rating", worse)).withColumn("n", F.lit(1))
     second = t.update(batch.select("product_id"), lambda old: merge.merge(old, batch, ["review_id"], ["n"]))
     return t.changes(first, second, ["review_id"], unchanged=True)
+
+
+@query("""WITH e AS (SELECT 'B' || lpad(CAST(user_id % 30 AS VARCHAR), 9, '0') AS asin, 'R' || event_id AS review_id, event_id, value FROM events WHERE user_id IS NOT NULL)
+    SELECT asin, review_id, CASE WHEN event_id % 3 = 0 AND event_id % 2 = 0 THEN 1.0 WHEN event_id % 2 = 0 THEN NULL ELSE value END AS rating, CASE WHEN event_id % 3 = 0 THEN 'kept' END AS body FROM e""")
+def stm_reviews_merged(spark: SparkSession, d: str) -> DataFrame:
+    """The events as review lines in twenty files, merged by a stream into a table that has a third of them; nulls erase nothing."""
+    folder = scratch(spark, "stream")
+    e = table(spark, d, "events").where("user_id IS NOT NULL").withColumn("asin", F.format_string("B%09d", F.col("user_id") % 30))
+    own = VersionedTable(spark, f"{folder}/table", "asin", 8)
+    own.write(e.where("event_id % 3 = 0").select("asin", F.concat(F.lit("R"), "event_id").alias("reviewId"), F.lit(1.0).alias("rating"), F.lit("kept").alias("body")))
+    line = F.to_json(F.struct("asin", F.concat(F.lit("R"), "event_id").alias("reviewId"), F.when(F.col("event_id") % 2 != 0, F.col("value")).alias("rating")))
+    e.select(line.alias("line")).repartition(20).write.text(f"{folder}/in")
+    merged = lambda old, rows: merge.merge(old, rows.select("asin", "reviewId", "rating", "body", "line_no"), ["asin", "reviewId"], ["line_no"])
+    intake.start(spark, f"{folder}/in", f"{folder}/checkpoint", own, merged).awaitTermination()
+    return own.read().select("asin", F.col("reviewId").alias("review_id"), "rating", "body")
