@@ -3,12 +3,11 @@
 Of all suffixes (by words) those are retained that start at a minimiser: a position whose
 20-word hash is the smallest in some window of ``PASSAGE`` words. What a window selects
 depends on its words alone, so the same passage selects the same suffixes wherever it
-stands. Suffixes are sorted by their first words' hash. Neighbours that agree on it carry
-the words of all windows that selected them, up to 30 to the left of the suffix's start and
-50 to its right: hashes of these windows propose who matches whom and from where to where,
-and the words decide, so a match reaches as far left and right as the words are equal and no
-hash can make one. A word is repeated if some window of ``PASSAGE`` words over it stands in
-another document too.
+stands. Suffixes are dealt by their first words' hash. They carry the words of all windows
+that selected them, up to 30 to the left of the suffix's start and 50 to its right. Those
+that are dealt together are sorted by their words; neighbours are compared by the words they
+begin with, and matches are extended to the left word by word, so no hash can make one.
+A word is repeated if some window of ``PASSAGE`` words over it stands in another document too.
 
 Texts are read for their suffixes' hashes first; only texts with suffixes that several texts
 have are read again, for these suffixes' words.
@@ -136,58 +135,59 @@ def _joined_spans(uid: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[n
 
 
 class Neighbours:
-    """Suffixes in the order of their hashes, with the words around them: which windows do other documents have too?"""
+    """Suffixes in the order of their words, with the words around them: which windows do other documents have too?
+
+    Words are numbers here, so equal numbers are equal words. Sorted suffixes that have a prefix
+    in common are a run; a window that begins so many words left of the suffix is repeated
+    if another document's suffix of its run, for the rest of the window, has the same words to its left."""
 
     def __init__(self, h: np.ndarray, uid: np.ndarray, away: np.ndarray, words: list[bytes], passage: int):
         self.h, self.uid, self.away, self.passage = h, uid, away, passage
-        self.text = b" ".join(words) + b" "
-        raw = np.frombuffer(self.text, np.uint8)
-        self.stops = np.flatnonzero(raw == 32)
-        self.begins = np.concatenate([[0], self.stops[:-1] + 1])
         count = np.array([w.count(b" ") + 1 for w in words])
-        self.first = np.cumsum(count) - count  # each suffix's first word
         n = count - passage + 1
         self.row = np.repeat(np.arange(len(h)), n)
-        self.place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        self.word = self.first[self.row] + self.place
-        self.windows = _hashes(raw, self.begins, self.stops, passage)[self.word]
-
-    def said(self, i: int, last: int | None = None) -> bytes:
-        """The words of window ``i``, to the end of window ``last`` of the same suffix."""
-        return self.text[self.begins[self.word[i]] : self.stops[self.word[i if last is None else last] + self.passage - 1]]
+        self.begin = np.cumsum(n) - n  # each suffix's first window
+        self.place = np.arange(n.sum()) - self.begin[self.row]
+        raw = np.frombuffer(b" ".join(words) + b" ", np.uint8)
+        stops = np.flatnonzero(raw == 32)
+        offsets = np.concatenate([[0], stops - np.arange(len(stops))])
+        said = pa.Array.from_buffers(pa.large_binary(), len(stops), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(raw[raw != 32]))])
+        codes = said.dictionary_encode().indices.to_numpy().astype(np.int64)
+        start, none = np.cumsum(count) - count + away, -1 - np.arange(len(h))[:, None]  # a missing word is like no other
+        self.right = self._around(codes, start, np.arange(passage), count - away, none)
+        self.left = self._around(codes, start, -1 - np.arange(int(away.max(initial=0))), away, none)
+
+    @staticmethod
+    def _around(codes: np.ndarray, start: np.ndarray, steps: np.ndarray, have: np.ndarray, none: np.ndarray) -> np.ndarray:
+        """Of each suffix the words at ``steps`` from its start, as far as there are any."""
+        at = np.clip(start[:, None] + steps, 0, max(0, len(codes) - 1))
+        return np.where(np.arange(len(steps)) < have[:, None], codes[at], none)
 
     def repeated(self) -> np.ndarray:
-        """Of each window, whether another document has its words. Equal hashes propose; runs of windows that match the same
-        other suffix are compared word by word, all at once."""
-        with np.errstate(over="ignore"):
-            key = _mix(self.h[self.row].view(np.uint64) + (self.away[self.row] - self.place).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ self.windows
-        uid = self.uid[self.row]
-        order = np.lexsort((uid, key))
-        k, u = key[order], uid[order]
-        new = np.concatenate([[True], k[1:] != k[:-1]])
-        group, begins = np.cumsum(new) - 1, np.flatnonzero(new)
-        ends = np.append(begins[1:], len(k)) - 1
-        hit, other, part_of = np.zeros(len(k), bool), np.zeros(len(k), np.int64), np.zeros(len(k), np.int64)
-        hit[order] = (u[begins] != u[ends])[group]
-        other[order] = order[np.where(u == u[begins][group], ends[group], begins[group])]
-        part_of[order] = group
-        at = np.flatnonzero(hit)
-        if not len(at):
-            return hit
-        a, b = at, other[at]
-        same = (self.row[a[1:]] == self.row[a[:-1]]) & (a[1:] == a[:-1] + 1) & (b[1:] == b[:-1] + 1) & (self.row[b[1:]] == self.row[b[:-1]])
-        starts = np.flatnonzero(np.concatenate([[True], ~same]))
-        stops = np.append(starts[1:], len(at)) - 1
-        doubtful: set[int] = set()
-        for i, j in zip(starts.tolist(), stops.tolist(), strict=True):
-            if self.said(a[i], a[j]) != self.said(b[i], b[j]):
-                doubtful.update(part_of[a[i : j + 1]].tolist())
-        for g in doubtful:  # windows of different words with the same hash: told apart by the words
-            members: dict[bytes, list[int]] = {}
-            for i in order[begins[g] : ends[g] + 1].tolist():
-                members.setdefault(self.said(i), []).append(i)
-            for windows in members.values():
-                hit[windows] = len({int(uid[i]) for i in windows}) > 1
+        """Of each window, whether another document has its words."""
+        hit = np.zeros(len(self.row), bool)
+        order = np.lexsort([*self.right.T[::-1], self.h])
+        h, right = self.h[order], self.right[order]
+        common = np.cumprod(right[1:] == right[:-1], axis=1).sum(axis=1)  # words that neighbours begin with
+        common[h[1:] != h[:-1]] = -1
+        same_left, have = np.zeros(len(order), np.int64), (self.right >= 0).sum(axis=1)
+        for left in range(self.left.shape[1] + 1):
+            if left:  # one word further to the left
+                pair = same_left * (int(self.left.max()) + len(order) + 2) + self.left[:, left - 1] + len(order) + 1
+                same_left = np.unique(pair, return_inverse=True)[1]
+            rest = self.passage - left
+            run = np.empty(len(order), np.int64)
+            run[order] = np.cumsum(np.concatenate([[0], common < rest]))
+            some = np.flatnonzero((self.away >= left) & (have >= rest))
+            if len(some) < 2:
+                continue
+            key = run[some] * (int(same_left.max()) + 1) + same_left[some]
+            by = np.argsort(key, kind="stable")
+            begins = np.flatnonzero(np.concatenate([[True], key[by][1:] != key[by][:-1]]))
+            uid = self.uid[some][by]
+            several = np.minimum.reduceat(uid, begins) != np.maximum.reduceat(uid, begins)
+            found = some[by][np.repeat(several, np.diff(np.append(begins, len(by))))]
+            hit[self.begin[found] + self.away[found] - left] = True
         return hit
 
     def spans(self, starts: list[list[int]]) -> tuple[np.ndarray, ...]:
@@ -205,7 +205,7 @@ class Neighbours:
 
 
 def _compare(passage: int):
-    """Over suffixes sorted by their hash: spans (uid, low, high) of words that other documents have too."""
+    """Over suffixes dealt by their hash: spans (uid, low, high) of words that other documents have too."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
         h, uid, away, words, starts = zip(*rows, strict=True)
