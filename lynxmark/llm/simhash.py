@@ -207,6 +207,8 @@ CROWD_BYTES = 48 << 20
 WIDE, WIDE_RADIUS = 4, 79
 #: A shard's sets have sizes of at most so many times its smallest, so that two of likeness 0.8 lie in one band or in neighbours.
 BAND = 1.25
+#: Texts of groups up to which their list (some 50 bytes each) is sent to every task; a longer one is joined by a shuffle.
+BROADCAST_ROWS = 500_000
 #: Pairs whose sketches show less than the wanted likeness by so much are not compared hash by hash. A sketch's error at
 #: likeness 0.8 has a standard deviation of 0.035: the binomial chance to lose such a pair is below 1e-7.
 MARGIN = 0.2
@@ -449,8 +451,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     member = groups.union(groups.select(F.col("root").alias("node"), "root").distinct())
     member = materialize(member.join(nodes.select("node", "fp", "size"), "node"), "members")
     wanted = _dealt(member.select("node", "root", "size"), "root", CROWD).groupBy("node").agg(F.collect_list("key").alias("keys"))
-    texts = rows.select(F.col(uid).alias("node"), F.col(text_col).cast("binary").alias("text")).join(wanted, "node")
-    sets = texts.select("node", "keys", _shingle_sets(width)("text").alias("hashes")).join(member.select("node", "fp"), "node")
+    wanted = materialize(wanted.join(member.select("node", "fp"), "node"), "wanted")
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted  # texts of no group are not shuffled, while the list is short
+    texts = rows.select(F.col(uid).alias("node"), F.col(text_col).cast("binary").alias("text")).join(few, "node")
+    sets = texts.select("node", "fp", "keys", _shingle_sets(width)("text").alias("hashes"))
     dealt = sets.select(F.explode("keys").alias("key"), "node", "fp", "hashes").repartition("key").sortWithinPartitions("key", "fp", "node")
     roots = connected_components(dealt.mapInPandas(_similar(radius, similarity), "a long, b long"), batch=TEXTS)
     placed = nodes.select("hash", "fp", "node").join(roots, "node", "left").select("hash", "fp", F.coalesce("root", "node").alias("root"))
