@@ -28,9 +28,17 @@ def _alike(group: str) -> str:
     alike AS (SELECT review_id, max(CAST(common AS DOUBLE) / (sizes - common)) AS text_similarity FROM met WHERE 100 * common >= 80 * (sizes - common) GROUP BY review_id)"""
 
 
+def _with_likeness(spark: SparkSession, d: str) -> DataFrame:
+    """The reviews without their texts, which are compared as they lie in their table; most are like none."""
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("review_id"), F.col("source").alias("product_id"), F.col("text").alias("body"))
+    alike = likeness.with_text_similarity(texts).where("text_similarity > 0").groupBy("review_id").agg(F.max("text_similarity").alias("text_similarity"))
+    told = reviews_text(spark, d).drop("body").join(alike, "review_id", "left")
+    return told.withColumn("text_similarity", F.coalesce("text_similarity", F.lit(0.0)))
+
+
 @query(f"WITH {REVIEWS_TEXT}, {_alike('product_id')} SELECT r.review_id, r.product_id, coalesce(text_similarity, 0.0) AS text_similarity FROM reviews r LEFT JOIN alike USING (review_id)")
 def jn_text_similarity(spark: SparkSession, d: str) -> DataFrame:
-    return likeness.with_text_similarity(reviews_text(spark, d)).select("review_id", "product_id", "text_similarity")
+    return _with_likeness(spark, d).select("review_id", "product_id", "text_similarity")
 
 
 @query("SELECT event_id, user_id, CAST(count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 24 HOURS PRECEDING AND CURRENT ROW) AS INTEGER) AS reviews_last_24h FROM events")
@@ -46,8 +54,7 @@ _LIMITS = rules.Limits(reviews_per_day=2, burst_reviews=1)
 
 def review_contexts(spark: SparkSession, d: str) -> DataFrame:
     """Contexts of reviews, all from the reviews themselves; who wrote what is told by the author, copied texts by the product."""
-    alike = likeness.with_text_similarity(reviews_text(spark, d))
-    busy = activity.with_account_age(activity.with_recent_count(alike))
+    busy = activity.with_account_age(activity.with_recent_count(_with_likeness(spark, d)))
     return busy.select("review_id", "product_id", "author", F.col("stars").alias("star_rating"), "text_similarity", "reviews_last_24h", "account_age_days")
 
 

@@ -50,6 +50,15 @@ def test_a_hot_product_is_dealt_by_its_words(spark):
     assert "CartesianProduct" not in plan
 
 
+def test_only_first_words_leave_a_task(spark):
+    """Of 100 words 21; and sets with a few rare words in common, but too few, are not compared as a whole."""
+    rows = [(i, "p", " ".join([f"r{i // 2}x{j}" for j in range(5)] + [f"own{i}x{j}" for j in range(45)] + [f"all{j}" for j in range(50)])) for i in range(40)]
+    sets = likeness.word_sets(spark.createDataFrame(rows, "id long, grp string, body string"), "grp", "body")
+    firsts = likeness.first_words(sets, "grp", 80)
+    assert {(r["size"], len(r["first"]), r["copies"]) for r in firsts.collect()} == {(100, 21, 1)}
+    assert likeness._likely_pairs(firsts, 80).count() == 0
+
+
 @pytest.mark.parametrize("slot", [1, 600, 10**6])
 def test_recent_counts_beside_all_rows(spark, slot):
     rng = random.Random(slot)
