@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from lynxmark.functions.text import blank_to_null, has_text
@@ -9,6 +10,7 @@ from lynxmark.operators import histograms, lifecycle, serving
 from lynxmark.plans.adapters import PRODUCTS, products, table
 from lynxmark.schemas import SNAPSHOT
 from lynxmark.sources import html, lists, ndjson, sinks
+from lynxmark.sources.tables import spread
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -165,9 +167,17 @@ _PAGE = """<html><input id="ASIN" value="{asin}"><span id="productTitle"> {name}
 <span data-hook="review-date">2024年1月{day}日に日本でレビュー済み</span><span data-hook="review-body"><span>Body {name}</span></span><span class="a-profile-name">P{n}</span><span data-hook="helpful-vote-statement">{n}人</span></div></div></html>"""
 
 
+#: Pages that one task parses.
+PAGES = 5_000
+
+
+def _parts(spark, d):
+    return spread(table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_size"), PAGES)
+
+
 def _pages(spark, d):
     """A product page for each part, written into one template."""
-    p, k = table(spark, d, "part"), F.col("p_partkey")
+    p, k = _parts(spark, d), F.col("p_partkey")
     values = {"asin": F.concat(F.lit("B"), F.lpad(k.cast("string"), 9, "0")), "name": F.col("p_name"), "brand": F.col("p_brand"), "price": F.format_number(k * 7, 0), "stars": F.concat((F.col("p_size") % 5).cast("string"), F.lit("."), (k % 10).cast("string")), "n": (k % 900 + 1).cast("string"), "day": (k % 28 + 1).cast("string")}
     page = F.lit(_PAGE)
     for name, value in values.items():
@@ -216,7 +226,7 @@ _LAYOUTS = {
 
 
 def _layouts(spark, d):
-    p, k = table(spark, d, "part"), F.col("p_partkey")
+    p, k = _parts(spark, d), F.col("p_partkey")
     page = F.element_at(F.create_map(*[F.lit(x) for n, text in _LAYOUTS.items() for x in (n, "<html><body>" + text.replace("{review}", _REVIEW).replace("{{", "{").replace("}}", "}"))]), (k % 8).cast("int"))
     badge = F.when(k % 3 == 0, '<span data-hook="avp-badge">x</span>').when(k % 3 == 1, "<span>Amazonで購入</span>").otherwise("")
     values = {"asin": F.concat(F.lit("B"), F.lpad(k.cast("string"), 9, "0")), "name": F.col("p_name"), "brand": F.col("p_brand"), "price": F.format_number(k * 7, 0), "stars": F.concat((F.col("p_size") % 5).cast("string"), F.lit("."), (k % 10).cast("string")), "n": (k % 900 + 1).cast("string"), "badge": badge}
@@ -264,5 +274,6 @@ def src_text_fields(spark, d):
 @query("SELECT p_partkey AS page_key, CASE WHEN p_partkey % 3 = 0 THEN CAST(p_partkey AS VARCHAR) ELSE 'p-B' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') END AS product_id, p_name AS product_name, TIMESTAMP '2024-02-01 00:00:00' AS created_at, p_partkey * 7 AS price FROM part")
 def dml_intake_from_html(spark, d):
     pages = html.parse_product_pages(_pages(spark, d), "page_id").withColumn("source_url", F.concat(F.lit("https://x/"), F.col("page_key").cast("string")))
+    pages = pages.localCheckpoint(storageLevel=StorageLevel.DISK_ONLY)  # read twice, parsed once
     _, snapshots = lifecycle.intake_pages(products(spark, d).where(F.col("product_id").cast("bigint") % 3 == 0), pages, "2024-02-01 00:00:00")
     return snapshots.select("page_key", "product_id", "product_name", "created_at", F.get_json_object("snapshot_json", "$.priceMinor").cast("bigint").alias("price"))

@@ -11,6 +11,13 @@ def read_parquet(spark: SparkSession, path: str, *columns: str) -> DataFrame:
     return df.select(*columns) if columns else df
 
 
+def spread(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` dealt over tasks of some ``rows`` each, and no fewer than there are cores: tables are read by their bytes, so that
+    the rows of a small file are one task's, however much is to be made of each."""
+    many = -(-df.count() // rows)
+    return df.repartition(max(many, df.sparkSession.sparkContext.defaultParallelism))
+
+
 def read_jdbc(spark: SparkSession, url: str, table: str, split: str | None = None, bounds: tuple[int, int] | None = None, parts: int = 64, fetch: int = 10_000, **options: str) -> DataFrame:
     """A database table, read in ``parts`` ranges of the numeric or time column ``split``; without one, in a single task.
     Filters, column lists and limits are pushed to the database."""

@@ -87,6 +87,16 @@ def test_page_parser():
     assert html.selectors_from("histogram.rows=.own,tr.a-histogram-row\n# x=y")["rows"][:2] == [".own", "tr.a-histogram-row"]
 
 
+def test_pages_are_dealt_by_their_number(spark, sf, monkeypatch):
+    """A small file of many parts: its pages are not one task's."""
+    from lynxmark.plans import intake as plans
+
+    monkeypatch.setattr(plans, "PAGES", 20)
+    for pages in (plans._pages, plans._layouts):
+        sizes = pages(spark, sf).groupBy(F.spark_partition_id()).count().collect()
+        assert len(sizes) == 10 and max(r["count"] for r in sizes) <= 40
+
+
 def test_merge_nulls_keys_and_order(spark):
     old = spark.createDataFrame([("a", 1, "x", "t0"), (None, 2, "y", "t0")], "k string, n int, s string, updated_at string")
     new = spark.createDataFrame([("a", None, "x2", 2), ("a", 7, None, 1), ("b", 1, "z", 3), (None, 9, "w", 4), (None, 9, "w", 5)], "k string, n int, s string, o int")
