@@ -155,11 +155,8 @@ def latest_files(files: DataFrame) -> DataFrame:
 def decode_snapshots(rows: DataFrame, schema: str) -> DataFrame:
     """Adds ``snapshot``: the stored JSON; where that cannot be read, a stub with asin and title that is marked partial."""
     as_json = schema.replace("map<int,", "map<string,")  # JSON knows no other keys
-
-    def read(c: Column) -> Column:
-        found = F.from_json(c, as_json, {"mode": "PERMISSIVE"})
-        return found.withField("ratingSharePct", F.transform_keys(found["ratingSharePct"], lambda k, _: k.try_cast("int")))
-
-    sound = F.try_parse_json("snapshot_json").isNotNull() & F.schema_of_variant(F.try_parse_json("snapshot_json")).startswith("OBJECT")
+    sound = F.try_parse_json("snapshot_json").isNotNull() & F.col("snapshot_json").rlike(r"^[ \t\n\r]*\{")
     stub = F.to_json(F.struct("asin", "title", F.lit(True).alias("partial")))
-    return rows.withColumn("snapshot", read(F.when(sound, F.col("snapshot_json")).otherwise(stub)))
+    found = F.from_json(F.when(sound, F.col("snapshot_json")).otherwise(stub), as_json, {"mode": "PERMISSIVE"})
+    once = rows.select("*", F.explode(F.array(found)).alias("snapshot"))  # a column would be read again for each field that is asked for
+    return once.withColumn("snapshot", F.col("snapshot").withField("ratingSharePct", F.transform_keys("snapshot.ratingSharePct", lambda k, _: k.try_cast("int"))))

@@ -97,6 +97,15 @@ def test_pages_are_dealt_by_their_number(spark, sf, monkeypatch):
         assert len(sizes) == 10 and max(r["count"] for r in sizes) <= 40
 
 
+def test_snapshots_are_read_once(spark):
+    """However many fields are asked for; and what is no object gives a stub."""
+    texts = [' \n{"asin":"A1","ratingCount":3,"ratingSharePct":{"5":52.0}}', "{broken", "[1]", '"{"', "", None]
+    rows = spark.createDataFrame([(i, "kept", "t", t) for i, t in enumerate(texts)], "id int, asin string, title string, snapshot_json string")
+    told = ndjson.decode_snapshots(rows, schemas.SNAPSHOT).select("id", "snapshot.asin", "snapshot.partial", "snapshot.ratingCount", F.element_at("snapshot.ratingSharePct", F.lit(5)).alias("five"))
+    assert sorted(map(tuple, told.collect())) == [(0, "A1", None, 3, 52.0), *[(i, "kept", True, None, None) for i in range(1, 6)]]
+    assert told._jdf.queryExecution().optimizedPlan().toString().lower().count("from_json(") == 1
+
+
 def test_merge_nulls_keys_and_order(spark):
     old = spark.createDataFrame([("a", 1, "x", "t0"), (None, 2, "y", "t0")], "k string, n int, s string, updated_at string")
     new = spark.createDataFrame([("a", None, "x2", 2), ("a", 7, None, 1), ("b", 1, "z", 3), (None, 9, "w", 4), (None, 9, "w", 5)], "k string, n int, s string, o int")
