@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -120,11 +119,15 @@ def _squeeze(text: str) -> str:
     return out.strip(_CONTROLS)
 
 
-@F.pandas_udf(StringType())
-def normalize(texts: pd.Series) -> pd.Series:
+#: No built-in function decomposes or composes. Texts go to Python a hundred at a time, as Arrow batches count rows and not bytes.
+_by_row = F.udf(returnType=StringType(), useArrow=False)
+
+
+@_by_row
+def normalize(text: str | None) -> str | None:
     """Compatibility decomposition, marks dropped (which also takes the voicing marks off kana), lower case, ASCII white
-    space squeezed. No built-in function decomposes, so this one runs in Arrow batches."""
-    return texts.map(_normalize, na_action="ignore")
+    space squeezed."""
+    return None if text is None else _normalize(text)
 
 
 def _normalize_scraped(text: str) -> str | None:
@@ -135,10 +138,10 @@ def _normalize_scraped(text: str) -> str | None:
     return out if out.strip() else None
 
 
-@F.pandas_udf(StringType())
-def normalize_scraped(texts: pd.Series) -> pd.Series:
+@_by_row
+def normalize_scraped(text: str | None) -> str | None:
     """Compatibility composition, line ends and runs of blanks made one, zero-width characters removed; blank becomes null."""
-    return texts.map(_normalize_scraped, na_action="ignore")
+    return None if text is None else _normalize_scraped(text)
 
 
 def validate(c: Column, most: int, required: bool = False) -> Column:
@@ -149,9 +152,9 @@ def validate(c: Column, most: int, required: bool = False) -> Column:
     return F.when(text.isNull(), F.raise_error(F.lit("required text missing")).cast("string")).otherwise(text) if required else text
 
 
-@F.pandas_udf(StringType())
-def compose(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+@_by_row
+def compose(text: str | None) -> str | None:
+    return None if text is None else unicodedata.normalize("NFKC", text)
 
 
 def normalize_digits(c: Column) -> Column:

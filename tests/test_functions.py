@@ -87,3 +87,13 @@ def test_digits_of_whole_texts(spark, sf):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     whole = {i: unicodedata.normalize("NFKC", "１２％ " + t).strip("".join(map(chr, range(33)))) for i, t in texts.items()}
     assert {r.doc_id: r.digits for r in plans.fn_validate_and_digits(spark, sf).collect()} == whole
+
+
+def test_texts_reach_python_in_small_batches(spark):
+    """By row and not in Arrow batches, whose ten thousand rows may be long."""
+    from lynxmark.functions import text as T
+
+    for f in (T.normalize, T.normalize_scraped, T.compose):
+        df = spark.createDataFrame([(None,), ("Ａ①",)], "t string").select(f("t").alias("x"))
+        assert "BatchEvalPython" in df._jdf.queryExecution().executedPlan().toString()
+        assert [r.x for r in df.collect()] in ([None, "a1"], [None, "A1"])
