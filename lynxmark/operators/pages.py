@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Ranges of a table at most: each is a task and a file, of which the driver is told.
+RANGES = 1_000
 #: A sort order: names of columns and whether they descend; the last ones are to make it unique. Nulls are least.
 Order = list[tuple[str, bool]]
 
@@ -34,7 +36,7 @@ def after(df: DataFrame, order: Order, last: tuple | None, size: int) -> DataFra
 
 
 class PageDirectory:
-    """A table in ranges of ``order``, some ``rows`` each, below ``path``: ``ranges/range=<n>`` and ``directory`` (range, begin, n)."""
+    """A table in ranges of ``order``, some ``rows`` each, or more where that would make over RANGES, below ``path``: ``ranges/range=<n>`` and ``directory`` (range, begin, n)."""
 
     def __init__(self, spark: SparkSession, path: str, order: Order):
         self.spark, self.path, self.order = spark, path.rstrip("/"), order
@@ -44,7 +46,7 @@ class PageDirectory:
     def build(cls, df: DataFrame, path: str, order: Order, rows: int = 10_000) -> PageDirectory:
         """Writes the layout; one shuffle, and a count of what has been written."""
         spark, path = df.sparkSession, path.rstrip("/")
-        many = max(1, -(-df.count() // rows))
+        many = max(1, min(RANGES, -(-df.count() // rows)))
         ranged = df.repartitionByRange(many, *sort_keys(order)).sortWithinPartitions(*sort_keys(order))
         ranged.withColumn("range", F.spark_partition_id()).write.partitionBy("range").parquet(f"{path}/ranges")
         counts = spark.read.schema(_with_range(df)).parquet(f"{path}/ranges").groupBy("range").agg(F.count("*").alias("n"))

@@ -106,6 +106,23 @@ def test_snapshots_are_read_once(spark):
     assert told._jdf.queryExecution().optimizedPlan().toString().lower().count("from_json(") == 1
 
 
+def test_outlines_keep_references_as_written(spark):
+    page = "<title>a &amp; b &quot;c&quot; &am d&amp</title><p>x &lt; y</p>"
+    row = html.page_outline(spark.createDataFrame([(1, page)], "page_id int, html string"), "page_id").first()
+    assert (row.title, row.n_words) == ("a & b &quot;c&quot; &am d&amp", 9)
+
+
+def test_page_directory_has_so_many_ranges_at_most(spark, tmp_path, monkeypatch):
+    from lynxmark.operators import pages
+
+    monkeypatch.setattr(pages, "RANGES", 7)
+    rows = spark.range(1000).select((F.col("id") * 7 % 1000).alias("id"))
+    laid = pages.PageDirectory.build(rows, str(tmp_path / "laid"), [("id", True)], rows=10)
+    assert laid.directory.count() <= 7 and laid.total() == 1000
+    assert [r.id for r in laid.page(33, 10).collect()] == list(range(669, 659, -1))
+    assert all(r.id + r.ordinal == 1000 for r in laid.numbered().collect())
+
+
 def test_merge_nulls_keys_and_order(spark):
     old = spark.createDataFrame([("a", 1, "x", "t0"), (None, 2, "y", "t0")], "k string, n int, s string, updated_at string")
     new = spark.createDataFrame([("a", None, "x2", 2), ("a", 7, None, 1), ("b", 1, "z", 3), (None, 9, "w", 4), (None, 9, "w", 5)], "k string, n int, s string, o int")
