@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,14 +51,19 @@ REVIEWS_NUM = """reviews_num AS (SELECT concat_ws('-', l_orderkey, l_linenumber,
     CASE WHEN l_linestatus = 'O' AND l_linenumber <= 2 THEN 'PENDING' WHEN l_linestatus = 'O' THEN 'PUBLISHED' ELSE 'APPROVED' END AS status, l_shipdate AS posted_at, l_tax AS tax FROM lineitem)"""
 
 
-def reviews_text(spark: SparkSession, d: str) -> DataFrame:
-    """Reviews with text: documents by source, stars from labels, dates and reviewers from events."""
+def reviews_text(spark: SparkSession, d: str, signs: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Reviews with text: documents by source, stars from labels, dates and reviewers from events. With ``signs``, what it adds to
+    the texts takes their place."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("review_id"), F.col("source").alias("product_id"), F.col("text").alias("body"), "lang")
+    of_text = ["body"]
+    if signs:
+        before, docs = docs.columns, signs(docs)
+        of_text = [c for c in docs.columns if c not in before]
     labels = table(spark, d, "labels").select(F.col("doc_id").alias("review_id"), "quality", "toxic")
     events = table(spark, d, "events").select(F.col("event_id").alias("review_id"), F.col("ts").alias("created_at"), F.col("user_id").cast("string").alias("author"))
     stars = F.when(F.col("quality") == 1, 5).when(F.col("quality") == 0, 1).otherwise(3)
     both = docs.join(labels, "review_id", "left").join(events, "review_id", "left")
-    return both.select("review_id", "product_id", "body", "lang", stars.alias("stars"), stars.alias("rating"), "quality", "toxic", "created_at", F.to_date("created_at").alias("review_date"), "author")
+    return both.select("review_id", "product_id", *of_text, "lang", stars.alias("stars"), stars.alias("rating"), "quality", "toxic", "created_at", F.to_date("created_at").alias("review_date"), "author")
 
 
 REVIEWS_TEXT = """reviews AS (SELECT d.doc_id AS review_id, d.source AS product_id, d.text AS body, d.lang, CASE l.quality WHEN 1 THEN 5 WHEN 0 THEN 1 ELSE 3 END AS stars,

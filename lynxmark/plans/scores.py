@@ -195,12 +195,12 @@ HEURISTIC_SQL = f"""WITH {REVIEWS_TEXT}, rows_ AS (SELECT *, nullif(lower(regexp
 
 @query(f"{HEURISTIC_SQL} SELECT review_id, product_id, score AS heuristic_score, concat_ws(',', CASE WHEN s1 > 0.05 THEN 'dup' || printf('%.2f', CAST(s1 AS DOUBLE)) END, CASE WHEN s2 > 0.05 THEN 'author' || printf('%.2f', CAST(s2 AS DOUBLE)) END, CASE WHEN s3 > 0.05 THEN 'bias' || printf('%.2f', CAST(s3 AS DOUBLE)) END, CASE WHEN s4 > 0.05 THEN 'short' || printf('%.2f', CAST(s4 AS DOUBLE)) END, CASE WHEN s5 > 0.05 THEN 'mismatch' || printf('%.2f', CAST(s5 AS DOUBLE)) END) AS heuristic_reasons, score >= 0.6 AS sakura_flag FROM h")
 def heuristic_reviews(spark, d):
-    return heuristics.score_reviews(reviews_text(spark, d)).select("review_id", "product_id", "heuristic_score", "heuristic_reasons", "sakura_flag")
+    return heuristics.score_reviews(reviews_text(spark, d, heuristics.with_body_signs)).select("review_id", "product_id", "heuristic_score", "heuristic_reasons", "sakura_flag")
 
 
 @query(f"{HEURISTIC_SQL} SELECT review_id, dup_count, author_count FROM h")
 def win_review_counts(spark, d):
-    s = heuristics.with_product_stats(reviews_text(spark, d))
+    s = heuristics.with_product_stats(reviews_text(spark, d, heuristics.with_body_signs))
     return s.select("review_id", F.coalesce("dup_count", F.lit(0)).alias("dup_count"), F.coalesce("author_count", F.lit(0)).alias("author_count"))
 
 

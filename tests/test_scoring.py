@@ -170,3 +170,14 @@ def test_reviews_are_read_once(spark, sf, name):
 
     plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [") == 3 and "Expand" in plan  # documents, labels, events: once each
+
+
+def test_scores_of_reviews_shuffle_no_text(spark, sf):
+    """Bodies are told by their signs before anything is joined."""
+    from lynxmark.plans import scores
+
+    plan = scores.heuristic_reviews(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    joins = plan.index("Join")
+    assert "text#" in plan and all("text#" not in x for x in plan[joins:].split("\n") if "Join" in x)
+    assert "body_key" in scores.heuristics.with_body_signs(spark.createDataFrame([("a",)], "body string")).columns
+    assert "body" not in scores.reviews_text(spark, sf, scores.heuristics.with_body_signs).columns
