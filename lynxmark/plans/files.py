@@ -6,6 +6,7 @@ import atexit
 import re
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from lynxmark.operators import features, rules, scoring, serving
 from lynxmark.plans import scores
 from lynxmark.plans.adapters import reviews_text, squeeze, table
 from lynxmark.plans.intake import _BASE, _lines, _parsed
-from lynxmark.sources import html, lists, ndjson, review_files, sinks, tables
+from lynxmark.sources import derby, html, lists, ndjson, review_files, sinks, tables
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -252,12 +253,14 @@ def flt_bool_parameter(spark, d):
 
 @query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
 def src_jdbc_by_key(spark, d):
-    """The customers, written to a database in the driver and read back by ranges of their names. The database is one process's
-    own, so this query is for a local master."""
-    options = {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
-    url = f"jdbc:derby:memory:c{uuid.uuid4().hex[:12]};create=true"
-    table(spark, d, "customer").coalesce(4).write.format("jdbc").options(url=url, dbtable="CUSTOMER", createTableColumnTypes="c_name VARCHAR(64), c_mktsegment VARCHAR(32)", **options).save()
-    return tables.read_jdbc_by_key(spark, url, "CUSTOMER", '"c_name"', 8, **options)
+    """The customers, loaded into databases of a range of names each, and read back through JDBC by ranges of their names."""
+    columns = '"c_custkey" BIGINT, "c_name" VARCHAR(64), "c_nationkey" INTEGER, "c_acctbal" DOUBLE, "c_mktsegment" VARCHAR(32)'
+    customers = table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+    urls = derby.write_archives(customers, scratch(spark, "customers"), "CUSTOMER", columns, ["c_name", "c_custkey"])
+    if not urls:
+        return customers
+    parts = max(2, 8 // len(urls))
+    return reduce(DataFrame.unionAll, [tables.read_jdbc_by_key(spark, url, "CUSTOMER", '"c_name"', parts, driver=derby.DRIVER) for url in urls])
 
 
 @query("""SELECT event_type AS dataset, 'B' || lpad(CAST(user_id % 30 AS VARCHAR), 9, '0') AS asin, event_id AS review_id, value AS rating, true AS placed FROM events

@@ -2,13 +2,15 @@
 
 import json
 import os
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
 
 from lynxmark import schemas
 from lynxmark.operators import evaluation, lifecycle, merge, serving, versions
-from lynxmark.sources import html, lists, ndjson, sinks, tables
+from lynxmark.sources import derby, html, lists, ndjson, sinks, tables
 from lynxmark.streaming import intake
 
 
@@ -296,3 +298,30 @@ def test_database_tables(spark):
     assert "PushedFilters: [*IsNotNull(ID), *GreaterThanOrEqual(ID,40)]" in df.where("ID >= 40").select("NAME")._jdf.queryExecution().executedPlan().toString()
     with pytest.raises(ValueError):
         tables.read_jdbc(spark, url, "T", split="ID")
+
+
+def test_archived_databases(spark, tmp_path):
+    """Values come back as they were, whichever database they lie in."""
+    odd = [(1, 'a "q", é\nnl', None, 1.5e-7, ""), (2, None, 3, None, "x"), (3, " lead ", -4, 1e10, "y, z"), (4, "", 0, 0.1 + 0.2, None), (5, "'", None, None, "\r\n \t"), (6, "'", 1, -1e-300, "日本")]
+    rows = spark.createDataFrame(odd, "k long, name string, n int, x double, s string")
+    columns = '"k" BIGINT, "name" VARCHAR(64), "n" INTEGER, "x" DOUBLE, "s" VARCHAR(32)'
+    urls = derby.write_archives(rows, str(tmp_path), "T", columns, ["name", "k"], 2)
+    assert len(urls) == 3 and not derby.write_archives(rows.limit(0), str(tmp_path), "T", columns, ["name", "k"])
+    got = [r for u in urls for r in tables.read_jdbc_by_key(spark, u, "T", '"name"', 2, driver=derby.DRIVER).collect()]
+    assert sorted(map(tuple, got)) == odd
+    with pytest.raises(Exception, match="T was not loaded"):
+        derby.write_archives(rows, str(tmp_path), "T", columns.replace("64", "3"), ["name", "k"])
+
+
+def test_database_on_a_cluster(sf, tmp_path):
+    """Executors in processes of their own, in an application of its own."""
+    code = f"""from pyspark.sql import SparkSession
+import __spark_entry__ as e
+from tests.oracle import difference
+conf = {{"spark.checkpoint.dir": "file://{tmp_path}/shared", "spark.ui.enabled": "false", "spark.driver.host": "127.0.0.1", "spark.executor.memory": "512m", "spark.sql.warehouse.dir": "{tmp_path}/wh"}}
+spark = SparkSession.builder.master("local-cluster[2,1,1024]").config(map=conf).getOrCreate()
+print("said", [difference(spark, "{sf}", e.queries()["src_jdbc_by_key"], e.oracle_sql()["src_jdbc_by_key"])[:500]])
+spark.stop()"""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    told = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": root}, capture_output=True, text=True, timeout=300)
+    assert "said ['']" in told.stdout, told.stdout + told.stderr[-2000:]
