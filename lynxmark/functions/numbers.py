@@ -80,3 +80,14 @@ def rating_to_int(c: Column) -> Column:
 def to_score(average: Column) -> Column:
     """A 0 to 5 average as 0 to 100, one decimal; null and NaN give null."""
     return F.when(~F.isnan(average), half_up(clamp(average, 0.0, 5.0) / 5.0 * 100.0, 1))
+
+
+def pack(numbers: Column) -> Column:
+    """A text of digits and minus signs alone, two signs a byte: equal where the texts are, and half as long to shuffle."""
+    signs = F.translate(numbers, "-", "A")
+    return F.unhex(F.concat(signs, F.when(F.length(signs) % 2 == 1, "F").otherwise("")))
+
+
+def unpack(packed: Column) -> Column:
+    """The text of which ``pack`` has made this."""
+    return F.translate(F.hex(packed), "AF", "-")

@@ -44,6 +44,8 @@ class VersionedTable:
     it is cut is kept with every version, and opening it in another way is an error. ``replace``
     writes those partitions alone that a batch touches; all others stay those of the version
     before. However large a partition is, it is written by as many tasks as it has data for.
+    For that rows are shuffled once more before they are written; without ``gather`` every task
+    writes the rows that it has, so nothing is moved, but in a file for each partition and task.
 
     Writers need not wait for each other: whoever commits second takes over the partitions that
     others have changed meanwhile, if they are none of its own, and else gets a ``Conflict``;
@@ -55,8 +57,8 @@ class VersionedTable:
     removes folders that no version in use names.
     """
 
-    def __init__(self, spark: SparkSession, path: str, by: str | None = None, parts: int = 64):
-        self.spark, self.path, self.by, self.parts = spark, path.rstrip("/"), by, parts
+    def __init__(self, spark: SparkSession, path: str, by: str | None = None, parts: int = 64, gather: bool = True):
+        self.spark, self.path, self.by, self.parts, self.gather = spark, path.rstrip("/"), by, parts, gather
         self.layout = {"by": by, "parts": parts if by else None}
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
@@ -146,12 +148,17 @@ class VersionedTable:
 
     def update(self, keys: DataFrame, change: Callable[[DataFrame], DataFrame], batch: tuple[str, int] | None = None, tries: int = 10) -> int:
         """``replace`` by what ``change`` makes of the rows that ``keys`` touch; made again where another writer has changed them."""
+        touched = None
         for n in range(tries):
             base = self.current()
             if _held(base, batch):
                 return base.number
+            if not base.number:
+                raise FileNotFoundError(self.path)
+            if self.by and touched is None:
+                touched = self._touched(keys)
             try:
-                return self.replace(change(self.read(keys, base.number)), keys, batch, base.number)
+                return self._commit(change(self._rows(base, touched)), touched, batch, base.number)
             except Conflict:
                 if n == tries - 1:
                     raise
@@ -163,15 +170,16 @@ class VersionedTable:
             return start.number
         name = f"v-{start.number + 1:08d}-{uuid.uuid4().hex}"
         if self.by:
-            cut = df.withColumn("_part", self._part(self.by)).hint("rebalance", F.col("_part"))
-            cut.write.partitionBy("_part").parquet(f"{self.path}/{name}")
+            cut = df.withColumn("_part", self._part(self.by))
+            cut = cut.hint("rebalance", F.col("_part")) if self.gather else cut
+            cut.write.partitionBy("_part").option("compression", "zstd").parquet(f"{self.path}/{name}")
             folders = [f.getPath().getName() for f in self._fs.listStatus(self._path(f"{self.path}/{name}"))]
             made = {f.removeprefix("_part="): f"{name}/{f}" for f in folders if f.startswith("_part=")}
             if not made:  # an empty folder keeps the columns
                 df.limit(0).write.mode("overwrite").parquet(f"{self.path}/{name}")
                 made = {"-": name} if touched is None else {}
         else:
-            df.write.parquet(f"{self.path}/{name}")
+            df.write.option("compression", "zstd").parquet(f"{self.path}/{name}")
             made = {"-": name}
         return self._publish(start, name, made, touched, batch)
 

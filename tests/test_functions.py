@@ -97,3 +97,9 @@ def test_texts_reach_python_in_small_batches(spark):
         df = spark.createDataFrame([(None,), ("Ａ①",)], "t string").select(f("t").alias("x"))
         assert "BatchEvalPython" in df._jdf.queryExecution().executedPlan().toString()
         assert [r.x for r in df.collect()] in ([None, "a1"], [None, "A1"])
+
+
+def test_packed_numbers(spark):
+    texts = ["", "1", "-", "12", "-1-2", "123-4-0", "0", "00", "9" * 41, None]
+    got = spark.createDataFrame([(x,) for x in texts], "x string").select("x", numbers.pack(F.col("x")).alias("p")).select("x", "p", numbers.unpack(F.col("p")).alias("back")).collect()
+    assert [r.back for r in got] == texts and len({r.p for r in got}) == len(texts) and len(got[8].p) == 21

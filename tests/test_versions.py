@@ -2,14 +2,18 @@
 
 import datetime
 import json
+import os
 import threading
+from functools import reduce
 
 import pytest
 from pyspark.sql import functions as F
 
 from lynxmark.operators import merge
 from lynxmark.operators.versions import Conflict, VersionedTable
+from lynxmark.plans import streams
 from lynxmark.streaming import intake, score_cache
+from tests.oracle import difference
 
 REVIEW = {"type": "review", "asin": "B000000001", "reviewId": "R1", "rating": 5, "title": "t", "body": "fine", "reviewDate": "2024-01-02"}
 
@@ -129,6 +133,41 @@ def test_a_large_partition_is_written_by_several_tasks(spark, tmp_path):
     assert t.read().count() == 60_000 and max(len(list((tmp_path / "t" / f).glob("part-*"))) for f in t.current().folders.values()) > 2
 
 
+def test_rows_are_written_where_they_are(spark, tmp_path):
+    """Without ``gather`` nothing is shuffled for a write; the rows are the same, however a table is opened later."""
+    df = spark.range(6000).repartition(6).select((F.col("id") % 50).alias("k"), F.col("id").cast("string").alias("v"))
+    t = VersionedTable(spark, str(tmp_path / "t"), "k", 4, gather=False)
+    t.write(df)
+    files = {f.name.split("-")[1] for p in t.current().folders.values() for f in (tmp_path / "t" / p).glob("part-*")}
+    assert len(files) == 6 and len(t.current().folders) == 4
+    assert kept(t) == sorted(map(tuple, df.collect())) == kept(VersionedTable(spark, t.path, "k", 4))
+
+
+def test_an_update_looks_for_its_partitions_once(spark, tmp_path, monkeypatch):
+    """And so makes its keys once, which may be as dear as the batch."""
+    t, calls = VersionedTable(spark, str(tmp_path / "t"), "k", 4), []
+    with pytest.raises(FileNotFoundError):
+        t.update(rows(spark, (1, "")).select("k"), lambda old: old)
+    t.write(rows(spark, (1, "a"), (2, "b")))
+    found = t._touched
+    monkeypatch.setattr(t, "_touched", lambda keys: calls.append(1) or found(keys))
+    t.update(rows(spark, (1, "")).select("k"), lambda old: old.withColumn("v", F.when(F.col("k") == 1, "z").otherwise(F.col("v"))))
+    assert kept(t) == [(1, "z"), (2, "b")] and len(calls) == 1
+
+
+def test_changes_of_reviews_with_one_id(spark, sf, tmp_path):
+    """Line items without all of their numbers may share an id: the product is one that is there, as in the SQL."""
+    for f in os.listdir(sf):
+        if f != "lineitem.parquet":
+            os.symlink(f"{sf}/{f}", tmp_path / f)
+    given = spark.read.parquet(f"{sf}/lineitem.parquet")
+    first = given.limit(1).withColumn("l_linestatus", F.lit("F")).withColumn("l_extendedprice", F.lit(4.0))
+    number = lambda **x: first.withColumns({f"l_{k}": F.lit(v).cast(given.schema[f"l_{k}"].dataType) for k, v in x.items()})
+    odd = [number(orderkey=-1, linenumber=2, partkey=None, suppkey=3), number(orderkey=-1, linenumber=None, partkey=2, suppkey=3), number(orderkey=-2, linenumber=1, partkey=13, suppkey=3), number(orderkey=-2, linenumber=1, partkey=13, suppkey=3)]
+    reduce(lambda a, b: a.union(b), odd, given).coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert not difference(spark, str(tmp_path), streams.snk_version_changes, streams.SQL["snk_version_changes"])
+
+
 def put(path, *lines):
     path.parent.mkdir(parents=True, exist_ok=True)
     path.write_text("\n".join(lines) + "\n")
